@@ -141,13 +141,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 class TwoGenerations:
     """A bounded memo: what was used since the last turn-over survives, the rest is forgotten."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int, limit_bytes: int = 1 << 26):
+        self.limit, self.limit_bytes, self.bytes, self.young, self.old = limit, limit_bytes, 0, {}, {}
 
     def fill(self, keys: set, compute: Callable[[list], list]) -> dict:
         """Make ``young`` hold every key and return it."""
-        if len(self.young) + len(keys) > self.limit and self.young:
-            self.old, self.young = self.young, {}
+        if self.young and (len(self.young) + len(keys) > self.limit or self.bytes > self.limit_bytes):
+            self.old, self.young, self.bytes = self.young, {}, 0
         young, old, missing = self.young, self.old, []
         for k in keys.difference(young):
             v = old.get(k)
@@ -157,4 +157,5 @@ class TwoGenerations:
                 young[k] = v
         if missing:
             young.update(zip(missing, compute(missing), strict=True))
+            self.bytes += sum(map(len, missing))
         return young

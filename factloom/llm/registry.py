@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import ngram_join
+from factloom.llm import bpe, ngram_join, substring_dedup
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.query,
+    "op5_substring_dedup": substring_dedup.query,
+    "op10_bpe_automaton": bpe.query,
 }
 
 ORACLES: dict[str, str] = {}
