@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, decontamination, language_id, ngram_join, substring_dedup
+from factloom.llm import bit_packing, bpe, decontamination, language_id, ngram_join, substring_dedup, token_counts
 
 QUERIES = {
     "op2_ngram_jaccard_join": ngram_join.query,
+    "op4_token_counts": token_counts.query,
     "op5_substring_dedup": substring_dedup.query,
+    "op6_bit_packing": bit_packing.query,
     "op8_decontamination": decontamination.query,
     "op9_language_id": language_id.query,
     "op10_bpe_automaton": bpe.query,
