@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from factloom.llm import bit_packing, bpe, decontamination, language_id, ngram_join, substring_dedup, token_counts
+from factloom.llm import (
+    bit_packing,
+    bpe,
+    decontamination,
+    html_extraction,
+    language_id,
+    ngram_join,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    url_filters,
+)
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.query,
     "op2_ngram_jaccard_join": ngram_join.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_token_counts": token_counts.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_bit_packing": bit_packing.query,
+    "op7_url_filters": url_filters.query,
     "op8_decontamination": decontamination.query,
     "op9_language_id": language_id.query,
     "op10_bpe_automaton": bpe.query,
