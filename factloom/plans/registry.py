@@ -20,3 +20,11 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from factloom.plans import decisions, matching, measures, records, streams, texts  # noqa: F401
+
+
+
