@@ -12,14 +12,17 @@ How:
    shingles, so at least one slice is identical (pigeonhole); the digests of the slices are the set's
    *matrix tokens*. A shingle that is frequent on its own cannot make a token frequent. Sizes are banded;
    a set near the upper end of its band also carries the tokens of the next band.
-3. Representatives that share a token are partitioned into groups of similar sets (by the most widely
-   shared token, split by hash into groups of at most about ``GROUP`` members, so no group is unbounded).
-4. The token-group matrix holds each group's token union. A query set meets only groups whose union has
-   one of its tokens; there, the group's shingle union bounds the overlap: fewer than
-   ``ceil(0.9 * |query|)`` shingles in the union and the group stays closed.
-5. In an opened group the query is compared exactly with every member of a fitting size. Only a spanning
-   set of the links is emitted, never all pairs of a group. Components follow by min-label propagation
-   with a stored table per round.
+3. Of the representatives that share a token, those stay that can still have a partner: with ``FINE`` times finer
+   slices, a linked set must find all but ``d`` of its slices in the union of all others (the matrix read as one
+   group). An edited copy fails this once its edits are its own.
+4. The rest is partitioned into groups of similar sets: by the most widely shared token, whose smallest set is the
+   centre. Sets that link with their centre form groups that are one component already; the others form
+   groups of their own. Groups are split by hash to about ``GROUP`` members, so none is unbounded.
+5. The token-group matrix holds each group's token union. A query set meets only groups whose union has
+   one of its tokens, never those of its own component; there, the group's shingle union bounds the overlap:
+   fewer than ``percent`` of the query's shingles in the union and the group stays closed. In an opened group
+   the query is compared exactly with every member. Only a spanning set of the links is emitted, never
+   all pairs of a group. Components follow by min-label propagation with a stored table per round.
 
 Defined results: null text, no words -> ``n_shingles`` 0, linked with nothing (own ``doc_id``); fewer than
 three words -> the whole sequence is the one shingle; repeated rows and equal ids are copies of each other;
@@ -40,8 +43,8 @@ from factloom.llm import common as C
 
 #: Size bands grow by this factor.
 BAND = 1.6
-#: Members of a group, and queries that open it in one task.
-GROUP, QUERIES = 128, 512
+#: Members of a group, and queries that open it in one task; fine slices per slice.
+GROUP, QUERIES, FINE = 256, 1024, 3
 
 
 def _allowed_difference(total: int, percent: int) -> int:
@@ -88,16 +91,16 @@ def shingle_hashes(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def slice_tokens(s: np.ndarray, starts: np.ndarray, slices: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the slices of a sorted shingle set, for its band and, near the band's end, for the next."""
-    if not len(s):
-        return np.empty(0, dtype=np.uint64)
+def slice_tokens(s: np.ndarray, starts: np.ndarray, slices: np.ndarray, percent: int, fine: int = 1) -> list[tuple[int, np.ndarray]]:
+    """(band, digests of the slices) of a sorted shingle set, for its band and, near the band's end, for the next."""
     size, out = len(s), []
+    if not size:
+        return out
     band = int(np.searchsorted(starts, size, side="right")) - 1
     reach = size * 100 // percent
     mixed = C.mix(s)
     for b in [band] if band + 1 >= len(starts) or reach < starts[band + 1] else [band, band + 1]:
-        m = int(slices[b])
+        m = int(slices[b]) * fine
         digest = np.zeros(m, dtype=np.uint64)
         if m == 1:
             digest[0] = mixed.sum(dtype=np.uint64)
@@ -105,8 +108,8 @@ def slice_tokens(s: np.ndarray, starts: np.ndarray, slices: np.ndarray, percent:
             where = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             np.add.at(digest, where, C.mix(mixed ^ C.GOLDEN))
         salt = C.mix(np.arange(m, dtype=np.uint64) + np.uint64(b) * np.uint64(1 << 40) + np.uint64(7))
-        out.append(C.mix(digest ^ salt))
-    return np.concatenate(out)
+        out.append((b, C.mix(digest ^ salt)))
+    return out
 
 
 def _sets_batch(n: int, percent: int):
@@ -116,7 +119,7 @@ def _sets_batch(n: int, percent: int):
         sets = shingle_hashes(batch.column(1).to_pylist(), n)
         a = [int(C.mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
         b = [int(C.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-        tokens = [slice_tokens(s, starts, slices, percent) for s in sets]
+        tokens = [np.concatenate([np.empty(0, np.uint64), *(t for _, t in slice_tokens(s, starts, slices, percent))]) for s in sets]
         flat = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.uint64)
         return pa.RecordBatch.from_arrays(
             [
@@ -132,11 +135,26 @@ def _sets_batch(n: int, percent: int):
     return fn
 
 
-def _shingles_batch(n: int):
+def _bodies_batch(n: int, percent: int):
+    """Shingles and fine tokens: per token its band, and how many tokens of that band a partner must share."""
+    starts, slices = _bands(percent)
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_hashes(batch.column(1).to_pylist(), n)
         flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), C.list_array(flat.view(np.int64), np.array([len(s) for s in sets]))], names=["rep", "shingles"])
+        fine = [slice_tokens(s, starts, slices, percent, FINE) for s in sets]
+        parts = [(b, t) for f in fine for b, t in f]
+        counts = np.array([len(t) for _, t in parts], dtype=np.int64)
+        need = np.array([(FINE - 1) * int(slices[b]) + 1 for b, _ in parts], dtype=np.int64)
+        tokens = np.concatenate([t for _, t in parts]) if parts else np.empty(0, dtype=np.uint64)
+        fields = [pa.array(tokens.view(np.int64)), pa.array(np.repeat(np.array([b for b, _ in parts], dtype=np.int32), counts)), pa.array(np.repeat(need, counts).astype(np.int32))]
+        offsets = np.zeros(len(sets) + 1, dtype=np.int32)
+        np.cumsum([sum(len(t) for _, t in f) for f in fine], out=offsets[1:])
+        struct = pa.StructArray.from_arrays(fields, names=["token", "band", "need"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), C.list_array(flat.view(np.int64), np.array([len(s) for s in sets])), pa.ListArray.from_arrays(pa.array(offsets), struct)],
+            names=["rep", "shingles", "fine"],
+        )
 
     return fn
 
@@ -215,6 +233,17 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _open(members: DataFrame, calls: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets that call a group and its members; both are (rep, open)."""
+    load = calls.groupBy("open").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("deals"))
+    queries = calls.join(load, "open").select("rep", "open", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("deals")).cast("int").alias("deal"))
+    queries = queries.join(shingles, "rep")
+    members = members.join(load, "open").select("rep", "open", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).join(shingles, "rep")
+    members = members.select(*[F.col(c).alias(c) for c in members.columns])
+    C.ship(calls.sparkSession)
+    return members.groupBy("open", "deal").cogroup(queries.groupBy("open", "deal")).applyInPandas(_open_group(percent), "a long, b long")
+
+
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id, rep``: the similarity classes of ``docs`` (doc_id, text).
 
@@ -227,34 +256,45 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     reps = classes.select(F.col("rep").alias("doc_id"))
     rows = sets.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = rows.select(F.col("doc_id").alias("rep"), F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n_sets"))
-    shared = shared.where("lo != hi").select("token", "n_sets")
+    shared = rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
     rows = C.stored(rows.join(shared, "token"))
 
-    # partition: the most widely shared token of each set names its cluster, split by hash into bounded groups
-    home = rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token"))["token"].alias("cluster"))
-    split = home.groupBy("cluster").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    group = F.xxhash64("cluster", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    groups = C.stored(home.join(split, "cluster").select("rep", group.alias("grp")))
-
-    # the matrix, and the groups that each query may open (each pair of groups from one side)
-    mine = rows.join(groups, "rep")
-    matrix = mine.select("token", F.col("grp").alias("open")).distinct()
-    calls = mine.join(matrix, "token").where("grp >= open").select("rep", "open").distinct()
-    calls = C.stored(calls)
-
-    wanted = groups.select(F.col("rep").alias("doc_id"))
+    # shingles of the sets that share a token, and those of them that may have a partner
+    wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     bodies = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    shingles = C.stored(C.map_arrow(bodies, _shingles_batch(n), "rep long, shingles array<long>"))
-    load = calls.groupBy("open").agg(F.count("*").alias("q"))
-    load = load.select("open", F.ceil(F.col("q") / QUERIES).cast("int").alias("deals"))
-    queries = calls.join(load, "open").select("rep", "open", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("deals")).cast("int").alias("deal"))
-    queries = queries.join(shingles, "rep")
-    members = groups.select("rep", F.col("grp").alias("open")).join(load, "open")
-    members = members.select("rep", "open", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).join(shingles, "rep")
-    members = members.select(*[F.col(c).alias(c) for c in members.columns])
-    links = members.groupBy("open", "deal").cogroup(queries.groupBy("open", "deal")).applyInPandas(_open_group(percent), "a long, b long")
-    labels = components(links)
+    bodies = C.stored(C.map_arrow(bodies, _bodies_batch(n, percent), "rep long, shingles array<long>, fine array<struct<token:long,band:int,need:int>>"))
+    fine = bodies.select("rep", F.inline("fine"))
+    known = fine.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    alive = fine.join(known, "token").groupBy("rep", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("rep").distinct()
+    shingles = C.stored(bodies.select("rep", "shingles").join(alive, "rep", "left_semi"))
+    rows = C.stored(rows.join(shingles.select("rep"), "rep", "left_semi"))
+
+    # partition: the most widely shared token of each set names its cluster, the cluster's smallest set is the centre
+    home = rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token"))["token"].alias("cluster"))
+    centre = home.groupBy("cluster").agg(F.min("rep").alias("centre"))
+    home = C.stored(home.join(centre, "cluster"))
+    stars = _open(
+        home.where("rep = centre").select("rep", F.col("cluster").alias("open")),
+        home.where("rep != centre").select("rep", F.col("cluster").alias("open")),
+        shingles,
+        percent,
+    )
+    stars = C.stored(stars)
+    linked = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
+    home = home.join(linked.withColumn("in_star", F.lit(True)), "rep", "left").withColumn("in_star", F.coalesce("in_star", F.lit(False)))
+    split = home.groupBy("cluster", "in_star").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    # groups of stars have negative names: of two groups the one with the larger name calls, so loose sets call stars
+    name = F.xxhash64("cluster", "in_star", F.pmod(F.xxhash64("rep"), F.col("parts"))).bitwiseAND(F.lit((1 << 63) - 1))
+    groups = home.join(split, ["cluster", "in_star"]).select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp"))
+    groups = C.stored(groups)
+
+    # the matrix, and the groups that each query may open
+    mine = rows.join(groups, "rep").select("rep", "token", "star", "grp")
+    matrix = mine.select("token", F.col("grp").alias("open"), F.col("star").alias("of_star")).distinct()
+    other = F.col("star").isNull() | F.col("of_star").isNull() | (F.col("star") != F.col("of_star"))
+    calls = C.stored(mine.join(matrix, "token").where((F.col("grp") >= F.col("open")) & other).select("rep", "open").distinct())
+    links = _open(groups.select("rep", F.col("grp").alias("open")), calls, shingles, percent)
+    labels = components(stars.union(links))
 
     out = sets.select("doc_id", *sig).join(classes, sig, "left").join(labels, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"))
