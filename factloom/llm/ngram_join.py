@@ -112,53 +112,136 @@ def slice_tokens(s: np.ndarray, starts: np.ndarray, slices: np.ndarray, percent:
     return out
 
 
-def _sets_batch(n: int, percent: int):
-    starts, slices = _bands(percent)
-
+def _sets_batch(n: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_hashes(batch.column(1).to_pylist(), n)
         a = [int(C.mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
         b = [int(C.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-        tokens = [np.concatenate([np.empty(0, np.uint64), *(t for _, t in slice_tokens(s, starts, slices, percent))]) for s in sets]
-        flat = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.uint64)
         return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(s) for s in sets], type=pa.int64()),
-                pa.array(np.array(a, dtype=np.uint64).view(np.int64)),
-                pa.array(np.array(b, dtype=np.uint64).view(np.int64)),
-                C.list_array(flat.view(np.int64), np.array([len(t) for t in tokens])),
-            ],
-            names=["doc_id", "n_shingles", "sig_a", "sig_b", "tokens"],
+            [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64))],
+            names=["doc_id", "n_shingles", "sig_a", "sig_b"],
         )
 
     return fn
 
 
-def _bodies_batch(n: int, percent: int):
-    """Shingles and fine tokens: per token its band, and how many tokens of that band a partner must share."""
+def _tokens_of(n: int, percent: int):
+    """Slice tokens of each text of a batch (doc_id, text)."""
+    starts, slices = _bands(percent)
+
+    def make(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        sets = shingle_hashes(batch.column(1).to_pylist(), n)
+        ids, tokens = [], []
+        for i, s in zip(batch.column(0).to_pylist(), sets):
+            for _, t in slice_tokens(s, starts, slices, percent):
+                ids.append(i)
+                tokens.append(t)
+        return np.array(ids, dtype=np.int64), tokens
+
+    return make
+
+
+def _fine_tokens_of(percent: int):
+    """Fine tokens of each set of a batch (rep, shingles); the id is twice the rep, plus one for the next band."""
+    starts, slices = _bands(percent)
+
+    def make(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+        ids, tokens = [], []
+        for i, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+            s = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            for k, (_, t) in enumerate(slice_tokens(s, starts, slices, percent, FINE)):
+                ids.append(2 * i + k)
+                tokens.append(t)
+        return np.array(ids, dtype=np.int64), tokens
+
+    return make
+
+
+def _shingles_batch(n: int, percent: int):
+    """Shingles of each text, and how many fine tokens a partner must share in its band and in the next."""
     starts, slices = _bands(percent)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_hashes(batch.column(1).to_pylist(), n)
         flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
-        fine = [slice_tokens(s, starts, slices, percent, FINE) for s in sets]
-        parts = [(b, t) for f in fine for b, t in f]
-        counts = np.array([len(t) for _, t in parts], dtype=np.int64)
-        need = np.array([(FINE - 1) * int(slices[b]) + 1 for b, _ in parts], dtype=np.int64)
-        tokens = np.concatenate([t for _, t in parts]) if parts else np.empty(0, dtype=np.uint64)
-        fields = [pa.array(tokens.view(np.int64)), pa.array(np.repeat(np.array([b for b, _ in parts], dtype=np.int32), counts)), pa.array(np.repeat(need, counts).astype(np.int32))]
-        offsets = np.zeros(len(sets) + 1, dtype=np.int32)
-        np.cumsum([sum(len(t) for _, t in f) for f in fine], out=offsets[1:])
-        struct = pa.StructArray.from_arrays(fields, names=["token", "band", "need"])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), C.list_array(flat.view(np.int64), np.array([len(s) for s in sets])), pa.ListArray.from_arrays(pa.array(offsets), struct)],
-            names=["rep", "shingles", "fine"],
-        )
+        band = [int(np.searchsorted(starts, max(1, len(s)), side="right")) - 1 for s in sets]
+        need = [pa.array([(FINE - 1) * int(slices[b + k]) + 1 for b in band], type=pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), C.list_array(flat.view(np.int64), np.array([len(s) for s in sets])), *need], names=["rep", "shingles", "need_0", "need_1"])
 
     return fn
 
 
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _deal_batch(make, buckets: int):
+    """Deal the tokens of a batch to buckets by their upper bits, as packed arrays (8 bytes a token).
+
+    A token that several entries of the batch hold is shared already: its rows go straight on (``direct``), and one of
+    them goes to the bucket for the other batches. So a bucket gets a token once per batch, however many sets hold it.
+    """
+
+    def fn(batch: pa.RecordBatch):
+        ids, tokens = make(batch)
+        if not len(ids):
+            return
+        flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(ids), dtype=np.uint16), [len(t) for t in tokens])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        same = flat[1:] == flat[:-1]
+        first = np.concatenate([[True], ~same])
+        again = np.concatenate([same, [False]]) | ~first
+        if again.any():
+            yield _blob(int(ids[0]) % buckets, True, flat[again].tobytes(), b"", ids[owner[again]].tobytes(), b"")
+        flat, owner = flat[first], owner[first]
+        bucket = ((flat >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        low = flat & _LOW
+        for b in range(buckets):
+            x, y = cuts[b], cuts[b + 1]
+            if y > x:
+                used, short = np.unique(owner[x:y], return_inverse=True)
+                part = low[x:y]
+                yield _blob(b, False, part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint16).tobytes(), ids[used].tobytes(), short.astype(np.uint16).tobytes())
+
+    return fn
+
+
+def _blob(bucket: int, direct: bool, low: bytes, high: bytes, ids: bytes, owner: bytes) -> pa.RecordBatch:
+    cols = [pa.array([bucket], type=pa.int32()), pa.array([direct]), *[pa.array([v], type=pa.binary()) for v in (low, high, ids, owner)]]
+    return pa.RecordBatch.from_arrays(cols, names=["bucket", "direct", "low", "high", "ids", "owner"])
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows (token, rep) of the tokens of a bucket that come from two places or more."""
+    tokens, reps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for direct, low, high, ids, owner in zip(pdf["direct"], pdf["low"], pdf["high"], pdf["ids"], pdf["owner"]):
+        ids = np.frombuffer(ids, dtype=np.int64)
+        if direct:
+            tokens.append(np.frombuffer(low, dtype=np.uint64) & _LOW)
+            reps.append(ids)
+        else:
+            keys.append(np.frombuffer(low, dtype=np.uint32).astype(np.uint64) | np.frombuffer(high, dtype=np.uint16).astype(np.uint64) << np.uint64(32))
+            owners.append(ids[np.frombuffer(owner, dtype=np.uint16)])
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    if len(key):
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        tokens.append(key[shared])
+        reps.append(owner[shared])
+    return pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "rep": np.concatenate(reps)})
+
+
+def shared_tokens(df: DataFrame, make) -> DataFrame:
+    """Stored rows (token, rep) of all tokens that two entries or more hold; ``make`` gives a batch's ids and tokens."""
+    buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = C.map_arrow(df, _deal_batch(make, buckets), "bucket int, direct boolean, low binary, high binary, ids binary, owner binary")
+    return C.stored(dealt.groupBy("bucket").applyInPandas(_meet, "token long, rep long").distinct())
+
+
 def _open_group(percent: int):
     """Compare the queries of a group with its members; emit a spanning set of the links found."""
 
@@ -250,22 +333,21 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     ``rep`` is the smallest ``doc_id`` with an equal set.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = C.stored(C.map_arrow(texts, _sets_batch(n, percent), "doc_id long, n_shingles long, sig_a long, sig_b long, tokens array<long>"))
+    sets = C.stored(C.map_arrow(texts, _sets_batch(n), "doc_id long, n_shingles long, sig_a long, sig_b long"))
     sig = ["n_shingles", "sig_a", "sig_b"]
     classes = sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    rows = sets.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = rows.select(F.col("doc_id").alias("rep"), F.explode("tokens").alias("token"))
+    # copies share all their tokens; only their representative's rows stay
+    rows = shared_tokens(texts, _tokens_of(n, percent)).join(classes.select("rep"), "rep", "left_semi")
     shared = rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
     rows = C.stored(rows.join(shared, "token"))
 
     # shingles of the sets that share a token, and those of them that may have a partner
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     bodies = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bodies = C.stored(C.map_arrow(bodies, _bodies_batch(n, percent), "rep long, shingles array<long>, fine array<struct<token:long,band:int,need:int>>"))
-    fine = bodies.select("rep", F.inline("fine"))
-    known = fine.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    alive = fine.join(known, "token").groupBy("rep", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("rep").distinct()
+    bodies = C.stored(C.map_arrow(bodies, _shingles_batch(n, percent), "rep long, shingles array<long>, need_0 long, need_1 long"))
+    fine = shared_tokens(bodies.select("rep", "shingles"), _fine_tokens_of(percent)).groupBy("rep").agg(F.count("*").alias("n"))
+    fine = fine.select(F.shiftright("rep", 1).alias("rep"), (F.col("rep") % 2 != 0).alias("next"), "n").join(bodies.select("rep", "need_0", "need_1"), "rep")
+    alive = fine.where(F.col("n") >= F.when(F.col("next"), F.col("need_1")).otherwise(F.col("need_0"))).select("rep").distinct()
     shingles = C.stored(bodies.select("rep", "shingles").join(alive, "rep", "left_semi"))
     rows = C.stored(rows.join(shingles.select("rep"), "rep", "left_semi"))
 
