@@ -9,6 +9,7 @@ from factloom.llm import (
     html_extraction,
     language_id,
     ngram_join,
+    oracles,
     quality_rules,
     substring_dedup,
     token_counts,
@@ -28,4 +29,4 @@ QUERIES = {
     "op10_bpe_automaton": bpe.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
