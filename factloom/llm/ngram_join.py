@@ -335,10 +335,11 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = C.stored(C.map_arrow(texts, _sets_batch(n), "doc_id long, n_shingles long, sig_a long, sig_b long"))
     sig = ["n_shingles", "sig_a", "sig_b"]
-    classes = sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep"))
+    # stored, so that both sides of the joins below are plain exchanges and a hot class or token can be split
+    classes = C.stored(sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep")))
     # copies share all their tokens; only their representative's rows stay
     rows = shared_tokens(texts, _tokens_of(n, percent)).join(classes.select("rep"), "rep", "left_semi")
-    shared = rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
+    shared = C.stored(rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1"))
     rows = C.stored(rows.join(shared, "token"))
 
     # shingles of the sets that share a token, and those of them that may have a partner

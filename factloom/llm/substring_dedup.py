@@ -153,14 +153,15 @@ def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     anchors = C.map_arrow(texts, _anchors_batch, "doc_id long, anchors array<long>")
     rows = anchors.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("anchor")
+    # stored, so that both sides of the join are plain exchanges and a hot anchor's rows can be split over tasks
+    shared = C.stored(rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("anchor"))
     held = rows.join(shared, "anchor").join(copies, "doc_id", "left_anti")
     held = held.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))  # no more than the document has
     # texts of the documents concerned, once per doc_id, kept for the cut
     bodies = C.stored(texts.join(held, "doc_id").dropDuplicates(["doc_id"]))
     windows = C.map_arrow(bodies, _windows_batch, "doc_id long, windows array<struct<pos:int,a:long,b:long>>")
     windows = windows.select("doc_id", F.inline("windows"))
-    earliest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("a", "b", "lo")
+    earliest = C.stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("a", "b", "lo"))
     gone = windows.join(earliest, ["a", "b"]).where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
     cut = C.map_arrow(bodies.select("doc_id", "text").join(gone, "doc_id"), _cut_batch, "doc_id long, cut long, cut_sha256 string, cut_text string")
     return profile, C.stored(cut)
