@@ -1,0 +1,372 @@
+"""The ten text operators on small tables: brute force, round trips, nulls, empty and long texts, ties, copies."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import (
+    bit_packing,
+    bpe,
+    decontamination,
+    html_extraction,
+    language_id,
+    ngram_join,
+    quality_rules,
+    registry,
+    substring_dedup,
+    token_counts,
+    url_filters,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, token string, open long"
+
+
+def texts_of_a_small_corpus():
+    """Copies, near copies, shared passages, short and empty texts, one long text."""
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    say = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    texts = [None, "", "   \n ", "one", "One two", "one two", "a b c", "A  b\tc"]
+    for _ in range(25):
+        texts.append(" ".join(say(rnd.randint(5, 200))))
+    for _ in range(6):
+        words = say(160)
+        texts.append(" ".join(words))
+        for k in range(9):
+            near = list(words)
+            for _ in range(k):
+                near[rnd.randrange(len(near))] = rnd.choice(vocab)
+            texts.append(" ".join(near))
+        texts.append(" ".join(words))
+    passage = say(60)
+    for _ in range(12):
+        texts.append(" ".join(say(rnd.randint(0, 90)) + passage[rnd.randint(0, 12) :] + say(rnd.randint(0, 40))))
+    texts.append("\n".join(" ".join(say(40)) for _ in range(120)))
+    return texts
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, ["en", "fr"][i % 2], "s", None, "x", "y", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    return texts_of_a_small_corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return frame(spark, corpus)
+
+
+def by_id(df):
+    return {r[0]: tuple(r)[1:] for r in df.collect()}
+
+
+def shingles(text, n):
+    w = text.encode().lower().split() if text else []
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def components(texts, n, percent):
+    sets = [shingles(t, n) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= percent * len(a | sets[j]):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join_against_all_pairs(docs, corpus, n, percent):
+    assert by_id(ngram_join.ngram_components(docs, n, percent).select("doc_id", "n_shingles", "component_id")) == components(corpus, n, percent)
+
+
+def test_ngram_join_repeated_rows_and_empty(spark):
+    twice = frame(spark, ["a b c d", "a b c d", None])
+    got = sorted(tuple(r) for r in ngram_join.ngram_components(twice.union(twice)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(0, 2, 0), (0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 0, 2), (2, 0, 2)]
+    assert ngram_join.ngram_components(twice.limit(0)).count() == 0
+    assert ngram_join.near_duplicates_removed(twice).columns == twice.columns
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)]
+    got = by_id(ngram_join.components(spark.createDataFrame(edges, "a long, b long")))
+    assert set(got.values()) == {(0,), (100,)} and len(got) == 99  # the smallest nodes are left out
+
+
+def substring_brute(texts):
+    seen, out = {}, {}
+    own = {i: (t.encode().split() if t else []) for i, t in enumerate(texts)}
+    for i, w in own.items():
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in own.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if seen[tuple(w[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        out[i] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_substring_dedup_against_all_windows(docs, corpus):
+    want = substring_brute(corpus)
+    assert by_id(substring_dedup.substring_dedup(docs)) == want
+    assert sum(w[1] for w in want.values()) > 1000
+
+
+def test_difference_cover_covers_every_shift():
+    cover = set(substring_dedup.COVER)
+    for i in range(31):
+        for j in range(31):
+            assert any((i + h) % 31 in cover and (j + h) % 31 in cover for h in range(31))
+
+
+def test_substring_dedup_removes_from_texts(docs):
+    out = substring_dedup.repeats_removed(docs)
+    assert out.columns == docs.columns
+    assert sum(v[1] for v in by_id(substring_dedup.substring_dedup(out.limit(0))).values()) == 0
+    assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
+
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def decontamination_brute(texts, items):
+    words = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for name, t in items:
+        w = words(t)
+        if w:
+            n = min(13, len(w))
+            for k in range(len(w) - n + 1):
+                windows[tuple(w[k : k + n])].add(str(name))
+    out = {}
+    for i, t in enumerate(texts):
+        w, found = words(t), set()
+        hit = [0] * len(w)
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if names := windows.get(tuple(w[k : k + n])):
+                    found |= names
+                    hit[k : k + n] = [1] * n
+        h = sum(hit)
+        out[i] = (len(w), h, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), h > 0 and 20 * h >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_decontamination_against_all_windows(spark, monkeypatch, corpus, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    rnd = random.Random(3)
+    long = [t for t in corpus if t and len(t.split()) > 30]
+    items = [(i, " ".join(rnd.choice(long).split()[5:25])) for i in range(8)] + [(9, "Zed's  42 éa"), (10, None), (11, ""), (12, "zed"), (9, "Zed's  42 éa")]
+    texts = [*corpus, "x zed S 42 éa y", "Zed!", "q " * 60 + "zed"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.decontaminate(frame(spark, texts), bench)
+    assert by_id(got.drop("clean_text")) == decontamination_brute(texts, items)
+    clean = {r.doc_id: r.clean_text for r in got.collect()}
+    assert clean[len(texts) - 2] == "!" and clean[0] is None
+    assert decontamination.contaminated_removed(frame(spark, texts), bench.limit(0)).count() == len(texts)
+
+
+def test_language_id(spark):
+    rnd = random.Random(1)
+    words = {"aa": ["lorn", "plint", "strom", "gleth"], "bb": ["vuma", "zaki", "wuju", "keza"]}
+    rows = [(i, " ".join(rnd.choice(words[g]) for _ in range(rnd.randint(4, 30))), g) for i in range(300) for g in [["aa", "bb"][i % 2]]]
+    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "12 34 !!", "aa"), (1003, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows)
+    held = [r for r in rows[:300] if got[r[0]].held_out]
+    assert len(held) > 30 and all(got[i].lang_pred == g for i, _, g in held)
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in held)
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred in words
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert language_id.undetermined_removed(df).count() == len(rows) - 3
+
+
+def test_language_filters_hold_more_than_eight_languages():
+    grams = {f"l{k:02d}": np.arange(k * 1000, k * 1000 + 500, dtype=np.uint32) for k in range(11)}
+    f = language_id.Filters(grams)
+    assert f.planes.shape[0] == 2 and f.false.max() < 0.2
+
+
+ODD = ["", None, "a", " ", "  x", "x  ", "a\nb", "a \n b", "don't we'll", "é漢🙂 x", "<|endoftext|> a<|endoftext|>", "aaa" * 50, "\xa0z", "x\x1cy", "²Ⅷ", "-...", "A B" * 100, "w" * 5000]
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_vocabulary()), Tokenizer.from_file(token_counts.default_vocabulary())
+
+
+def test_bpe_equals_library(spark, corpus, libraries):
+    texts = [*ODD, *corpus]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = libraries[0].encode(t or "", add_special_tokens=False).ids
+        text = libraries[0].decode(ids, skip_special_tokens=False)
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids, text)
+    assert by_id(bpe.encode_decode(frame(spark, texts))) == want
+    assert bpe.encode_decode(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_bpe_random_texts_equal_library(libraries):
+    rnd = random.Random(5)
+    parts = ["a", "b", "th", "e", " ", "  ", "\n", "é", "漢", "1", "'s", "!", "...", "-", "_", " the", "ing", "\r\n", "\t"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    got = bpe.Encoder(bpe.default_vocabulary()).encode(texts)
+    for t, g, w in zip(texts, got, libraries[0].encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(g, "<u4").tolist() == w.ids, t
+
+
+@pytest.mark.parametrize("chunk", [16384, 300])
+def test_token_counts_equal_library(spark, corpus, libraries, chunk):
+    texts = [*ODD, *corpus, ("b" * 900 + " ") * 20, "x y " * 2000, "<|startoftext|>" * 500]
+    got = by_id(token_counts.token_counts(frame(spark, texts), chunk=chunk))
+    for i, t in enumerate(texts):
+        n = len(libraries[1].encode(t or "", add_special_tokens=False).ids)
+        assert got[i] == (len((t or "").encode()), n, n > 2048), repr(t)[:60]
+
+
+def test_token_counts_repeated_rows(spark):
+    df = frame(spark, ["x y " * 200, "z"])
+    assert token_counts.token_counts(df.union(df), chunk=100).count() == 4
+
+
+def test_bit_packing_round_trip(spark, corpus, libraries, tmp_path, monkeypatch):
+    monkeypatch.setattr(bit_packing, "BLOCK_IDS", 500)
+    texts = [*ODD, *corpus]
+    bit_packing.write_packed(frame(spark, texts), str(tmp_path / "p"))
+    got, start = by_id(bit_packing.read_packed(spark, str(tmp_path / "p"))), 0
+    for i, t in enumerate(texts):
+        ids = np.array([*libraries[1].encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    bit_packing.write_packed(frame(spark, texts).limit(0), str(tmp_path / "e"))
+    assert bit_packing.read_packed(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 13, 15, 16, 17, 20, 31, 32])
+def test_packing_any_width_and_slice(bits):
+    v = np.random.default_rng(bits).integers(0, 2**bits, 70_001, dtype=np.uint64).astype(np.uint32)
+    p = bit_packing.pack(v, bits)
+    assert len(p) == -(-len(v) * bits // 8)
+    assert (bit_packing.unpack(p, bits, 0, len(v)) == v).all() and (bit_packing.unpack(p, bits, 65_530, 99) == v[65_530:65_629]).all()
+
+
+def quality_brute(t):
+    w = re.findall("[^\x20\x09-\x0d]+", t or "")
+    lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\f\r")]
+    n = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    f = [0] * len(w)
+    for k in range(len(w) - 4):
+        if n[tuple(w[k : k + 5])] > 1:
+            f[k : k + 5] = [1] * 5
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), sum(f), len(w) < 10 or 100 * sum(f) > 20 * len(w))
+
+
+def test_quality_rules(spark, corpus):
+    texts = [*ODD, *corpus, "a b c d e " * 6, "x y\nx y\n\n \nx y", "q r s t u v q r s t u"]
+    rows = quality_rules.ledger(frame(spark, texts))
+    kept = quality_rules.apply_policy(rows)
+    got = by_id(kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    for i, t in enumerate(texts):
+        assert got[i] == quality_brute(t), repr(t)[:60]
+    table = {r.rule: r for r in quality_rules.ablations(rows).collect()}
+    failed = [r.failed for r in kept.collect()]
+    for k, (name, _) in enumerate(quality_rules.RULES):
+        assert table[name].n_failed == sum(f >> k & 1 for f in failed)
+        assert table[name].n_kept_without == sum(f & ~(1 << k) == 0 for f in failed)
+    assert quality_rules.ledger(frame(spark, texts).limit(0)).count() == 0
+
+
+PAGE = (
+    "<html><head><title>t</title></head><body><header class=top><h1>Site</h1><a href=x>Home</a></header><nav><ul><li><a href=a>one</a></ul></nav>"
+    '<div class="cookie-notice">We use cookies</div><div class="content post-{0}"><h2>Head &amp; tail</h2><p>First <b>para</b>graph number {0}, with some text to be scored.'
+    "<div class='ad'>Buy</div><form><p>Name</form><p>Second&nbsp;one   with <a href=z>a link</a>.<br>New line<table><tr><td>c1<td>c2</table><div id=comments><p>reader says so</div></div>"
+    "<script>if(a<b)x('</div>')</script><!-- <p>no --><footer>f</footer></body></html>"
+)
+
+
+def test_html_extraction(spark):
+    rows = [(i, f"http://h{i % 2}.org/p", PAGE.format(i)) for i in range(6)] + [(10, None, None), (11, "http://x", ""), (12, "x", "just text"), (13, "http://h0.org", "<body><p>other <p>page</body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("paths", F.lit("clash"))
+    got = {r.page_id: r for r in html_extraction.main_texts(df).collect()}
+    for i in range(6):
+        assert got[i].text == f"Head & tail First paragraph number {i}, with some text to be scored. Second one with a link. New line c1 c2"
+        assert got[i].n_chars == len(got[i].text)
+    assert [got[i].text for i in (10, 11, 12, 13)] == ["", "", "just text", "other page"]
+    assert html_extraction.main_texts(df.limit(0)).count() == 0
+
+
+def test_url_filters(spark):
+    urls = [None, "no url", "HTTP://A.Net/FR/x", "http://x.NET/fr/1?a", "http://www.example.com/en/a/b/c/d", "http://b.example.com/en/1#f", "http://b.example.com/de/1", "https://q.org", "http://net/es/", "http://xnet/es/", "x://q.org/p//7.html"]
+    urls += [f"http://spam.net/es/{k}/x" for k in range(20)] + ["http://spam.net/es?x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("template", F.lit(1))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df).collect()}
+    assert got[0] == got[1] == ("", "", None, "allow")
+    assert got[2] == ("a.net", "/FR/x", None, "allow") and got[3] == ("x.net", "/fr/1", "net/fr/", "block")
+    assert got[4][2:] == ("www.example.com/en/", "allow") and got[5][2:] == ("example.com/en/", "block") and got[6][2:] == ("com/", "allow")
+    assert got[7] == ("q.org", "", None, "allow") and got[8][2:] == ("net/es/", "block") and got[9][2:] == (None, "allow")
+    assert got[10][1] == "/p//7.html" and len(got) == len(urls)
+    assert url_filters.judge_urls(df.limit(0)).count() == 0
+
+
+def test_registered_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, corpus, libraries):
+    import corpus_pipeline
+
+    texts = [t for t in corpus if t is None or len(t) < 3000] + ["12 34"]
+    items = [(1, " ".join(texts[20].split()[:30]))]
+    frame(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    live = {i: t for i, t in enumerate(texts) if t and re.search(r"[^\W\d_]", t)}
+    ids = sorted(live)
+    comp = components([live[i] for i in ids], 5, 80)
+    live = {i: live[i] for k, i in enumerate(ids) if comp[k][1] == k}
+    ids = sorted(live)
+    seen = {}
+    for i in ids:
+        w = live[i].split()
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), i)
+    cut = {}
+    for i in ids:
+        w = live[i].split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if seen[tuple(w[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        cut[i] = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else live[i]
+    cut = {i: t for i, t in cut.items() if t}
+    ids = sorted(cut)
+    bad = decontamination_brute([cut[i] for i in ids], items)
+    want = {i: libraries[0].encode(cut[i], add_special_tokens=False).ids for k, i in enumerate(ids) if not bad[k][4]}
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want
