@@ -288,7 +288,7 @@ def _open_group(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest id reachable from each node of ``edges`` (a, b): (node, component).
+    """Smallest id reachable from each node of ``edges`` (a, b) that is not itself the smallest: (node, component).
 
     Large-star and small-star steps alternate until no edge changes; each round is a stored table. A node with
     a third of all edges is no problem: both steps only need its smallest neighbour, a partial aggregate.
