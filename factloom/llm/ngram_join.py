@@ -44,7 +44,7 @@ from factloom.llm import common as C
 #: Size bands grow by this factor.
 BAND = 1.6
 #: Members of a group, and queries that open it in one task; fine slices per slice.
-GROUP, QUERIES, FINE = 256, 1024, 3
+GROUP, QUERIES, FINE = 256, 1024, 2
 
 
 def _allowed_difference(total: int, percent: int) -> int:
@@ -52,13 +52,17 @@ def _allowed_difference(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
-def _bands(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Band starts, and slices per band."""
+def _bands(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band starts; per band the largest difference ``d`` of a linked pair, and the spare slices beyond ``d + 1``.
+
+    Slices without a shingle are equal in all sets and say nothing. With ``spare`` more slices than the pigeonhole
+    needs, a set with at most ``spare`` empty slices shares one that is not empty with every partner.
+    """
     starts = [1]
     while starts[-1] < top:
         starts.append(max(starts[-1] + 1, int(starts[-1] * BAND)))
-    slices = [_allowed_difference(2 * (b - 1), percent) + 1 for b in starts[1:]]
-    return np.array(starts[:-1], dtype=np.int64), np.array(slices, dtype=np.int64)
+    d = np.array([_allowed_difference(2 * (b - 1), percent) for b in starts[1:]], dtype=np.int64)
+    return np.array(starts[:-1], dtype=np.int64), d, np.where(d > 0, 2 + d // 16, 0)
 
 
 def shingle_hashes(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -91,8 +95,11 @@ def shingle_hashes(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def slice_tokens(s: np.ndarray, starts: np.ndarray, slices: np.ndarray, percent: int, fine: int = 1) -> list[tuple[int, np.ndarray]]:
-    """(band, digests of the slices) of a sorted shingle set, for its band and, near the band's end, for the next."""
+def slice_tokens(s: np.ndarray, bands: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int, fine: int = 1) -> list[tuple[np.ndarray, int]]:
+    """(tokens, number of them that a partner shares at least) of a sorted shingle set, for its band and, near the
+    band's end, for the next. Tokens are the digests of the slices that are not empty; a set with too many empty ones for
+    the bound gives those, too."""
+    starts, allowed, spare = bands
     size, out = len(s), []
     if not size:
         return out
@@ -100,15 +107,16 @@ def slice_tokens(s: np.ndarray, starts: np.ndarray, slices: np.ndarray, percent:
     reach = size * 100 // percent
     mixed = C.mix(s)
     for b in [band] if band + 1 >= len(starts) or reach < starts[band + 1] else [band, band + 1]:
-        m = int(slices[b]) * fine
+        d = int(allowed[b])
+        m = (d + 1 + int(spare[b])) * fine
         digest = np.zeros(m, dtype=np.uint64)
-        if m == 1:
-            digest[0] = mixed.sum(dtype=np.uint64)
-        else:
-            where = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            np.add.at(digest, where, C.mix(mixed ^ C.GOLDEN))
-        salt = C.mix(np.arange(m, dtype=np.uint64) + np.uint64(b) * np.uint64(1 << 40) + np.uint64(7))
-        out.append((b, C.mix(digest ^ salt)))
+        where = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        np.add.at(digest, where, C.mix(mixed ^ C.GOLDEN))
+        salt = C.mix(np.arange(m, dtype=np.uint64) + np.uint64(b) * np.uint64(1 << 40) + np.uint64(7 * fine))
+        tokens = C.mix(digest ^ salt)
+        full = np.bincount(where, minlength=m) > 0
+        empty = m - int(full.sum())
+        out.append((tokens[full], m - d - empty) if m - d > empty else (tokens, m - d))
     return out
 
 
@@ -127,13 +135,13 @@ def _sets_batch(n: int):
 
 def _tokens_of(n: int, percent: int):
     """Slice tokens of each text of a batch (doc_id, text)."""
-    starts, slices = _bands(percent)
+    bands = _bands(percent)
 
     def make(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         sets = shingle_hashes(batch.column(1).to_pylist(), n)
         ids, tokens = [], []
         for i, s in zip(batch.column(0).to_pylist(), sets):
-            for _, t in slice_tokens(s, starts, slices, percent):
+            for t, _ in slice_tokens(s, bands, percent):
                 ids.append(i)
                 tokens.append(t)
         return np.array(ids, dtype=np.int64), tokens
@@ -143,13 +151,13 @@ def _tokens_of(n: int, percent: int):
 
 def _fine_tokens_of(percent: int):
     """Fine tokens of each set of a batch (rep, shingles); the id is twice the rep, plus one for the next band."""
-    starts, slices = _bands(percent)
+    bands = _bands(percent)
 
     def make(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
         ids, tokens = [], []
         for i, s in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for k, (_, t) in enumerate(slice_tokens(s, starts, slices, percent, FINE)):
+            for k, (t, _) in enumerate(slice_tokens(s, bands, percent, FINE)):
                 ids.append(2 * i + k)
                 tokens.append(t)
         return np.array(ids, dtype=np.int64), tokens
@@ -158,14 +166,14 @@ def _fine_tokens_of(percent: int):
 
 
 def _shingles_batch(n: int, percent: int):
-    """Shingles of each text, and how many fine tokens a partner must share in its band and in the next."""
-    starts, slices = _bands(percent)
+    """Shingles of each text, and how many fine tokens a partner shares at least in its band and in the next."""
+    bands = _bands(percent)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_hashes(batch.column(1).to_pylist(), n)
         flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
-        band = [int(np.searchsorted(starts, max(1, len(s)), side="right")) - 1 for s in sets]
-        need = [pa.array([(FINE - 1) * int(slices[b + k]) + 1 for b in band], type=pa.int64()) for k in (0, 1)]
+        least = [[k for _, k in slice_tokens(s, bands, percent, FINE)] for s in sets]
+        need = [pa.array([x[k] if len(x) > k else None for x in least], type=pa.int64()) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), C.list_array(flat.view(np.int64), np.array([len(s) for s in sets])), *need], names=["rep", "shingles", "need_0", "need_1"])
 
     return fn
