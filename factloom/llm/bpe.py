@@ -36,7 +36,7 @@ from factloom.llm import common as C
 #: The pattern that byte-level vocabularies split text with before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and bytes of words that a worker remembers.
-MEMO_WORDS, MEMO_BYTES = 500_000, 64 << 20
+MEMO_WORDS, MEMO_BYTES = 300_000, 32 << 20
 _NEVER = 1 << 60
 
 
@@ -234,35 +234,36 @@ class Encoder:
         return out
 
 
-def _encode_batch(path: str, ids: bool):
+def _encode_batch(path: str, outputs: tuple[str, ...]):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = Encoder(path)
         packed = enc.encode(batch.column(1).to_pylist())
-        decode = enc.auto.decode
         flat = [np.frombuffer(p, dtype="<u4") for p in packed]
-        texts = [decode(f.tolist()) for f in flat]
+        digests, texts = [], []
+        for f in flat:
+            text = enc.auto.decode(f.tolist())
+            digests.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
+            if "decoded" in outputs:
+                texts.append(text)
         counts = np.array([len(f) for f in flat], dtype=np.int64)
-        cols = [
-            batch.column(0),
-            pa.array(counts),
-            pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
-            pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]),
-        ]
+        cols = [batch.column(0), pa.array(counts), pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array(digests)]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        if ids:
-            cols += [C.list_array(np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32), counts), pa.array(texts)]
-            names += ["ids", "decoded"]
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        if "ids" in outputs:
+            cols.append(C.list_array(np.frombuffer(b"".join(packed), dtype="<i4"), counts))
+        if "decoded" in outputs:
+            cols.append(pa.array(texts, type=pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names=[*names, *outputs])
 
     return fn
 
 
-def encode_decode(docs: DataFrame, vocabulary: str | None = None, outputs: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, with ``outputs``, ``ids`` and ``decoded``."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * outputs
+def encode_decode(docs: DataFrame, vocabulary: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, as asked for in ``outputs``, ``ids`` and ``decoded``."""
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    schema = ", ".join(["doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{c} {kinds[c]}" for c in outputs)])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return C.map_arrow(texts, _encode_batch(vocabulary or default_vocabulary(), outputs), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(C.documents_of(spark, sf_dir), outputs=False)
+    return encode_decode(C.documents_of(spark, sf_dir), outputs=())

@@ -135,7 +135,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered; the memory is bounded by forgetting all when full."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -217,14 +217,18 @@ def cut_spans(text: str, hit: np.ndarray, longest: int, share: float) -> str:
     return "".join([*out, text[at:]])
 
 
-def _judge_batch(texts: bool, longest: int, share: float):
+def _judge_batch(items: Broadcast, window: int, texts: bool, longest: int, share: float):
+    """Scan the last block of items, then judge each document by the spans and items of all blocks."""
+    scan = _scan_batch(items, window)
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = scan(batch)
         rows = []
         for text, spans, names in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
             n = len(words_of(text))
             hit = _hit_positions(spans, n)
-            n_hit, items = int(hit.sum()), sorted(set(names))
-            row = [n, n_hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n]
+            n_hit, found = int(hit.sum()), sorted(set(names))
+            row = [n, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n]
             rows.append(row + [cut_spans(text, hit, longest, share) if n_hit else text] * texts)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.string()] * texts
         cols = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
@@ -244,9 +248,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, texts
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
         sent = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in block))
-        found = C.map_arrow(found, _scan_batch(sent, window), "doc_id long, text string, spans array<int>, items array<string>")
+        if b < blocks - 1:  # a table between blocks: each pass holds one automaton
+            found = C.stored(C.map_arrow(found, _scan_batch(sent, window), "doc_id long, text string, spans array<int>, items array<string>"))
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * texts
-    return C.map_arrow(found, _judge_batch(texts, longest, share), schema)
+    return C.map_arrow(found, _judge_batch(sent, window, texts, longest, share), schema)
 
 
 def contaminated_removed(docs: DataFrame, items: DataFrame) -> DataFrame:

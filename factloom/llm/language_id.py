@@ -20,14 +20,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import common as C
 
-#: Labelled documents per language, n-grams per language, hashes per n-gram, bytes per n-gram.
-SAMPLE, TOP, HASHES, GRAM = 2_000, 20_000, 3, 4
+#: Labelled documents per language (up to 1,000, Spark keeps only the first of each group in every task before it
+#: shuffles, so a language with most of the rows is no burden), n-grams per language, hashes per n-gram.
+SAMPLE, TOP, HASHES = 1_000, 20_000, 3
+
+SLICE = 1 << 20
 
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,6 +68,18 @@ class Filters:
         self.false = np.minimum(np.array(full) ** HASHES, 0.99)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text; about ``SLICE`` characters are looked at together."""
+        names, scores, lo, size = [], [np.zeros(0)], 0, 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size >= SLICE or hi == len(texts):
+                part, score = self._predict(texts[lo:hi])
+                names += part
+                scores.append(score)
+                lo, size = hi, 0
+        return names, np.concatenate(scores)
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         read = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
         names, score = ["und"] * len(texts), np.zeros(len(texts))
         if not self.langs or not read.any():
@@ -141,9 +157,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def undetermined_removed(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without the texts that have no language: ``und``, or a score under ``least``."""
-    out = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the texts that have no language: ``und``, or a score under ``least``. No row is shuffled."""
+    C.ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out()).select("doc_id", "text", "lang")))
+
+    def kept(texts: pd.Series) -> pd.Series:
+        names, score = sent.value.predict(texts.tolist())
+        return pd.Series([n != "und" and s >= least for n, s in zip(names, score)], dtype="bool")
+
+    return docs.where(F.pandas_udf(kept, "boolean")(F.col("text").cast("string")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
