@@ -29,7 +29,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of ids and decoded text."""
-    return bpe.encode_decode(docs).drop("decoded")
+    return bpe.encode_decode(docs, outputs=("ids",))
 
 
 STAGES = [
