@@ -67,7 +67,17 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = shared_dir(df.sparkSession)
     written(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made from them has been stored itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

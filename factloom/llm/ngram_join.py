@@ -317,7 +317,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        edges = C.stored(small)
+        last, edges = edges, C.stored(small)
+        C.dropped(last)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
         if now == seen:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
@@ -346,19 +347,25 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     # stored, so that both sides of the joins below are plain exchanges and a hot class or token can be split
     classes = C.stored(sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep")))
     # copies share all their tokens; only their representative's rows stay
-    rows = shared_tokens(texts, _tokens_of(n, percent)).join(classes.select("rep"), "rep", "left_semi")
+    every = shared_tokens(texts, _tokens_of(n, percent))
+    rows = every.join(classes.select("rep"), "rep", "left_semi")
     shared = C.stored(rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1"))
     rows = C.stored(rows.join(shared, "token"))
+    C.dropped(every, shared)
 
     # shingles of the sets that share a token, and those of them that may have a partner
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     bodies = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     bodies = C.stored(C.map_arrow(bodies, _shingles_batch(n, percent), "rep long, shingles array<long>, need_0 long, need_1 long"))
-    fine = shared_tokens(bodies.select("rep", "shingles"), _fine_tokens_of(percent)).groupBy("rep").agg(F.count("*").alias("n"))
+    met = shared_tokens(bodies.select("rep", "shingles"), _fine_tokens_of(percent))
+    fine = met.groupBy("rep").agg(F.count("*").alias("n"))
     fine = fine.select(F.shiftright("rep", 1).alias("rep"), (F.col("rep") % 2 != 0).alias("next"), "n").join(bodies.select("rep", "need_0", "need_1"), "rep")
     alive = fine.where(F.col("n") >= F.when(F.col("next"), F.col("need_1")).otherwise(F.col("need_0"))).select("rep").distinct()
     shingles = C.stored(bodies.select("rep", "shingles").join(alive, "rep", "left_semi"))
-    rows = C.stored(rows.join(shingles.select("rep"), "rep", "left_semi"))
+    C.dropped(met, bodies)
+    near = C.stored(rows.join(shingles.select("rep"), "rep", "left_semi"))
+    C.dropped(rows)
+    rows = near
 
     # partition: the most widely shared token of each set names its cluster, the cluster's smallest set is the centre
     home = rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token"))["token"].alias("cluster"))
@@ -372,11 +379,11 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     )
     stars = C.stored(stars)
     linked = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
-    home = home.join(linked.withColumn("in_star", F.lit(True)), "rep", "left").withColumn("in_star", F.coalesce("in_star", F.lit(False)))
-    split = home.groupBy("cluster", "in_star").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    homes = home.join(linked.withColumn("in_star", F.lit(True)), "rep", "left").withColumn("in_star", F.coalesce("in_star", F.lit(False)))
+    split = homes.groupBy("cluster", "in_star").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     # groups of stars have negative names: of two groups the one with the larger name calls, so loose sets call stars
     name = F.xxhash64("cluster", "in_star", F.pmod(F.xxhash64("rep"), F.col("parts"))).bitwiseAND(F.lit((1 << 63) - 1))
-    groups = home.join(split, ["cluster", "in_star"]).select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp"))
+    groups = homes.join(split, ["cluster", "in_star"]).select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp"))
     groups = C.stored(groups)
 
     # the matrix, and the groups that each query may open
@@ -384,7 +391,8 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     matrix = mine.select("token", F.col("grp").alias("open"), F.col("star").alias("of_star")).distinct()
     other = F.col("star").isNull() | F.col("of_star").isNull() | (F.col("star") != F.col("of_star"))
     calls = C.stored(mine.join(matrix, "token").where((F.col("grp") >= F.col("open")) & other).select("rep", "open").distinct())
-    links = _open(groups.select("rep", F.col("grp").alias("open")), calls, shingles, percent)
+    links = C.stored(_open(groups.select("rep", F.col("grp").alias("open")), calls, shingles, percent))
+    C.dropped(rows, shingles, home, groups, calls)
     labels = components(stars.union(links))
 
     out = sets.select("doc_id", *sig).join(classes, sig, "left").join(labels, F.col("rep") == F.col("node"), "left")

@@ -164,7 +164,9 @@ def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     earliest = C.stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("a", "b", "lo"))
     gone = windows.join(earliest, ["a", "b"]).where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
     cut = C.map_arrow(bodies.select("doc_id", "text").join(gone, "doc_id"), _cut_batch, "doc_id long, cut long, cut_sha256 string, cut_text string")
-    return profile, C.stored(cut)
+    cut = C.stored(cut)
+    C.dropped(shared, bodies, earliest)
+    return profile, cut
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
