@@ -5,8 +5,9 @@ wins. What no rule judges is judged by its template:
 
 1. Variable segments (numbers, long hex, parts with digits) become wildcards, so a host's paths fold into few
    templates; templates are counted before anything is shuffled by host.
-2. Level by level, a branch becomes ``*`` where its parent has more than ``BRANCHES`` branches, or where its labelled
-   share of blocked pages does not differ from its siblings' (two-proportion test, ``Z``).
+2. Level by level, a branch becomes ``*`` where its labelled share of blocked pages does not differ from its siblings'
+   (two-proportion test, ``Z``), however many siblings there are. A branch without labels gives no evidence and keeps
+   its name. Levels go on as long as a node has two labelled shapes; below that, nothing can merge.
 3. Rule-judged pages are the labels. A template is rejected if ``(blocked + 1) / (labelled + 2)`` reaches ``PURITY``;
    so a template without labels (0.5) stays.
 
@@ -16,6 +17,8 @@ repeated rows are each judged and each count; other columns are ignored; an empt
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,9 @@ from factloom.llm import common as C
 
 #: (verdict, rule), a rule being host/path.
 RULES: list[tuple[str, str]] = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-DEPTH, BRANCHES, Z, PURITY = 3, 50, 1.96, 0.9
+Z, PURITY = 1.96, 0.9
+#: Where the SQL stops testing: levels of a path, branches of a node. The query has neither bound.
+DEPTH, BRANCHES = 3, 50
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,21 +64,28 @@ def _segment(s: Column) -> Column:
 def templates(rows: DataFrame) -> DataFrame:
     """(host, shape, template, purity) of the labelled (verdict) and unlabelled shapes of ``rows`` (host, shape, verdict)."""
     tree = rows.groupBy("host", "shape").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    tree = tree.withColumn("parts", F.split("shape", "/")).withColumn("at", F.lit(""))
-    for d in range(1, DEPTH + 1):
-        part = F.coalesce(F.get("parts", F.lit(d)), F.lit(""))
-        tree = tree.withColumn("part", part)
-        branch = tree.groupBy("host", "at", "part").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        around = branch.groupBy("host", "at").agg(F.count("*").alias("n"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+    level, depth, settled = tree.withColumn("at", F.lit("")), 0, []
+    while not settled or level.limit(1).count():
+        depth += 1
+        parts = F.split("shape", "/")
+        level = level.withColumn("part", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))
+        branch = level.groupBy("host", "at", "part").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count_if(F.col("labelled") > 0).alias("s"))
+        around = branch.groupBy("host", "at").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.sum("s").alias("all_s"))
         other_l, other_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
         rate = F.col("all_b") / F.col("all_l")
         error = F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / other_l))
         alike = F.abs(F.col("b") / F.col("l") - other_b / other_l) <= Z * error
         # the divisions are only reached with labels on both sides
-        merge = F.when(F.col("n") > BRANCHES, True).when((F.col("l") > 0) & (other_l > 0), alike).otherwise(False)
-        named = branch.join(around, ["host", "at"]).select("host", "at", "part", F.when((F.col("part") != "") & merge, F.lit("*")).otherwise(F.col("part")).alias("to"))
-        tree = tree.join(named, ["host", "at", "part"]).withColumn("at", F.when(F.col("to") == "", F.col("at")).otherwise(F.concat("at", F.lit("/"), "to"))).drop("to", "part")
-    tree = tree.withColumn("template", F.when(F.size("parts") > DEPTH + 1, F.concat("at", F.lit("/**"))).otherwise(F.col("at")))
+        merge = F.when((F.col("l") > 0) & (other_l > 0), alike).otherwise(False)
+        to = F.when((F.col("part") != "") & merge, F.lit("*")).otherwise(F.col("part"))
+        named = branch.join(around, ["host", "at"]).select("host", "at", "part", to.alias("to"), (F.col("all_s") < 2).alias("last"))
+        rest = F.array_join(F.transform(F.filter(F.slice(parts, depth + 1, F.size(parts)), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x)), "")
+        template = F.when(F.col("last"), F.concat("at", rest)).when(F.col("to") == "", F.col("at"))
+        # stored, so that the plan does not grow with the depth of the paths
+        level = C.stored(level.join(named, ["host", "at", "part"]).select("host", "shape", "labelled", "blocked", F.concat("at", F.lit("/"), "to").alias("at"), template.alias("template")))
+        settled.append(level.where("template is not null").drop("at"))
+        level = level.where("template is null").drop("template")
+    tree = reduce(DataFrame.union, settled)
     purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     purity = purity.select("host", "template", ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("purity"))
     return tree.select("host", "shape", "template").join(purity, ["host", "template"])

@@ -334,6 +334,27 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("branches", [50, 51])
+def test_url_filters_test_every_branch(spark, branches):
+    rows = [("wide.net", f"/{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}/x{'abcdefghij'[i]}", "block" if k < branches // 2 else "allow") for k in range(branches - 1) for i in range(9)]
+    rows += [("wide.net", f"/free/x{'abcdefghij'[i]}", None) for i in range(9)]
+    df = spark.createDataFrame(rows, "host string, shape string, verdict string")
+    got = {r.shape: (r.template, r.purity) for r in url_filters.templates(df).collect()}
+    # a branch that differs from its siblings stays out of '*', the unlabelled one stays undecided
+    assert {got[s] for _, s, v in rows if v is None} == {(f"/free/x{c}", 0.5) for c in "abcdefghi"}
+    assert all((got[s][1] >= url_filters.PURITY) == (v == "block") for _, s, v in rows)
+
+
+def test_url_filters_labels_that_differ_below_the_third_segment(spark):
+    rows = [("deep.net", f"/a/b/c/{part}/x{c}", v) for part, v in (("good", "allow"), ("bad", "block")) for c in "abcdefghijkl"] + [("deep.net", "/a/b/c/bad", "block"), ("deep.net", "/a/b/c", None)]
+    rows += [("long.net", "/s" * 9 + f"/{c}/t", v) for c, v in (("x", "allow"), ("y", "block")) for _ in range(12)]
+    df = spark.createDataFrame(rows, "host string, shape string, verdict string")
+    got = {r.shape: (r.template, r.purity) for r in url_filters.templates(df).collect()}
+    assert got["/a/b/c/good/xa"] == ("/a/b/c/good/*", 1 / 14) and got["/a/b/c/bad/xa"] == ("/a/b/c/bad/*", 13 / 14)
+    assert got["/a/b/c"] == ("/a/b/c", 0.5)
+    assert got["/s" * 9 + "/x/t"] == ("/s" * 9 + "/x/t", 1 / 14) and got["/s" * 9 + "/y/t"] == ("/s" * 9 + "/y/t", 13 / 14)
+
+
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
