@@ -1,12 +1,15 @@
 """Main text of web pages by consensus host paths (operator 1).
 
 1. Each page is read into containers with generalised tag-class paths (digits become ``#``, ids are left out). A
-   container is scored by the text of its blocks outside links; the best one climbs to the article or
-   section that holds it.
+   page's own containers are its outermost articles and mains where they hold half of its text or more, else
+   the lowest container around all of its blocks that are text rather than links, the body included.
 2. In Spark the pages of a host vote on paths. Votes are summed before they are shuffled by host, and a host keeps its
    ``WINNERS`` best, so a host with a third of all pages is a few rows per task.
-3. Pages are read again: of the host's winning paths that the page has, the one that holds most text gives the text; a
-   page that has none of them falls back to its own best container.
+3. Pages are read again: of the host's winning paths whose containers cover the page's own ones, the one with least text
+   gives all of its containers that are not mostly links; a page without such a path gives its own containers.
+
+No part is left out for its size. Where the whole body is the container, links before the first and after the last
+block of text are not part of it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
 by element, role and class name, inside the chosen container too. Character references are decoded,
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common as C
 
-#: Paths a host keeps; hosts up to which winners are sent to all tasks; share of a vote for a page's second path.
+#: Paths a host keeps; hosts up to which winners are sent to all tasks; share of a vote for a page's further paths.
 WINNERS, BROADCAST_HOSTS, SECOND = 3, 20_000, 0.3
 
 _TOKEN = re.compile(
@@ -67,10 +70,11 @@ def _names(attributes: str) -> tuple[list[str], str, str]:
     return sorted(set(found.get("class", "").split())), found.get("id", ""), found.get("role", "").lower()
 
 
-def read_page(page: str | None) -> tuple[list[str], list[_Node]]:
-    """Blocks of text outside noise, in page order, and the containers that hold them."""
+def read_page(page: str | None) -> tuple[list[str], list[_Node], list[tuple[int, _Node]], _Node]:
+    """Blocks of text outside noise, in page order; the containers that hold them; (block, holder) of the blocks that are
+    text rather than links; the root."""
     root = _Node("", "", None, False, 0)
-    stack, nodes, blocks = [root], [], []
+    stack, nodes, blocks, dense = [root], [], [], []
     pieces: list[str] = []
     linked = in_link = 0
 
@@ -80,9 +84,11 @@ def read_page(page: str | None) -> tuple[list[str], list[_Node]]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text and not stack[-1].noise:
-                blocks.append(text)
                 holder = stack[-1]
                 size = max(0, len(text) - linked)
+                if 2 * size >= len(text):
+                    dense.append((len(blocks), holder))
+                blocks.append(text)
                 holder.own += size
                 while holder is not None:
                     holder.text += size
@@ -153,61 +159,50 @@ def read_page(page: str | None) -> tuple[list[str], list[_Node]]:
     pop_to(1)
     close_block()
     root.last = len(blocks)
-    return blocks, nodes
-
-
-def _score(n: _Node) -> float:
-    below = n.text - n.own
-    score = (n.own + 0.5 * below) * n.text / max(1, n.text + n.links)
-    return score * (1.5 if n.tag in ("article", "main") else 1.0)
-
-
-def best_containers(nodes: list[_Node]) -> list[_Node]:
-    """The page's best container, then the best with another path."""
-    ranked = sorted((n for n in nodes if n.text), key=lambda n: (-_score(n), n.first))
-    out: list[_Node] = []
-    for n in ranked[:20]:
-        holder = n
-        up = n.parent
-        while up is not None and up.tag:  # climb to the article around, or to a holder that adds text, not links
-            if up.tag in ("article", "main"):
-                holder = up
-            elif holder.tag not in ("article", "main") and up.tag not in ("html", "body") and up.text >= 1.2 * holder.text and up.links <= 0.25 * up.text:
-                holder = up
-            up = up.parent
-        if all(holder.path != o.path for o in out):
-            out.append(holder)
-        if len(out) == 2:
-            break
-    return out
+    return blocks, nodes, dense, root
+
+
+def own_containers(nodes: list[_Node], dense: list[tuple[int, _Node]], root: _Node) -> list[_Node]:
+    """The containers that hold a page's whole main text, in page order."""
+    articles: list[_Node] = []
+    for n in nodes:
+        if n.tag in ("article", "main") and n.text and n.text >= n.links and not (articles and n.first < articles[-1].last):
+            articles.append(n)
+    if articles and 2 * sum(n.text for n in articles) >= root.text:
+        return articles
+    if not dense:
+        return [root]
+    lowest = dense[0][1]
+    while lowest.last <= dense[-1][0]:
+        lowest = lowest.parent
+    return [lowest]
+
+
+def _whole_page(n: _Node) -> bool:
+    return n.tag in ("", "html", "body")
 
 
 def extract(page: str | None, winners: list[str] | None = None) -> str:
     """Main text of a page under its host's winning paths."""
-    blocks, nodes = read_page(page)
+    blocks, nodes, dense, root = read_page(page)
+    own = own_containers(nodes, dense, root)
+    if _whole_page(own[0]):
+        return " ".join(blocks[dense[0][0] : dense[-1][0] + 1] if dense else blocks)
     held: dict[str, list[_Node]] = {}
     for n in nodes:
-        if n.text or n.links:
+        if n.text and n.text >= n.links and not _whole_page(n):
             held.setdefault(n.path, []).append(n)
-    have = [p for p in winners or [] if p in held]
-    best = best_containers(nodes)
-    if have:
-        path = max(have, key=lambda p: max(n.text for n in held[p]))
-        most = max(n.text for n in held[path])
-        if not best or most >= 0.4 * best[0].text:
-            chosen = [n for n in held[path] if n.text >= 0.3 * most]
-            return " ".join(b for n in chosen for b in blocks[n.first : n.last])
-    if best:
-        return " ".join(blocks[best[0].first : best[0].last])
-    return " ".join(blocks)
+    covers = [held[p] for p in winners or [] if p in held and all(any(n.first <= o.first and o.last <= n.last for n in held[p]) for o in own)]
+    chosen = min(covers, key=lambda c: sum(n.text for n in c)) if covers else own
+    return " ".join(b for n in chosen for b in blocks[n.first : n.last])
 
 
 def _votes_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     hosts, paths, votes = [], [], []
     for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        for k, n in enumerate(best_containers(read_page(page)[1])):
+        for k, path in enumerate(dict.fromkeys(n.path for n in own_containers(*read_page(page)[1:]) if n.path)):
             hosts.append(host)
-            paths.append(n.path)
+            paths.append(path)
             votes.append(SECOND if k else 1.0)
     return pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(paths, type=pa.string()), pa.array(votes, type=pa.float64())], names=["host", "path", "vote"])
 

@@ -321,6 +321,26 @@ def test_html_extraction(spark):
     assert html_extraction.main_texts(df.limit(0)).count() == 0
 
 
+def test_html_extraction_keeps_short_parts():
+    long = "A long middle part of the page with many words in it. " * 8
+    nav = "<nav><a href=a>Home</a></nav><div class=top><a href=a>One</a> <a href=b>Two</a></div>"
+    read = html_extraction.extract
+    # parts directly under body, without article or main
+    page = f"<body>{nav}<h1>Head</h1><div class=lead><p>Short lead.</p></div><div class=text><p>{long}</p></div><section><p>The end.</p></section><footer>f</footer></body>"
+    assert read(page) == f"Head Short lead. {long.strip()} The end."
+    # short pieces of one path, and articles of other classes
+    page = f"<body>{nav}<article><p>{long}</p></article><aside>no</aside><article><p>Short.</p></article><article class=b><p>Last.</p></article></body>"
+    assert read(page) == f"{long.strip()} Short. Last."
+    # a host path that holds less than the page's own container does not win
+    page = f"<body><div class=page><div class=text><p>{long}</p></div><div class=more><p>{long} Other.</p></div></div></body>"
+    whole = f"{long.strip()} {long.strip()} Other."
+    assert read(page, [">body>div.page>div.text"]) == read(page, [">body>div.page>div.more"]) == read(page, [">body"]) == whole
+    assert read(page, [">body>div.page"]) == whole
+    # references at the end of an article stay
+    page = f"<body>{nav}<div class=text><p>{long}</p><ul><li><a href=x>Source</a></ul><p>End.</p></div></body>"
+    assert read(page) == f"{long.strip()} Source End."
+
+
 def test_url_filters(spark):
     urls = [None, "no url", "HTTP://A.Net/FR/x", "http://x.NET/fr/1?a", "http://www.example.com/en/a/b/c/d", "http://b.example.com/en/1#f", "http://b.example.com/de/1", "https://q.org", "http://net/es/", "http://xnet/es/", "x://q.org/p//7.html"]
     urls += [f"http://spam.net/es/{k}/x" for k in range(20)] + ["http://spam.net/es?x"]
