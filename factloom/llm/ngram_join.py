@@ -14,7 +14,7 @@ How:
    a set near the upper end of its band also carries the tokens of the next band.
 3. Of the representatives that share a token, those stay that can still have a partner: with ``FINE`` times finer
    slices, a linked set must find all but ``d`` of its slices in the union of all others (the matrix read as one
-   group). An edited copy fails this once its edits are its own.
+   group). A set with too many empty slices for this count stays. An edited copy fails this once its edits are its own.
 4. The rest is partitioned into groups of similar sets: by the most widely shared token, whose smallest set is the
    centre. Sets that link with their centre form groups that are one component already; the others form
    groups of their own. Groups are split by hash to about ``GROUP`` members, so none is unbounded.
@@ -97,8 +97,8 @@ def shingle_hashes(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 def slice_tokens(s: np.ndarray, bands: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int, fine: int = 1) -> list[tuple[np.ndarray, int]]:
     """(tokens, number of them that a partner shares at least) of a sorted shingle set, for its band and, near the
-    band's end, for the next. Tokens are the digests of the slices that are not empty; a set with too many empty ones for
-    the bound gives those, too."""
+    band's end, for the next. Tokens are the digests of the slices that are not empty. A set with too many empty ones for
+    the bound gives those, too; of its fine tokens a partner need not share any, as the partner may leave them out."""
     starts, allowed, spare = bands
     size, out = len(s), []
     if not size:
@@ -116,7 +116,10 @@ def slice_tokens(s: np.ndarray, bands: tuple[np.ndarray, np.ndarray, np.ndarray]
         tokens = C.mix(digest ^ salt)
         full = np.bincount(where, minlength=m) > 0
         empty = m - int(full.sum())
-        out.append((tokens[full], m - d - empty) if m - d > empty else (tokens, m - d))
+        if m - d > empty:
+            out.append((tokens[full], m - d - empty))
+        else:
+            out.append((tokens, m - d) if fine == 1 else (tokens[full], 0))
     return out
 
 
@@ -360,7 +363,8 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     met = shared_tokens(bodies.select("rep", "shingles"), _fine_tokens_of(percent))
     fine = met.groupBy("rep").agg(F.count("*").alias("n"))
     fine = fine.select(F.shiftright("rep", 1).alias("rep"), (F.col("rep") % 2 != 0).alias("next"), "n").join(bodies.select("rep", "need_0", "need_1"), "rep")
-    alive = fine.where(F.col("n") >= F.when(F.col("next"), F.col("need_1")).otherwise(F.col("need_0"))).select("rep").distinct()
+    free = bodies.where("need_0 = 0 or need_1 = 0").select("rep")
+    alive = fine.where(F.col("n") >= F.when(F.col("next"), F.col("need_1")).otherwise(F.col("need_0"))).select("rep").union(free).distinct()
     shingles = C.stored(bodies.select("rep", "shingles").join(alive, "rep", "left_semi"))
     C.dropped(met, bodies)
     near = C.stored(rows.join(shingles.select("rep"), "rep", "left_semi"))

@@ -97,6 +97,16 @@ def test_ngram_join_against_all_pairs(docs, corpus, n, percent):
     assert by_id(ngram_join.ngram_components(docs, n, percent).select("doc_id", "n_shingles", "component_id")) == components(corpus, n, percent)
 
 
+def test_ngram_join_links_small_sets(spark):
+    # near copies of 8 and 9 words (4 and 5 shingles, similarity 0.8), each pair in words of its own
+    texts = []
+    for k in range(3000):
+        words = [f"w{k}x{i}" for i in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    got = by_id(ngram_join.ngram_components(frame(spark, texts), 5, 80).select("doc_id", "n_shingles", "component_id"))
+    assert got == {i: (4 + i % 2, i - i % 2) for i in range(len(texts))}
+
+
 def test_ngram_join_repeated_rows_and_empty(spark):
     twice = frame(spark, ["a b c d", "a b c d", None])
     got = sorted(tuple(r) for r in ngram_join.ngram_components(twice.union(twice)).select("doc_id", "n_shingles", "component_id").collect())
