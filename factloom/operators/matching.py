@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import lev_ratio, length_bound
+from factloom.functions.similarity import lev_ratio, length_bound, whole_join
 
 # fixed values: scores of the levels, floor of the fuzzy level, margin of a tie
 EXACT, NORMALISED, FUZZY_FLOOR, FUZZY_WEIGHT, MARGIN = 1.0, 0.97, 0.82, 0.95, 0.03
@@ -18,11 +18,11 @@ def alias_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def alias_cascade(readings: DataFrame, aliases: DataFrame, floor: float = FUZZY_FLOOR, limit: int = 5) -> DataFrame:
+def alias_cascade(readings: DataFrame, aliases: DataFrame, floor: float = FUZZY_FLOOR, limit: int = 5, block: int | None = None) -> DataFrame:
     """(reading, concept, level, score, rank): exact, else normalised, else fuzzy candidates of distinct readings.
 
-    The fuzzy level sees only readings without an exact or normalised hit, blocked by the first two key letters
-    and by the length bound; the best alias counts per concept.
+    The fuzzy level sees only readings without an exact or normalised hit; the best alias counts per concept. All keys
+    at the floor are found; with ``block``, only those that share their first ``block`` letters.
     """
     r = readings.select("reading").where("reading is not null").distinct().withColumn("key", alias_key(F.col("reading")))
     a = aliases.select("alias", "concept").where("alias is not null").distinct().withColumn("akey", alias_key(F.col("alias")))
@@ -30,9 +30,13 @@ def alias_cascade(readings: DataFrame, aliases: DataFrame, floor: float = FUZZY_
     norm = r.join(a, (F.col("key") == F.col("akey")) & (F.col("reading") != F.col("alias"))).select("reading", "concept", F.lit(2).alias("level"), F.lit(NORMALISED).alias("score"))
     sure = exact.unionByName(norm)
     rest = r.join(sure.select("reading").distinct(), "reading", "left_anti")
-    block = lambda c: F.substring(c, 1, 2)
-    near = rest.join(a, (block("key") == block("akey")) & length_bound(F.col("key"), F.col("akey"), floor))
-    near = near.withColumn("score", lev_ratio(F.col("key"), F.col("akey"))).where(F.col("score") >= floor)
+    if block is None:
+        alike = whole_join(rest, a, "key", "akey", floor).select(F.col("a").alias("key"), F.col("b").alias("akey"), "score")
+        near = rest.join(alike, "key").join(a, "akey")
+    else:
+        first = lambda c: F.substring(c, 1, block)
+        near = rest.join(a, (first("key") == first("akey")) & length_bound(F.col("key"), F.col("akey"), floor))
+        near = near.withColumn("score", lev_ratio(F.col("key"), F.col("akey"))).where(F.col("score") >= floor)
     near = near.select("reading", "concept", F.lit(3).alias("level"), (F.col("score") * FUZZY_WEIGHT).alias("score"))
     best = sure.unionByName(near).groupBy("reading", "concept").agg(F.max("score").alias("score"), F.min("level").alias("level"))
     w = Window.partitionBy("reading").orderBy(F.desc("score"), "concept")

@@ -29,24 +29,36 @@ best as (select reading, concept, max(cast(score as double)) as score, min(level
 ranked as (select *, row_number() over (partition by reading order by score desc, concept) as rank from best)"""
 
 
-def _cascade(spark, sf_dir):
+def _cascade(spark, sf_dir, block=2):
     p = _misspelt(spark, sf_dir)
-    return M.alias_cascade(p.select("reading"), table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("concept")))
+    return M.alias_cascade(p.select("reading"), table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("concept")), block=block)
 
 
 @register("alias_cascade", f"with {_CASCADE} select reading, concept, cast(level as integer) as level, round(score, 3) as score, rank from ranked where rank <= 5")
 def alias_cascade(spark, sf_dir):
-    """Exact, normalised, then fuzzy candidates."""
+    """Exact, normalised, then fuzzy candidates that share two letters, as the SQL has it."""
     return _cascade(spark, sf_dir).withColumn("score", F.round("score", 3)).select("reading", "concept", "level", "score", "rank")
 
 
+@register("alias_cascade_whole")
+def alias_cascade_whole(spark, sf_dir):
+    """Exact, normalised, then all fuzzy candidates, also where one of the first letters is missing."""
+    return _cascade(spark, sf_dir, None).withColumn("score", F.round("score", 3)).select("reading", "concept", "level", "score", "rank")
+
+
 @register("ambiguous_aliases", f"""with {_CASCADE}, k as (select * from ranked where rank <= 5), t as (select reading, max(score) as top from k group by 1)
 select reading, count(*) filter (where score >= top - 0.03) > 1 as collision, count(*) as n from k join t using (reading) group by reading""")
 def ambiguous_aliases(spark, sf_dir):
-    """Readings whose best candidates are too close."""
+    """Readings whose best candidates are too close, of those that share two letters, as the SQL has it."""
     return M.mark_collisions(_cascade(spark, sf_dir), "reading").groupBy("reading").agg(F.bool_or("collision").alias("collision"), F.count("*").alias("n"))
 
 
+@register("ambiguous_aliases_whole")
+def ambiguous_aliases_whole(spark, sf_dir):
+    """Readings whose best candidates are too close, of all candidates."""
+    return M.mark_collisions(_cascade(spark, sf_dir, None), "reading").groupBy("reading").agg(F.bool_or("collision").alias("collision"), F.count("*").alias("n"))
+
+
 @register("resolve_names", """with a as (select distinct c_name as a from customer where c_custkey % 10 = 0), b as (select distinct c_name as b from customer where c_custkey % 10 = 1)
 select a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 4) as score from a join b on lower(substr(a, 1, 1)) = lower(substr(b, 1, 1))
 where 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.94""")

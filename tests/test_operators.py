@@ -1,5 +1,7 @@
 """Operators on small literal tables: nulls, ties, repeated keys, empty inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.functions import normalise as N
@@ -88,6 +90,36 @@ def test_similarity_join_floor(spark):
     assert rows(S.similarity_join(a, b, "a", "b", 0.7).select("a", "b")) == [("anna", "anne")]
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, u in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, v in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (u != v))
+    return row[-1]
+
+
+def alike(a, b):
+    longest = max(len(a), len(b))
+    return 1.0 if longest == 0 else 1.0 - levenshtein(a, b) / longest
+
+
+def test_whole_join_against_all_pairs(spark):
+    rnd = random.Random(2)
+    names = ["", "a", "mall ring"] + ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))) for _ in range(120)] + ["xyz" * 12, "yz" + "xyz" * 11]
+    x, y = spark.createDataFrame([(n,) for n in names[::2]] + [(None,)], "a string"), spark.createDataFrame([(n,) for n in names[1::2]], "b string")
+    for floor in (0.7, 0.82, 0.94):
+        want = sorted((a, b) for a in set(names[::2]) for b in set(names[1::2]) if alike(a, b) >= floor)
+        assert rows(S.whole_join(x, y, "a", "b", floor).select("a", "b")) == want
+
+
+def test_alias_cascade_finds_a_missing_first_letter(spark):
+    aliases = spark.createDataFrame([("small ring", "c1"), ("large ring", "c2")], "alias string, concept string")
+    readings = spark.createDataFrame([("mall ring",), ("sall ring",)], "reading string")
+    got = {r.reading: (r.concept, r.level) for r in M.alias_cascade(readings, aliases).where("rank = 1").collect()}
+    assert got == {"mall ring": ("c1", 3), "sall ring": ("c1", 3)}
+
+
 def test_consensus_votes_mode(spark):
     df = spark.createDataFrame([(1, "abcd"), (1, "abce"), (1, "abcd"), (1, "zzzz"), (2, None)], "k int, v string")
     assert rows(M.consensus(df, "k", "v")) == [(1, "abcd", 2)]
