@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import jaro_winkler, lev_ratio, ratcliff, similarity_join
+from factloom.functions.similarity import jaro_winkler, lev_ratio, ratcliff, similarity_join, whole_join
 from factloom.operators import matching as M
 from factloom.plans.registry import register
 from factloom.plans.tables import table
@@ -63,11 +63,18 @@ def ambiguous_aliases_whole(spark, sf_dir):
 select a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 4) as score from a join b on lower(substr(a, 1, 1)) = lower(substr(b, 1, 1))
 where 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.94""")
 def resolve_names(spark, sf_dir):
-    """Alike names of two registries."""
+    """Alike names of two tenths of the customers, as the SQL has it."""
     c = table(spark, sf_dir, "customer")
     return similarity_join(c.where("c_custkey % 10 = 0"), c.where("c_custkey % 10 = 1"), "c_name", "c_name", 0.94).withColumn("score", F.round("score", 4))
 
 
+@register("resolve_names_whole")
+def resolve_names_whole(spark, sf_dir):
+    """All written readings of customer names against all customers; names only, without birth years or new ids."""
+    c = table(spark, sf_dir, "customer").select("c_name", F.expr(_SPELT.replace("p_name", "c_name").replace("p_partkey", "c_custkey")).alias("reading"))
+    return whole_join(c, c, "reading", "c_name", 0.94).withColumn("score", F.round("score", 4))
+
+
 @register("code_binding", """with codes as (select distinct upper(p_type) as key, 'C' || cast(length(p_type) as varchar) as code, case when length(p_type) % 2 = 0 then 'open' else 'closed' end as system from part),
 n as (select regexp_replace(lower(key), '[^a-z0-9]+', '', 'g') as k, min(code) as code, min(system) as system, count(distinct code) as n from codes group by 1)
 select p_partkey, case when n.n = 1 and n.system = 'open' then n.code end as code, case when n.n > 1 then 'candidate' when n.n is null then 'unbound' when n.system = 'open' then 'bound' else 'local_only' end as code_status

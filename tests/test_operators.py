@@ -120,6 +120,16 @@ def test_alias_cascade_finds_a_missing_first_letter(spark):
     assert got == {"mall ring": ("c1", 3), "sall ring": ("c1", 3)}
 
 
+def test_resolve_names_whole_meets_all_customers(spark, sf):
+    from factloom.plans import matching as Q
+
+    found = {tuple(r)[:2] for r in Q.resolve_names_whole(spark, sf).collect()}
+    c = spark.read.parquet(f"{sf}/customer.parquet").collect()
+    made = [(r.c_name[: r.c_custkey % len(r.c_name)] + r.c_name[r.c_custkey % len(r.c_name) + 1 :], r.c_name) for r in c]
+    assert found == {(a, b) for a, _ in made for _, b in made if alike(a, b) >= 0.94}
+    assert set(made) <= found
+
+
 def test_consensus_votes_mode(spark):
     df = spark.createDataFrame([(1, "abcd"), (1, "abce"), (1, "abcd"), (1, "zzzz"), (2, None)], "k int, v string")
     assert rows(M.consensus(df, "k", "v")) == [(1, "abcd", 2)]
