@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.similarity import deletions
+
 
 def normalise_column(df: DataFrame, column: str, rule, name: str = "normal") -> DataFrame:
     """``df`` with ``name``: the rule runs once per distinct spelling and is joined back (rejected ones give null)."""
@@ -94,3 +96,16 @@ def repeated_entries(df: DataFrame, key: str, entries: str) -> DataFrame:
     rows = df.select(key, F.posexplode(entries).alias("pos", "entry")).withColumn("fold", F.lower(F.trim("entry"))).where("fold != ''")
     w = Window.partitionBy(key, "fold")
     return rows.withColumn("rn", F.row_number().over(w.orderBy("pos"))).withColumn("copies", F.count("*").over(w)).where("rn = 1 and copies > 1").select(key, "entry", "copies")
+
+
+def snap_words(df: DataFrame, group: str, key: str, text: str, edits: int = 2) -> DataFrame:
+    """(group, word, snapped): words of one document that are at most ``edits`` (1 or 2) edits from exactly one of the words that
+    more documents of their group hold. Words meet by their deletions, so that no length and no first letter is left out."""
+    words = df.select(group, key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("w")).where("w != ''")
+    v = words.groupBy(group, "w").agg(F.countDistinct(key).alias("n"))
+    keys = F.explode(deletions(F.col("w"), F.lit(edits))).alias("_k")
+    rare = v.where("n = 1").select(group, F.col("w").alias("word"), keys)
+    common = v.where("n > 1").select(group, F.col("w").alias("common"), keys)
+    pairs = rare.join(common, [group, "_k"]).where(F.levenshtein("word", "common") <= edits).select(group, "word", "common").distinct()
+    found = pairs.groupBy(group, "word").agg(F.min("common").alias("snapped"), F.count("*").alias("n"))
+    return found.where("n = 1").select(group, "word", "snapped")

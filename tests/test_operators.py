@@ -1,6 +1,7 @@
 """Operators on small literal tables: nulls, ties, repeated keys, empty inputs."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -120,6 +121,24 @@ def test_alias_cascade_finds_a_missing_first_letter(spark):
     assert got == {"mall ring": ("c1", 3), "sall ring": ("c1", 3)}
 
 
+def test_snap_words_against_all_pairs(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 14))) for _ in range(150)] + ["antibiotics", "ntibiotics"]
+    docs = [(g, d, " ".join(rnd.choice(words[:-2]) for _ in range(90))) for g in "pq" for d in range(4)] + [("p", 10, "Antibiotics x1 "), ("p", 11, "antibiotics"), ("p", 12, "ntibiotics"), ("p", 13, None)]
+    want = []
+    for g in "pq":
+        held = {}
+        for _, d, t in (r for r in docs if r[0] == g and r[2]):
+            for w in re.findall("[a-z]+", t.lower()):
+                held.setdefault(w, set()).add(d)
+        for w in (w for w in held if len(held[w]) == 1):
+            near = [c for c in held if len(held[c]) > 1 and levenshtein(w, c) <= 2]
+            if len(near) == 1:
+                want.append((g, w, near[0]))
+    assert ("p", "ntibiotics", "antibiotics") in want and len({len(w) for _, w, _ in want}) > 2
+    assert rows(N.snap_words(spark.createDataFrame(docs, "source string, doc_id long, text string"), "source", "doc_id", "text")) == sorted(want)
+
+
 def test_resolve_names_whole_meets_all_customers(spark, sf):
     from factloom.plans import matching as Q
 
