@@ -93,7 +93,7 @@ def temperatures(spark, sf_dir):
 r as (select *, row_number() over (partition by doc_id, lower(trim(entry)) order by pos) as rn, count(*) over (partition by doc_id, lower(trim(entry))) as copies from l where trim(entry) <> '')
 select doc_id, entry, copies from r where rn = 1 and copies > 1""")
 def near_duplicates(spark, sf_dir):
-    """Repeated entries of a list, the first kept."""
+    """Repeated entries of a list, the first kept."""
     return N.repeated_entries(table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n")), "doc_id", "lines")
 
 
