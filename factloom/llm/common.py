@@ -84,13 +84,13 @@ def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") ->
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``SLICE_BYTES`` of data (one row at least)."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``limit`` bytes of data (one row at least)."""
     ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 out = fn(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
@@ -169,18 +169,24 @@ class TwoGenerations:
     def __init__(self, limit: int, limit_bytes: int = 1 << 26):
         self.limit, self.limit_bytes, self.bytes, self.young, self.old = limit, limit_bytes, 0, {}, {}
 
-    def fill(self, keys: set, compute: Callable[[list], list]) -> dict:
-        """Make ``young`` hold every key and return it."""
+    def values(self, keys: list[str], compute: Callable[[list[str]], list]) -> list:
+        """The value of each of the distinct ``keys``; ``compute`` gives those of the keys that are not remembered."""
         if self.young and (len(self.young) + len(keys) > self.limit or self.bytes > self.limit_bytes):
             self.old, self.young, self.bytes = self.young, {}, 0
-        young, old, missing = self.young, self.old, []
-        for k in keys.difference(young):
-            v = old.get(k)
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        missing = []
+        for i, v in enumerate(out):
             if v is None:
-                missing.append(k)
-            else:
-                young[k] = v
+                k = keys[i]
+                v = out[i] = old.get(k)
+                if v is None:
+                    missing.append(i)
+                else:
+                    young[k] = v
         if missing:
-            young.update(zip(missing, compute(missing), strict=True))
-            self.bytes += sum(map(len, missing))
-        return young
+            new = [keys[i] for i in missing]
+            for i, k, v in zip(missing, new, compute(new), strict=True):
+                out[i] = young[k] = v
+            self.bytes += sum(map(len, new))
+        return out

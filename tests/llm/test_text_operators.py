@@ -244,11 +244,34 @@ def test_bpe_equals_library(spark, corpus, libraries):
 
 def test_bpe_random_texts_equal_library(libraries):
     rnd = random.Random(5)
-    parts = ["a", "b", "th", "e", " ", "  ", "\n", "é", "漢", "1", "'s", "!", "...", "-", "_", " the", "ing", "\r\n", "\t"]
+    parts = ["a", "b", "th", "e", " ", "  ", "\n", "é", "漢", "1", "'s", "!", "...", "-", "_", " the", "ing", "\r\n", "\t", "<|endoftext|>"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
-    got = bpe.Encoder(bpe.default_vocabulary()).encode(texts)
-    for t, g, w in zip(texts, got, libraries[0].encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(g, "<u4").tolist() == w.ids, t
+    texts += ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.choice([3, 9, 190, 210, 3000]))) for _ in range(300)]
+    ids, at = bpe.Encoder(bpe.default_vocabulary()).encode(texts)
+    for t, a, b, w in zip(texts, at, at[1:], libraries[0].encode_batch(texts, add_special_tokens=False)):
+        assert ids[a:b].tolist() == w.ids, t
+
+
+def test_bpe_automaton_arcs_are_the_pairs_that_stand(libraries):
+    """An arc is in the tables exactly if the library keeps the two tokens of its text apart as they are."""
+    auto, rnd = bpe.automaton(bpe.default_vocabulary()), random.Random(9)
+    letters = [t for t, i in libraries[0].get_vocab().items() if t.isascii() and t.isalpha() and len(t) < 6]
+    vocab = libraries[0].get_vocab()
+    pairs = [(rnd.choice(letters), rnd.choice(letters)) for _ in range(4000)]
+    pairs += [(a[:k], a[k:]) for a in rnd.sample(letters, 2000) for k in range(1, len(a)) if a[:k] in vocab and a[k:] in vocab]
+    want = [libraries[0].encode(a + b, add_special_tokens=False).ids == [vocab[a], vocab[b]] for a, b in pairs]
+    got = auto.arcs(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]))
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_bpe_pattern_comes_from_the_vocabulary():
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    split = {"type": "Split", "pattern": {"Regex": "[a-z]+|."}, "behavior": "Isolated", "invert": False}
+    assert bpe.split_pattern({"pre_tokenizer": byte_level | {"use_regex": True}}) == bpe.BYTE_LEVEL
+    assert bpe.split_pattern({"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, byte_level]}}) == "[a-z]+|."
+    for bad in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}, "pre_tokenizer": byte_level}):
+        with pytest.raises(ValueError):
+            bpe.split_pattern(bad)
 
 
 @pytest.mark.parametrize("chunk", [16384, 300])
@@ -260,9 +283,48 @@ def test_token_counts_equal_library(spark, corpus, libraries, chunk):
         assert got[i] == (len((t or "").encode()), n, n > 2048), repr(t)[:60]
 
 
-def test_token_counts_repeated_rows(spark):
+def test_token_counts_repeated_rows_and_missing_ids(spark):
     df = frame(spark, ["x y " * 200, "z"])
     assert token_counts.token_counts(df.union(df), chunk=100).count() == 4
+    rows = [(None, "x y " * 200), (None, "x y " * 200), (None, None), (7, "a b " * 300), (7, "c " * 300), (7, "")]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)), chunk=100)
+    want = [(None, 800, 400), (None, 800, 400), (None, 0, 0), (7, 1200, 600), (7, 600, 300), (7, 0, 0)]
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in got.collect()) == sorted((i or -1, b, n) for i, b, n in want)
+    assert token_counts.token_counts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_counts_splice_anywhere(spark, vocabulary):
+    """Random texts in chunks of 300 characters, also without white space, against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path(vocabulary), random.Random(11)
+    common = ["the", " the", "ing", " ", "  ", "\n", "\n\n", "é", "漢字", "か", "1", "234", "'s", "n't", "!", "...", "--", "_", "e\u0301", "🙂", "\xa0", "<|endoftext|>", "abc", "Q", "ß", "\t"]
+    texts = []
+    for i in range(3000):
+        parts = rnd.sample(common, rnd.choice([1, 2, 3, 8, 20]))
+        texts.append("".join(rnd.choice(parts) for _ in range(rnd.randint(150, 900))))
+    texts += ["漢" * 40_000, "b" * 40_000, "ab" * 3_000 + " " + "1" * 5_000, " " * 9_000 + "x", "".join(rnd.choice("etaoinshr") for _ in range(40_000))]
+    got = by_id(token_counts.token_counts(frame(spark, texts), vocabulary=path, chunk=300).select("doc_id", "n_tokens"))
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [i for i, e in enumerate(want) if got[i][0] != len(e.ids)] == []
+
+
+def test_token_counts_cut_without_white_space(spark):
+    """A text without white space is spread over many chunks, and most seams are proven at the first overlap."""
+    import public_tokenizers
+
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    text = "".join(rnd.choice("etaoinshrdlu漢字かな") for _ in range(40_000))
+    assert len(token_counts.chunks(len(text), 1000, 250)) == 40
+    e = [(c, token_counts.P.library(path).encode(text[c[0] : c[3]], add_special_tokens=False)) for c in token_counts.chunks(len(text), 1000, 250)]
+    names = ["key", "seam", "side", "before", "ids", "starts", "ends", "heads", "spans"]
+    found = []
+    for (left, x), (right, y) in zip(e, e[1:]):
+        lo, hi = right[1] - 250, right[1] + 250
+        found.append(token_counts.splice(*(dict(zip(names, token_counts._side("k", 1, s, t, c[0], lo, hi))) for s, c, t in ((0, left, x), (1, right, y)))))
+    assert sum(n is not None for n in found) >= 38
 
 
 def test_bit_packing_round_trip(spark, corpus, libraries, tmp_path, monkeypatch):
