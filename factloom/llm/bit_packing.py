@@ -9,7 +9,8 @@ a lost executor or a repeated task leaves no half-written file.
 Reading unpacks with numpy: a whole block at once, or any slice of ids by its bit offset (``unpack(…, first, n)``).
 
 Defined results: null or empty text is the end id alone; documents with an equal id stand in the order of their
-texts; other columns are ignored; an empty table gives an empty dataset.
+texts, and a repeated row once for each; documents without an id stand first; other columns are ignored; an empty
+table gives an empty dataset.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import common as C
+from factloom.llm import pieces as P
 from factloom.llm import token_counts as T
 
 END_ID = 1
@@ -59,30 +61,32 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
 
 
 def _pack_partition(path: str, end_id: int, bits: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
-    def block(part: int, number: int, before: int, docs: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), dtype="<u4")
-        cols = [[part], [number], [before], [len(ids)], [bits], [docs], [[len(p) // 4 for p in parts]], [pack(ids, bits)]]
+    def block(part: int, number: int, before: int, docs: list[int | None], ids: list[np.ndarray]) -> pa.RecordBatch:
+        counts = [len(x) + 1 for x in ids]
+        flat = np.concatenate([y for x in ids for y in (x, end)])
+        cols = [[part], [number], [before], [len(flat)], [bits], [docs], [counts], [pack(flat, bits)]]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["part", "block", "ids_before", "n_ids", "bits", "doc_ids", "counts", "payload"])
 
     def run(batches):
         part = TaskContext.get().partitionId()
         number = before = held = 0
-        docs: list[int] = []
-        parts: list[bytes] = []
+        docs: list[int | None] = []
+        ids: list[np.ndarray] = []
         for batch in batches:
-            for piece in C.slices(batch):
-                for doc, ids in zip(piece.column(0).to_pylist(), T.encode_ids(path, piece.column(1).to_pylist())):
+            for piece in C.slices(batch, P.SLICE):
+                flat, at = P.encode_ids(path, piece.column(1))
+                for doc, a, b in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     docs.append(doc)
-                    parts.append(ids + end)
-                    held += len(parts[-1]) // 4
+                    ids.append(flat[a:b])
+                    held += b - a + 1
                     if held >= BLOCK_IDS:
-                        yield block(part, number, before, docs, parts)
-                        number, before, held, docs, parts = number + 1, before + held, 0, [], []
+                        yield block(part, number, before, docs, ids)
+                        number, before, held, docs, ids = number + 1, before + held, 0, [], []
         if docs:
-            yield block(part, number, before, docs, parts)
+            yield block(part, number, before, docs, ids)
 
     return run
 
@@ -90,7 +94,7 @@ def _pack_partition(path: str, end_id: int, bits: int):
 def write_packed(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the packed dataset to ``path``."""
     vocabulary = vocabulary or T.default_vocabulary()
-    bits = width(max(T.library(vocabulary).get_vocab_size(), end_id + 1))
+    bits = width(max(P.library(vocabulary).get_vocab_size(), end_id + 1))
     C.ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
