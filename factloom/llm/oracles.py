@@ -36,7 +36,12 @@ def _rules() -> tuple[str, str]:
     return f"case {rule}end", f"case {verdict}end"
 
 
+#: Levels of a path that the SQL writes out; the query has no such bound.
+LEVELS = 6
+
+
 def urls() -> str:
+    """From the definition: every level written out, all branches compared, evidence of siblings, hosts and domains by joins."""
     rule, verdict = _rules()
     segment = (
         "case when regexp_matches(x, '^[0-9]+([.][A-Za-z]{1,5})?$') then '#' || regexp_extract(x, '^[0-9]+((?:[.][A-Za-z]{1,5})?)$', 1) "
@@ -45,20 +50,27 @@ def urls() -> str:
     sql = f"""with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 p as (select page_id, lower(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '')) as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
 j as (select *, {rule} as rule, {verdict} as verdict, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {segment}), '/') as shape from p),
-t0 as (select host, shape, count(verdict) as labelled, count(*) filter (where verdict = 'block') as blocked, string_split(shape, '/') as parts, '' as node from j group by host, shape)"""
-    for d in range(1, U.DEPTH + 1):
+t0 as (select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, shape, count(verdict) as labelled, count(*) filter (where verdict = 'block') as blocked, string_split(shape, '/') as parts, '' as node, 0.0 as sr, 0 as sm from j group by host, shape)"""
+    for d in range(1, LEVELS + 1):
         sql += f""",
 s{d} as (select *, coalesce(parts[{d + 1}], '') as part from t{d - 1}),
 b{d} as (select host, node, part, sum(labelled) as l, sum(blocked) as b from s{d} group by 1, 2, 3),
-a{d} as (select host, node, count(*) as n, sum(l) as al, sum(b) as ab from b{d} group by 1, 2),
-m{d} as (select host, node, part, case when part <> '' and (n > {U.BRANCHES} or (l > 0 and al - l > 0 and abs(b / l - (ab - b) / (al - l)) <= {U.Z} * sqrt((ab / al) * (1 - ab / al) * (1 / l + 1 / (al - l))))) then '*' else part end as nxt
+a{d} as (select host, node, sum(l) as al, sum(b) as ab, sum(b / l) filter (where l > 0) as r, count(*) filter (where l > 0) as m from b{d} group by 1, 2),
+m{d} as (select host, node, part, l, r, m, case when part <> '' and l > 0 and al - l > 0 and abs(b / l - (ab - b) / (al - l)) <= {U.Z} * sqrt((ab / al) * (1 - ab / al) * (1 / l + 1 / (al - l))) then '*' else part end as nxt
   from b{d} join a{d} using (host, node)),
-t{d} as (select s.host, shape, labelled, blocked, parts, case when nxt = '' then s.node else s.node || '/' || nxt end as node from s{d} s join m{d} m on s.host = m.host and s.node = m.node and s.part = m.part)"""
+t{d} as (select s.host, s.domain, shape, labelled, blocked, parts, case when nxt = '' then s.node else s.node || '/' || nxt end as node,
+  case when l = 0 and m > 0 and sm = 0 then r else sr end as sr, case when l = 0 and m > 0 and sm = 0 then m else sm end as sm
+  from s{d} s join m{d} m on s.host = m.host and s.node = m.node and s.part = m.part)"""
     return sql + f""",
-t as (select *, case when len(parts) > {U.DEPTH + 1} then node || '/**' else node end as template from t{U.DEPTH}),
-y as (select host, template, (sum(blocked) + 1) / (sum(labelled) + 2) as purity from t group by 1, 2)
-select page_id, j.host, path, rule, coalesce(verdict, case when purity >= {U.PURITY} then 'block' else 'allow' end) as verdict, t.template, cast(purity as double) as purity
-from j join t on j.host = t.host and j.shape = t.shape join y on t.host = y.host and t.template = y.template"""
+t as (select host, domain, shape, labelled, blocked, case when labelled > 0 then blocked / labelled end as own, node as template, sr, sm from t{LEVELS}),
+n as (select domain, shape, sum(own) as r, count(*) as m from t where labelled > 0 group by 1, 2),
+f as (select shape, sum(r / m) as r, count(*) as m from n group by 1),
+pa as (select t.*, (coalesce(f.r, 0) - coalesce(n.r / n.m, 0) + 1) / (coalesce(f.m, 0) - (case when n.m is null then 0 else 1 end) + 2) as a, coalesce(n.r, 0) - coalesce(own, 0) as nr, coalesce(n.m, 0) - (case when own is null then 0 else 1 end) as nm
+  from t left join n on t.domain = n.domain and t.shape = n.shape left join f on t.shape = f.shape),
+c as (select host, template, sum(labelled) as l, sum(blocked) as b from t group by 1, 2),
+y as (select pa.host, shape, pa.template, (b + 2 * (sr + 2 * (nr + 2 * a) / (nm + 2)) / (sm + 2)) / (l + 2) as purity from pa join c on pa.host = c.host and pa.template = c.template)
+select page_id, j.host, path, rule, coalesce(verdict, case when purity >= {U.PURITY} then 'block' else 'allow' end) as verdict, y.template, cast(purity as double) as purity
+from j join y on j.host = y.host and j.shape = y.shape"""
 
 
 ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "op7_url_filters": urls()}

@@ -6,13 +6,22 @@ wins. What no rule judges is judged by its template:
 1. Variable segments (numbers, long hex, parts with digits) become wildcards, so a host's paths fold into few
    templates; templates are counted before anything is shuffled by host.
 2. Level by level, a branch becomes ``*`` where its labelled share of blocked pages does not differ from its siblings'
-   (two-proportion test, ``Z``), however many siblings there are. A branch without labels gives no evidence and keeps
-   its name. Levels go on as long as a node has two labelled shapes; below that, nothing can merge.
-3. Rule-judged pages are the labels. A template is rejected if ``(blocked + 1) / (labelled + 2)`` reaches ``PURITY``;
-   so a template without labels (0.5) stays.
+   (two-proportion test, ``Z``), however many siblings there are. A branch without labels keeps its name. Levels go
+   on as long as a node has two labelled shapes; below that, nothing can merge.
+3. Rule-judged pages are the labels. A template is rejected if ``(blocked + 2 q) / (labelled + 2)`` reaches ``PURITY``.
+   ``q`` is what is known without the template's own labels, so that evidence reaches templates that no rule judges:
+
+   * ``q = (r + 2 d) / (m + 2)``: ``m`` labelled siblings with ``r`` the sum of their blocked shares, at the level where the
+     page's branch has no label but others have (none for a branch with labels);
+   * ``d = (r + 2 a) / (m + 2)``: the other hosts of the registered domain (the last two names) that have labels for the shape;
+   * ``a = (r + 1) / (m + 2)``: the other registered domains with labels for the shape.
+
+   Branches, hosts and domains count once each, whatever their number of pages: the pages of one place are no independent
+   witnesses. So one blocked host or two blocked branches block nothing else, while a shape that eight domains agree on does.
 
 Defined results: null url or one without ``://`` has empty host and path, no rule, its own template;
-repeated rows are each judged and each count; other columns are ignored; an empty table gives an empty result.
+repeated rows are each judged and each count; missing and equal ids are each judged; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +36,6 @@ from factloom.llm import common as C
 #: (verdict, rule), a rule being host/path.
 RULES: list[tuple[str, str]] = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 Z, PURITY = 1.96, 0.9
-#: Where the SQL stops testing: levels of a path, branches of a node. The query has neither bound.
-DEPTH, BRANCHES = 3, 50
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,16 +68,35 @@ def _segment(s: Column) -> Column:
     )
 
 
+def _domain(host: str = "host") -> Column:
+    return F.array_join(F.slice(F.split(host, "[.]"), F.greatest(F.lit(1), F.size(F.split(host, "[.]")) - 1), F.lit(2)), ".")
+
+
+def _with_priors(tree: DataFrame) -> DataFrame:
+    """``tree`` with ``prior``: what other hosts of the domain, and other domains, say about the shape."""
+    own = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled"))
+    tree = tree.withColumn("domain", _domain()).withColumn("own", own)
+    near = tree.where("labelled > 0").groupBy("domain", "shape").agg(F.sum("own").alias("near_r"), F.count("*").alias("near_m"))
+    near = C.stored(near)  # few: one row a labelled shape of a domain
+    far = near.groupBy("shape").agg(F.sum(F.col("near_r") / F.col("near_m")).alias("far_r"), F.count("*").alias("far_m"))
+    rows = tree.join(near, ["domain", "shape"], "left").join(far, "shape", "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    others = (of("far_r") - F.coalesce(F.col("near_r") / F.col("near_m"), F.lit(0)) + 1) / (of("far_m") - F.col("near_m").isNotNull().cast("int") + 2)
+    prior = (of("near_r") - of("own") + 2 * others) / (of("near_m") - F.col("own").isNotNull().cast("int") + 2)
+    return rows.select("host", "shape", "labelled", "blocked", prior.alias("prior"))
+
+
 def templates(rows: DataFrame) -> DataFrame:
     """(host, shape, template, purity) of the labelled (verdict) and unlabelled shapes of ``rows`` (host, shape, verdict)."""
-    tree = rows.groupBy("host", "shape").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
-    level, depth, settled = tree.withColumn("at", F.lit("")), 0, []
-    while not settled or level.limit(1).count():
+    tree = C.stored(rows.groupBy("host", "shape").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked")))
+    level, depth, settled = tree.select("*", F.lit("").alias("at"), F.lit(0.0).alias("sib_r"), F.lit(0).cast("long").alias("sib_m")), 0, []
+    while not settled or not level.isEmpty():
         depth += 1
         parts = F.split("shape", "/")
         level = level.withColumn("part", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))
         branch = level.groupBy("host", "at", "part").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count_if(F.col("labelled") > 0).alias("s"))
-        around = branch.groupBy("host", "at").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.sum("s").alias("all_s"))
+        share = F.sum(F.when(F.col("l") > 0, F.col("b") / F.col("l"))).alias("r")
+        around = branch.groupBy("host", "at").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.sum("s").alias("all_s"), share, F.count_if(F.col("l") > 0).alias("m"))
         other_l, other_b = F.col("all_l") - F.col("l"), F.col("all_b") - F.col("b")
         rate = F.col("all_b") / F.col("all_l")
         error = F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / other_l))
@@ -78,17 +104,23 @@ def templates(rows: DataFrame) -> DataFrame:
         # the divisions are only reached with labels on both sides
         merge = F.when((F.col("l") > 0) & (other_l > 0), alike).otherwise(False)
         to = F.when((F.col("part") != "") & merge, F.lit("*")).otherwise(F.col("part"))
-        named = branch.join(around, ["host", "at"]).select("host", "at", "part", to.alias("to"), (F.col("all_s") < 2).alias("last"))
+        named = branch.join(around, ["host", "at"]).select("host", "at", "part", to.alias("to"), "l", "r", "m", "all_s")
+        level = level.join(named, ["host", "at", "part"])
+        last = F.col("all_s") < 2
         rest = F.array_join(F.transform(F.filter(F.slice(parts, depth + 1, F.size(parts)), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x)), "")
-        template = F.when(F.col("last"), F.concat("at", rest)).when(F.col("to") == "", F.col("at"))
+        template = F.when(last, F.concat("at", rest)).when(F.col("to") == "", F.col("at"))
+        # siblings speak where the own branch is silent; of an only labelled shape, where the paths part below here
+        alone = (F.col("sib_m") == 0) & (F.col("m") > 0) & ((F.col("l") == 0) | last & (F.col("labelled") == 0))
+        told = [F.when(alone, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("r", "sib_r"), ("m", "sib_m"))]
         # stored, so that the plan does not grow with the depth of the paths
-        level = C.stored(level.join(named, ["host", "at", "part"]).select("host", "shape", "labelled", "blocked", F.concat("at", F.lit("/"), "to").alias("at"), template.alias("template")))
+        level = C.stored(level.select("host", "shape", "labelled", "blocked", F.concat("at", F.lit("/"), "to").alias("at"), template.alias("template"), *told))
         settled.append(level.where("template is not null").drop("at"))
         level = level.where("template is null").drop("template")
-    tree = reduce(DataFrame.union, settled)
-    purity = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    purity = purity.select("host", "template", ((F.col("blocked") + 1) / (F.col("labelled") + 2)).alias("purity"))
-    return tree.select("host", "shape", "template").join(purity, ["host", "template"])
+    found = reduce(DataFrame.union, settled)
+    counts = found.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    q = (F.col("sib_r") + 2 * F.col("prior")) / (F.col("sib_m") + 2)
+    found = found.join(_with_priors(tree).select("host", "shape", "prior"), ["host", "shape"]).join(counts, ["host", "template"])
+    return found.select("host", "shape", "template", ((F.col("b") + 2 * q) / (F.col("l") + 2)).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
