@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -40,9 +41,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a local default only where that is unset."""
+    """A new folder name under ``spark.checkpoint.dir``. Only a local master may leave that unset: on a cluster no folder of
+    one machine would do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "factloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/factloom-{uuid.uuid4().hex}"
@@ -84,6 +88,36 @@ def documents_of(spark: SparkSession, sf_dir: str, table: str = "documents") ->
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unclear_ids(rows: DataFrame) -> DataFrame | None:
+    """The ids that rows (doc_id, h) of different texts (``h`` is a hash of id and text) share, stored; None without any."""
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo != hi")
+    found = stored(ids.select("doc_id"))
+    return None if found.isEmpty() else found
+
+
+def with_key(rows: DataFrame, unclear: DataFrame | None) -> DataFrame:
+    """``rows`` (doc_id, h, …) with ``key``: the id, or the hash where the id is missing or stands for several texts. So a key
+    tells one text, and repeated rows have one key."""
+    missing = F.col("doc_id").isNull()
+    if unclear is None:
+        return rows.withColumn("key", F.when(missing, F.col("h")).otherwise(F.col("doc_id")))
+    known = rows.where(~missing).join(unclear.withColumn("several", F.lit(True)), "doc_id", "left")
+    known = known.withColumn("key", F.when(F.col("several"), F.col("h")).otherwise(F.col("doc_id"))).drop("several")
+    return known.unionByName(rows.where(missing).withColumn("key", F.col("h")))
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h) of ``docs``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.withColumn("h", F.xxhash64("doc_id", "text"))
+
+
+def keyed_rows(docs: DataFrame, unclear: DataFrame | None) -> DataFrame:
+    """(doc_id, h, row, key): the rows of ``docs`` as one column, whatever their columns are called, beside their key."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return with_key(rows, unclear)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of at most ``limit`` bytes of data (one row at least)."""
     ship(df.sparkSession)

@@ -11,12 +11,13 @@ two-step path for can hold no window and are skipped by array lookups, so only s
 are streamed.
 
 The items are sent to the executors only in blocks of a proven size: item texts are dealt into blocks by hash
-so that each is about ``BLOCK_BYTES`` at most, and documents go through one automaton per block; spans and
-items of all blocks are united per document.
+so that each is about ``BLOCK_BYTES`` at most. An automaton has at most two states and three arcs for each word of its
+items; they lie in flat arrays and one table of arcs. With one block documents are judged in one pass; with several, each
+pass gives only the spans and items that one block finds, and these are united per document before it is judged.
 
 Defined results: null or empty text has no words, no hits, ``items_sha256`` of the empty string, not
-contaminated; empty items are no windows; equal items with different ids all count; repeated document rows are judged
-alike, each on its own; other columns are ignored; empty tables give no hits or no rows.
+contaminated; empty items are no windows; equal items with different ids all count; repeated document rows, and rows with
+equal or missing ids, are each judged by their own text; other columns are ignored; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +40,7 @@ from factloom.llm import common as C
 
 WINDOW = 13
 #: Bytes of item texts in one automaton.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 _TABLE = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else (c + 32 if chr(c).isupper() else 32) for c in range(256))
 
@@ -50,21 +54,31 @@ class SuffixAutomaton:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
         sequences = []
         for name, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words_of(text)]
             if ids:
                 sequences.append((name, ids))
-                self._add(ids)
+        self.base = len(self.vocab) + 1
+        self.arcs: dict[int, int] = {}  # state * base + word -> state
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        # the words that leave a state, as linked lists: needed for clones only
+        self._head, self._word, self._more = array("i", [-1]), array("i"), array("i")
+        for _, ids in sequences:
+            self._add(ids)
+        del self._head, self._word, self._more
+        self._mark(sequences, window)
+        pairs = [np.array(ids[:-1], dtype=np.int64) * len(self.vocab) + np.array(ids[1:], dtype=np.int64) for _, ids in sequences if len(ids) > 1]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
+
+    def _mark(self, sequences: list[tuple[str, list[int]]], window: int) -> None:
+        """Which windows, of which size and item, end in each state."""
         self.names = sorted({n for n, _ in sequences})
         number = {n: i for i, n in enumerate(self.names)}
-        self.marks: list[dict[int, set[int]] | None] = [None] * len(self.next)
-        self.shortest = window
+        self.shortest = min([window, *(len(ids) for _, ids in sequences)])
+        states, sizes, owners = array("i"), array("i"), array("i")
         for name, ids in sequences:
             size = min(window, len(ids))
-            self.shortest = min(self.shortest, size)
             state, have = 0, 0
             for i, w in enumerate(ids):
                 state, have = self.step(state, have, w)
@@ -72,52 +86,64 @@ class SuffixAutomaton:
                     s = state
                     while self.length[self.link[s]] >= size:
                         s = self.link[s]
-                    if self.marks[s] is None:
-                        self.marks[s] = {}
-                    self.marks[s].setdefault(size, set()).add(number[name])
+                    states.append(s)
+                    sizes.append(size)
+                    owners.append(number[name])
+        rows = np.unique(np.array([states, sizes, owners], dtype=np.int64).T, axis=0) if len(states) else np.empty((0, 3), dtype=np.int64)
+        self.first_mark = np.searchsorted(rows[:, 0], np.arange(len(self.link) + 1)).astype(np.int32)
+        self.mark_size, self.mark_item = rows[:, 1].astype(np.int32), rows[:, 2].astype(np.int32)
         #: nearest state with marks along suffix links, itself included
-        self.marked = [0] * len(self.next)
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            self.marked[s] = s if self.marks[s] else self.marked[self.link[s]]
-        pairs = {a * len(self.vocab) + b for _, ids in sequences for a, b in zip(ids, ids[1:])}
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
+        self.marked = array("i", bytes(4 * len(self.link)))
+        for s in np.argsort(np.array(self.length), kind="stable")[1:].tolist():
+            self.marked[s] = s if self.first_mark[s + 1] > self.first_mark[s] else self.marked[self.link[s]]
 
-    def _state(self, length: int, link: int, arcs: dict[int, int]) -> int:
+    def _state(self, length: int, link: int) -> int:
         self.length.append(length)
         self.link.append(link)
-        self.next.append(arcs)
-        return len(self.next) - 1
+        self._head.append(-1)
+        return len(self.length) - 1
+
+    def _arc(self, state: int, w: int, to: int) -> None:
+        self._word.append(w)
+        self._more.append(self._head[state])
+        self._head[state] = len(self._word) - 1
+        self.arcs[state * self.base + w] = to
 
     def _split(self, p: int, w: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        clone = self._state(self.length[p] + 1, self.link[q])
+        k = self._head[q]
+        while k >= 0:
+            self._arc(clone, self._word[k], self.arcs[q * self.base + self._word[k]])
+            k = self._more[k]
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = clone
+        while p >= 0 and self.arcs.get(p * self.base + w) == q:
+            self.arcs[p * self.base + w] = clone
             p = self.link[p]
         return clone
 
     def _add(self, ids: list[int]) -> None:
         last = 0
         for w in ids:
-            q = self.next[last].get(w)
+            q = self.arcs.get(last * self.base + w)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
                 continue
-            new, p = self._state(self.length[last] + 1, 0, {}), last
-            while p >= 0 and w not in self.next[p]:
-                self.next[p][w] = new
+            new, p = self._state(self.length[last] + 1, 0), last
+            while p >= 0 and p * self.base + w not in self.arcs:
+                self._arc(p, w, new)
                 p = self.link[p]
             if p >= 0:
-                q = self.next[p][w]
+                q = self.arcs[p * self.base + w]
                 self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
             last = new
 
     def step(self, state: int, have: int, w: int) -> tuple[int, int]:
         """Follow word ``w`` from a match of ``have`` words: the longest match that ends with it."""
-        while state and w not in self.next[state]:
+        to = self.arcs.get(state * self.base + w)
+        while to is None and state:
             state = self.link[state]
             have = self.length[state]
-        to = self.next[state].get(w)
+            to = self.arcs.get(state * self.base + w)
         return (0, 0) if to is None else (to, have + 1)
 
     def scan(self, ids: list[int], base: int, spans: list[int], found: set[int]) -> None:
@@ -127,14 +153,15 @@ class SuffixAutomaton:
             state, have = self.step(state, have, w)
             s = self.marked[state]
             while s:
-                for size, items in self.marks[s].items():
+                for k in range(self.first_mark[s], self.first_mark[s + 1]):
+                    size = int(self.mark_size[k])
                     if size <= have:
                         end = base + i + 1
                         if spans and spans[-1] >= end - size >= spans[-2]:
                             spans[-1] = max(spans[-1], end)
                         else:
                             spans += (end - size, end)
-                        found |= items
+                        found.add(int(self.mark_item[k]))
                 s = self.marked[self.link[s]]
 
     def documents(self, texts: list[str | None]) -> list[tuple[int, list[int], set[int]]]:
@@ -179,15 +206,14 @@ def _automaton(items: Broadcast, name: str, window: int) -> SuffixAutomaton:
 
 
 def _scan_batch(items: Broadcast, window: int):
-    """(doc_id, text, spans, items) with what one block of items adds."""
+    """(key, spans, items) of the texts (key, text) in which a block of items is found."""
     name = uuid.uuid4().hex
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         auto = _automaton(items, name, window)
-        found = auto.documents(batch.column(1).to_pylist())
-        spans = [a + s for a, (_, s, _) in zip(batch.column(2).to_pylist(), found)]
-        names = [a + [auto.names[i] for i in k] for a, (_, _, k) in zip(batch.column(3).to_pylist(), found)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, type=pa.list_(pa.int32())), pa.array(names, type=pa.list_(pa.string()))], names=batch.schema.names)
+        rows = [(key, spans, [auto.names[i] for i in found]) for key, (_, spans, found) in zip(batch.column(0).to_pylist(), auto.documents(batch.column(1).to_pylist())) if spans]
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=["key", "spans", "items"])
 
     return fn
 
@@ -217,18 +243,22 @@ def cut_spans(text: str, hit: np.ndarray, longest: int, share: float) -> str:
     return "".join([*out, text[at:]])
 
 
-def _judge_batch(items: Broadcast, window: int, texts: bool, longest: int, share: float):
-    """Scan the last block of items, then judge each document by the spans and items of all blocks."""
-    scan = _scan_batch(items, window)
+def _judge_batch(items: Broadcast | None, window: int, texts: bool, longest: int, share: float):
+    """Judge documents (doc_id, text, spans, items) by what is given, or (doc_id, text) by what the only block finds."""
+    name = uuid.uuid4().hex
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch = scan(batch)
+        own = batch.column(1).to_pylist()
+        if items is None:
+            found = [(len(words_of(t)), spans or [], names or []) for t, spans, names in zip(own, batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        else:
+            auto = _automaton(items, name, window)
+            found = [(n, spans, [auto.names[i] for i in k]) for n, spans, k in auto.documents(own)]
         rows = []
-        for text, spans, names in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-            n = len(words_of(text))
+        for text, (n, spans, names) in zip(own, found):
             hit = _hit_positions(spans, n)
-            n_hit, found = int(hit.sum()), sorted(set(names))
-            row = [n, n_hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n]
+            n_hit, names = int(hit.sum()), sorted(set(names))
+            row = [n, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n]
             rows.append(row + [cut_spans(text, hit, longest, share) if n_hit else text] * texts)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.string()] * texts
         cols = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
@@ -237,27 +267,65 @@ def _judge_batch(items: Broadcast, window: int, texts: bool, longest: int, share
     return fn
 
 
+def _blocks(items: DataFrame):
+    """Broadcasts of the items (item_id, text), about ``BLOCK_BYTES`` of text each."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // BLOCK_BYTES) or 1
+    for b in range(n):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().collect()
+        yield n, items.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in block))
+
+
+_JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _hits(docs: DataFrame, items: DataFrame, window: int) -> tuple[Broadcast | None, DataFrame | None, DataFrame | None, DataFrame | None]:
+    """The broadcast of an only block; else the keyed texts, (key, spans, items) of the texts that any block is found in, and
+    the ids that stand for several texts."""
+    hashed, hits, keyed, unclear = C.hashed_texts(docs), None, None, None
+    for n, sent in _blocks(items):
+        if n == 1:
+            return sent, None, None, None
+        if keyed is None:
+            unclear = C.unclear_ids(hashed.select("doc_id", "h"))
+            keyed = C.with_key(hashed, unclear)
+        found = C.map_arrow(keyed.select("key", "text"), _scan_batch(sent, window), "key long, spans array<int>, items array<string>")
+        found = C.stored(found.dropDuplicates(["key"]))  # repeated rows have one key and equal spans
+        hits = found if hits is None else hits.union(found)
+    # a row a block at most
+    return None, keyed, hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")), unclear
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, texts: bool = True, longest: int = WINDOW, share: float = 0.05) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and, with ``texts``, ``clean_text``: the text
     without spans of ``longest`` words or more, and without any hit span where these cover ``share`` of its words."""
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().collect()
-        sent = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in block))
-        if b < blocks - 1:  # a table between blocks: each pass holds one automaton
-            found = C.stored(C.map_arrow(found, _scan_batch(sent, window), "doc_id long, text string, spans array<int>, items array<string>"))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * texts
-    return C.map_arrow(found, _judge_batch(sent, window, texts, longest, share), schema)
-
-
-def contaminated_removed(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents."""
-    bad = decontaminate(docs, items, texts=False).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    sent, keyed, hits, _ = _hits(docs, items, window)
+    rows = C.hashed_texts(docs).select("doc_id", "text") if sent else keyed.join(hits, "key", "left").select("doc_id", "text", "spans", "items")
+    return C.map_arrow(rows, _judge_batch(sent, window, texts, longest, share), _JUDGED + ", clean_text string" * texts)
+
+
+def contaminated_removed(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without contaminated documents. With one block of items no row is shuffled.
+
+    Null and empty texts stay; repeated rows stay or go together; rows with equal or missing ids are each judged by their
+    own text; an empty table stays empty; columns keep names and values.
+    """
+    sent, keyed, hits, unclear = _hits(docs, items, window)
+    judge = _judge_batch(sent, window, False, window, 0.0)
+    if sent:
+        C.ship(docs.sparkSession)
+
+        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                own = pa.array(texts.tolist(), type=pa.string())
+                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), own], names=["doc_id", "text"])
+                bad = [c for part in C.slices(rows) for c in judge(part).column(5).to_pylist()]
+                yield pd.Series(~np.array(bad, dtype=bool))
+
+        return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
+    bad = C.map_arrow(keyed.join(hits, "key").select("key", "text", "spans", "items"), judge, _JUDGED).where("contaminated")
+    return C.keyed_rows(docs, unclear).join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
