@@ -6,18 +6,21 @@ language the set bits are counted over the text and corrected for false positive
 full slots to the power ``HASHES``); the highest corrected count decides. ``score`` is that count per n-gram.
 
 Learning reads a bounded sample: at most ``SAMPLE`` labelled documents per language (those with the smallest hash of
-their id). Their n-grams are counted in Spark, and the ``TOP`` most frequent of each language go into the filter, whose
-size follows from ``TOP`` and the number of languages, not from the corpus. Prediction reads every
+their id). Their n-grams are counted in Spark, and the ``TOP`` most frequent of each language go into the
+filter, whose size follows from ``TOP`` and the number of languages, not from the corpus. Prediction reads every
 whole text and nothing but the text.
 
 Defined results: null text or one without a letter is ``und`` with score 0; a text with letters always gets a learned
-language (ties: the first by name; no known n-gram: score 0); without any labelled row all are ``und``;
-repeated rows are each predicted; other columns are ignored; an empty table gives an empty result.
+language (ties: the first by name; no known n-gram: score 0); without any labelled text that holds a letter all are
+``und``; documents without an id teach nothing and are predicted as not held out (crc32 of a null is null); repeated rows are
+each predicted; of rows with an equal id one text teaches; long texts are read whole; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +30,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common as C
 
-#: Labelled documents per language (up to 1,000, Spark keeps only the first of each group in every task before it
-#: shuffles, so a language with most of the rows is no burden), n-grams per language, hashes per n-gram.
+#: Labelled documents per language, n-grams per language, hashes per n-gram.
 SAMPLE, TOP, HASHES = 1_000, 20_000, 3
 
 SLICE = 1 << 20
@@ -122,13 +124,19 @@ def _count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Filters:
-    """Filters from ``labelled`` (doc_id, text, lang); at most ``sample`` documents and ``top`` n-grams a language."""
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang")
-    texts = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids a language
-    counts = C.map_arrow(texts.select(F.col("text").cast("string"), "lang"), _count_batch, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    """Filters from ``labelled`` (doc_id, text, lang); at most ``sample`` documents and ``top`` n-grams a language.
+
+    A language's rows are first thinned to those whose hash lies below the place where about twice the sample is expected,
+    so that no task ranks all rows of a frequent language.
+    """
+    known = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.withColumn("h", F.xxhash64("doc_id"))
+    rows = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.expr(f"cast({1 << 30} * least(1.0, {2 * sample + 100} / n) as long)").alias("below"))
+    thin = known.join(F.broadcast(rows), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).select("lang", "h", "doc_id")  # one row a language
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = thin.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "doc_id")
+    texts = known.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("text", "lang")  # at most `sample` rows a language
+    counts = C.map_arrow(texts, _count_batch, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("k", F.row_number().over(by_count)).where(F.col("k") <= top)
     found = best.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
@@ -147,7 +155,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def held_out(doc_id="doc_id"):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -157,13 +165,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def undetermined_removed(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` without the texts that have no language: ``und``, or a score under ``least``. No row is shuffled."""
+    """``docs`` without the texts that have no language: ``und``, or a score under ``least``. No row is shuffled.
+
+    Texts of one Arrow batch are looked at in slices. Null and empty texts, and texts without a letter, go; repeated rows and
+    rows without an id are each judged by their text; an empty table stays empty; columns keep names and values.
+    """
     C.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out()).select("doc_id", "text", "lang")))
 
-    def kept(texts: pd.Series) -> pd.Series:
-        names, score = sent.value.predict(texts.tolist())
-        return pd.Series([n != "und" and s >= least for n, s in zip(names, score)], dtype="bool")
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            names, score = sent.value.predict(texts.tolist())
+            yield pd.Series([n != "und" and s >= least for n, s in zip(names, score)], dtype="bool")
 
     return docs.where(F.pandas_udf(kept, "boolean")(F.col("text").cast("string")))
 
