@@ -17,7 +17,8 @@ How:
    group). A set with too many empty slices for this count stays. An edited copy fails this once its edits are its own.
 4. The rest is partitioned into groups of similar sets: by the most widely shared token, whose smallest set is the
    centre. Sets that link with their centre form groups that are one component already; the others form
-   groups of their own. Groups are split by hash to about ``GROUP`` members, so none is unbounded.
+   groups of their own. Groups are split by hash to ``GROUP`` members at most on average (the number of sets that share
+   the token bounds them, so nothing is counted again), so none is unbounded.
 5. The token-group matrix holds each group's token union. A query set meets only groups whose union has
    one of its tokens, never those of its own component; there, the group's shingle union bounds the overlap:
    fewer than ``percent`` of the query's shingles in the union and the group stays closed. In an opened group
@@ -25,8 +26,9 @@ How:
    all pairs of a group. Components follow by min-label propagation with a stored table per round.
 
 Defined results: null text, no words -> ``n_shingles`` 0, linked with nothing (own ``doc_id``); fewer than
-three words -> the whole sequence is the one shingle; repeated rows and equal ids are copies of each other;
-other columns are ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes
+three words -> the whole sequence is the one shingle; repeated rows are copies of each other; rows with an equal
+``doc_id`` but other texts are each linked by their own text; a missing ``doc_id`` counts as larger than all, and a
+component of such rows alone has none; other columns are ignored; an empty table gives an empty result. Shingles are compared by 64-bit hashes
 (two different shingles of one corpus of 10^9 collide with probability 0.03, and one collision moves one
 similarity by one shingle), classes by 128 bits.
 """
@@ -36,15 +38,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import common as C
 
 #: Size bands grow by this factor.
 BAND = 1.6
-#: Members of a group, and queries that open it in one task; fine slices per slice.
-GROUP, QUERIES, FINE = 256, 1024, 2
+#: Members of a group, and queries that open it in one task; fine slices per slice; tokens of a bucket.
+GROUP, QUERIES, FINE, BUCKET = 256, 1024, 2, 4 << 20
 
 
 def _allowed_difference(total: int, percent: int) -> int:
@@ -125,19 +127,19 @@ def slice_tokens(s: np.ndarray, bands: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _sets_batch(n: int):
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_hashes(batch.column(1).to_pylist(), n)
+        sets = shingle_hashes(batch.column(2).to_pylist(), n)
         a = [int(C.mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
         b = [int(C.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64))],
-            names=["doc_id", "n_shingles", "sig_a", "sig_b"],
+            [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64))],
+            names=["doc_id", "h", "n_shingles", "sig_a", "sig_b"],
         )
 
     return fn
 
 
 def _tokens_of(n: int, percent: int):
-    """Slice tokens of each text of a batch (doc_id, text)."""
+    """Slice tokens of each text of a batch (key, text)."""
     bands = _bands(percent)
 
     def make(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -153,7 +155,7 @@ def _tokens_of(n: int, percent: int):
 
 
 def _fine_tokens_of(percent: int):
-    """Fine tokens of each set of a batch (rep, shingles); the id is twice the rep, plus one for the next band."""
+    """Fine tokens of each set of a batch (number, shingles); the id is twice the number, plus one for the next band."""
     bands = _bands(percent)
 
     def make(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -246,13 +248,20 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "rep": np.concatenate(reps)})
 
 
-def shared_tokens(df: DataFrame, make) -> DataFrame:
-    """Stored rows (token, rep) of all tokens that two entries or more hold; ``make`` gives a batch's ids and tokens."""
-    buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def shared_tokens(df: DataFrame, make, expected: int) -> DataFrame:
+    """Stored rows (token, rep) of all tokens that two entries or more hold; ``make`` gives a batch's ids and tokens, about
+    ``expected`` at most in all. A bucket is one task's, so their number follows the tokens."""
+    buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET))
     dealt = C.map_arrow(df, _deal_batch(make, buckets), "bucket int, direct boolean, low binary, high binary, ids binary, owner binary")
     return C.stored(dealt.groupBy("bucket").applyInPandas(_meet, "token long, rep long").distinct())
 
 
+def _expected_tokens(sizes: DataFrame, percent: int, fine: int) -> int:
+    """Tokens of sets of ``n_shingles``, about at most: the slices of the band's largest set, in two bands."""
+    d = f"2.0 * {BAND} * n_shingles * {100 - percent} / {100 + percent}"
+    return int(sizes.agg(F.sum(F.expr(f"2 * {fine} * (3 + 1.07 * {d})"))).first()[0] or 0)
+
+
 def _open_group(percent: int):
     """Compare the queries of a group with its members; emit a spanning set of the links found."""
 
@@ -329,40 +338,47 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, calls: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the sets that call a group and its members; both are (rep, open)."""
-    load = calls.groupBy("open").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("deals"))
-    queries = calls.join(load, "open").select("rep", "open", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("deals")).cast("int").alias("deal"))
-    queries = queries.join(shingles, "rep")
+    """Links (a, b) between the sets that call a group and its members: (rep, open) and, in ``deals`` tasks a group,
+    (rep, open, deals). A member goes to each of its group's deals, a call to one."""
+    C.ship(calls.sparkSession)
+    # stored, so that both sides of the join are plain exchanges and the callers of a hot group can be split
+    load = C.stored(calls.select("open", "deals").distinct())
+    queries = calls.select("rep", "open", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("deals")).cast("int").alias("deal")).join(shingles, "rep")
     members = members.join(load, "open").select("rep", "open", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")).join(shingles, "rep")
     members = members.select(*[F.col(c).alias(c) for c in members.columns])
-    C.ship(calls.sparkSession)
     return members.groupBy("open", "deal").cogroup(queries.groupBy("open", "deal")).applyInPandas(_open_group(percent), "a long, b long")
 
 
-def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id, rep``: the similarity classes of ``docs`` (doc_id, text).
+def _deals(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / QUERIES)).cast("int")
 
-    ``rep`` is the smallest ``doc_id`` with an equal set.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = C.stored(C.map_arrow(texts, _sets_batch(n), "doc_id long, n_shingles long, sig_a long, sig_b long"))
+
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, key, n_shingles, component_id, first_key`` of each row of ``docs``, and the ids that stand for several texts.
+    ``first_key`` is the key of the component's smallest document."""
+    hashed = C.hashed_texts(docs)
+    read = C.stored(C.map_arrow(hashed.select("doc_id", "h", "text"), _sets_batch(n), "doc_id long, h long, n_shingles long, sig_a long, sig_b long"))
+    unclear = C.unclear_ids(read)
+    sets = C.with_key(read, unclear).withColumn("place", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("at"), "key"))
+    texts = C.with_key(hashed, unclear).select("key", "text")
     sig = ["n_shingles", "sig_a", "sig_b"]
     # stored, so that both sides of the joins below are plain exchanges and a hot class or token can be split
-    classes = C.stored(sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("rep")))
+    classes = C.stored(sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("place").alias("place")).select(*sig, "place", F.col("place.key").alias("rep")))
     # copies share all their tokens; only their representative's rows stay
-    every = shared_tokens(texts, _tokens_of(n, percent))
+    every = shared_tokens(texts, _tokens_of(n, percent), _expected_tokens(read, percent, 1))
     rows = every.join(classes.select("rep"), "rep", "left_semi")
     shared = C.stored(rows.groupBy("token").agg(F.count("*").alias("n_sets")).where("n_sets > 1"))
     rows = C.stored(rows.join(shared, "token"))
     C.dropped(every, shared)
 
     # shingles of the sets that share a token, and those of them that may have a partner
-    wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
-    bodies = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bodies = C.stored(C.map_arrow(bodies, _shingles_batch(n, percent), "rep long, shingles array<long>, need_0 long, need_1 long"))
-    met = shared_tokens(bodies.select("rep", "shingles"), _fine_tokens_of(percent))
+    wanted = rows.select(F.col("rep").alias("key")).distinct()
+    bodies = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    bodies = C.map_arrow(bodies, _shingles_batch(n, percent), "rep long, shingles array<long>, need_0 long, need_1 long")
+    bodies = C.stored(bodies.withColumn("number", F.monotonically_increasing_id()))
+    met = shared_tokens(bodies.select("number", "shingles"), _fine_tokens_of(percent), _expected_tokens(bodies.select(F.size("shingles").alias("n_shingles")), percent, FINE))
     fine = met.groupBy("rep").agg(F.count("*").alias("n"))
-    fine = fine.select(F.shiftright("rep", 1).alias("rep"), (F.col("rep") % 2 != 0).alias("next"), "n").join(bodies.select("rep", "need_0", "need_1"), "rep")
+    fine = fine.select(F.shiftright("rep", 1).alias("number"), (F.col("rep") % 2 != 0).alias("next"), "n").join(bodies.select("number", "rep", "need_0", "need_1"), "number")
     free = bodies.where("need_0 = 0 or need_1 = 0").select("rep")
     alive = fine.where(F.col("n") >= F.when(F.col("next"), F.col("need_1")).otherwise(F.col("need_0"))).select("rep").union(free).distinct()
     shingles = C.stored(bodies.select("rep", "shingles").join(alive, "rep", "left_semi"))
@@ -372,42 +388,59 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     rows = near
 
     # partition: the most widely shared token of each set names its cluster, the cluster's smallest set is the centre
-    home = rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token"))["token"].alias("cluster"))
-    centre = home.groupBy("cluster").agg(F.min("rep").alias("centre"))
-    home = C.stored(home.join(centre, "cluster"))
+    top = C.stored(rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token")).alias("top")).select("rep", F.col("top.token").alias("cluster"), F.col("top.n_sets").alias("n_sets")))
+    centre = C.stored(top.groupBy("cluster").agg(F.min("rep").alias("centre")))
+    home = top.join(centre, "cluster")
     stars = _open(
         home.where("rep = centre").select("rep", F.col("cluster").alias("open")),
-        home.where("rep != centre").select("rep", F.col("cluster").alias("open")),
+        home.where("rep != centre").select("rep", F.col("cluster").alias("open"), _deals(F.col("n_sets")).alias("deals")),
         shingles,
         percent,
     )
     stars = C.stored(stars)
     linked = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
     homes = home.join(linked.withColumn("in_star", F.lit(True)), "rep", "left").withColumn("in_star", F.coalesce("in_star", F.lit(False)))
-    split = homes.groupBy("cluster", "in_star").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     # groups of stars have negative names: of two groups the one with the larger name calls, so loose sets call stars
-    name = F.xxhash64("cluster", "in_star", F.pmod(F.xxhash64("rep"), F.col("parts"))).bitwiseAND(F.lit((1 << 63) - 1))
-    groups = homes.join(split, ["cluster", "in_star"]).select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp"))
-    groups = C.stored(groups)
+    name = F.xxhash64("cluster", "in_star", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_sets") / GROUP))).bitwiseAND(F.lit((1 << 63) - 1))
+    groups = C.stored(homes.select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp")))
 
     # the matrix, and the groups that each query may open
     mine = rows.join(groups, "rep").select("rep", "token", "star", "grp")
     matrix = mine.select("token", F.col("grp").alias("open"), F.col("star").alias("of_star")).distinct()
     other = F.col("star").isNull() | F.col("of_star").isNull() | (F.col("star") != F.col("of_star"))
     calls = C.stored(mine.join(matrix, "token").where((F.col("grp") >= F.col("open")) & other).select("rep", "open").distinct())
-    links = C.stored(_open(groups.select("rep", F.col("grp").alias("open")), calls, shingles, percent))
-    C.dropped(rows, shingles, home, groups, calls)
+    load = C.stored(calls.groupBy("open").agg(F.count("*").alias("n")))
+    links = _open(groups.select("rep", F.col("grp").alias("open")), calls.join(load, "open").select("rep", "open", _deals(F.col("n")).alias("deals")), shingles, percent)
+    links = C.stored(links)
+    C.dropped(rows, shingles, top, centre, groups, calls, load)
     labels = components(stars.union(links))
 
-    out = sets.select("doc_id", *sig).join(classes, sig, "left").join(labels, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"))
+    # the smallest document of each component, over all of its classes
+    members = labels.union(labels.select(F.col("component").alias("node"), "component").distinct())
+    linked_classes = C.stored(classes.join(members, F.col("rep") == F.col("node")).select(*sig, "component", "place"))
+    first = C.stored(linked_classes.groupBy("component").agg(F.min("place").alias("place")))
+    known = classes.join(linked_classes.select(*sig, "component"), sig, "left").join(first.withColumnRenamed("place", "first"), "component", "left")
+    known = C.stored(known.select(*sig, F.coalesce("first", "place").alias("first")))
+    out = sets.join(known, sig, "left").withColumn("first", F.coalesce("first", "place"))
+    missing = F.col("first.at") == (1 << 63) - 1
+    return out.select("doc_id", "key", "n_shingles", F.when(~missing | F.col("doc_id").isNotNull(), F.col("first.at")).alias("component_id"), F.col("first.key").alias("first_key")), unclear
+
+
+def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: the similarity classes of ``docs`` (doc_id, text)."""
+    return _classes(docs, n, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` without the documents whose similarity class has a smaller ``doc_id``."""
-    kept = ngram_components(docs, n, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """``docs`` without the documents whose similarity class has a smaller one.
+
+    Null and empty texts stay (they are linked with nothing); repeated rows are one document and stay or go together; rows
+    without an id come after all others; an empty table stays empty; columns keep names and values.
+    """
+    found, unclear = _classes(docs, n, percent)
+    kept = found.where("key = first_key").select("key").distinct()
+    return C.keyed_rows(docs, unclear).join(kept, "key", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(C.documents_of(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return ngram_components(C.documents_of(spark, sf_dir))
