@@ -1,29 +1,34 @@
 """Main text of web pages by consensus host paths (operator 1).
 
-1. Each page is read into containers with generalised tag-class paths (digits become ``#``, ids are left out). A
-   page's own containers are its outermost articles and mains where they hold half of its text or more, else
-   the lowest container around all of its blocks that are text rather than links, the body included.
+1. Each page is read into containers with generalised tag-class paths (digits become ``#``, ids are left out), in time
+   linear in its length however deep it nests. A page's own containers are its outermost articles and mains where they hold
+   half of its text or more, else the lowest container around all of its blocks that are text rather than links, the body
+   included.
 2. In Spark the pages of a host vote on paths. Votes are summed before they are shuffled by host, and a host keeps its
    ``WINNERS`` best, so a host with a third of all pages is a few rows per task.
-3. Pages are read again: of the host's winning paths whose containers cover the page's own ones, the one with least text
-   gives all of its containers that are not mostly links; a page without such a path gives its own containers.
+3. Pages are read again: of the host's winning paths, in the order of their votes (ties: by path), the first whose containers
+   cover the page's own ones gives all of its containers that are not mostly links; a page without such a path gives its own
+   containers.
 
 No part is left out for its size. Where the whole body is the container, links before the first and after the last
 block of text are not part of it.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-by element, role and class name, inside the chosen container too. Character references are decoded,
-white space inside a block becomes one blank, blocks are joined in page order by one blank.
+Menus, footers, sidebars, forms, scripts and styles are left out by element and role, headers outside of articles. A class
+or id name is evidence only: a container that is called a notice, an advert, comments or the like (the last part of a
+name, or a name of nothing else) goes unless it holds most of the page's text or an article; one whose name merely contains such a word
+goes only if it is mostly links. Character references are decoded, white space inside a block becomes one blank, blocks are
+joined in page order by one blank.
 
 Defined results: null or empty html gives the empty text; null urls are one host of their own; pages without a
-container give the text of their body; repeated rows are each read; other columns are ignored; an empty table
-gives an empty result.
+container give the text of their body; repeated rows, and rows with equal or missing ids, are each read; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,60 +51,137 @@ _CONTAINERS = frozenset("html body main article section div td center table tr t
 _LEFT_OUT = frozenset("head title nav footer aside form button select option menu dialog".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table thead tbody tfoot tr td th hr address fieldset legend details summary header".split()) | _CONTAINERS | _LEFT_OUT
 _VOID = frozenset("br hr img input meta link source area base col embed param track wbr".split())
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|widget|footer|masthead|site-header|page-header|banner|cookies?|consent|gdpr|notice|alert|"
-    r"ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|respond|pagination|pager|toolbar|skip-link)(?:$|[-_\s\d])",
-    re.I,
+#: Words that name what is not main text, and words that say nothing beside them.
+_NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead banner cookie cookies consent gdpr notice alert ad ads advert adverts advertisement "
+    "advertising sponsor sponsored promo promotion popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments "
+    "disqus replies respond pagination pager toolbar skip".split()
 )
+_PLAIN = frozenset("main site page header top bottom left right side box bar block list container wrapper wrap section area item items link links slot unit inner posts post stories buttons button media form thread".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
-_DIGITS = re.compile(r"\d+")
+_DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[-_\s]+")
 
 
 class _Node:
-    __slots__ = ("first", "last", "links", "noise", "own", "parent", "path", "tag", "text")
+    __slots__ = ("first", "hard", "holds_article", "last", "links", "name", "noise", "own", "own_links", "parent", "path", "tag", "text")
 
-    def __init__(self, tag, path, parent, noise, first):
-        self.tag, self.path, self.parent, self.noise, self.first = tag, path, parent, noise, first
+    def __init__(self, tag: str, path: int, parent: "_Node | None", hard: bool, name: int, first: int):
+        self.tag, self.path, self.parent, self.hard, self.name, self.first = tag, path, parent, hard, name, first
         self.last = first
-        self.own = self.text = self.links = 0
-
-
-def _names(attributes: str) -> tuple[list[str], str, str]:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
-    return sorted(set(found.get("class", "").split())), found.get("id", ""), found.get("role", "").lower()
-
-
-def read_page(page: str | None) -> tuple[list[str], list[_Node], list[tuple[int, _Node]], _Node]:
-    """Blocks of text outside noise, in page order; the containers that hold them; (block, holder) of the blocks that are
-    text rather than links; the root."""
-    root = _Node("", "", None, False, 0)
-    stack, nodes, blocks, dense = [root], [], [], []
+        self.own = self.own_links = self.text = self.links = 0
+        self.noise = self.holds_article = False
+
+
+class Page:
+    """``blocks`` of main text candidates in page order, the ``nodes`` that hold them, the positions and holders of the blocks
+    that are text rather than links (``dense``), and the ``root``."""
+
+    def __init__(self) -> None:
+        self.root = _Node("", 0, None, False, 0, 0)
+        self.nodes: list[_Node] = []
+        self.raw: list[tuple[str, _Node, int, int]] = []  # block, holder, characters of text and of links
+        self.paths: dict[tuple[int, str], int] = {}
+        self.labels: list[tuple[int, str]] = [(0, "")]
+
+    def path_of(self, n: _Node) -> str:
+        parts, at = [], n.path
+        while at:
+            at, label = self.labels[at]
+            parts.append(label)
+        return "".join(f">{x}" for x in reversed(parts))
+
+    def path_number(self, path: str) -> int | None:
+        at: int | None = 0
+        for label in path.split(">")[1:]:
+            at = self.paths.get((at, label))
+            if at is None:
+                return None
+        return at
+
+    def _sum(self, rows) -> None:
+        for n in (self.root, *self.nodes):
+            n.text = n.links = 0
+        for _, holder, size, links in rows:
+            holder.text += size
+            holder.links += links
+        for n in reversed(self.nodes):  # parents come before their children
+            n.parent.text += n.text
+            n.parent.links += n.links
+
+    def settle(self) -> None:
+        """Decide which containers are noise, and keep the blocks of the others."""
+        self._sum(self.raw)
+        for n in reversed(self.nodes):
+            if n.holds_article or n.tag in ("article", "main"):
+                n.parent.holds_article = True
+        most = self.root.text
+        for n in self.nodes:
+            up = n.parent
+            if n.tag in ("article", "main"):
+                n.noise = up.noise and up.tag not in ("form", "header", "nav", "head")
+            else:
+                called = n.name == 2 and not n.holds_article and 2 * n.text <= most or n.name == 1 and n.links >= n.text
+                n.noise = up.noise or n.hard or called
+        before, kept = [0], []
+        for row in self.raw:
+            if not row[1].noise:
+                kept.append(row)
+            before.append(len(kept))
+        self._sum(kept)
+        for n in (self.root, *self.nodes):
+            n.first, n.last = before[n.first], before[n.last]
+        self.nodes = [n for n in self.nodes if not n.noise]
+        self.blocks = [r[0] for r in kept]
+        self.dense = [(k, r[1]) for k, r in enumerate(kept) if 2 * r[2] >= len(r[0])]
+
+
+def _attributes(text: str) -> tuple[list[str], str, str]:
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if "=" in text else {}
+    return sorted(set(found.get("class", "").replace(">", "_").split())), found.get("id", ""), found.get("role", "").lower()
+
+
+def _called_noise(names: list[str]) -> int:
+    """2 if a name says that this is no main text, 1 if it contains such a word, else 0."""
+    worst = 0
+    for name in names:
+        parts = [p for p in _PARTS.split(_DIGITS.sub("", name.lower())) if p]
+        hits = [p in _NAMES for p in parts]
+        if any(hits):
+            sure = hits[-1] or all(h or p in _PLAIN for h, p in zip(hits, parts))
+            worst = max(worst, 2 if sure else 1)
+    return worst
+
+
+def read_page(page: str | None) -> Page:
+    out = Page()
+    stack, opened = [out.root], Counter()
     pieces: list[str] = []
-    linked = in_link = 0
+    linked = in_link = held = 0
 
     def close_block() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
-            if text and not stack[-1].noise:
-                holder = stack[-1]
-                size = max(0, len(text) - linked)
-                if 2 * size >= len(text):
-                    dense.append((len(blocks), holder))
-                blocks.append(text)
-                holder.own += size
-                while holder is not None:
-                    holder.text += size
-                    holder.links += min(linked, len(text))
-                    holder = holder.parent
+            if text:
+                out.raw.append((text, stack[-1], max(0, len(text) - linked), min(linked, len(text))))
         linked = 0
 
     def pop_to(depth: int) -> None:
+        nonlocal held
         close_block()
         while len(stack) > depth:
-            stack.pop().last = len(blocks)
+            n = stack.pop()
+            n.last = len(out.raw)
+            opened[n.tag] -= 1
+            held -= n.tag in ("article", "main")
+
+    def pop_tag(tag: str) -> None:
+        if opened[tag] > 0:
+            k = len(stack) - 1
+            while stack[k].tag != tag:
+                k -= 1
+            pop_to(k)
 
     at, source = 0, page or ""
     for m in _TOKEN.finditer(source):
@@ -119,61 +201,57 @@ def read_page(page: str | None) -> tuple[list[str], list[_Node], list[tuple[int,
             pieces.append(" ")
             continue
         if tag not in _BLOCKS:
-            if not m[2] and m[4] and tag not in _VOID and tag != "meta":
-                names, ident, role = _names(m[4])
-                if tag not in ("b", "i", "em", "strong", "span", "a") or not names:
-                    continue
             continue
         close_block()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
+            pop_tag(tag)
             continue
         if tag in _VOID or m[4].endswith("/"):
             continue
         if tag == "body":
-            for k in range(1, len(stack)):
-                if stack[k].tag == "head":
-                    pop_to(k)
-                    break
-        names, ident, role = _names(m[4]) if m[4] else ([], "", "")
-        if tag in ("article", "main"):
-            top = stack[-1]
-            noise = top.noise and top.tag not in ("form", "header", "nav", "head")
-        else:
-            noise = stack[-1].noise or tag in _LEFT_OUT
-        held = any(s.tag in ("article", "main") for s in stack)
-        noise = noise or tag == "header" and not held or role in _ROLES
-        if not noise and tag not in ("html", "body", "article", "main") and (names or ident):
-            noise = _NOISE.search(" ".join([*names, ident])) is not None
-        if tag in _CONTAINERS or noise:
+            pop_tag("head")
+        if tag == "td" and stack[-1].tag == "td":  # cells and rows end where the next one begins
+            pop_to(len(stack) - 1)
+        if tag == "tr":
+            while stack[-1].tag in ("td", "tr"):
+                pop_to(len(stack) - 1)
+        names, ident, role = _attributes(m[4]) if m[4] else ([], "", "")
+        whole = tag in ("html", "body", "article", "main")
+        hard = not (tag in ("article", "main")) and (tag in _LEFT_OUT or tag == "header" and not held or role in _ROLES)
+        name = _called_noise([*names, ident]) if (names or ident) and not whole else 0
+        if tag in _CONTAINERS or hard or name:
             label = ".".join([tag, *(_DIGITS.sub("#", n) for n in names)])
-            node = _Node(tag, f"{stack[-1].path}>{label}", stack[-1], noise, len(blocks))
+            key = (stack[-1].path, label)
+            path = out.paths.get(key)
+            if path is None:
+                path = out.paths[key] = len(out.labels)
+                out.labels.append(key)
+            node = _Node(tag, path, stack[-1], hard, name, len(out.raw))
             stack.append(node)
-            if not noise:
-                nodes.append(node)
+            out.nodes.append(node)
+            opened[tag] += 1
+            held += tag in ("article", "main")
     if at < len(source):
         pieces.append(source[at:])
     pop_to(1)
     close_block()
-    root.last = len(blocks)
-    return blocks, nodes, dense, root
+    out.root.last = len(out.raw)
+    out.settle()
+    return out
 
 
-def own_containers(nodes: list[_Node], dense: list[tuple[int, _Node]], root: _Node) -> list[_Node]:
+def own_containers(page: Page) -> list[_Node]:
     """The containers that hold a page's whole main text, in page order."""
     articles: list[_Node] = []
-    for n in nodes:
+    for n in page.nodes:
         if n.tag in ("article", "main") and n.text and n.text >= n.links and not (articles and n.first < articles[-1].last):
             articles.append(n)
-    if articles and 2 * sum(n.text for n in articles) >= root.text:
+    if articles and 2 * sum(n.text for n in articles) >= page.root.text:
         return articles
-    if not dense:
-        return [root]
-    lowest = dense[0][1]
-    while lowest.last <= dense[-1][0]:
+    if not page.dense:
+        return [page.root]
+    lowest = page.dense[0][1]
+    while lowest.last <= page.dense[-1][0]:
         lowest = lowest.parent
     return [lowest]
 
@@ -182,27 +260,40 @@ def _whole_page(n: _Node) -> bool:
     return n.tag in ("", "html", "body")
 
 
-def extract(page: str | None, winners: list[str] | None = None) -> str:
-    """Main text of a page under its host's winning paths."""
-    blocks, nodes, dense, root = read_page(page)
-    own = own_containers(nodes, dense, root)
+def _cover(nodes: list[_Node], own: list[_Node]) -> bool:
+    """Whether each own container lies in one of ``nodes``; both in page order, neither nested in itself."""
+    k = 0
+    for o in own:
+        while k < len(nodes) and nodes[k].last < o.last:
+            k += 1
+        if k == len(nodes) or nodes[k].first > o.first:
+            return False
+    return True
+
+
+def extract(html: str | None, winners: list[str] | None = None) -> str:
+    """Main text of a page under its host's winning paths, best first."""
+    page = read_page(html)
+    own = own_containers(page)
+    blocks, dense = page.blocks, page.dense
     if _whole_page(own[0]):
         return " ".join(blocks[dense[0][0] : dense[-1][0] + 1] if dense else blocks)
-    held: dict[str, list[_Node]] = {}
-    for n in nodes:
-        if n.text and n.text >= n.links and not _whole_page(n):
-            held.setdefault(n.path, []).append(n)
-    covers = [held[p] for p in winners or [] if p in held and all(any(n.first <= o.first and o.last <= n.last for n in held[p]) for o in own)]
-    chosen = min(covers, key=lambda c: sum(n.text for n in c)) if covers else own
+    chosen = own
+    for number in map(page.path_number, winners or []):
+        nodes = [n for n in page.nodes if n.path == number and n.text and n.text >= n.links and not _whole_page(n)] if number else []
+        if nodes and _cover(nodes, own):
+            chosen = nodes
+            break
     return " ".join(b for n in chosen for b in blocks[n.first : n.last])
 
 
 def _votes_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     hosts, paths, votes = [], [], []
     for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        for k, path in enumerate(dict.fromkeys(n.path for n in own_containers(*read_page(page)[1:]) if n.path)):
+        read = read_page(page)
+        for k, n in enumerate({n.path: n for n in own_containers(read) if n.path}.values()):
             hosts.append(host)
-            paths.append(path)
+            paths.append(read.path_of(n))
             votes.append(SECOND if k else 1.0)
     return pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(paths, type=pa.string()), pa.array(votes, type=pa.float64())], names=["host", "path", "vote"])
 
