@@ -6,18 +6,20 @@ word is removed if a window over it has a word sequence that also starts in a do
 
 How:
 
-1. Documents with the same word sequence are one class; only its smallest ``doc_id`` goes on. A longer copy
+1. Documents with the same word sequence are one class; only those of its smallest ``doc_id`` go on. A longer copy
    (``WINDOW`` words or more) loses all its words, a shorter one none.
 2. Anchors: words ``[p, p + 20)`` are hashed only at positions ``p`` with ``p mod 31`` in a difference cover of 31.
    For any two positions ``i, j`` there is a shift ``h < 31`` with ``i + h`` and ``j + h`` both in the cover, and
-   ``h + 20 <= 50``: so any two equal windows share an aligned anchor. Per anchor hash only the smallest and largest
-   document are aggregated (map-side first), so an anchor that a third of all documents hold is one row per task.
+   ``h + 20 <= 50``: so any two equal windows share an aligned anchor. Anchors are computed once, in the pass that reads the
+   words, and stored. Per anchor hash only the smallest and largest document are aggregated (map-side first), so an
+   anchor that a third of all documents hold is one row per task.
 3. An anchor seen in two documents extends: in the documents that hold it, the windows that contain it are
    hashed whole, and each window hash keeps its smallest document. A window is removed where that
    document is smaller. No pairs of documents are formed.
 
 Defined results: null or empty text has no words, ``n_removed`` 0 and the digest of the empty text; a text shorter
-than a window keeps all words; repeated rows with an equal ``doc_id`` are each judged alike; other columns are
+than a window keeps all words; repeated rows are each judged alike, and rows with an equal ``doc_id`` but other texts each by
+their own text, none being smaller than the other; a missing ``doc_id`` counts as larger than all; other columns are
 ignored; an empty table gives an empty result. Sequences are compared by 64-bit hashes of 20 and 128-bit
 hashes of 50 words and of whole texts.
 """
@@ -79,26 +81,23 @@ def cover_positions(n: int) -> np.ndarray:
 
 
 def _profile_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    words, n = _split(batch.column(1).to_pylist())
+    """Size, digest and anchors of each text of (doc_id, h, text)."""
+    words, n = _split(batch.column(2).to_pylist())
     digest = [hashlib.sha256(b" ".join(w)).digest() for w in words]
     key = np.frombuffer(b"".join(d[:16] for d in digest), dtype="<i8").reshape(-1, 2)
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(n), pa.array([d.hex() for d in digest]), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy())],
-        names=["doc_id", "n_words", "sha256", "key_a", "key_b"],
-    )
-
-
-def _anchors_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    words, n = _split(batch.column(1).to_pylist())
     h, starts = _flat(words), np.cumsum(n) - n
     run = rolled(h, ANCHOR)
     found = [np.unique(run[s + cover_positions(int(c))]) for s, c in zip(starts, n)]
     flat = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-    return pa.RecordBatch.from_arrays([batch.column(0), C.list_array(flat.view(np.int64), np.array([len(x) for x in found]))], names=["doc_id", "anchors"])
+    anchors = C.list_array(flat.view(np.int64), np.array([len(x) for x in found], dtype=np.int64))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(n), pa.array([d.hex() for d in digest], type=pa.string()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), anchors],
+        names=["doc_id", "h", "n_words", "sha256", "key_a", "key_b", "anchors"],
+    )
 
 
 def _windows_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Windows that contain one of the document's shared anchors: positions and 128-bit hashes."""
+    """Windows that contain one of the document's shared anchors (key, text, anchors, place): positions and 128-bit hashes."""
     words, n = _split(batch.column(1).to_pylist())
     h, starts = _flat(words), np.cumsum(n) - n
     run, whole_a, whole_b = rolled(h, ANCHOR), rolled(h, WINDOW), rolled(h, WINDOW, _BASE_B)
@@ -122,7 +121,7 @@ def _windows_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     offsets = np.zeros(len(n) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     windows = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=["pos", "a", "b"]))
-    return pa.RecordBatch.from_arrays([batch.column(0), windows], names=["doc_id", "windows"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), windows], names=["key", "place", "windows"])
 
 
 def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,42 +138,48 @@ def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed.append(int(gone.sum()))
         digests.append(hashlib.sha256(kept).hexdigest())
         texts.append(kept.decode("utf-8", "replace"))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, type=pa.int64()), pa.array(digests), pa.array(texts)], names=["doc_id", "cut", "cut_sha256", "cut_text"])
-
-
-def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Profiles of all documents, and the documents that lose a part: (doc_id, cut, cut_sha256, cut_text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = C.stored(C.map_arrow(texts, _profile_batch, "doc_id long, n_words long, sha256 string, key_a long, key_b long"))
-    key = ["n_words", "key_a", "key_b"]
-    first = profile.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"))
-    profile = C.stored(profile.join(first.where("n_rows > 1"), key, "left").select("doc_id", "n_words", "sha256", F.coalesce("first_id", "doc_id").alias("first_id")))
-    copies = profile.where("doc_id != first_id").select("doc_id")
-
-    anchors = C.map_arrow(texts, _anchors_batch, "doc_id long, anchors array<long>")
-    rows = anchors.select("doc_id", F.explode("anchors").alias("anchor"))
-    # stored, so that both sides of the join are plain exchanges and a hot anchor's rows can be split over tasks
-    shared = C.stored(rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("anchor"))
-    held = rows.join(shared, "anchor").join(copies, "doc_id", "left_anti")
-    held = held.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))  # no more than the document has
-    # texts of the documents concerned, once per doc_id, kept for the cut
-    bodies = C.stored(texts.join(held, "doc_id").dropDuplicates(["doc_id"]))
-    windows = C.map_arrow(bodies, _windows_batch, "doc_id long, windows array<struct<pos:int,a:long,b:long>>")
-    windows = windows.select("doc_id", F.inline("windows"))
-    earliest = C.stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("a", "b", "lo"))
-    gone = windows.join(earliest, ["a", "b"]).where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    cut = C.map_arrow(bodies.select("doc_id", "text").join(gone, "doc_id"), _cut_batch, "doc_id long, cut long, cut_sha256 string, cut_text string")
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, type=pa.int64()), pa.array(digests), pa.array(texts)], names=["key", "cut", "cut_sha256", "cut_text"])
+
+
+_PROFILE = "doc_id long, h long, n_words long, sha256 string, key_a long, key_b long, anchors array<long>"
+
+
+def _cuts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Profiles of all documents with their keys, the documents that lose a part (key, cut, cut_sha256, cut_text), and the ids
+    that stand for several texts. Documents are ordered by ``place``."""
+    texts = C.hashed_texts(docs)
+    read = C.stored(C.map_arrow(texts.select("doc_id", "h", "text"), _profile_batch, _PROFILE))
+    unclear = C.unclear_ids(read)
+    keyed = C.with_key(read, unclear).withColumn("place", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    profile, seq = keyed.drop("anchors"), ["n_words", "key_a", "key_b"]
+    # stored, so that both sides of the joins are plain exchanges and the rows of a hot class or anchor can be split over tasks
+    first = C.stored(profile.groupBy(*seq).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").drop("last"))
+    profile = C.stored(profile.join(first, seq, "left").select("doc_id", "key", "n_words", "sha256", F.coalesce(F.col("place") > F.col("first"), F.lit(False)).alias("copy")))
+    copies = profile.where("copy").select("key").distinct()
+
+    rows = keyed.select("key", "place", "anchors").join(copies, "key", "left_anti").select("key", "place", F.explode("anchors").alias("anchor"))
+    shared = C.stored(rows.groupBy("anchor").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select("anchor"))
+    held = rows.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))  # no more than the document has
+    # texts of the documents concerned, once per key, kept for the cut
+    bodies = C.with_key(texts, unclear).select("key", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("place")).join(held, "key").dropDuplicates(["key"])
+    bodies = C.stored(bodies.select("key", "text", "anchors", "place"))
+    C.dropped(read, first, shared)
+    windows = C.map_arrow(bodies, _windows_batch, "key long, place long, windows array<struct<pos:int,a:long,b:long>>")
+    windows = windows.select("key", "place", F.inline("windows"))
+    earliest = C.stored(windows.groupBy("a", "b").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select("a", "b", "lo"))
+    gone = windows.join(earliest, ["a", "b"]).where("lo < place").groupBy("key").agg(F.collect_list("pos").alias("pos"))
+    cut = C.map_arrow(bodies.select("key", "text").join(gone, "key"), _cut_batch, "key long, cut long, cut_sha256 string, cut_text string")
     cut = C.stored(cut)
-    C.dropped(shared, bodies, earliest)
-    return profile, cut
+    C.dropped(bodies, earliest)
+    return profile, cut, unclear
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``."""
-    profile, cut = _cuts(docs)
+    profile, cut, _ = _cuts(docs)
     empty = hashlib.sha256(b"").hexdigest()
-    copy = (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= WINDOW)
-    return profile.join(cut.drop("cut_text"), "doc_id", "left").select(
+    copy = F.col("copy") & (F.col("n_words") >= WINDOW)
+    return profile.join(cut.drop("cut_text"), "key", "left").select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
@@ -184,13 +189,23 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 def repeats_removed(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``; documents left with fewer than ``least_words`` words of
-    those that lost any go. The words of a cut text are joined by one blank."""
-    profile, cut = _cuts(docs)
-    gone = profile.where((F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= WINDOW)).select("doc_id").distinct()
-    text = F.coalesce("cut_text", "text")
-    out = docs.join(gone, "doc_id", "left_anti").join(cut.select("doc_id", "cut_text"), "doc_id", "left")
+    those that lost any go. The words of a cut text are joined by one blank; ``n_chars`` follows it.
+
+    Null, empty and short texts stay as they are; of rows without an id or with an equal one, each is judged as in
+    ``substring_dedup``; an empty table stays empty; other columns keep names and values.
+    """
+    profile, cut, unclear = _cuts(docs)
+    gone = profile.where(F.col("copy") & (F.col("n_words") >= WINDOW)).select("key").distinct()
+    out = C.keyed_rows(docs, unclear).join(gone, "key", "left_anti").join(cut.select("key", "cut_text"), "key", "left")
     out = out.where(F.col("cut_text").isNull() | (F.size(F.split("cut_text", " ")) >= least_words) & (F.col("cut_text") != ""))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("cut_text").isNull(), F.col(c)).otherwise(F.length("cut_text")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    cols = []
+    for c, t in docs.dtypes:
+        own = F.col("row").getField(c)
+        if c == "text":
+            own = F.coalesce("cut_text", own)
+        elif c == "n_chars":
+            own = F.when(F.col("cut_text").isNull(), own).otherwise(F.length("cut_text")).cast(t)
+        cols.append(own.alias(c))
     return out.select(*cols)
 
 

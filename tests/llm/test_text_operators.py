@@ -115,6 +115,20 @@ def test_ngram_join_repeated_rows_and_empty(spark):
     assert ngram_join.near_duplicates_removed(twice).columns == twice.columns
 
 
+def test_ngram_join_missing_and_equal_ids(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    rows = [(5, a), (2, a + " more"), (2, b), (None, b), (None, "a lone text of its own"), (None, None), (9, ""), (7, "x y z"), (7, "x y z"), (None, "u v w"), (None, "U  v w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.ngram_components(df).collect())
+    want = [(5, 58, 2), (2, 59, 2), (2, 58, 2), (-1, 58, 2), (-1, 4, -1), (-1, 0, -1), (9, 0, 9), (7, 1, 7), (7, 1, 7), (-1, 1, -1), (-1, 1, -1)]
+    assert got == sorted(want)
+    out = ngram_join.near_duplicates_removed(df)
+    assert out.columns == df.columns
+    kept = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+    assert [k for k in kept if k[0] != -1] == [(2, a + " more"), (2, b), (7, "x y z"), (7, "x y z"), (9, "")]
+    assert sorted(t.lower().split() for i, t in kept if i == -1) == [[], "a lone text of its own".split(), ["u", "v", "w"]]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)]
     got = by_id(ngram_join.components(spark.createDataFrame(edges, "a long, b long")))
@@ -143,6 +157,20 @@ def test_substring_dedup_against_all_windows(docs, corpus):
     assert sum(w[1] for w in want.values()) > 1000
 
 
+def test_substring_dedup_missing_and_equal_ids(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(80)) for c in "ab"]
+    none = hashlib.sha256(b"").hexdigest()
+    rows = [(1, a), (2, "x " + a), (2, "other text"), (2, b), (3, b), (None, a), (None, b + " tail"), (None, "z " * 3), (None, None), (4, None), (3, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("h", F.lit("clash"))
+    got = sorted(tuple(r)[1:3] + (r.doc_id or -1,) for r in substring_dedup.substring_dedup(df).collect())
+    want = [(80, 0, 1), (81, 80, 2), (2, 0, 2), (80, 0, 2), (80, 80, 3), (80, 80, 3), (80, 80, -1), (81, 80, -1), (3, 0, -1), (0, 0, -1), (0, 0, 4)]
+    assert got == sorted(want)
+    assert {r.kept_sha256 for r in substring_dedup.substring_dedup(df).where("n_words = n_removed and n_words > 0").collect()} == {none}
+    out = substring_dedup.repeats_removed(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == sorted([(1, a), (2, "x"), (2, "other text"), (2, b), (-1, "tail"), (-1, "z " * 3), (-1, ""), (4, "")])
+
+
 def test_difference_cover_covers_every_shift():
     cover = set(substring_dedup.COVER)
     for i in range(31):
@@ -195,9 +223,25 @@ def test_decontamination_against_all_windows(spark, monkeypatch, corpus, block):
     assert by_id(got.drop("clean_text")) == decontamination_brute(texts, items)
     clean = {r.doc_id: r.clean_text for r in got.collect()}
     assert clean[len(texts) - 2] == "!" and clean[0] is None
+    kept = decontamination.contaminated_removed(frame(spark, texts), bench)
+    assert {r.doc_id for r in kept.collect()} == {i for i, v in decontamination_brute(texts, items).items() if not v[4]}
     assert decontamination.contaminated_removed(frame(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_decontamination_missing_equal_and_repeated_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "five six"), (3, "seven eight nine"), (4, None)], "item_id long, text string")
+    rows = [(None, "a one two three four"), (None, "clean"), (7, "x five six"), (7, "clean too"), (7, "x five six"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("row", F.lit(3))
+    got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.contaminated) for r in decontamination.decontaminate(df, bench).collect())
+    assert got == [(-1, 1, 0, False), (-1, 5, 4, True), (7, 2, 0, False), (7, 3, 2, True), (7, 3, 2, True), (8, 0, 0, False), (9, 0, 0, False)]
+    out = decontamination.contaminated_removed(df, bench)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, "clean"), (7, "clean too"), (8, ""), (9, "")]
+    assert decontamination.decontaminate(df.limit(0), bench).count() == 0
+
+
 def test_language_id(spark):
     rnd = random.Random(1)
     words = {"aa": ["lorn", "plint", "strom", "gleth"], "bb": ["vuma", "zaki", "wuju", "keza"]}
@@ -215,6 +259,39 @@ def test_language_id(spark):
     assert language_id.undetermined_removed(df).count() == len(rows) - 3
 
 
+def test_language_id_learns_from_little_text(spark):
+    rows = [(1, "plint strom gleth", "aa"), (3, "vuma zaki wuju", "bb"), (4, "vuma zaki wuju", "bb"), (5, "quor dree", "cc"), (5, "quor dree", "cc"), (6, "quor dree" * 5000, "cc"), (None, "zaki", "aa"), (None, None, None)]
+    rows = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert {r[2] for r in rows} >= {"aa", "bb", "cc"}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.lit("clash")).withColumn("k", F.lit(1))
+    got = sorted(((r.doc_id or 0), r.lang_pred, r.held_out) for r in language_id.identify(df).collect())
+    want = sorted(((i or 0), "und" if t is None else "bb" if t == "zaki" else g, False) for i, t, g in rows)
+    assert got == want
+    assert language_id.identify(df.limit(0)).count() == 0
+
+
+def test_language_id_against_brute_force(spark):
+    """Counts per language from plain sets of n-grams decide alike wherever the filters' false positives are no tie."""
+    rnd, letters = random.Random(4), "abcdefghijklmnop"
+    vocab = {g: ["".join(rnd.choice(letters) for _ in range(rnd.randint(3, 7))) for _ in range(60)] for g in ("aa", "bb", "cc")}
+    rows = [(i, " ".join(rnd.choice(vocab[g]) for _ in range(rnd.randint(1, 40))), g) for i in range(240) for g in [("aa", "bb", "cc")[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = lambda t: [p for p in (f" {t}   ".encode()[k : k + 4] for k in range(len(t) + 1)) if p[1:3] != b"  " and p[:2] != b"  " and p[2:] != b"  "]
+    sets = {g: {x for i, t, h in rows if h == g and zlib.crc32(str(i).encode()) % 4 != 2 for x in grams(t)} for g in vocab}
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    for i, t, _ in rows:
+        share = {g: sum(x in s for x in grams(t)) / max(1, len(grams(t))) for g, s in sets.items()}
+        first, second = sorted(share.values(), reverse=True)[:2]
+        if first - second > 0.05:
+            assert got[i].lang_pred == max(share, key=share.get), t
+            assert abs(got[i].score - first) < 0.05
+
+
+def test_language_id_held_out_accuracy(spark, sf):
+    rows = language_id.identify(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred != 'und'").collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
 def test_language_filters_hold_more_than_eight_languages():
     grams = {f"l{k:02d}": np.arange(k * 1000, k * 1000 + 500, dtype=np.uint32) for k in range(11)}
     f = language_id.Filters(grams)
@@ -393,6 +470,16 @@ def test_html_extraction(spark):
     assert html_extraction.main_texts(df.limit(0)).count() == 0
 
 
+def test_html_extraction_repeated_rows_missing_ids_and_ties(spark):
+    page = "<body><div class={}><p>Some text of this page that is long enough.</p></div></body>"
+    rows = [(None, "http://t.org/1", page.format("a")), (None, "http://t.org/1", page.format("a")), (3, "http://t.org/2", page.format("b")), (3, None, page.format("b")), (4, "", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("vote", F.lit(1))
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extraction.main_texts(df).collect())
+    assert got == [(0, "Some text of this page that is long enough.", 43)] * 2 + [(3, "Some text of this page that is long enough.", 43)] * 2 + [(4, "", 0)]
+    paths = {r.host: r.paths for r in html_extraction.host_paths(df.withColumn("host", html_extraction.host_of())).collect()}
+    assert paths["t.org"] == [">body>div.a", ">body>div.b"]
+
+
 def test_html_extraction_keeps_short_parts():
     long = "A long middle part of the page with many words in it. " * 8
     nav = "<nav><a href=a>Home</a></nav><div class=top><a href=a>One</a> <a href=b>Two</a></div>"
@@ -408,11 +495,40 @@ def test_html_extraction_keeps_short_parts():
     whole = f"{long.strip()} {long.strip()} Other."
     assert read(page, [">body>div.page>div.text"]) == read(page, [">body>div.page>div.more"]) == read(page, [">body"]) == whole
     assert read(page, [">body>div.page"]) == whole
+    # of two paths that cover the page's own containers, the one with more votes decides
+    page = f"<body>{nav}<div class=outer><p>By the way.</p><ul><li><a href=x>Links first</a></ul><div class=inner><article><p>{long}</p></article></div></div></body>"
+    inner, outer = long.strip(), f"By the way. Links first {long.strip()}"
+    assert read(page, [">body>div.outer>div.inner", ">body>div.outer"]) == inner
+    assert read(page, [">body>div.outer", ">body>div.outer>div.inner"]) == outer
     # references at the end of an article stay
     page = f"<body>{nav}<div class=text><p>{long}</p><ul><li><a href=x>Source</a></ul><p>End.</p></div></body>"
     assert read(page) == f"{long.strip()} Source End."
 
 
+def test_html_extraction_names_are_evidence_only():
+    long = "A long middle part of the page with many words in it. " * 8
+    read, text = html_extraction.extract, long.strip()
+    page = f"<body><article><p>{long}</p><div class=related-work>Related work section</div><div class=social-history>y</div></article></body>"
+    assert read(page) == f"{text} Related work section y"
+    # a name that says so goes, one that merely contains the word goes with links only, none goes with most of the text
+    page = f"<body><article><p>{long}</p><div class='comment-list'><p>Reader says so.</p></div><div id=cookie-notice2>We use cookies.</div><div class=related-reading><a href=a>One</a> <a href=b>Two</a></div></article></body>"
+    assert read(page) == text
+    assert read(f"<body><div class='search'><p>{long}</p></div><div class=ads>Buy</div></body>") == text
+    assert read(f"<body><div class='has sidebar'><div class=sidebar>Side</div><article><p>{long}</p></article></div></body>") == text
+    assert read(f"<table><tr><td>menu<td><p>{long}</p><tr><td>{long}</table>") == f"menu {text} {text}"
+
+
+def test_html_extraction_is_linear_in_nesting():
+    import time
+
+    start = time.process_time()
+    deep = "<div>x" * 100_000
+    assert html_extraction.extract(deep) == " ".join("x" * 100_000)
+    assert html_extraction.extract("<div class='a b'><p>word " * 50_000 + "</section>" * 50_000).count("word") == 50_000
+    assert html_extraction.extract("<article><p>some text</article>" * 50_000, [">article"]).count("text") == 50_000
+    assert time.process_time() - start < 15
+
+
 def test_url_filters(spark):
     urls = [None, "no url", "HTTP://A.Net/FR/x", "http://x.NET/fr/1?a", "http://www.example.com/en/a/b/c/d", "http://b.example.com/en/1#f", "http://b.example.com/de/1", "https://q.org", "http://net/es/", "http://xnet/es/", "x://q.org/p//7.html"]
     urls += [f"http://spam.net/es/{k}/x" for k in range(20)] + ["http://spam.net/es?x"]
@@ -432,8 +548,9 @@ def test_url_filters_test_every_branch(spark, branches):
     rows += [("wide.net", f"/free/x{'abcdefghij'[i]}", None) for i in range(9)]
     df = spark.createDataFrame(rows, "host string, shape string, verdict string")
     got = {r.shape: (r.template, r.purity) for r in url_filters.templates(df).collect()}
-    # a branch that differs from its siblings stays out of '*', the unlabelled one stays undecided
-    assert {got[s] for _, s, v in rows if v is None} == {(f"/free/x{c}", 0.5) for c in "abcdefghi"}
+    # a branch that differs from its siblings stays out of '*'; to the unlabelled one they speak as one witness each
+    n, bad = branches - 1, branches // 2
+    assert {got[s] for _, s, v in rows if v is None} == {(f"/free/x{c}", (bad + 1) / (n + 2)) for c in "abcdefghi"}
     assert all((got[s][1] >= url_filters.PURITY) == (v == "block") for _, s, v in rows)
 
 
@@ -447,6 +564,29 @@ def test_url_filters_labels_that_differ_below_the_third_segment(spark):
     assert got["/s" * 9 + "/x/t"] == ("/s" * 9 + "/x/t", 1 / 14) and got["/s" * 9 + "/y/t"] == ("/s" * 9 + "/y/t", 13 / 14)
 
 
+def test_url_filters_evidence_of_others(spark):
+    """Planted templates without labels of their own: agreement of many places blocks, of few or of mixed ones spares."""
+    rows = [(f"h.d{k}.com", "/pills/#", "block") for k in range(10) for _ in range(3)]
+    rows += [(f"h{k}.one.com", "/watch/#", "block") for k in range(2) for _ in range(500)]
+    rows += [(f"h{k}.two.com", "/mirror/#", "block") for k in range(12)]
+    rows += [(f"h.d{k}.com", "/mixed/#", "block" if k % 2 else "allow") for k in range(10)]
+    rows += [("wide.org", f"/s{c}/x", "block") for c in "abcdefghijklmnop" for _ in range(2)] + [("wide.org", "/new/y", None), ("narrow.org", "/es/#", "block"), ("narrow.org", "/fr/#", "block"), ("narrow.org", "/en/#", None)]
+    free = [("free.org", s, None) for s in ("/pills/#", "/watch/#", "/mirror/#", "/mixed/#", "/other/#")] + [("h99.two.com", "/mirror/#", None)]
+    df = spark.createDataFrame(rows + free, "host string, shape string, verdict string")
+    got = {(r.host, r.shape): r.purity for r in url_filters.templates(df).collect()}
+    blocked = {k for k in [f[:2] for f in free] + [("wide.org", "/new/y"), ("narrow.org", "/en/#")] if got[k] >= url_filters.PURITY}
+    assert blocked == {("free.org", "/pills/#"), ("h99.two.com", "/mirror/#"), ("wide.org", "/new/y")}
+    assert got["free.org", "/other/#"] == 0.5 and got["free.org", "/pills/#"] == 11 / 12
+
+
+def test_url_filters_block_a_page_without_a_rule(spark, sf):
+    rules = [("block", f"d{k}.com/pills/") for k in range(10)] + [("allow", "com/")]
+    urls = [f"http://h.d{k}.com/pills/{i}" for k in range(10) for i in range(3)] + ["http://shop.org/pills/7", "http://shop.org/about/7", None, "http://shop.org/pills/7"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(df, rules).collect()}
+    assert [got[i] for i in range(30, 34)] == [(None, "block"), (None, "allow"), (None, "allow"), (None, "block")]
+
+
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
