@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import lev_ratio, length_bound, whole_join
+from factloom.functions.similarity import lev_ratio, whole_join
 
 # fixed values: scores of the levels, floor of the fuzzy level, margin of a tie
 EXACT, NORMALISED, FUZZY_FLOOR, FUZZY_WEIGHT, MARGIN = 1.0, 0.97, 0.82, 0.95, 0.03
@@ -18,11 +18,11 @@ def alias_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def alias_cascade(readings: DataFrame, aliases: DataFrame, floor: float = FUZZY_FLOOR, limit: int = 5, block: int | None = None) -> DataFrame:
+def alias_cascade(readings: DataFrame, aliases: DataFrame, floor: float = FUZZY_FLOOR, limit: int = 5) -> DataFrame:
     """(reading, concept, level, score, rank): exact, else normalised, else fuzzy candidates of distinct readings.
 
-    The fuzzy level sees only readings without an exact or normalised hit; the best alias counts per concept. All keys
-    at the floor are found; with ``block``, only those that share their first ``block`` letters.
+    The fuzzy level sees only readings without an exact or normalised hit, and only aliases with the same digits; the best
+    alias counts per concept. All keys at the floor are found, whichever letter is wrong.
     """
     r = readings.select("reading").where("reading is not null").distinct().withColumn("key", alias_key(F.col("reading")))
     a = aliases.select("alias", "concept").where("alias is not null").distinct().withColumn("akey", alias_key(F.col("alias")))
@@ -30,13 +30,9 @@ def alias_cascade(readings: DataFrame, aliases: DataFrame, floor: float = FUZZY_
     norm = r.join(a, (F.col("key") == F.col("akey")) & (F.col("reading") != F.col("alias"))).select("reading", "concept", F.lit(2).alias("level"), F.lit(NORMALISED).alias("score"))
     sure = exact.unionByName(norm)
     rest = r.join(sure.select("reading").distinct(), "reading", "left_anti")
-    if block is None:
-        alike = whole_join(rest, a, "key", "akey", floor).select(F.col("a").alias("key"), F.col("b").alias("akey"), "score")
-        near = rest.join(alike, "key").join(a, "akey")
-    else:
-        first = lambda c: F.substring(c, 1, block)
-        near = rest.join(a, (first("key") == first("akey")) & length_bound(F.col("key"), F.col("akey"), floor))
-        near = near.withColumn("score", lev_ratio(F.col("key"), F.col("akey"))).where(F.col("score") >= floor)
+    alike = whole_join(rest, a, "key", "akey", floor).select(F.col("a").alias("key"), F.col("b").alias("akey"), "score")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]+", "")
+    near = rest.join(alike, "key").join(a, "akey").where(digits(F.col("key")) == digits(F.col("akey")))
     near = near.select("reading", "concept", F.lit(3).alias("level"), (F.col("score") * FUZZY_WEIGHT).alias("score"))
     best = sure.unionByName(near).groupBy("reading", "concept").agg(F.max("score").alias("score"), F.min("level").alias("level"))
     w = Window.partitionBy("reading").orderBy(F.desc("score"), "concept")
@@ -54,14 +50,22 @@ def mark_collisions(candidates: DataFrame, key: str, margin: float = MARGIN) ->
 def token_overlap_join(left: DataFrame, right: DataFrame, lkey: str, ltokens: str, rkey: str, rtokens: str, within: Sequence[str] = (), floor: float = 0.6, k: int = 4) -> DataFrame:
     """Rows of ``right`` that hold at least ``floor`` of a left row's distinct tokens; the ``k`` best.
 
-    Tokens meet by equi join (within the given columns), never all pairs.
+    A row that holds that many of ``n`` tokens holds one of any ``n - ceil(floor * n) + 1`` of them, so only a left row's
+    rarest tokens look for partners (within the given columns): a word that every document holds pairs nothing. Candidates
+    are then checked by their whole token sets.
     """
-    a = left.select(lkey, *within, F.array_distinct(ltokens).alias("_t")).withColumn("_n", F.size("_t")).select(lkey, *within, "_n", F.explode("_t").alias("_w"))
-    b = right.select(rkey, *within, F.explode(F.array_distinct(rtokens)).alias("_w"))
-    hit = a.join(b, [*within, "_w"]).groupBy(lkey, rkey).agg(F.count("*").alias("shared"), F.first("_n").alias("_n"))
-    hit = hit.withColumn("share", F.round(F.col("shared") / F.col("_n"), 4)).where(F.col("shared") >= floor * F.col("_n"))
+    a = left.select(lkey, *within, F.array_distinct(ltokens).alias("_t")).withColumn("_n", F.size("_t")).where("_n > 0")
+    b = right.select(rkey, *within, F.array_distinct(rtokens).alias("_u"))
+    each, words = a.select(lkey, *within, "_n", F.explode("_t").alias("_w")), b.select(rkey, *within, F.explode("_u").alias("_w"))
+    held = words.join(each.select(*within, "_w").distinct(), [*within, "_w"], "left_semi")
+    often = held.groupBy(*within, "_w").agg(F.count("*").alias("_f"))
+    rare = Window.partitionBy(lkey, *within).orderBy(F.coalesce("_f", F.lit(0)), "_w")
+    probe = each.join(often, [*within, "_w"], "left").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_n") - F.ceil(floor * F.col("_n") - 1e-9) + 1)
+    pairs = probe.where("_f is not null").select(lkey, *within, "_w").join(held, [*within, "_w"]).select(lkey, *within, rkey).distinct()
+    hit = pairs.join(a, [lkey, *within]).join(b, [rkey, *within]).withColumn("shared", F.size(F.array_intersect("_t", "_u")).cast("long"))
+    hit = hit.where(F.col("shared") >= floor * F.col("_n") - 1e-9).select(lkey, rkey, "shared", F.round(F.col("shared") / F.col("_n"), 4).alias("share"))
     w = Window.partitionBy(lkey).orderBy(F.desc("share"), rkey)
-    return hit.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("_n")
+    return hit.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def consensus(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -81,15 +85,67 @@ def votes(df: DataFrame, key: str, value: str, least: int = 2) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def box_overlap_join(a: DataFrame, b: DataFrame, page: str, bin_size: int = 100, share: float = 0.5) -> DataFrame:
-    """Boxes (id, page, x0, y0, x1, y1) of ``a`` covered to ``share`` by a box of ``b`` on the page, met by vertical bins."""
-    bins = F.explode(F.sequence(F.floor(F.col("y0") / bin_size), F.floor(F.col("y1") / bin_size))).alias("_bin")
-    x = a.select(page, F.col("id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")], bins)
-    y = b.select(page, F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")], bins)
-    wide = F.greatest(F.lit(0), F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"))
-    high = F.greatest(F.lit(0), F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"))
+def box_overlap_join(a: DataFrame, b: DataFrame, page: str, bin_size: int = 100, share: float = 0.5, same: bool = False) -> DataFrame:
+    """(page, a_id, n, first_id): each box (id, page, x0, y0, x1, y1) of ``a`` that boxes of ``b`` cover to ``share``, how many do, and
+    the smallest of them. Boxes meet in cells of a grid, each pair in the cell of its common corner only; ``same`` leaves
+    out a box beside itself."""
+    cells = [F.explode(F.sequence(F.floor(F.col(f"{c}0") / bin_size), F.floor(F.col(f"{c}1") / bin_size))).alias(f"_{c}") for c in ("x", "y")]
+    corners = ("x0", "y0", "x1", "y1")
+
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(page, F.col("id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in corners], *[F.col(c) for c in corners])
+        return rows.select("*", cells[0]).select("*", cells[1]).drop(*corners)
+
+    left, top = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    wide, high = F.greatest(F.lit(0), F.least("a_x1", "b_x1") - left), F.greatest(F.lit(0), F.least("a_y1", "b_y1") - top)
     area = (F.col("a_x1") - F.col("a_x0")) * (F.col("a_y1") - F.col("a_y0"))
-    return x.join(y, [page, "_bin"]).where((area > 0) & (wide * high >= share * area)).select(page, "a_id", "b_id").distinct()
+    once = (F.floor(left / bin_size) == F.col("_x")) & (F.floor(top / bin_size) == F.col("_y"))
+    met = spread(a, "a").join(spread(b, "b"), [page, "_x", "_y"]).where(once & (area > 0) & (wide * high >= share * area))
+    if same:
+        met = met.where("a_id != b_id")
+    return met.groupBy(page, "a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("first_id"))
+
+
+def resolve_entities(candidates: DataFrame, known: DataFrame, floor: float = 0.9, penalty: float = 0.3) -> DataFrame:
+    """(key, matched, method, score, new_id) of candidates (key, id, name, year) against known persons (person, id, name, year).
+
+    An equal ``id`` decides; else the most alike name does, less ``penalty`` where the years differ by more than one, if that
+    reaches ``floor`` (ties: the smaller person). The rest get a new id that follows from name and year, so that a repeated run and
+    two readings of one new person agree.
+    """
+    person = known.where("id is not null").groupBy("id").agg(F.min("person").alias("_by_id"))
+    named = candidates.join(person, "id", "left")
+    rest = named.where("_by_id is null and name is not null")
+    alike = whole_join(rest, known, "name", "name", floor)
+    k = known.select(F.col("name").alias("b"), "person", F.col("year").alias("_year"))
+    far = F.coalesce(F.abs(F.col("year") - F.col("_year")) > 1, F.lit(False))
+    scored = rest.select("key", "year", F.col("name").alias("a")).join(alike, "a").join(k, "b").withColumn("s", F.col("score") - F.when(far, penalty).otherwise(0.0)).where(F.col("s") >= floor)
+    best = scored.groupBy("key").agg(F.max(F.struct("s", (-F.col("person")).alias("p"))).alias("_b"))
+    out = named.join(best, "key", "left")
+    matched = F.coalesce("_by_id", -F.col("_b.p"))
+    fresh = F.concat(F.lit("N"), F.substring(F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("-"))), 256), 1, 12))
+    return out.select("key", matched.alias("matched"), F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_b").isNotNull(), "name").otherwise("new").alias("method"),
+                      F.round(F.when(F.col("_by_id").isNotNull(), 1.0).otherwise(F.col("_b.s")), 4).alias("score"), F.when(matched.isNull(), fresh).alias("new_id"))
+
+
+def practitioner_links(written: DataFrame, masters: DataFrame, floor: float = 0.9, margin: float = MARGIN, top: int = 5) -> DataFrame:
+    """(key, linked, score, n) of written practitioners (key, name, reg_no, field) against masters (master, name, reg_no, field).
+
+    A registration number scores 0.99, or 0.9 if the names are not alike; else the likeness of the name times 1.0 if the field agrees
+    and 0.97 if not. No link below ``floor``, nor within ``margin`` of another master; ``n`` counts the candidates, ``top`` at most.
+    """
+    m = masters.select("master", F.col("name").alias("m_name"), F.col("reg_no").alias("m_reg"), F.col("field").alias("m_field"))
+    by_number = written.where("reg_no is not null").join(m, F.col("reg_no") == F.col("m_reg"))
+    numbered = by_number.select("key", "master", F.when(lev_ratio(F.col("name"), F.col("m_name")) >= 0.8, 0.99).otherwise(0.9).alias("score"))
+    alike = whole_join(written, m, "name", "m_name", floor).select(F.col("a").alias("name"), F.col("b").alias("m_name"), F.col("score").alias("_s"))
+    named = written.join(alike, "name").join(m, "m_name").select("key", "master", (F.col("_s") * F.when(F.col("field") == F.col("m_field"), 1.0).otherwise(0.97)).alias("score"))
+    found = numbered.unionByName(named).groupBy("key", "master").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("key").orderBy(F.desc("score"), "master")
+    ranked = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
+    best = ranked.groupBy("key").agg(F.max(F.when(F.col("rn") == 1, F.struct("score", "master"))).alias("b"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"), F.count("*").alias("n"))
+    clear = (F.col("b.score") >= floor) & (F.col("second").isNull() | (F.col("b.score") - F.col("second") >= margin - 1e-9))
+    out = written.select("key").join(best, "key", "left")
+    return out.select("key", F.when(clear, F.col("b.master")).alias("linked"), F.round("b.score", 4).alias("score"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def bind_codes(df: DataFrame, column: str, codes: DataFrame, licensed: Sequence[str]) -> DataFrame:

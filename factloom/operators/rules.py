@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ def findings(df: DataFrame, key: str, rules: Sequence[tuple[Column, str, str]])
 
 
 def range_findings(df: DataFrame, key: str, kind: str, value: str, ranges: DataFrame) -> DataFrame:
-    """Values outside [lo, hi] of their kind; ``ranges`` (kind, lo, hi) is a small fixed table."""
-    joined = df.join(F.broadcast(ranges.withColumnRenamed("kind", kind)), kind)
+    """Values outside [lo, hi] of their kind; ``ranges`` (kind, lo, hi) has one row a kind."""
+    joined = df.join(ranges.withColumnRenamed("kind", kind), kind)
     return findings(joined, key, [(F.col(value) < F.col("lo"), "warning", "below_range"), (F.col(value) > F.col("hi"), "warning", "above_range"), (F.col(value).isNull(), "info", "no_value")])
 
 
@@ -31,51 +32,52 @@ def finding_counts(found: DataFrame, key: str) -> DataFrame:
 
 
 def calibrated(conf: Column, partial: Column, n_warn: Column, n_block: Column) -> Column:
-    """Confidence less the penalty for partial readings, capped by the worst finding, within 0 and 1."""
-    base = conf - F.when(partial, PARTIAL_PENALTY).otherwise(0.0)
+    """Confidence less the penalty for partial readings, capped by the worst finding, within 0 and 1; a missing one is 0."""
+    base = F.coalesce(conf, F.lit(0.0)) - F.when(partial, PARTIAL_PENALTY).otherwise(0.0)
     cap = F.when(n_block > 0, BLOCKER_CAP).when(n_warn > 0, WARNING_CAP).otherwise(1.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(base, cap)), 4)
+    return F.round(F.greatest(F.lit(0.0), F.least(base, cap)), 3)
 
 
-def gate_state(conf: Column, partial: Column, n_warn: Column, n_block: Column, policy: Column) -> Column:
-    """Order matters: blockers, partial readings, policy and the floor come before the automatic bands."""
-    return (
-        F.when(n_block > 0, "review")
-        .when(partial, "review")
-        .when(policy == "review", "review")
-        .when(conf < REVIEW_FLOOR, "review")
-        .when((conf >= AUTO_ACCEPT) & (n_warn == 0), "auto_accepted")
-        .when(conf >= AUDIT_ACCEPT, "auto_accepted")
-        .otherwise("review")
-    )
+def gate_state(conf: Column, partial: Column, n_findings: Column, n_block: Column, policy: Column, min_conf: Column | None = None, medication: Column | None = None) -> Column:
+    """Order matters: blockers, partial readings, policy (an action ``review`` or a confidence under ``min_conf``), the floor
+    and ``medication`` (a medicine with a finding of its own) come before the automatic bands. Missing confidence is reviewed."""
+    held = (n_block > 0) | F.coalesce(partial, F.lit(True)) | F.coalesce(policy == "review", F.lit(False)) | F.coalesce(conf < REVIEW_FLOOR, F.lit(True))
+    if min_conf is not None:
+        held = held | F.coalesce(conf < min_conf, F.lit(False))
+    if medication is not None:
+        held = held | F.coalesce(medication, F.lit(False))
+    return F.when(held, "review").when((conf >= AUTO_ACCEPT) & (n_findings == 0), "auto_accepted").when(conf >= AUDIT_ACCEPT, "auto_accepted").otherwise("review")
 
 
 def with_policy(df: DataFrame, policy: DataFrame, kind: str, state: str) -> DataFrame:
     """``action`` and ``min_conf`` of (kind, state); a null state in the policy is the kind's default row."""
     special = policy.where(F.col("state").isNotNull()).select(F.col("kind").alias(kind), F.col("state").alias(state), F.col("action").alias("_a"), F.col("min_conf").alias("_m"))
     default = policy.where(F.col("state").isNull()).select(F.col("kind").alias(kind), F.col("action").alias("_da"), F.col("min_conf").alias("_dm"))
-    out = df.join(F.broadcast(special), [kind, state], "left").join(F.broadcast(default), kind, "left")
+    out = df.join(special, [kind, state], "left").join(default, kind, "left")  # Spark broadcasts what it knows to be small
     return out.withColumn("action", F.coalesce("_a", "_da", F.lit("review"))).withColumn("min_conf", F.coalesce("_m", "_dm")).drop("_a", "_da", "_m", "_dm")
 
 
 def audit_sample(df: DataFrame, key: str, per_mille: int = 100) -> DataFrame:
-    """A repeatable sample of accepted rows: the same rows in every run."""
-    return df.where(F.pmod(F.col(key) * 2654435761, F.lit(1000)) < per_mille)
+    """A repeatable sample of accepted rows: the same rows in every run, for keys of any type and size."""
+    digits = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.where(digits % 1000 < per_mille)
 
 
 def value_conflicts(facts: DataFrame, key: str, same: Sequence[str], value: str) -> DataFrame:
-    """Pairs with equal ``same`` columns (nulls equal): value_mismatch, or duplicate for equal or both-missing values.
+    """One row per distinct value of a group that states more than one fact: (same, value, keep_id, n, kind).
 
-    Each pair is emitted once. The grouping columns must include a date, so that a key's rows stay few.
+    Groups have equal ``same`` columns (nulls equal). ``keep_id`` is the smallest key of the value, ``n`` its facts and ``kind``
+    is ``value_mismatch`` where the group holds another value (further than the tolerance, or missing beside given), else
+    ``duplicate``. Values are summed before they are shuffled and no pairs are formed: members follow by a join on ``same``
+    and ``value``, and a group of any size is one row per value.
     """
-    a = facts.select(*[F.col(c).alias(f"a_{c}") for c in (*same, key, value)])
-    b = facts.select(*[F.col(c).alias(f"b_{c}") for c in (*same, key, value)])
-    on = F.col(f"a_{key}") < F.col(f"b_{key}")
-    for c in same:
-        on = F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) & on
-    va, vb = F.col(f"a_{value}"), F.col(f"b_{value}")
-    kind = F.when(va.isNull() & vb.isNull(), "duplicate").when(F.abs(va - vb) > NUMERIC_TOLERANCE, "value_mismatch").when(va.isNull() | vb.isNull(), "value_mismatch").otherwise("duplicate")
-    return a.join(b, on).select(F.col(f"a_{key}").alias("keep_id"), F.col(f"b_{key}").alias("other_id"), kind.alias("kind"))
+    step = F.round(F.col(value) / NUMERIC_TOLERANCE)
+    each = facts.groupBy(*same, step.alias("_step")).agg(F.min(value).alias(value), F.min(key).alias("keep_id"), F.count("*").alias("n"))
+    group = each.groupBy(*same).agg(F.sum("n").alias("_all"), F.min("_step").alias("_lo"), F.max("_step").alias("_hi"), F.count_if(F.col("_step").isNull()).alias("_none"))
+    group = group.where("_all > 1").select(*[F.col(c).alias(f"_g_{c}") for c in same], "_lo", "_hi", "_none")
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in same])
+    mixed = (F.col("_lo") != F.col("_hi")) | (F.col("_none") > 0) & F.col("_lo").isNotNull()
+    return each.join(group, on).select(*same, value, "keep_id", "n", F.when(F.coalesce(mixed, F.lit(False)), "value_mismatch").otherwise("duplicate").alias("kind"))
 
 
 def review_tasks(df: DataFrame, document: str, fact: str, state: str, kinds: str) -> DataFrame:
@@ -90,14 +92,25 @@ def closed_tasks(members: DataFrame, task: str, pending: Column) -> DataFrame:
 
 
 def worst_state(df: DataFrame, key: str, state: str, order: Sequence[str]) -> DataFrame:
-    """The worst state of each key by a fixed order, worst first."""
+    """The worst state of each key by a fixed order, worst first; states outside the order rank last and keep their name
+    (the smallest, if a key has only such), missing ones rank behind them."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col(state))
-    return df.groupBy(key).agg(F.min(rank).alias("_r")).select(key, F.element_at(F.array(*map(F.lit, order)), F.col("_r").cast("int")).alias(state))
+    place = F.struct(F.when(rank > 0, rank).when(F.col(state).isNotNull(), len(order) + 1).otherwise(len(order) + 2).alias("r"), F.col(state).alias("s"))
+    return df.groupBy(key).agg(F.min(place).alias("_r")).select(key, F.col("_r.s").alias(state))
 
 
 def capped_confidence(conf: Column, state: Column, caps: dict[str, float]) -> Column:
-    """Confidence under the cap of its evidence state."""
+    """Confidence under the cap of its evidence state; unknown states and missing confidence give 0."""
     cap = F.lit(0.0)
     for s, c in caps.items():
         cap = F.when(state == s, c).otherwise(cap)
-    return F.least(conf, cap)
+    return F.least(F.coalesce(conf, F.lit(0.0)), cap)
+
+
+def dominant_kind(found: DataFrame, document: str, code: str, kinds: dict[str, Sequence[str]], default: str = "low_confidence") -> DataFrame:
+    """(document, kind): the first kind, in the order of ``kinds``, that a finding of the document belongs to by prefix."""
+    rank = F.lit(len(kinds))
+    for i, prefixes in reversed(list(enumerate(kinds.values()))):
+        rank = F.when(reduce(lambda x, y: x | y, [F.col(code).startswith(p) for p in prefixes]), i).otherwise(rank)
+    names = F.array(*map(F.lit, [*kinds, default]))
+    return found.groupBy(document).agg(F.element_at(names, (F.min(rank) + 1).cast("int")).alias("kind"))

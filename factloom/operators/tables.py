@@ -64,9 +64,15 @@ def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> D
     return target.unionByName(batch.join(target.select(*keys).distinct(), list(keys), "left_anti"))
 
 
+def row_hash(columns: Sequence[str]) -> Column:
+    """SHA-256 of several columns; missing values and separators inside values stay apart (each value stands with its length)."""
+    text = lambda c: F.col(c).cast("string")
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns]), 256)
+
+
 def dedupe_documents(df: DataFrame, content: str, scope: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per content hash and scope, with the hash and the number of copies."""
-    hashed = df.withColumn("content_hash", F.sha2(F.concat_ws("|", content, *scope), 256))
+    hashed = df.withColumn("content_hash", row_hash([content, *scope]))
     w = Window.partitionBy("content_hash")
     first = F.row_number().over(w.orderBy(*order))
     copies = hashed.groupBy("content_hash").agg(F.count("*").alias("copies"))
@@ -83,8 +89,8 @@ def admit_documents(new: DataFrame, known: DataFrame, hold: str = "quality_hold"
 def snapshot_versions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], payload: Sequence[str]) -> DataFrame:
     """Versions of a key by content hash: a row like its predecessor makes no new version."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    hashed = df.withColumn("payload_hash", F.sha2(F.concat_ws("|", *payload), 256))
-    changed = hashed.withColumn("_p", F.lag("payload_hash").over(w)).where("_p is null or _p != payload_hash").drop("_p")
+    hashed = df.withColumn("payload_hash", row_hash(payload))
+    changed = hashed.withColumn("_p", F.lag("payload_hash").over(w)).where("not (_p <=> payload_hash)").drop("_p")
     return changed.withColumn("version", F.row_number().over(w).cast("long"))
 
 
@@ -123,3 +129,22 @@ def mode_with_tie(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     same = counts.join(best, list(keys)).where((F.col("_n") == F.col("_r._n")) & (F.length(F.col(value).cast("string")) == F.col("_r._l")))
     out = same.groupBy(*keys).agg(F.min(value).alias(value), F.first("_n").alias("votes"), F.first("total").alias("total"))
     return out.withColumn("agreement", F.round(F.least(F.lit(0.99), 0.5 + 0.25 * (F.col("votes") / F.col("total"))), 4))
+
+
+def newest_of_another(df: DataFrame, same: Sequence[str], owner: str, order: Sequence[Column], key: str, other: str) -> DataFrame:
+    """(key, other): for each row the newest row with equal ``same`` columns and another owner. Only the newest rows of the
+    two newest owners of a group can be that, so a group of any size is two candidates."""
+    when = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    per_owner = df.groupBy(*same, owner).agg(F.max(F.struct(when.alias("w"), F.col(key).alias("k"))).alias("_best"))
+    two = top_k(per_owner, same, [F.desc("_best")], 2, "_rn")
+    groups = two.groupBy(*same).agg(*[F.max(F.when(F.col("_rn") == n, F.struct(F.col(owner).alias("who"), F.col("_best.k").alias("k")))).alias(f"_c{n}") for n in (1, 2)]).where("_c2 is not null")
+    found = F.when(F.col("_c1.who") != F.col(owner), F.col("_c1.k")).otherwise(F.col("_c2.k"))
+    return df.join(groups, list(same)).select(key, found.alias(other))
+
+
+def reading_order(lines: DataFrame, page: str, centre: str, left: str, height: str, ties: Sequence[Column], share: float = 0.7) -> DataFrame:
+    """``place`` of each line of a page: bands of ``share`` of the page's median line height, then the left edge."""
+    band = lines.groupBy(page).agg((share * F.median(height)).alias("_band"))
+    rows = lines.join(band, page).withColumn("_row", F.floor(F.col(centre) / F.col("_band")))
+    w = Window.partitionBy(page).orderBy("_row", left, *ties)
+    return rows.withColumn("place", F.row_number().over(w).cast("long")).drop("_row", "_band")

@@ -28,12 +28,14 @@ def pressure_pairs(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.inline(X.pressure_pair(text))).where("value is not null")
 
 
-@register("routed_lines", """select p_partkey, case when p_partkey % 4 = 0 then 'advice' when p_partkey % 4 = 1 then 'medication' when p_partkey % 4 = 2 then 'test' else 'medication' end as fact_type from part""")
+@register("routed_lines", """with t as (select conv_id, turn, unnest(range(len(string_split(text, chr(10))))) as pos, lower(unnest(string_split(text, chr(10)))) as line, case role when 'user' then 'medication' when 'assistant' then 'test' else role end as listed from conversations)
+select conv_id, cast(turn as bigint) as turn, cast(pos as bigint) as pos, case when listed = 'medication' and regexp_matches(line, '\\b(drink|avoid|rest|walk|diet)\\b') then 'advice' when listed = 'test' and regexp_matches(line, '\\b(tab|cap|syp|inj)\\b|[0-9] ?(mg|ml|mcg)\\b') then 'medication'
+  when listed = 'medication' and len(string_split(line, ',')) >= 3 and not regexp_matches(line, '\\b(tab|cap|syp|inj)\\b|[0-9] ?(mg|ml|mcg)\\b') then 'test' else listed end as fact_type from t""")
 def routed_lines(spark, sf_dir):
-    """Lines filed under the wrong type."""
-    text = F.expr("case p_partkey % 4 when 0 then 'Drink water' when 1 then 'Tab telma 40 mg' when 2 then 'cbc, lft, kft' else 'tab x 5 mg' end")
-    listed = F.expr("case p_partkey % 4 when 1 then 'test' else 'medication' end")
-    return table(spark, sf_dir, "part").select("p_partkey", X.routed(text, listed).alias("fact_type"))
+    """Lines of turns that are filed under the wrong type."""
+    listed = F.when(F.col("role") == "user", "medication").when(F.col("role") == "assistant", "test").otherwise(F.col("role"))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), listed.alias("listed"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), X.routed(F.col("line"), F.col("listed")).alias("fact_type"))
 
 
 @register("evidence_rollup", """select o_orderkey, round(coalesce(avg(1 - l_discount), 0.5), 4) as conf, min(l_linenumber) as x0, min(l_partkey) as y0, max(l_linenumber) as x1, max(l_partkey) as y1
@@ -68,11 +70,12 @@ def keyword_groups(spark, sf_dir):
     return X.keyword_groups(table(spark, sf_dir, "documents"), "doc_id", "text", k)
 
 
-@register("numbers_supported", """select event_id, case event_id % 3 when 0 then true when 1 then false else true end as supported from events""")
+@register("numbers_supported", """with n as (select event_id, regexp_extract_all(cast(user_id as varchar) || ' and ' || regexp_extract(props, '([0-9]+)', 1), '([0-9]+(?:[.][0-9]+)?)', 1) as v, regexp_extract_all(props || ' ' || (user_id % 7), '([0-9]+(?:[.][0-9]+)?)', 1) as r from events)
+select event_id, len(list_filter(list_distinct(v), lambda x: len(list_filter(r, lambda y: y = x)) < len(list_filter(v, lambda y: y = x)))) = 0 as supported from n""")
 def numbers_supported(spark, sf_dir):
-    """Every number of a value stands in its reading at least as often."""
-    value = F.expr("case event_id % 3 when 0 then concat('give ', cast(event_id as string)) when 1 then '5 and 5' else 'none' end")
-    reading = F.expr("case event_id % 3 when 0 then concat('x', cast(event_id as string), ' y') when 1 then 'only 5' else 'z' end")
+    """Every number of a value stands in its reading at least as often."""
+    value = F.concat(F.col("user_id").cast("string"), F.lit(" and "), F.regexp_extract("props", "([0-9]+)", 1))
+    reading = F.concat("props", F.lit(" "), (F.col("user_id") % 7).cast("string"))
     return X.numbers_supported(table(spark, sf_dir, "events").select("event_id", value.alias("v"), reading.alias("r")), "event_id", "v", "r")
 
 
@@ -103,3 +106,43 @@ def lexicon(spark, sf_dir):
 def clusters_within_key(spark, sf_dir):
     """Greedy merge of alike names inside one key."""
     return X.clusters_within_key(table(spark, sf_dir, "part").select("p_brand", "p_name"), "p_brand", "p_name")
+
+
+@register("scanned_files")
+def scanned_files(spark, sf_dir):
+    """A1: the files of a folder by name and size, those left out with a reason (their content is not read)."""
+    return S.scan_files(spark, sf_dir, keep="[.]parquet$", ignore=(("^[._]", "hidden"), ("^lineitem", "not wanted"))).select("name", "length", "reason")
+
+
+@register("sniffed_types", """select page_id, case when html like '<!%' or html like '<htm%' then 'text/html' when lower(url) like '%.pdf' then 'application/pdf' end as kind from pages""")
+def sniffed_types(spark, sf_dir):
+    """A3: types by first bytes, by name only where those say nothing."""
+    return table(spark, sf_dir, "pages").select("page_id", S.sniffed_type(F.encode("html", "UTF-8"), F.lower("url")).alias("kind"))
+
+
+@register("sidecars", """select page_id, 'q' || doc_id as legacy_ref, case when quality = 1 then '2024-01-0' || (doc_id % 9 + 1) end as captured from pages left join labels on doc_id = page_id""")
+def sidecars(spark, sf_dir):
+    """A2: metadata of ``x.pdf.json``, else ``x.json``; a bad date is none."""
+    files = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("name"))
+    k = F.col("doc_id").cast("string")
+    stem = F.concat(F.lit("P"), k, F.when(F.col("doc_id") % 2 == 0, ".pdf.json").otherwise(".json"))
+    day = F.when(F.col("quality") == 1, F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))).otherwise("no date")
+    side = table(spark, sf_dir, "labels").select(stem.alias("name"), F.concat(F.lit("q"), k).alias("legacy_ref"), day.alias("captured_at"))
+    return S.with_sidecars(files, side).select("page_id", "legacy_ref", F.date_format("captured_at", "yyyy-MM-dd").alias("captured"))
+
+
+@register("master_index", """select p_brand as brand, string_agg(distinct p_type, ',' order by p_type) as generics, count(distinct p_type) as n from part group by 1""")
+def master_index(spark, sf_dir):
+    """Brands to their generics from tab-separated lines."""
+    return S.master_index(table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("\t "), "p_type").alias("line")), "line")
+
+
+@register("alias_owners", """with a as (select p_name as alias, p_brand as name, case when p_size > 30 then 'test' when p_size > 15 then 'analyte' else 'catalogue' end as kind from part union all select p_type, p_brand, 'other' from part),
+k as (select regexp_replace(lower(alias), '[^a-z0-9]+', '', 'g') as alias_key, case kind when 'test' then 1 when 'analyte' then 2 when 'catalogue' then 3 else 4 end as r, name, kind from a)
+select alias_key, name, kind, n_claims from (select *, row_number() over (partition by alias_key order by r, name, kind) as rn from k) join (select alias_key, count(distinct (r, name, kind)) as n_claims from k group by 1) using (alias_key) where rn = 1""")
+def alias_owners(spark, sf_dir):
+    """Who owns an alias that several claim: tests before analytes before the catalogue."""
+    p = table(spark, sf_dir, "part")
+    kind = F.when(F.col("p_size") > 30, "test").when(F.col("p_size") > 15, "analyte").otherwise("catalogue")
+    a = p.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("name"), kind.alias("kind")).union(p.select("p_type", "p_brand", F.lit("other")))
+    return S.alias_owners(a, ["test", "analyte", "catalogue"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import jaro_winkler, lev_ratio, ratcliff, similarity_join, whole_join
+from factloom.functions.similarity import jaro_winkler, similarity_join
 from factloom.operators import matching as M
 from factloom.plans.registry import register
 from factloom.plans.tables import table
@@ -23,56 +23,59 @@ a as (select distinct p_name as alias, p_brand as concept, {_KEY.format('p_name'
 sure as (select reading, concept, 1 as level, 1.0 as score from rk join a on reading = alias
   union all select reading, concept, 2, 0.97 from rk join a on key = akey and reading <> alias),
 near as (select reading, concept, 3 as level, (1 - levenshtein(key, akey) / greatest(length(key), length(akey))) * 0.95 as score from rk join a
-  on substr(key, 1, 2) = substr(akey, 1, 2) and 2 * least(length(key), length(akey)) >= 0.82 * (length(key) + length(akey))
+  on abs(length(key) - length(akey)) <= 0.18 * greatest(length(key), length(akey)) and regexp_replace(key, '[^0-9]+', '', 'g') = regexp_replace(akey, '[^0-9]+', '', 'g')
   where reading not in (select reading from sure) and 1 - levenshtein(key, akey) / greatest(length(key), length(akey)) >= 0.82),
 best as (select reading, concept, max(cast(score as double)) as score, min(level) as level from (select * from sure union all select * from near) group by 1, 2),
 ranked as (select *, row_number() over (partition by reading order by score desc, concept) as rank from best)"""
 
 
-def _cascade(spark, sf_dir, block=2):
+def _cascade(spark, sf_dir):
     p = _misspelt(spark, sf_dir)
-    return M.alias_cascade(p.select("reading"), table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("concept")), block=block)
+    return M.alias_cascade(p.select("reading"), table(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_brand").alias("concept")))
 
 
 @register("alias_cascade", f"with {_CASCADE} select reading, concept, cast(level as integer) as level, round(score, 3) as score, rank from ranked where rank <= 5")
 def alias_cascade(spark, sf_dir):
-    """Exact, normalised, then fuzzy candidates that share two letters, as the SQL has it."""
+    """Exact, normalised, then all fuzzy candidates with the same digits, whichever letter is wrong."""
     return _cascade(spark, sf_dir).withColumn("score", F.round("score", 3)).select("reading", "concept", "level", "score", "rank")
 
 
-@register("alias_cascade_whole")
-def alias_cascade_whole(spark, sf_dir):
-    """Exact, normalised, then all fuzzy candidates, also where one of the first letters is missing."""
-    return _cascade(spark, sf_dir, None).withColumn("score", F.round("score", 3)).select("reading", "concept", "level", "score", "rank")
-
-
 @register("ambiguous_aliases", f"""with {_CASCADE}, k as (select * from ranked where rank <= 5), t as (select reading, max(score) as top from k group by 1)
 select reading, count(*) filter (where score >= top - 0.03) > 1 as collision, count(*) as n from k join t using (reading) group by reading""")
 def ambiguous_aliases(spark, sf_dir):
-    """Readings whose best candidates are too close, of those that share two letters, as the SQL has it."""
+    """Readings whose best candidates are too close."""
     return M.mark_collisions(_cascade(spark, sf_dir), "reading").groupBy("reading").agg(F.bool_or("collision").alias("collision"), F.count("*").alias("n"))
 
 
-@register("ambiguous_aliases_whole")
-def ambiguous_aliases_whole(spark, sf_dir):
-    """Readings whose best candidates are too close, of all candidates."""
-    return M.mark_collisions(_cascade(spark, sf_dir, None), "reading").groupBy("reading").agg(F.bool_or("collision").alias("collision"), F.count("*").alias("n"))
+#: Names as written (a character left out), the id where it was read, and a birth year that is at times off.
+_WRITTEN = _SPELT.replace("p_name", "c_name").replace("p_partkey", "c_custkey")
+_YEAR = "1930 + c_custkey % 60"
 
 
-@register("resolve_names", """with a as (select distinct c_name as a from customer where c_custkey % 10 = 0), b as (select distinct c_name as b from customer where c_custkey % 10 = 1)
-select a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 4) as score from a join b on lower(substr(a, 1, 1)) = lower(substr(b, 1, 1))
-where 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.94""")
+@register("resolve_names", f"""with w as (select distinct {_WRITTEN} as a from customer)
+select a, c_name as b, round(1 - levenshtein(a, c_name) / greatest(length(a), length(c_name)), 4) as score from w join (select distinct c_name from customer) c
+on abs(length(a) - length(c_name)) <= 1 where 1 - levenshtein(a, c_name) / greatest(length(a), length(c_name)) >= 0.94""")
 def resolve_names(spark, sf_dir):
-    """Alike names of two tenths of the customers, as the SQL has it."""
+    """All written readings of customer names against all customers."""
+    c = table(spark, sf_dir, "customer").select("c_name", F.expr(_WRITTEN).alias("reading"))
+    return similarity_join(c, c, "reading", "c_name", 0.94).withColumn("score", F.round("score", 4))
+
+
+@register("resolve_entities", f"""with w as (select c_custkey as key, case when c_acctbal < 0 then c_custkey end as id, {_WRITTEN} as name, {_YEAR} + case when c_nationkey < 5 then 4 else 0 end as year from customer),
+k as (select c_custkey as person, c_name as name, {_YEAR} as year from customer),
+s as (select key, person, 1 - levenshtein(w.name, k.name) / greatest(length(w.name), length(k.name)) as plain, w.year as wy, k.year as ky from w join k on abs(length(w.name) - length(k.name)) <= 1 where id is null),
+t as (select key, person, plain - case when abs(wy - ky) > 1 then 0.3 else 0 end as s from s where plain >= 0.94),
+b as (select key, person, s from (select *, row_number() over (partition by key order by s desc, person) as rn from t where s >= 0.94) where rn = 1)
+select w.key, coalesce(w.id, b.person) as matched, case when w.id is not null then 'id' when b.person is not null then 'name' else 'new' end as method,
+  round(case when w.id is not null then 1.0 else b.s end, 4) as score, case when w.id is null and b.person is null then 'N' || substr(sha256(w.name || '|' || cast(w.year as varchar)), 1, 12) end as new_id
+from w left join b on b.key = w.key""")
+def resolve_entities(spark, sf_dir):
+    """Exact id, else the best name less a penalty for another birth year, else a new id."""
     c = table(spark, sf_dir, "customer")
-    return similarity_join(c.where("c_custkey % 10 = 0"), c.where("c_custkey % 10 = 1"), "c_name", "c_name", 0.94).withColumn("score", F.round("score", 4))
-
-
-@register("resolve_names_whole")
-def resolve_names_whole(spark, sf_dir):
-    """All written readings of customer names against all customers; names only, without birth years or new ids."""
-    c = table(spark, sf_dir, "customer").select("c_name", F.expr(_SPELT.replace("p_name", "c_name").replace("p_partkey", "c_custkey")).alias("reading"))
-    return whole_join(c, c, "reading", "c_name", 0.94).withColumn("score", F.round("score", 4))
+    year = F.expr(_YEAR)
+    w = c.select(F.col("c_custkey").alias("key"), F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).alias("id"), F.expr(_WRITTEN).alias("name"), (year + F.when(F.col("c_nationkey") < 5, 4).otherwise(0)).alias("year"))
+    k = c.select(F.col("c_custkey").alias("person"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), year.alias("year"))
+    return M.resolve_entities(w, k, floor=0.94)
 
 
 @register("code_binding", """with codes as (select distinct upper(p_type) as key, 'C' || cast(length(p_type) as varchar) as code, case when length(p_type) % 2 = 0 then 'open' else 'closed' end as system from part),
@@ -112,38 +115,36 @@ def votes(spark, sf_dir):
     return M.votes(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@register("practitioner_match", """with v as (select s_suppkey, s_name, substr(s_name, 1, length(s_name) - 1) || '0' as written from supplier),
-p as (select v.s_suppkey, m.s_suppkey as hit, 1 - levenshtein(v.written, m.s_name) / greatest(length(v.written), length(m.s_name)) as score from v join supplier m on substr(v.written, 1, 15) = substr(m.s_name, 1, 15)),
-r as (select *, row_number() over (partition by s_suppkey order by score desc, hit) as rn, lead(score) over (partition by s_suppkey order by score desc, hit) as runner from p)
-select s_suppkey, case when score >= 0.9 and (runner is null or score - runner >= 0.03) then hit end as linked, round(score, 4) as score from r where rn = 1""")
+@register("practitioner_match", """with m as (select s_suppkey as master, s_name as name, 'R' || cast(s_suppkey * 7 as varchar) as reg_no, s_nationkey % 5 as field from supplier),
+w as (select s_suppkey as key, substr(s_name, 1, length(s_name) - 1) || '0' as name, case when s_acctbal > 5000 then 'R' || cast(s_suppkey * 7 as varchar) end as reg_no, case when s_acctbal < 0 then -1 else s_nationkey % 5 end as field from supplier),
+p as (select key, master, w.field as wf, m.field as mf, w.reg_no is not distinct from m.reg_no as numbered, 1 - levenshtein(w.name, m.name) / greatest(length(w.name), length(m.name)) as s from w join m on w.reg_no = m.reg_no or levenshtein(w.name, m.name) <= 1),
+f as (select key, master, max(greatest(case when numbered then case when s >= 0.8 then 0.99 else 0.9 end else 0 end, case when s >= 0.93 then s * case when wf = mf then 1.0 else 0.97 end else 0 end)) as score from p group by 1, 2),
+r as (select *, row_number() over (partition by key order by score desc, master) as rn, lead(score) over (partition by key order by score desc, master) as second, count(*) over (partition by key) as n from f where score > 0)
+select w.key, case when score >= 0.93 and (second is null or score - second >= 0.03 - 1e-9) then master end as linked, round(score, 4) as score, coalesce(least(n, 5), 0) as n from w left join r on r.key = w.key and rn = 1""")
 def practitioner_match(spark, sf_dir):
-    """A link needs a high score and a clear gap to the runner-up."""
-    from pyspark.sql import Window
-
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    v = s.select("s_suppkey", F.expr("substr(s_name, 1, length(s_name) - 1) || '0'").alias("written"))
-    m = s.select(F.col("s_suppkey").alias("hit"), "s_name")
-    p = v.join(m, F.substring("written", 1, 15) == F.substring("s_name", 1, 15)).withColumn("score", lev_ratio(F.col("written"), F.col("s_name")))
-    w = Window.partitionBy("s_suppkey").orderBy(F.desc("score"), "hit")
-    r = p.withColumns({"rn": F.row_number().over(w), "runner": F.lead("score").over(w)}).where("rn = 1")
-    clear = (F.col("score") >= 0.9) & (F.col("runner").isNull() | (F.col("score") - F.col("runner") >= 0.03))
-    return r.select("s_suppkey", F.when(clear, F.col("hit")).alias("linked"), F.round("score", 4).alias("score"))
+    """By registration number, else by name and field; a link needs a high score and a clear gap to the runner-up."""
+    s = table(spark, sf_dir, "supplier")
+    reg, field = F.concat(F.lit("R"), (F.col("s_suppkey") * 7).cast("string")), F.col("s_nationkey") % 5
+    m = s.select(F.col("s_suppkey").alias("master"), F.col("s_name").alias("name"), reg.alias("reg_no"), field.alias("field"))
+    w = s.select(F.col("s_suppkey").alias("key"), F.expr("substr(s_name, 1, length(s_name) - 1) || '0'").alias("name"), F.when(F.col("s_acctbal") > 5000, reg).alias("reg_no"), F.when(F.col("s_acctbal") < 0, -1).otherwise(field).alias("field"))
+    return M.practitioner_links(w, m, floor=0.93)
 
 
 @register("box_overlap", """with b as (select event_id as id, user_id as page, event_id % 500 as x0, (event_id * 7) % 900 as y0, event_id % 500 + 40 as x1, (event_id * 7) % 900 + 30 as y1 from events)
-select a.page, a.id as a_id, b.id as b_id from b a join b on a.page = b.page and a.id <> b.id
-where greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * 40 * 30""")
+select a.page, a.id as a_id, count(*) as n, min(b.id) as first_id from b a join b on a.page = b.page and a.id <> b.id
+where greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * 40 * 30 group by 1, 2""")
 def box_overlap(spark, sf_dir):
-    """Boxes of one page that cover each other by half."""
+    """Boxes of one page that others cover by half, with their number and the first of them."""
     e = table(spark, sf_dir, "events")
     x, y = F.col("event_id") % 500, (F.col("event_id") * 7) % 900
     b = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("page"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"))
-    return M.box_overlap_join(b, b, "page").where("a_id != b_id")
+    return M.box_overlap_join(b, b, "page", same=True)
 
 
 @register("ratcliff_names")
 def ratcliff_names(spark, sf_dir):
-    """Exact matching-block and Jaro-Winkler scores of blocked pairs of readings and names."""
+    """Matching-block and Jaro-Winkler scores of all readings and names that are alike enough to share rare letter pairs."""
     p = _misspelt(spark, sf_dir)
-    pairs = p.select("reading", F.col("p_name").alias("name")).distinct()
-    return pairs.select("reading", "name", F.round(ratcliff("reading", "name"), 4).alias("ratcliff"), F.round(jaro_winkler("reading", "name"), 4).alias("jaro_winkler"))
+    found = similarity_join(p, p, "reading", "p_name", 0.8, "ratcliff")
+    return found.select(F.col("a").alias("reading"), F.col("b").alias("name"), F.round("score", 4).alias("ratcliff"), F.round(jaro_winkler("a", "b"), 4).alias("jaro_winkler"))
+

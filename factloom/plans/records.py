@@ -134,8 +134,8 @@ def table_diff(spark, sf_dir):
 
 
 @register("dedupe_content", """select content_hash, doc_id, source, copies from (
-  select sha256(text || '|' || source) as content_hash, doc_id, source, count(*) over (partition by sha256(text || '|' || source)) as copies,
-         row_number() over (partition by sha256(text || '|' || source) order by doc_id) as rn from documents) where rn = 1""")
+  select sha256(coalesce(length(text) || ':' || text, '-') || coalesce(length(source) || ':' || source, '-')) as content_hash, doc_id, source, count(*) over (partition by sha256(coalesce(length(text) || ':' || text, '-') || coalesce(length(source) || ':' || source, '-'))) as copies,
+         row_number() over (partition by sha256(coalesce(length(text) || ':' || text, '-') || coalesce(length(source) || ':' || source, '-')) order by doc_id) as rn from documents) where rn = 1""")
 def dedupe_content(spark, sf_dir):
     """A4: one document per content and scope."""
     return T.dedupe_documents(table(spark, sf_dir, "documents"), "text", ["source"], [F.col("doc_id")]).select("content_hash", "doc_id", "source", "copies")
@@ -152,7 +152,7 @@ def admit_documents(spark, sf_dir):
 
 
 @register("snapshot_versions", """with h as (
-  select o_custkey, o_orderkey, o_orderdate, sha256(o_orderstatus || '|' || o_orderpriority) as payload_hash from orders),
+  select o_custkey, o_orderkey, o_orderdate, sha256(coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-') || coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-')) as payload_hash from orders),
 c as (select *, lag(payload_hash) over (partition by o_custkey order by o_orderdate, o_orderkey) as p from h)
 select o_custkey, o_orderkey, payload_hash, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as version
 from c where p is null or p <> payload_hash""")
@@ -274,13 +274,14 @@ def contract_violations(spark, sf_dir):
     return T.contract_violations(table(spark, sf_dir, "orders"), "o_orderkey", ["o_custkey"], {"o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM"], "o_orderstatus": ["F", "O"]})
 
 
-@register("token_conflicts", """select a.event_id, b.event_id as other_id from events a join events b
-on a.event_type = b.event_type and floor(a.value * 100) = floor(b.value * 100) and cast(a.ts as date) = cast(b.ts as date) and a.user_id <> b.user_id and a.event_id < b.event_id""")
+@register("token_conflicts", """with e as (select event_id, event_type, user_id, ts, floor(value * 100) as token, cast(ts as date) as day from events),
+p as (select a.event_id, b.event_id as other_id, row_number() over (partition by a.event_id order by b.ts desc, b.event_id desc) as rn from e a join e b
+  on a.event_type = b.event_type and a.token = b.token and a.day = b.day and a.user_id <> b.user_id)
+select event_id, other_id from p where rn = 1""")
 def token_conflicts(spark, sf_dir):
-    """The same token on the same day under another key."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.floor(F.col("value") * 100).alias("token"), F.to_date("ts").alias("day"))
-    b = e.select(F.col("event_id").alias("other_id"), "event_type", F.col("user_id").alias("other_user"), "token", "day")
-    return e.join(b, ["event_type", "token", "day"]).where("user_id <> other_user and event_id < other_id").select("event_id", "other_id")
+    """The newest event with the same token on the same day under another key; no pairs, two candidates a token and day."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", F.floor(F.col("value") * 100).alias("token"), F.to_date("ts").alias("day"))
+    return T.newest_of_another(e, ["event_type", "token", "day"], "user_id", [F.col("ts"), F.col("event_id")], "event_id", "other_id")
 
 
 @register("latest_visit", """select o_custkey, o_orderkey, visit from (select o_custkey, o_orderkey,
@@ -291,14 +292,16 @@ def latest_visit(spark, sf_dir):
     return T.top_k(table(spark, sf_dir, "orders"), ["o_custkey"], [dated.desc_nulls_last(), F.col("o_orderkey")], 2, "visit").select("o_custkey", "o_orderkey", "visit")
 
 
-@register("reading_order", """with m as (select user_id, median(value) as m from events group by 1),
-b as (select e.event_id, e.user_id, floor(extract('epoch' from ts) / 3600) as band, value from events e)
-select event_id, user_id, row_number() over (partition by user_id order by band, value, event_id) as place from b""")
+@register("reading_order", """with l as (select conv_id, turn, role, text, cast(turn * 24 + length(text) % 13 as double) as yc, length(text) % 700 as x, 18 + length(text) % 9 as height from conversations),
+b as (select *, floor(yc / (0.7 * median(height) over (partition by conv_id))) as band from l)
+select conv_id, cast(turn as bigint) as turn, row_number() over (partition by conv_id order by band, x, turn, role, text) as place from b""")
 def reading_order(spark, sf_dir):
-    """Bands first, then the place inside a band."""
-    w = Window.partitionBy("user_id").orderBy("band", "value", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("band", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600))
-    return e.select("event_id", "user_id", F.row_number().over(w).cast("long").alias("place"))
+    """Bands of 0.7 of the median line height, then the left edge; boxes of lines follow from turn and text length."""
+    size = F.length("text")
+    lines = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", (F.col("turn") * 24 + size % 13).cast("double").alias("yc"), (size % 700).alias("x"), (18 + size % 9).alias("height")
+    )
+    return T.reading_order(lines, "conv_id", "yc", "x", "height", [F.col("turn"), F.col("role"), F.col("text")]).select("conv_id", "turn", "place")
 
 
 @register("json_bundle", """select o_orderkey, count(*) as n_entries, sha256(string_agg(cast(l_linenumber as varchar) || ':' || cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey)) as digest

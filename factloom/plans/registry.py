@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from factloom.plans import decisions, facts, matching, measures, records, streams, texts  # noqa: F401
+    from factloom.plans import answers, decisions, facts, matching, measures, reading, records, streams, texts, views  # noqa: F401
 
 
 

@@ -106,21 +106,7 @@ def first_match(spark, sf_dir):
     return N.first_match(lines, "doc_id", "pos", "line", ["(?:Licensed|Released) under (?:the )?([A-Za-z]+)", "^([A-Z][a-z]+)[.]$"])
 
 
-@register("vocab_snap", """with w as (select source, unnest(string_split_regex(lower(text), '[^a-z]+')) as w, doc_id from documents),
-v as (select source, w, count(distinct doc_id) as n from w where length(w) between 12 and 13 group by 1, 2),
-p as (select a.source, a.w as word, min(b.w) as snapped, count(*) as k from v a join v b on a.source = b.source and substr(a.w, 1, 3) = substr(b.w, 1, 3) and a.w <> b.w where a.n = 1 and b.n > 1 and levenshtein(a.w, b.w) <= 2 group by 1, 2)
-select source, word, snapped from p where k = 1""")
+@register("vocab_snap")
 def vocab_snap(spark, sf_dir):
-    """A rare word of 12 or 13 letters that is one or two edits from exactly one of its group's common words, as the SQL has it."""
-    w = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 12 and 13")
-    v = w.groupBy("source", "w").agg(F.countDistinct("doc_id").alias("n"))
-    a = v.where("n = 1").select("source", F.col("w").alias("word"), F.substring("w", 1, 3).alias("k"))
-    b = v.where("n > 1").select("source", F.col("w").alias("common"), F.substring("w", 1, 3).alias("k"))
-    p = a.join(b, ["source", "k"]).where(F.levenshtein("word", "common") <= 2).groupBy("source", "word").agg(F.min("common").alias("snapped"), F.count("*").alias("n"))
-    return p.where("n = 1").select("source", "word", "snapped")
-
-
-@register("vocab_snap_whole")
-def vocab_snap_whole(spark, sf_dir):
     """A rare word of any length that is one or two edits from exactly one of its group's common words."""
     return N.snap_words(table(spark, sf_dir, "documents"), "source", "doc_id", "text")

@@ -22,7 +22,7 @@ def sniffed_type(content: Column, name: Column) -> Column:
     """The type of a file from its first bytes; its name only where they say nothing."""
     head = F.hex(F.substring(content, 1, 8))
     by_name = F.when(name.endswith(".pdf"), "application/pdf").when(name.endswith(".png"), "image/png").when(name.rlike("[.]jpe?g$"), "image/jpeg")
-    return F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("49492A00") | head.startswith("4D4D002A"), "image/tiff").otherwise(by_name)
+    return F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("49492A00") | head.startswith("4D4D002A"), "image/tiff").when(head.startswith("504B0304"), "application/zip").when(head.startswith("50415231"), "application/parquet").when(head.startswith("3C21") | head.startswith("3C68746D"), "text/html").otherwise(by_name)
 
 
 def with_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -54,3 +54,19 @@ def lexicon(df: DataFrame, columns: Sequence[str], stop: DataFrame, least: int =
     """Distinct words of ``least`` letters or more of several columns, without the stop words (word)."""
     words = F.explode(F.flatten(F.array(*[F.regexp_extract_all(F.lower(c), F.lit(f"([a-z]{{{least},}})"), F.lit(1)) for c in columns])))
     return df.select(words.alias("word")).distinct().join(stop, "word", "left_anti")
+
+
+def master_index(lines: DataFrame, text: str) -> DataFrame:
+    """(brand, generics, n) of a headerless tab-separated master (brand, generic): the generics of each brand, in order."""
+    cells = F.split(F.col(text), "\t")
+    rows = lines.select(F.trim(F.get(cells, F.lit(0))).alias("brand"), F.trim(F.get(cells, F.lit(1))).alias("generic")).where("brand != '' and generic != ''")
+    return rows.groupBy("brand").agg(F.array_join(F.array_sort(F.collect_set("generic")), ",").alias("generics"), F.countDistinct("generic").alias("n"))
+
+
+def alias_owners(aliases: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(alias_key, name, kind, n_claims): the owner of each folded alias of (alias, name, kind): the first kind in ``order``, then the
+    smallest name."""
+    key = F.regexp_replace(F.lower("alias"), "[^a-z0-9]+", "")
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
+    rows = aliases.select(key.alias("alias_key"), F.struct(F.when(rank > 0, rank).otherwise(len(order) + 1).alias("r"), "name", "kind").alias("o")).where("alias_key != ''")
+    return rows.groupBy("alias_key").agg(F.min("o").alias("o"), F.countDistinct("o").alias("n_claims")).select("alias_key", "o.name", "o.kind", "n_claims")

@@ -22,7 +22,12 @@ STABLE_POLLS, RETRIES, BACKOFF = 2, 3, 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "factloom-streams")
+    """A new folder under ``spark.checkpoint.dir``; only a local master may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "factloom-streams")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -109,3 +114,92 @@ def file_lifecycle(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"file": [key[0]], "version": [version], "polls": [polls], "state": [name], "ts": [last]})
 
     return stream.groupBy("file").applyInPandasWithState(step, LIFECYCLE, "version string, polls long, fails long, due long", "update", GroupStateTimeout.NoTimeout)
+
+
+# ---------------------------------------------------------------- keyed state machines
+
+
+def _folded(stream: DataFrame, key: str, start: tuple, step, out: str, state: str, mode: str = "append") -> DataFrame:
+    """Fold the rows of each key in the order of their time: ``step(state, row)`` gives the new state and the rows to emit.
+
+    The state of a key is small and survives between micro-batches; the rows of a key inside one micro-batch are sorted
+    together, so the size of a micro-batch (files a trigger) bounds what one task holds.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(k, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else start
+        found = []
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
+        for row in rows.itertuples(index=False):
+            now, more = step(now, row)
+            found += [(k[0], *m) for m in more]
+        held.update(now)
+        yield pd.DataFrame(found, columns=names)
+
+    return stream.groupBy(key).applyInPandasWithState(run, out, state, mode, GroupStateTimeout.NoTimeout)
+
+
+def batch_release(stream: DataFrame, size: int = 5, wait: int = 3 * 3600) -> DataFrame:
+    """Batches of the files (source, id, ts) of each source: ``size`` of them, or fewer once the oldest waited ``wait`` seconds."""
+
+    def step(now, row):
+        number, n, first = now
+        ts, out = row.ts.timestamp(), []
+        if n and ts - first >= wait:
+            out.append((number + 1, n, "waited"))
+            number, n = number + 1, 0
+        n, first = n + 1, first if n else ts
+        if n == size:
+            out.append((number + 1, n, "full"))
+            number, n = number + 1, 0
+        return (number, n, first), out
+
+    return _folded(stream, "source", (0, 0, 0.0), step, "source string, batch long, n long, reason string", "number long, n long, first double")
+
+
+def stalls(stream: DataFrame, limit: int = 300) -> DataFrame:
+    """Times without a good poll (source, id, ts, good) for more than ``limit`` seconds, once the next good one is seen."""
+
+    def step(now, row):
+        if not row.good:
+            return now, []
+        ts = row.ts.timestamp()
+        late = now[0] > 0 and ts - now[0] > limit
+        return (ts, row.id), [(now[1], row.id)] if late else []
+
+    return _folded(stream, "source", (0.0, -1), step, "source string, last_good long, next_good long", "last double, id long")
+
+
+def outbox(stream: DataFrame, attempts: int = 3) -> DataFrame:
+    """State of each document's one outbox row over its events (document, id, ts, kind): a request arms it anew (and supersedes an
+    older one), ``sent`` finishes it, the last of ``attempts`` failures kills it."""
+
+    def step(now, row):
+        state, request, fails = now
+        if row.kind == "request":
+            state, request, fails = "pending", row.id, 0
+        elif state == "pending" and row.kind == "sent":
+            state = "done"
+        elif state == "pending" and row.kind == "failed":
+            fails += 1
+            state = "dead" if fails >= attempts else state
+        return (state, request, fails), [(state, request, fails, row.id)]
+
+    return _folded(stream, "document", ("none", -1, 0), step, "document string, state string, request long, fails long, id long", "state string, request long, fails long", "update")
+
+
+def live_drift(stream: DataFrame, n: int = 200, least: int = 20, sigma: float = 3.0, tolerance: float = 0.15) -> DataFrame:
+    """Alarms as runs (source, id, ts, value) arrive: a value against the mean of the last ``n`` before it."""
+
+    def step(now, row):
+        past = list(now[0])
+        out = []
+        if len(past) >= least:
+            mean = sum(past) / len(past)
+            sd = (sum((x - mean) ** 2 for x in past) / len(past)) ** 0.5
+            if abs(row.value - mean) > max(sigma * sd, tolerance):
+                out.append((row.id,))
+        return ([*past, float(row.value)][-n:],), out
+
+    return _folded(stream, "source", ([],), step, "source string, id long", "past array<double>")
