@@ -46,7 +46,7 @@ from factloom.llm import common as C
 #: Size bands grow by this factor.
 BAND = 1.6
 #: Members of a group, and queries that open it in one task; fine slices per slice; tokens of a bucket.
-GROUP, QUERIES, FINE, BUCKET = 256, 1024, 2, 4 << 20
+GROUP, QUERIES, FINE, BUCKET = 256, 256, 2, 4 << 20
 
 
 def _allowed_difference(total: int, percent: int) -> int:
