@@ -195,3 +195,48 @@ def reroute(kind: Column, counts: dict[str, Column], least: int = 2) -> Column:
     scores = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(k).alias("k")) for k, n in sorted(counts.items())]))
     best, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
     return F.when((-best["n"] >= least) & (best["n"] < second["n"]), best["k"]).otherwise(kind)
+
+
+def near_cue_or_foot(lines: DataFrame, document: str, order: str, unreadable: Column, cue: Column, reach: int = 2, foot: int = 2) -> DataFrame:
+    """(document, order, why): unreadable lines within ``reach`` lines of a cue, or among the last ``foot`` of their document."""
+    w = Window.partitionBy(document).orderBy(order)
+    near = F.max(cue.cast("int")).over(w.rowsBetween(-reach, reach)) == 1
+    place = F.row_number().over(Window.partitionBy(document).orderBy(F.desc(order)))
+    rows = lines.select(document, order, unreadable.alias("_u"), near.alias("_n"), place.alias("_p"))
+    return rows.where("_u").select(document, order, F.when(F.col("_n"), "near a cue").when(F.col("_p") <= foot, "at the foot").alias("why")).where("why is not null")
+
+
+def by_priority(texts: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
+    """(key, name): the name of the first rule (keyword, name, priority) whose keyword stands in the text as a word."""
+    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("keyword"))
+    return words.join(rules, "keyword").groupBy(key).agg(F.min_by("name", F.struct("priority", "name")).alias("name"))
+
+
+def wildcard_options(readings: DataFrame, reading: str, names: DataFrame, name: str, k: int = 7, floor: float = 0.7) -> DataFrame:
+    """(reading, name, rank): names that fit a reading whose ``?`` stands for one letter, then the most alike ones, ``k`` in all."""
+    r = readings.select(F.col(reading).alias("reading")).where("reading is not null").distinct()
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    masks = F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.lit("?"), F.substring("name", i + 1, F.length("name"))))).alias("reading")
+    fits = r.join(n.where("length(name) > 0").select("name", masks), "reading").select("reading", "name", F.lit(0).alias("_o"), F.lit(1.0).alias("_s")).distinct()
+    near = whole_join(r, n, "reading", "name", floor).select(F.col("a").alias("reading"), F.col("b").alias("name"), F.lit(1).alias("_o"), F.col("score").alias("_s"))
+    best = fits.unionByName(near).groupBy("reading", "name").agg(F.min(F.struct("_o", (-F.col("_s")).alias("_s"))).alias("_b"))
+    w = Window.partitionBy("reading").orderBy("_b", "name")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("reading", "name", "rank")
+
+
+def snap_scores(best: DataFrame, truth: str, reading: str, name: str, score: str, cutoffs: Sequence[float]) -> DataFrame:
+    """(cutoff, changed, fixed, harmed, exact, cer): what snapping a reading to its best name does from each cutoff on."""
+    rows = best.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)))).withColumn("_to", F.when(F.col(score) >= F.col("cutoff"), F.col(name)).otherwise(F.col(reading)))
+    was, now = F.col(reading) == F.col(truth), F.col("_to") == F.col(truth)
+    return rows.groupBy("cutoff").agg(
+        F.count_if(F.col("_to") != F.col(reading)).alias("changed"), F.count_if(~was & now).alias("fixed"), F.count_if(was & ~now).alias("harmed"), F.count_if(now).alias("exact"),
+        F.round(F.sum(F.levenshtein(truth, "_to")) / F.sum(F.length(truth)), 6).alias("cer"),
+    )
+
+
+def assessed(rows: DataFrame, tiers: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """``trace`` and ``verdict`` of facts over ordered tiers (name, outcome text, whether it passes): every tier leaves its outcome, the
+    first that does not pass decides."""
+    trace = F.array_join(F.array(*[F.concat(F.lit(f"{n}:"), F.coalesce(o, F.lit("-"))) for n, o, _ in tiers]), ">")
+    failed = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, _, ok in tiers])
+    return rows.withColumns({"trace": trace, "verdict": F.coalesce(F.concat(F.lit("held: "), failed), F.lit("supported"))})

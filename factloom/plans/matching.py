@@ -115,14 +115,21 @@ def votes(spark, sf_dir):
     return M.votes(table(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-@register("practitioner_match", """with m as (select s_suppkey as master, s_name as name, 'R' || cast(s_suppkey * 7 as varchar) as reg_no, s_nationkey % 5 as field from supplier),
+_LINKS = """m as (select s_suppkey as master, s_name as name, 'R' || cast(s_suppkey * 7 as varchar) as reg_no, s_nationkey % 5 as field from supplier),
 w as (select s_suppkey as key, substr(s_name, 1, length(s_name) - 1) || '0' as name, case when s_acctbal > 5000 then 'R' || cast(s_suppkey * 7 as varchar) end as reg_no, case when s_acctbal < 0 then -1 else s_nationkey % 5 end as field from supplier),
 p as (select key, master, w.field as wf, m.field as mf, w.reg_no is not distinct from m.reg_no as numbered, 1 - levenshtein(w.name, m.name) / greatest(length(w.name), length(m.name)) as s from w join m on w.reg_no = m.reg_no or levenshtein(w.name, m.name) <= 1),
 f as (select key, master, max(greatest(case when numbered then case when s >= 0.8 then 0.99 else 0.9 end else 0 end, case when s >= 0.93 then s * case when wf = mf then 1.0 else 0.97 end else 0 end)) as score from p group by 1, 2),
-r as (select *, row_number() over (partition by key order by score desc, master) as rn, lead(score) over (partition by key order by score desc, master) as second, count(*) over (partition by key) as n from f where score > 0)
-select w.key, case when score >= 0.93 and (second is null or score - second >= 0.03 - 1e-9) then master end as linked, round(score, 4) as score, coalesce(least(n, 5), 0) as n from w left join r on r.key = w.key and rn = 1""")
+r as (select *, row_number() over (partition by key order by score desc, master) as rn, lead(score) over (partition by key order by score desc, master) as second, count(*) over (partition by key) as n from f where score > 0)"""
+_LINKED = "select w.key, case when score >= 0.93 and (second is null or score - second >= 0.03 - 1e-9) then master end as linked, round(score, 4) as score, coalesce(least(n, 5), 0) as n from w left join r on r.key = w.key and rn = 1"
+
+
+@register("practitioner_match", f"with {_LINKS} {_LINKED}")
 def practitioner_match(spark, sf_dir):
     """By registration number, else by name and field; a link needs a high score and a clear gap to the runner-up."""
+    return _practitioners(spark, sf_dir)
+
+
+def _practitioners(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     reg, field = F.concat(F.lit("R"), (F.col("s_suppkey") * 7).cast("string")), F.col("s_nationkey") % 5
     m = s.select(F.col("s_suppkey").alias("master"), F.col("s_name").alias("name"), reg.alias("reg_no"), field.alias("field"))
@@ -148,3 +155,21 @@ def ratcliff_names(spark, sf_dir):
     found = similarity_join(p, p, "reading", "p_name", 0.8, "ratcliff")
     return found.select(F.col("a").alias("reading"), F.col("b").alias("name"), F.round("score", 4).alias("ratcliff"), F.round(jaro_winkler("a", "b"), 4).alias("jaro_winkler"))
 
+
+
+@register("fact_candidates", f"""with {_CASCADE}, k as (select * from ranked where rank <= 5), t as (select reading, max(score) as top from k group by 1), c as (select k.reading, max(case when rank = 1 then concept end) as best, count(*) filter (where score >= top - 0.03) as near, count(*) as n from k join t using (reading) group by 1)
+select p_partkey, {_SPELT} as reading, case when near = 1 then best end as code, case when n is null then 'unresolved' when near = 1 then 'bound' else 'candidates' end as status, coalesce(n, 0) as n_candidates from part left join c on c.reading = {_SPELT}""")
+def fact_candidates(spark, sf_dir):
+    """Candidates of each fact; the reading is kept, an unbound fact gains the top code where it is clear."""
+    c = M.mark_collisions(_cascade(spark, sf_dir), "reading").groupBy("reading").agg(F.max(F.when(F.col("selected"), F.col("concept"))).alias("code"), F.count("*").alias("n"))
+    rows = _misspelt(spark, sf_dir).join(c, "reading", "left")
+    status = F.when(F.col("n").isNull(), "unresolved").when(F.col("code").isNotNull(), "bound").otherwise("candidates")
+    return rows.select("p_partkey", "reading", "code", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_candidates"))
+
+
+@register("linked_documents", f"with {_LINKS}, k as ({_LINKED}) select l_orderkey, l_linenumber, l_partkey, linked, case when linked is null then 'no clear link' else 'score ' || cast(round(score, 2) as varchar) end as evidence from lineitem join k on key = l_suppkey")
+def linked_documents(spark, sf_dir):
+    """The practitioner link written back to each document with its evidence."""
+    k = _practitioners(spark, sf_dir)
+    evidence = F.when(F.col("linked").isNull(), "no clear link").otherwise(F.concat(F.lit("score "), F.round("score", 2).cast("string")))
+    return table(spark, sf_dir, "lineitem").join(k, F.col("key") == F.col("l_suppkey")).select("l_orderkey", "l_linenumber", "l_partkey", "linked", evidence.alias("evidence"))

@@ -132,10 +132,11 @@ def set_scores(spark, sf_dir):
     return E.set_scores(j.where("l_quantity > 20"), j.where("l_extendedprice > 20000"), "o_custkey", "l_partkey")
 
 
-@register("read_drift", "select user_id, count(distinct event_type) > 3 as drifted, count(distinct event_type) as kinds from events group by 1")
+@register("read_drift", """with r as (select user_id, cast(ts as date) as day, array_to_string(list_sort(list(distinct event_type)), ',') as found from events group by 1, 2) select user_id, count(distinct found) > 1 as drifted, count(*) as n_reads, count(distinct found) as n_results from r group by 1""")
 def read_drift(spark, sf_dir):
-    """Keys whose repeated reads differ."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.countDistinct("event_type") > 3).alias("drifted"), F.countDistinct("event_type").alias("kinds"))
+    """Inputs whose repeated reads (one a day) gave different result sets."""
+    reads = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("found"))
+    return reads.groupBy("user_id").agg((F.countDistinct("found") > 1).alias("drifted"), F.count("*").alias("n_reads"), F.countDistinct("found").alias("n_results"))
 
 
 @register("lexicon_counts", """select user_id, event_type, count(*) as uses, count(*) filter (where value > 50) as verified, cast(cast(min(ts) as date) as varchar) as first_seen, cast(cast(max(ts) as date) as varchar) as last_seen from events group by 1, 2""")

@@ -173,3 +173,61 @@ def rerouted(spark, sf_dir):
     times = lambda p: F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({p})"), F.lit(1)))
     kinds = {"table": times("[|]"), "licence": times("licens"), "secret": times("token|password")}
     return table(spark, sf_dir, "documents").select("doc_id", R.reroute(F.col("source"), kinds).alias("kind"))
+
+
+@register("unreadable_lines", f"""with {_LINES}, q as (select doc_id, pos, length(regexp_replace(line, '[A-Za-z ]', '', 'g')) * 5 > length(line) as u, regexp_matches(lower(line), 'licens|token|password') as cue from l),
+w as (select *, max(cue::int) over (partition by doc_id order by pos rows between 2 preceding and 2 following) = 1 as near, row_number() over (partition by doc_id order by pos desc) as p from q)
+select doc_id, cast(pos as bigint) as pos, case when near then 'near a cue' else 'at the foot' end as why from w where u and (near or p <= 2)""")
+def unreadable_lines(spark, sf_dir):
+    """Unreadable lines near a cue or at the foot."""
+    low = F.lower("line")
+    odd = F.length(F.regexp_replace("line", "[A-Za-z ]", "")) * 5 > F.length("line")
+    return R.near_cue_or_foot(_lines(spark, sf_dir).withColumn("pos", F.col("pos").cast("long")), "doc_id", "pos", odd, low.rlike("licens|token|password"))
+
+
+_RULES = [("license", "legal", 1), ("the", "english", 2), ("der", "german", 3), ("und", "german", 3), ("la", "romance", 4), ("de", "romance", 4)]
+
+
+@register("header_departments", f"""with {_LINES}, k(keyword, name, priority) as (values {", ".join(str(r) for r in _RULES)}), w as (select distinct doc_id, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) as keyword from l where pos < 3)
+select doc_id, name from (select doc_id, name, row_number() over (partition by doc_id order by priority, name) as rn from w join k using (keyword)) where rn = 1""")
+def header_departments(spark, sf_dir):
+    """A name from the first lines of a document, by the priority of rules."""
+    rules = spark.createDataFrame(_RULES, "keyword string, name string, priority int")
+    head = _lines(spark, sf_dir).where("pos < 3")
+    return R.by_priority(head, "doc_id", "line", rules)
+
+
+@register("surname_options", """with r as (select distinct substr(p_name, 1, cast(p_partkey % length(p_name) as int)) || '?' || substr(p_name, cast(p_partkey % length(p_name) as int) + 2) as reading from part), n as (select distinct p_name as name from part),
+o as (select reading, name, reading = substr(name, 1, instr(reading, '?') - 1) || '?' || substr(name, instr(reading, '?') + 1) as fits, 1 - levenshtein(reading, name) / greatest(length(reading), length(name)) as s from r, n)
+select reading, name, rank from (select *, row_number() over (partition by reading order by case when fits then 0 else 1 end, case when fits then -1.0 else -s end, name) as rank from o where fits or s >= 0.7) where rank <= 7""")
+def surname_options(spark, sf_dir):
+    """Names for a reading with an unread letter, seven at most."""
+    p = table(spark, sf_dir, "part")
+    at = F.expr("cast(p_partkey % length(p_name) as int)")
+    masked = F.concat(F.expr("substr(p_name, 1, cast(p_partkey % length(p_name) as int))"), F.lit("?"), F.expr("substr(p_name, cast(p_partkey % length(p_name) as int) + 2)"))
+    return R.wildcard_options(p.where(at >= 0).select(masked.alias("reading")), "reading", p, "p_name")
+
+
+@register("snap_scores", f"""with r as (select distinct p_name as truth, {_SPELT} as reading from part), n as (select distinct p_name as name from part), s as (select truth, reading, name, 1 - levenshtein(reading, name) / greatest(length(reading), length(name)) as s from r, n),
+b as (select truth, reading, name, s from (select *, row_number() over (partition by truth, reading order by s desc, name) as rn from s where s >= 0.6) where rn = 1), t as (select r.truth, r.reading, b.name, b.s from r left join b using (truth, reading)), c(cutoff) as (values (0.7), (0.8), (0.9), (0.95)),
+x as (select cast(cutoff as double) as cutoff, truth, reading, case when s >= cutoff then name else reading end as w from t, c)
+select cutoff, count(*) filter (where w <> reading) as changed, count(*) filter (where reading <> truth and w = truth) as fixed, count(*) filter (where reading = truth and w <> truth) as harmed, count(*) filter (where w = truth) as exact, round(sum(levenshtein(truth, w)) / sum(length(truth)), 6) as cer from x group by 1""")
+def snap_scores(spark, sf_dir):
+    """What snapping readings to names changes, fixes and harms, per cutoff."""
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("truth"), F.expr(_SPELT).alias("reading")).distinct()
+    best = R.suggestions(p, "reading", p, "truth", 1, 0.6).select(F.col("text").alias("reading"), "name", "score")
+    return R.snap_scores(p.join(best, "reading", "left"), "truth", "reading", "name", "score", [0.7, 0.8, 0.9, 0.95])
+
+
+@register("assessed_facts", f"""with r as (select p_partkey, p_name || ' ' || p_size as a, case when p_partkey % 7 = 0 then null else substr(p_name, 1, length(p_name) - 1) || ' ' || (p_size + case when p_size > 40 then 1 else 0 end) end as b, p_size, p_type from part),
+s as (select p_partkey, case when b is null then 'single' when {_NUM.format('a')} = {_NUM.format('b')} and 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85 then 'agree' else 'disagree' end as state, case when p_size between 5 and 45 then 'in range' else 'out of range' end as range, p_type from r)
+select p_partkey, 'readers:' || state || '>range:' || range || '>code:' || p_type as trace, case when state <> 'agree' then 'held: readers' when range <> 'in range' then 'held: range' when p_type = 'PROMO' then 'held: code' else 'supported' end as verdict from s""")
+def assessed_facts(spark, sf_dir):
+    """Readers, range and code of a fact, each with its outcome; the first that fails decides."""
+    p = table(spark, sf_dir, "part")
+    a = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    b = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit(" "), (F.col("p_size") + F.when(F.col("p_size") > 40, 1).otherwise(0)).cast("string")))
+    rows = R.compared_readers(p.select("p_partkey", "p_size", "p_type", a.alias("a"), b.alias("b")), "a", "b")
+    fits = F.col("p_size").between(5, 45)
+    tiers = [("readers", F.col("state"), F.col("state") == "agree"), ("range", F.when(fits, "in range").otherwise("out of range"), fits), ("code", F.col("p_type"), F.col("p_type") != "PROMO")]
+    return R.assessed(rows, tiers).select("p_partkey", "trace", "verdict")
