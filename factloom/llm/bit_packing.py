@@ -85,6 +85,7 @@ def _pack_partition(path: str, end_id: int, bits: int):
                     if held >= BLOCK_IDS:
                         yield block(part, number, before, docs, ids)
                         number, before, held, docs, ids = number + 1, before + held, 0, [], []
+            C.release()
         if docs:
             yield block(part, number, before, docs, ids)
 

@@ -43,9 +43,9 @@ from factloom.llm import common as C
 #: What byte-level vocabularies that name no pattern split with, and what begins a word of one letter class after a blank.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and bytes of words that a worker remembers; words up to this many bytes are encoded side by side.
-MEMO_WORDS, MEMO_BYTES, SIDE_BY_SIDE = 400_000, 48 << 20, 200
+MEMO_WORDS, MEMO_BYTES, SIDE_BY_SIDE = 250_000, 24 << 20, 200
 #: Bytes of text that are split together.
-SLICE = 8 << 20
+SLICE = 3 << 20
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _NEVER = 1 << 60
 _SHIFT = 20

@@ -11,6 +11,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -73,9 +75,26 @@ def stored(df: DataFrame) -> DataFrame:
     written(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    for made in _SCOPES:
+        made.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def intermediates() -> Iterator[list[DataFrame]]:
+    """Tables that are stored inside go when it ends, except those taken out of the list."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        dropped(*made)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more: what was made from them has been stored itself."""
     for t in tables:
@@ -130,10 +149,42 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
                     yield out
                 else:
                     yield from out
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+def where_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` accepts, seen in slices of at most ``SLICE_BYTES``; no row is shuffled."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [keep(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+            release()
+            yield pa.array(np.concatenate([*parts, np.zeros(0, dtype=bool)]), type=pa.bool_())
+
+    return docs.where(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
+
+
+def release() -> None:
+    """Give memory that a batch needed back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = _libc_trim()
+    if trim is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc_trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes."""
     n = batch.num_rows

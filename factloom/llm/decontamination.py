@@ -26,11 +26,9 @@ import hashlib
 import re
 import uuid
 from array import array
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -314,16 +312,12 @@ def contaminated_removed(docs: DataFrame, items: DataFrame, window: int = WINDOW
     sent, keyed, hits, unclear = _hits(docs, items, window)
     judge = _judge_batch(sent, window, False, window, 0.0)
     if sent:
-        C.ship(docs.sparkSession)
 
-        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                own = pa.array(texts.tolist(), type=pa.string())
-                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), own], names=["doc_id", "text"])
-                bad = [c for part in C.slices(rows) for c in judge(part).column(5).to_pylist()]
-                yield pd.Series(~np.array(bad, dtype=bool))
+        def clean(texts: pa.Array) -> np.ndarray:
+            judged = judge(pa.RecordBatch.from_arrays([pa.nulls(len(texts), type=pa.int64()), texts], names=["doc_id", "text"]))
+            return ~np.array(judged.column(5).to_pylist(), dtype=bool)
 
-        return docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
+        return C.where_texts(docs, clean)
     bad = C.map_arrow(keyed.join(hits, "key").select("key", "text", "spans", "items"), judge, _JUDGED).where("contaminated")
     return C.keyed_rows(docs, unclear).join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 

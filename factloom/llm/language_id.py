@@ -20,10 +20,8 @@ empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,15 +168,13 @@ def undetermined_removed(docs: DataFrame, least: float = 0.0) -> DataFrame:
     Texts of one Arrow batch are looked at in slices. Null and empty texts, and texts without a letter, go; repeated rows and
     rows without an id are each judged by their text; an empty table stays empty; columns keep names and values.
     """
-    C.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(~held_out()).select("doc_id", "text", "lang")))
 
-    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            names, score = sent.value.predict(texts.tolist())
-            yield pd.Series([n != "und" and s >= least for n, s in zip(names, score)], dtype="bool")
+    def kept(texts: pa.Array) -> np.ndarray:
+        names, score = sent.value.predict(texts.to_pylist())
+        return np.array([n != "und" and s >= least for n, s in zip(names, score)], dtype=bool)
 
-    return docs.where(F.pandas_udf(kept, "boolean")(F.col("text").cast("string")))
+    return C.where_texts(docs, kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from factloom.llm import quality_rules as Q
 from factloom.llm import url_filters as U
 
 #: The pages' main element, tags off (inline ones leave no blank), references decoded, white space folded.
@@ -11,19 +10,23 @@ t as (select page_id, url, replace(replace(replace(replace(regexp_replace(regexp
 n as (select page_id, url, trim(regexp_replace(h, '\\s+', ' ', 'g')) as text from t)
 select page_id, url, text, cast(length(text) as bigint) as n_chars from n"""
 
-_FAILED = " + ".join(f"(case when {condition} then {1 << k} else 0 end)" for k, (_, condition) in enumerate(Q.RULES))
-_MASK = Q.POLICIES[Q.CURRENT] | Q.BASE
-
-QUALITY = f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+#: The eight rules written out, one bit each; the policy rejects on any, the base on the first two.
+_LEDGER = """with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda x: x <> '') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \\t-\\r]+', '', 'g') <> '') as lines from d),
 g as (select doc_id, i, array_to_string(words[i:i + 4], ' ') as k from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w)),
 r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, k) as c from g) where c > 1),
-c as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + {Q.WINDOW})) as p from r) group by doc_id),
+c as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as p from r) group by doc_id),
 m as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(length(regexp_replace(text, '[ \\t-\\r]+', '', 'g')) as bigint) as word_chars,
   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
   cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals, len(lines) as n_lines from w left join c using (doc_id)),
-f as (select *, cast({_FAILED} as bigint) as failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {Q.BASE}) <> 0 as base_failed, (failed & {_MASK}) = 0 as kept, failed from f"""
+f as (select *, cast((n_words < 10)::int + 2 * (n_repeat_words > 0.2 * n_words)::int + 4 * (n_symbols > 0.2 * n_words)::int + 8 * (n_lines > 3 and n_dup_lines > 0.3 * n_lines)::int
+  + 16 * (n_words > 0 and n_capitals > 0.5 * word_chars)::int + 32 * (word_chars < 2 * n_words)::int + 64 * (word_chars > 25 * n_words)::int + 128 * (n_words > 10000000)::int as bigint) as failed from m)"""
+
+QUALITY = _LEDGER + """
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or n_repeat_words > 0.2 * n_words as base_failed, failed = 0 as kept, failed from f"""
+
+ABLATIONS = _LEDGER + """, k(bit, rule) as (values (0, 'few_words'), (1, 'repeated_windows'), (2, 'symbols'), (3, 'repeated_lines'), (4, 'shouting'), (5, 'short_words'), (6, 'long_words'), (7, 'many_words'))
+select rule, cast(count(*) filter (where failed & (1 << bit) <> 0) as bigint) as n_failed, cast(count(*) filter (where failed = 1 << bit) as bigint) as n_only, cast(count(*) filter (where failed & ~(1 << bit) = 0) as bigint) as n_kept_without from f, k group by 1"""
 
 
 def _rules() -> tuple[str, str]:
@@ -73,4 +76,4 @@ select page_id, j.host, path, rule, coalesce(verdict, case when purity >= {U.PUR
 from j join y on j.host = y.host and j.shape = y.shape"""
 
 
-ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "op7_url_filters": urls()}
+ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "quality_ablations": ABLATIONS, "op7_url_filters": urls()}

@@ -6,8 +6,8 @@ summed per distinct mask), so neither reads a text again.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. A 5-word window counts as repeated if it is found twice or more in its
 text; ``n_repeat_words`` counts the words inside such windows, the first included. Windows are compared by 64-bit
-hashes. Defined results: null text has no words; an empty or null text fails the base rules; repeated rows are
-each judged; other columns are ignored; an empty table gives an empty result.
+hashes. Defined results: null text has no words; an empty or null text fails the base rules; repeated rows, and rows
+with equal or missing ids, are each judged; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,3 +113,8 @@ def ablations(rows: DataFrame, version: int = CURRENT) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(C.documents_of(spark, sf_dir)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of operator 3: what each rule of the current policy does alone."""
+    return ablations(ledger(C.documents_of(spark, sf_dir)))

@@ -20,6 +20,7 @@ QUERIES = {
     "op1_html_extraction": html_extraction.query,
     "op2_ngram_jaccard_join": ngram_join.query,
     "op3_quality_rules": quality_rules.query,
+    "quality_ablations": quality_rules.ablation_query,
     "op4_token_counts": token_counts.query,
     "op5_substring_dedup": substring_dedup.query,
     "op6_bit_packing": bit_packing.query,
