@@ -12,24 +12,27 @@ from pyspark.sql import functions as F
 
 from factloom.functions.similarity import lev_ratio, whole_join
 
-# fixed values: letters read for digits, and the digits they stand for
-LOOK_ALIKE, DIGITS = "OoIlSBZ", "0011582"
+# fixed values: letters read for digits, and the digits they stand for; a number with a unit glued to it; what belongs to no digit count
+LOOK_ALIKE, DIGITS = "OoDQlI|iSsBZz", "0000111155822"
+NUMBER_TOKEN, NOT_COUNTED = "^([0-9OoDQlI|iSsBZz.,/\\-½]+)([a-zA-Z%µ/]*)$", "[.,/x×\\-]"
+NUMBER = "([0-9]+(?:[.][0-9]+)?(?:/[0-9]+)?|½)"
 
 
 def repaired_numbers(c: Column) -> Column:
-    """Letters read for digits are put right in tokens that are mostly digits, and only there."""
+    """Letters read for digits are put right in the number part of a token if half of it or more is digits; lower case, single blanks."""
 
     def token(t: Column) -> Column:
-        digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
-        odd = F.length(F.regexp_replace(t, f"[^{LOOK_ALIKE}]", ""))
-        return F.when((digits > 0) & (digits * 2 > F.length(t)) & (odd > 0), F.translate(t, LOOK_ALIKE, DIGITS)).otherwise(t)
+        number, unit = F.regexp_extract(t, NUMBER_TOKEN, 1), F.regexp_extract(t, NUMBER_TOKEN, 2)
+        core = F.regexp_replace(number, NOT_COUNTED, "")
+        digits = F.length(F.regexp_replace(core, "[^0-9]", ""))
+        return F.when((digits > 0) & (digits * 2 >= F.length(core)), F.concat(F.translate(number, LOOK_ALIKE, DIGITS), unit)).otherwise(t)
 
-    return F.array_join(F.transform(F.split(c, " "), token), " ")
+    return F.lower(F.array_join(F.transform(F.filter(F.split(c, "\\s+"), lambda t: t != ""), token), " "))
 
 
 def numbers_in(c: Column) -> Column:
-    """Numbers of a text, in order of value and with repeats."""
-    return F.array_sort(F.regexp_extract_all(repaired_numbers(c), F.lit("([0-9]+(?:[.][0-9]+)?)"), F.lit(1)))
+    """Numbers of a text in their order, with repeats."""
+    return F.regexp_extract_all(repaired_numbers(c), F.lit(NUMBER), F.lit(1))
 
 
 def age_years(c: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,40 @@ def false_rates(df: DataFrame, by: Column | str, truth: str, got: str) -> DataFr
     return df.groupBy(by).agg(
         F.count("*").alias("n"), F.count_if((F.col(truth) == 0) & F.col(got)).alias("false_accept"), F.count_if((F.col(truth) == 1) & ~F.col(got)).alias("false_reject")
     )
+
+
+def paired_edits(df: DataFrame, expected: str, got: str) -> DataFrame:
+    """``edits``, ``length``, ``missed`` and ``extra`` of two lists of names: the most alike names are paired first (ties: in order of
+    the lists), unpaired expected names count as deletions, unpaired given ones as insertions. Lists are those of one document."""
+
+    def distance(a: str, b: str) -> int:
+        row = np.arange(len(b) + 1)
+        for i, c in enumerate(a, 1):
+            step = np.minimum(row[:-1] + np.fromiter((c != d for d in b), dtype=np.int64, count=len(b)), row[1:] + 1)
+            row = np.concatenate([[i], step])
+            row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))  # insertions run on from the left
+        return int(row[-1])
+
+    def one(want, have) -> tuple[int, int, int, int]:
+        want, have = list(want if want is not None else []), list(have if have is not None else [])
+        cost = {(i, j): distance(a, b) for i, a in enumerate(want) for j, b in enumerate(have)}
+        order = sorted(cost, key=lambda p: (cost[p] / max(1, len(want[p[0]]), len(have[p[1]])), p))
+        left, right, edits = set(range(len(want))), set(range(len(have))), 0
+        for i, j in order:
+            if i in left and j in right and cost[i, j] < max(len(want[i]), len(have[j])):
+                left.remove(i)
+                right.remove(j)
+                edits += cost[i, j]
+        edits += sum(len(want[i]) for i in left) + sum(len(have[j]) for j in right)
+        return edits, sum(map(len, want)), len(left), len(right)
+
+    def batch(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(a, b) for a, b in zip(x, y)], columns=["edits", "length", "missed", "extra"], dtype="int64")
+
+    return df.withColumn("_p", F.pandas_udf(batch, "edits long, length long, missed long, extra long")(expected, got)).select(*[c for c in df.columns if c not in (expected, got)], "_p.*")
+
+
+def disagreement_rates(runs: DataFrame, run: str, states: str, bad: str, counted: Sequence[str]) -> DataFrame:
+    """(run, rate): the share of ``bad`` among the counted states of a run's state map; null where none was counted."""
+    total = F.aggregate(F.map_entries(F.map_filter(states, lambda k, v: k.isin(list(counted)))), F.lit(0).cast("long"), lambda s, e: s + e["value"])
+    return runs.select(run, F.round(F.when(total > 0, F.coalesce(F.try_element_at(states, F.lit(bad)), F.lit(0)) / total), 6).alias("rate"))

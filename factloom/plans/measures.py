@@ -176,3 +176,21 @@ def metrics_long(spark, sf_dir):
 def latest_label(spark, sf_dir):
     """A5: one answer per document."""
     return T.latest_per_key(table(spark, sf_dir, "labels"), ["doc_id"], [F.desc("quality"), F.desc("toxic")]).select("doc_id", "quality", "toxic")
+
+
+@register("disagreement_rates", """select strftime(ts, '%Y-%m-%d') as day, round(case when count(*) filter (where event_type in ('error', 'click')) > 0 then count(*) filter (where event_type = 'error') / count(*) filter (where event_type in ('error', 'click')) end, 6) as rate from events group by 1""")
+def disagreement_rates(spark, sf_dir):
+    """The share of one state among some, from a map of states per run."""
+    n = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    runs = n.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("states"))
+    return E.disagreement_rates(runs, "day", "states", "error", ["error", "click"])
+
+
+@register("paired_lists")
+def paired_lists(spark, sf_dir):
+    """The names of a document against those read, paired greedily (held against examples in a test)."""
+    written = F.expr("substr(p_name, 1, cast(p_partkey % length(p_name) as int)) || substr(p_name, cast(p_partkey % length(p_name) as int) + 2)")
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    item = lambda c: F.struct("l_linenumber", "l_partkey", c.alias("n"))
+    lists = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item(F.col("p_name"))))["n"].alias("want"), F.array_sort(F.collect_list(F.when(F.col("l_discount") < 0.08, item(written))))["n"].alias("have"))
+    return E.paired_edits(lists, "want", "have")

@@ -47,7 +47,11 @@ def signal_lines(spark, sf_dir):
     return _lines(spark, sf_dir).where(R.two_signals(F.col("line"), _SIGNALS)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-_NUM = "list_sort(regexp_extract_all(array_to_string(list_transform(string_split({}, ' '), lambda t: case when length(regexp_replace(t, '[^0-9]', '', 'g')) > 0 and 2 * length(regexp_replace(t, '[^0-9]', '', 'g')) > length(t) then translate(t, 'OoIlSBZ', '0011582') else t end), ' '), '([0-9]+(?:[.][0-9]+)?)', 1))"
+_HEAD = "regexp_extract(t, '^([0-9OoDQlI|iSsBZz.,/\\-½]+)([a-zA-Z%µ/]*)$', 1)"
+_CORE = f"regexp_replace({_HEAD}, '[.,/x×\\-]', '', 'g')"
+_DIGITS = f"length(regexp_replace({_CORE}, '[^0-9]', '', 'g'))"
+_TOKEN = f"case when {_DIGITS} > 0 and {_DIGITS} * 2 >= length({_CORE}) then translate({_HEAD}, 'OoDQlI|iSsBZz', '0000111155822') || regexp_extract(t, '^([0-9OoDQlI|iSsBZz.,/\\-½]+)([a-zA-Z%µ/]*)$', 2) else t end"
+_NUM = f"regexp_extract_all(lower(array_to_string(list_transform(list_filter(string_split_regex({{}}, '\\s+'), lambda t: t <> ''), lambda t: {_TOKEN}), ' ')), '([0-9]+(?:[.][0-9]+)?(?:/[0-9]+)?|½)', 1)"
 
 
 @register("repaired_numbers", f"""with t as (select event_id, replace(cast(round(value, 2) as varchar), '0', 'O') || ' of ' || props as s from events), n as (select event_id, {_NUM.format('s')} as n from t) select event_id, len(n) as n_numbers, array_to_string(n, ' ') as numbers from n""")

@@ -329,7 +329,7 @@ def test_list_splitting(spark):
 
 def test_numbers_readers_and_ages(spark):
     df = spark.createDataFrame([("1O mg OD", "10 mg OD"), ("Telma 40", "telma 4O"), ("a 40", "a 50"), ("a", ""), (None, ""), ("half 0.5", "half 0.5")], "a string, b string")
-    assert [r.state for r in R2.compared_readers(df, "a", "b").collect()] == ["agree", "disagree", "disagree", "single", "none", "agree"]
+    assert [r.state for r in R2.compared_readers(df, "a", "b").collect()] == ["agree", "agree", "disagree", "single", "none", "agree"]
     assert [r[0] for r in df.select(R2.numbers_in(F.col("a"))).limit(2).collect()] == [["10"], ["40"]]
     ages = spark.createDataFrame([("34 yrs",), ("18 months",), ("400",), ("none",), ("7",), (None,)], "t string")
     assert [r[0] for r in ages.select(R2.age_years(F.col("t"))).collect()] == [34, 1, None, None, 7, None]
@@ -376,3 +376,29 @@ def test_views_on_small_tables(spark):
     assert all(r[0] == r[1] for r in names.select(V.name_fit(F.col("a"), F.col("b"), S.lev_ratio(F.col("a"), F.col("b"))), "fit").collect())
     before = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
     assert rows(V.immutable_violations(before, before)) == [] and rows(V.immutable_violations(before, before.where("k = 1"))) == [(2, None)]
+
+
+def test_paired_edits(spark):
+    cases = [(["cbc", "lft"], ["lft", "cbo"], (1, 6, 0, 0)), (["cbc"], [], (3, 3, 1, 0)), ([], ["x"], (1, 0, 0, 1)), (None, None, (0, 0, 0, 0)), (["aa", "aa"], ["aa"], (2, 4, 1, 0)), (["abc"], ["xyz"], (6, 3, 1, 1))]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, want array<string>, have array<string>")
+    got = {r.k: tuple(r)[1:] for r in E.paired_edits(df, "want", "have").collect()}
+    assert [got[k] for k in range(len(cases))] == [c[2] for c in cases]
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7))) for _ in range(80)]
+    df = spark.createDataFrame([(k, [a], [b]) for k, (a, b) in enumerate(zip(words[::2], words[1::2]))], "k int, want array<string>, have array<string>")
+    for r in E.paired_edits(df, "want", "have").collect():
+        a, b = words[2 * r.k], words[2 * r.k + 1]
+        d = levenshtein(a, b)
+        assert r.edits == (d if d < max(len(a), len(b)) else len(a) + len(b))
+
+
+def test_wildcards_priorities_and_feet(spark):
+    names = spark.createDataFrame([("smith",), ("smyth",), ("smythe",), ("jones",)], "n string")
+    readings = spark.createDataFrame([("sm?th",), ("?ones",), ("zzz",), (None,)], "r string")
+    assert rows(R2.wildcard_options(readings, "r", names, "n")) == [("?ones", "jones", 1), ("sm?th", "smith", 1), ("sm?th", "smyth", 2)]
+    assert rows(R2.wildcard_options(readings, "r", names, "n", floor=0.6)) == [("?ones", "jones", 1), ("sm?th", "smith", 1), ("sm?th", "smyth", 2), ("sm?th", "smythe", 3)]
+    rules = spark.createDataFrame([("heart", "cardiology", 2), ("eye", "eye", 1)], "keyword string, name string, priority int")
+    texts = spark.createDataFrame([(1, "Heart and eye"), (1, "x"), (2, "hearts"), (3, None)], "k int, t string")
+    assert rows(R2.by_priority(texts, "k", "t", rules)) == [(1, "eye")]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["cue", "ok", "??", "??", "ok", "??"])], "d int, p int, t string")
+    assert rows(R2.near_cue_or_foot(lines, "d", "p", F.col("t") == "??", F.col("t") == "cue")) == [(1, 2, "near a cue"), (1, 5, "at the foot")]
