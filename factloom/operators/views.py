@@ -113,3 +113,35 @@ def page_support(names: DataFrame, words: DataFrame, page: str, key: str, name:
     best = rest.groupBy(page, "_w").agg(F.max(alike).alias("_s"))
     scored = exact.join(best, [page, "_w"], "left").withColumn("_p", F.coalesce("_hit", "_s", F.lit(0.0)))
     return scored.groupBy(page, key).agg(F.round(F.avg("_p"), 4).alias("support"))
+
+
+def field_records(values: DataFrame, lines: DataFrame, document: str, key: str, ids: str, line: str, text: str) -> DataFrame:
+    """(document, key, reading, crops, n): what stands in a value's lines, in order, and the digests of these lines."""
+    used = values.select(document, key, F.explode(F.array_distinct(ids)).alias(line)).join(lines, [document, line])
+    g = used.groupBy(document, key).agg(F.array_sort(F.collect_list(F.struct(line, text))).alias("_l"), F.array_sort(F.collect_set(F.substring(F.sha2(text, 256), 1, 8))).alias("_c"))
+    return g.select(document, key, F.array_join(F.transform("_l", lambda x: x[text]), " / ").alias("reading"), F.array_join("_c", ",").alias("crops"), F.size("_l").cast("long").alias("n"))
+
+
+def note_targets(notes: DataFrame, tests: DataFrame, document: str, key: str, note: str, test: str, floor: float = 0.8) -> DataFrame:
+    """(document, key, applies): a note applies to all tests, to those whose name its first word is (nearly), to those it mentions as a
+    word, else it is unclear. Notes meet the tests of their own document only."""
+    words = F.split(F.lower(note), "[^a-z0-9]+")
+    n = notes.select(document, key, words.alias("_w"), F.get(F.filter(words, lambda w: w != ""), F.lit(0)).alias("_f"))
+    t = tests.select(document, F.lower(test).alias("_t")).distinct()
+    met = n.join(t, document, "left")
+    alike = 1 - F.levenshtein("_f", "_t") / F.greatest(F.length("_f"), F.length("_t"))
+    rank = F.when(F.array_contains("_w", "all"), 0).when(F.coalesce(alike >= floor, F.lit(False)), 1).when(F.coalesce(F.array_contains("_w", F.col("_t")), F.lit(False)), 2).otherwise(3)
+    names = F.array(*map(F.lit, ("all", "named", "mentioned", "unclear")))
+    return met.groupBy(document, key).agg(F.element_at(names, (F.min(rank) + 1).cast("int")).alias("applies"))
+
+
+def line_labels(lines: DataFrame, ocr: DataFrame, page: str, key: str) -> DataFrame:
+    """(page, key, coverage, label) of lines (page, key, band, x0, x1) by the boxes (page, band, x0, x1, conf) read on them: printed
+    from a coverage of 0.6 and a mean confidence of 0.85 on, handwritten under 0.3, else mixed or uncertain."""
+    o = ocr.select(page, "band", F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("conf").alias("_q"))
+    wide = F.greatest(F.lit(0), F.least("x1", "_b") - F.greatest("x0", "_a"))
+    met = lines.join(o, [page, "band"], "left").withColumn("_w", F.coalesce(wide, F.lit(0)))
+    g = met.groupBy(page, key).agg(F.sum("_w").alias("_s"), F.first("x0").alias("_x"), F.first("x1").alias("_y"), F.avg(F.when(F.col("_w") > 0, F.col("_q"))).alias("_c"))
+    cover = F.least(F.lit(1.0), F.col("_s") / (F.col("_y") - F.col("_x")))
+    label = F.when((cover >= 0.6) & (F.col("_c") >= 0.85), "printed").when(cover < 0.3, "handwritten").when(F.col("_c") >= 0.85, "mixed").otherwise("uncertain")
+    return g.select(page, key, F.round(cover, 4).alias("coverage"), label.alias("label"))

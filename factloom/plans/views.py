@@ -449,3 +449,35 @@ def variants(spark, sf_dir):
         F.count("*").alias("n"), F.round(F.sum(F.levenshtein("truth", "pred")) / F.sum(F.length("truth")), 6).alias("cer"), F.count_if("ok").alias("accepted"),
         F.count_if(F.col("ok") & (F.col("truth") != F.col("pred"))).alias("silent"), F.count_if(F.col("ok") & (letters("truth") != letters("pred"))).alias("silent_letters"),
     )
+
+
+@register("field_records", """with v as (select conv_id, unnest([0, 1, 1]) as turn from (select distinct conv_id from conversations)), u as (select distinct conv_id, turn from v),
+l as (select conv_id, turn, role || ' ' || length(text) as t from conversations)
+select conv_id, 1 as field, string_agg(t, ' / ' order by turn, t) as reading, string_agg(distinct substr(sha256(t), 1, 8), ',' order by substr(sha256(t), 1, 8)) as crops, count(*) as n from u join l using (conv_id, turn) group by 1""")
+def field_records(spark, sf_dir):
+    """The lines behind a value, in order, with their digests."""
+    c = table(spark, sf_dir, "conversations")
+    lines = c.select("conv_id", F.col("turn").cast("long").alias("turn"), F.concat_ws(" ", "role", F.length("text").cast("string")).alias("t"))
+    values = c.select("conv_id").distinct().select("conv_id", F.lit(1).alias("field"), F.array(*[F.lit(k).cast("long") for k in (0, 1, 1)]).alias("ids"))
+    return V.field_records(values, lines, "conv_id", "field", "ids", "turn", "t")
+
+
+@register("note_targets", """with n as (select distinct conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from conversations where turn > 0), t as (select distinct conv_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as t from conversations where turn = 0),
+m as (select n.conv_id, n.turn, case when list_contains(w, 'all') then 0 when len(w) > 0 and t is not null and 1 - levenshtein(w[1], t) / greatest(length(w[1]), length(t)) >= 0.8 then 1 when t is not null and list_contains(w, t) then 2 else 3 end as r from n left join (select * from t where t <> '') t on t.conv_id = n.conv_id)
+select conv_id, cast(turn as bigint) as turn, case min(r) when 0 then 'all' when 1 then 'named' when 2 then 'mentioned' else 'unclear' end as applies from m group by 1, 2""")
+def note_targets(spark, sf_dir):
+    """What a note applies to."""
+    c = table(spark, sf_dir, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    tests = c.where("turn = 0").select("conv_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("t")).where("t != ''")
+    return V.note_targets(c.where("turn > 0").select("conv_id", "turn", "text").distinct(), tests, "conv_id", "turn", "text", "t")
+
+
+@register("line_labels", """with e as (select event_id, user_id, event_type, (event_id * 7) % 900 // 90 as band, event_id % 500 as x0, event_id % 500 + 100 + event_id % 37 as x1, 1 - value / 400 as conf from events),
+m as (select a.user_id, a.event_id, a.x1 - a.x0 as size, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) as w, b.conf from e a left join e b on a.user_id = b.user_id and a.band = b.band and b.event_type <> 'view' where a.event_type = 'view'),
+g as (select user_id, event_id, least(1.0, coalesce(sum(w), 0) / max(size)) as c, avg(conf) filter (where w > 0) as f from m group by 1, 2)
+select user_id, event_id, round(c, 4) as coverage, case when c >= 0.6 and f >= 0.85 then 'printed' when c < 0.3 then 'handwritten' when f >= 0.85 then 'mixed' else 'uncertain' end as label from g""")
+def line_labels(spark, sf_dir):
+    """Lines by the share that was read on them and its confidence."""
+    x0 = F.col("event_id") % 500
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("(event_id * 7) % 900 div 90").alias("band"), x0.alias("x0"), (x0 + 100 + F.col("event_id") % 37).alias("x1"), (1 - F.col("value") / 400).alias("conf"))
+    return V.line_labels(e.where("event_type = 'view'"), e.where("event_type != 'view'"), "user_id", "event_id")
