@@ -363,6 +363,8 @@ def _memo(path: str) -> C.TwoGenerations:
     return C.TwoGenerations(MEMO_WORDS, MEMO_BYTES)
 
 
+C.remembers((__name__,), _memo.cache_clear)  # the automaton stays: compiling it again costs more than its tables hold
+
 #: White space beyond the blank; a text with two white-space characters in a row is pre-split as a whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLANK_RUNS = ["  ", *(f" {c}" for c in "\t\n\v\f\r"), *(f"{c} " for c in "\t\n\v\f\r")]

@@ -142,6 +142,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Ite
     ship(df.sparkSession)
 
     def run(batches):
+        forget_all_but(fn.__module__)
         for batch in batches:
             for part in slices(batch, limit):
                 out = fn(part)
@@ -159,6 +160,7 @@ def where_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> Data
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_all_but(keep.__module__)
         for texts in batches:
             parts = [keep(part.column(0)) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
             release()
@@ -167,6 +169,22 @@ def where_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> Data
     return docs.where(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
 
 
+_CACHES: list[tuple[tuple[str, ...], Callable[[], None]]] = []
+
+
+def remembers(users: tuple[str, ...], *forget: Callable[[], None]) -> None:
+    """Declare what a worker keeps for the modules ``users``, and how it is forgotten."""
+    _CACHES.extend((users, f) for f in forget)
+
+
+def forget_all_but(module: str) -> None:
+    """Workers live on between stages; each starts a partition with the memory of its own operator only."""
+    for users, forget in _CACHES:
+        if module not in users:
+            forget()
+    release()
+
+
 def release() -> None:
     """Give memory that a batch needed back to the system: workers live on between stages."""
     pa.default_memory_pool().release_unused()
@@ -242,6 +260,7 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+remembers(("factloom.llm.ngram_join", "factloom.llm.substring_dedup"), _HASHES.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

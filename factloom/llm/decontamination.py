@@ -193,6 +193,7 @@ class SuffixAutomaton:
 
 
 _BUILT: dict[str, SuffixAutomaton] = {}
+C.remembers((__name__,), _BUILT.clear)
 
 
 def _automaton(items: Broadcast, name: str, window: int) -> SuffixAutomaton:

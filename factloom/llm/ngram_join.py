@@ -17,12 +17,12 @@ How:
    group). A set with too many empty slices for this count stays. An edited copy fails this once its edits are its own.
 4. The rest is partitioned into groups of similar sets: by the most widely shared token, whose smallest set is the
    centre. Sets that link with their centre form groups that are one component already; the others form
-   groups of their own. Groups are split by hash to ``GROUP`` members at most on average (the number of sets that share
-   the token bounds them, so nothing is counted again), so none is unbounded.
+   groups of their own. Groups are split by hash to about ``GROUP`` members, so none is unbounded.
 5. The token-group matrix holds each group's token union. A query set meets only groups whose union has
    one of its tokens, never those of its own component; there, the group's shingle union bounds the overlap:
    fewer than ``percent`` of the query's shingles in the union and the group stays closed. In an opened group
-   the query is compared exactly with every member. Only a spanning set of the links is emitted, never
+   the query is compared exactly with every member. Groups open in passes, so that the disk needed does not grow with the
+   number of groups that a set calls. Only a spanning set of the links is emitted, never
    all pairs of a group. Components follow by min-label propagation with a stored table per round.
 
 Defined results: null text, no words -> ``n_shingles`` 0, linked with nothing (own ``doc_id``); fewer than
@@ -46,7 +46,9 @@ from factloom.llm import common as C
 #: Size bands grow by this factor.
 BAND = 1.6
 #: Members of a group, and queries that open it in one task; fine slices per slice; tokens of a bucket.
-GROUP, QUERIES, FINE, BUCKET = 256, 256, 2, 4 << 20
+GROUP, QUERIES, FINE, BUCKET = 256, 512, 2, 2 << 20
+#: Bytes of shingles that a pass over opened groups may shuffle in any case.
+PASS_BYTES = 512 << 20
 
 
 def _allowed_difference(total: int, percent: int) -> int:
@@ -388,21 +390,23 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     rows = near
 
     # partition: the most widely shared token of each set names its cluster, the cluster's smallest set is the centre
-    top = C.stored(rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token")).alias("top")).select("rep", F.col("top.token").alias("cluster"), F.col("top.n_sets").alias("n_sets")))
-    centre = C.stored(top.groupBy("cluster").agg(F.min("rep").alias("centre")))
+    top = C.stored(rows.groupBy("rep").agg(F.max(F.struct("n_sets", "token"))["token"].alias("cluster")))
+    centre = C.stored(top.groupBy("cluster").agg(F.min("rep").alias("centre"), F.count("*").alias("n")))
     home = top.join(centre, "cluster")
     stars = _open(
         home.where("rep = centre").select("rep", F.col("cluster").alias("open")),
-        home.where("rep != centre").select("rep", F.col("cluster").alias("open"), _deals(F.col("n_sets")).alias("deals")),
+        home.where("rep != centre").select("rep", F.col("cluster").alias("open"), _deals(F.col("n")).alias("deals")),
         shingles,
         percent,
     )
     stars = C.stored(stars)
     linked = stars.select(F.col("a").alias("rep")).union(stars.select(F.col("b").alias("rep"))).distinct()
-    homes = home.join(linked.withColumn("in_star", F.lit(True)), "rep", "left").withColumn("in_star", F.coalesce("in_star", F.lit(False)))
+    homes = C.stored(top.join(linked.withColumn("in_star", F.lit(True)), "rep", "left").withColumn("in_star", F.coalesce("in_star", F.lit(False))))
+    split = C.stored(homes.groupBy("cluster", "in_star").agg(F.ceil(F.count("*") / GROUP).alias("parts")))
     # groups of stars have negative names: of two groups the one with the larger name calls, so loose sets call stars
-    name = F.xxhash64("cluster", "in_star", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_sets") / GROUP))).bitwiseAND(F.lit((1 << 63) - 1))
-    groups = C.stored(homes.select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp")))
+    name = F.xxhash64("cluster", "in_star", F.pmod(F.xxhash64("rep"), F.col("parts"))).bitwiseAND(F.lit((1 << 63) - 1))
+    groups = homes.join(split, ["cluster", "in_star"]).select("rep", F.when(F.col("in_star"), F.col("cluster")).alias("star"), F.when(F.col("in_star"), -1 - name).otherwise(name).alias("grp"))
+    groups = C.stored(groups)
 
     # the matrix, and the groups that each query may open
     mine = rows.join(groups, "rep").select("rep", "token", "star", "grp")
@@ -410,9 +414,16 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     other = F.col("star").isNull() | F.col("of_star").isNull() | (F.col("star") != F.col("of_star"))
     calls = C.stored(mine.join(matrix, "token").where((F.col("grp") >= F.col("open")) & other).select("rep", "open").distinct())
     load = C.stored(calls.groupBy("open").agg(F.count("*").alias("n")))
-    links = _open(groups.select("rep", F.col("grp").alias("open")), calls.join(load, "open").select("rep", "open", _deals(F.col("n")).alias("deals")), shingles, percent)
-    links = C.stored(links)
-    C.dropped(rows, shingles, top, centre, groups, calls, load)
+    # a set may call several groups: in as many passes as that takes, none shuffles more than all shingles once (or PASS_BYTES)
+    sets_n, total = shingles.agg(F.count("*"), F.sum(F.size("shingles"))).first()
+    all_bytes = 8 * (total or 0)
+    passes, links = max(1, -(-calls.count() * all_bytes // max(1, sets_n) // max(all_bytes, PASS_BYTES))), None
+    for k in range(passes):
+        now = lambda c: F.pmod(F.xxhash64(c), F.lit(passes)) == k  # noqa: E731, B023
+        due = calls.where(now("open")).join(load, "open").select("rep", "open", _deals(F.col("n")).alias("deals"))
+        found = C.stored(_open(groups.where(now("grp")).select("rep", F.col("grp").alias("open")), due, shingles, percent))
+        links = found if links is None else links.union(found)
+    C.dropped(rows, shingles, top, centre, homes, split, groups, calls, load)
     labels = components(stars.union(links))
 
     # the smallest document of each component, over all of its classes

@@ -63,6 +63,9 @@ def _memo(path: str) -> C.TwoGenerations:
     return C.TwoGenerations(MEMO_PIECES, MEMO_BYTES)
 
 
+C.remembers(("factloom.llm.token_counts", "factloom.llm.bit_packing"), library.cache_clear, _memo.cache_clear)
+
+
 def _encoded(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype="<u4") for e in library(path).encode_batch_fast(texts, add_special_tokens=False)]
 
