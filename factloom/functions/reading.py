@@ -169,19 +169,6 @@ def dictionary_scan(lines: DataFrame, keys: Sequence[str], text: str, names: Dat
     return every.select(*keys, F.inline(kept))
 
 
-def covered_entries(entries: DataFrame, document: str, entry: str, size: int = 5, floor: float = 0.8) -> DataFrame:
-    """(document, entry, by): entries of a document whose word shingles another of its entries holds to ``floor``: the fuller one
-    stands (ties: the smaller text). Shingles meet by equi join inside the document."""
-    e = entries.select(document, F.lower(F.trim(entry)).alias("entry")).where("entry != ''").distinct()
-    words = F.filter(F.split("entry", "[^a-z0-9]+"), lambda w: w != "")
-    shingles = F.when(F.size("_w") < size, F.array(F.array_join("_w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.size("_w") - size), lambda i: F.array_join(F.slice("_w", i + 1, size), " ")))
-    s = e.withColumn("_w", words).withColumn("_s", F.array_distinct(shingles)).select(document, "entry", F.size("_s").alias("n"), F.explode("_s").alias("_k"))
-    other = s.select(document, F.col("entry").alias("by"), F.col("n").alias("m"), "_k")
-    shared = s.join(other, [document, "_k"]).where("entry != by").groupBy(document, "entry", "by", "n", "m").agg(F.count("*").alias("c"))
-    fuller = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("by") < F.col("entry")))
-    return shared.where((F.col("c") >= floor * F.col("n")) & fuller).groupBy(document, "entry").agg(F.min("by").alias("by"))
-
-
 def follow_up(c: Column) -> tuple[Column, Column, Column, Column]:
     """(kind, from, to, unit) of a follow-up text: as needed, a range or interval, a date, or unclear."""
     low = F.lower(c)

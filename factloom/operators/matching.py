@@ -47,8 +47,8 @@ def mark_collisions(candidates: DataFrame, key: str, margin: float = MARGIN) ->
     return candidates.join(n, key).withColumn("collision", F.col("n_near") > 1).withColumn("selected", (F.col("rank") == 1) & ~F.col("collision")).drop("n_near")
 
 
-def token_overlap_join(left: DataFrame, right: DataFrame, lkey: str, ltokens: str, rkey: str, rtokens: str, within: Sequence[str] = (), floor: float = 0.6, k: int = 4) -> DataFrame:
-    """Rows of ``right`` that hold at least ``floor`` of a left row's distinct tokens; the ``k`` best.
+def token_overlap_join(left: DataFrame, right: DataFrame, lkey: str, ltokens: str, rkey: str, rtokens: str, within: Sequence[str] = (), floor: float = 0.6, k: int | None = 4) -> DataFrame:
+    """Rows of ``right`` that hold at least ``floor`` of a left row's distinct tokens; the ``k`` best, or all.
 
     A row that holds that many of ``n`` tokens holds one of any ``n - ceil(floor * n) + 1`` of them, so only a left row's
     rarest tokens look for partners (within the given columns): a word that every document holds pairs nothing. Candidates
@@ -63,7 +63,10 @@ def token_overlap_join(left: DataFrame, right: DataFrame, lkey: str, ltokens: st
     probe = each.join(often, [*within, "_w"], "left").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_n") - F.ceil(floor * F.col("_n") - 1e-9) + 1)
     pairs = probe.where("_f is not null").select(lkey, *within, "_w").join(held, [*within, "_w"]).select(lkey, *within, rkey).distinct()
     hit = pairs.join(a, [lkey, *within]).join(b, [rkey, *within]).withColumn("shared", F.size(F.array_intersect("_t", "_u")).cast("long"))
-    hit = hit.where(F.col("shared") >= floor * F.col("_n") - 1e-9).select(lkey, rkey, "shared", F.round(F.col("shared") / F.col("_n"), 4).alias("share"))
+    hit = hit.where(F.col("shared") >= floor * F.col("_n") - 1e-9)
+    if k is None:
+        return hit.select(lkey, *within, rkey, "shared", F.col("_n").alias("n_left"), F.size("_u").alias("n_right"))
+    hit = hit.select(lkey, rkey, "shared", F.round(F.col("shared") / F.col("_n"), 4).alias("share"))
     w = Window.partitionBy(lkey).orderBy(F.desc("share"), rkey)
     return hit.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -161,3 +164,19 @@ def bind_codes(df: DataFrame, column: str, codes: DataFrame, licensed: Sequence[
     status = F.when(code.isNull(), F.when(F.col("_n") > 1, "candidate").otherwise("unbound")).when(ok, "bound").otherwise("local_only")
     result = bound.select(F.col("_s").alias(column), F.when(ok, code).alias("code"), status.alias("code_status"))
     return df.join(result, column, "left").withColumn("code_status", F.coalesce("code_status", F.lit("unbound")))
+
+
+def covered_entries(entries: DataFrame, document: str, entry: str, size: int = 5, floor: float = 0.8) -> DataFrame:
+    """(document, entry, by): entries of a document whose word shingles another of its entries holds to ``floor``: the fuller one
+    stands (ties: the smaller text). Entries of a document meet by their rarest shingles."""
+    e = entries.select(document, F.lower(F.trim(entry)).alias("entry")).where("entry != ''").distinct()
+    words = F.filter(F.split("entry", "[^a-z0-9]+"), lambda w: w != "")
+    shingles = F.when(F.size("_w") < size, F.array(F.array_join("_w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.size("_w") - size), lambda i: F.array_join(F.slice("_w", i + 1, size), " ")))
+    # entries go by a hash while their shingles are spread, so that long entries are not repeated with each
+    s = e.withColumn("_w", words).select(document, "entry", F.xxhash64("entry").alias("_e"), F.transform(F.array_distinct(shingles), lambda x: F.xxhash64(x)).alias("_s"))
+    other = s.select(document, F.col("_e").alias("_b"), "_s")
+    met = token_overlap_join(s, other, "_e", "_s", "_b", "_s", [document], floor, None).where("_e != _b").select(document, "_e", "_b", "n_left", "n_right")
+    texts = s.select(document, "_e", "entry")
+    met = met.join(texts, [document, "_e"]).join(texts.select(document, F.col("_e").alias("_b"), F.col("entry").alias("by")), [document, "_b"])
+    fuller = (F.col("n_right") > F.col("n_left")) | ((F.col("n_right") == F.col("n_left")) & (F.col("by") < F.col("entry")))
+    return met.where(fuller).groupBy(document, "entry").agg(F.min("by").alias("by"))

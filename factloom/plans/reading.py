@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import reading as R
+from factloom.operators import matching as M
 from factloom.plans.registry import register
 from factloom.plans.tables import table
 
@@ -145,7 +146,7 @@ s as (select doc_id, entry, list_distinct(case when len(w) < 5 then [array_to_st
 select a.doc_id, a.entry, min(b.entry) as "by" from s a join s b on a.doc_id = b.doc_id and a.entry <> b.entry and len(list_intersect(a.s, b.s)) >= 0.8 * len(a.s) and (len(b.s) > len(a.s) or (len(b.s) = len(a.s) and b.entry < a.entry)) where len(list_intersect(a.s, b.s)) > 0 group by 1, 2""")
 def covered_entries(spark, sf_dir):
     """Lines of a document that another line nearly repeats or covers."""
-    return R.covered_entries(_lines(spark, sf_dir), "doc_id", "line")
+    return M.covered_entries(_lines(spark, sf_dir), "doc_id", "line")
 
 
 @register("ages", """with t as (select c_custkey, (c_custkey % 140) || case c_nationkey % 4 when 0 then ' yrs' when 1 then ' months' when 2 then 'y' else '' end as s, case c_nationkey % 3 when 0 then 'F' when 1 then ' male' else '?' end as x from customer),

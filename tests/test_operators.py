@@ -353,7 +353,7 @@ def test_one_letter_slips_and_covered_entries(spark):
     tokens = spark.createDataFrame([("cbo",), ("xft",), ("cbc",), ("c",), ("lfts",)], "t string")
     assert rows(R2.one_letter_slips(tokens, "t", known, "n")) == [("cbo", "cbc")]
     lines = spark.createDataFrame([(1, "one two three four five six"), (1, "zero one two three four five six seven"), (1, "One two three four five six"), (2, "one two three four five six"), (1, "a b"), (1, None)], "d int, e string")
-    assert rows(R2.covered_entries(lines, "d", "e")) == [(1, "one two three four five six", "zero one two three four five six seven")]
+    assert rows(M.covered_entries(lines, "d", "e")) == [(1, "one two three four five six", "zero one two three four five six seven")]
 
 
 def test_nested_answers(spark):
