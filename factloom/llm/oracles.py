@@ -76,4 +76,53 @@ select page_id, j.host, path, rule, coalesce(verdict, case when purity >= {U.PUR
 from j join y on j.host = y.host and j.shape = y.shape"""
 
 
-ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "quality_ablations": ABLATIONS, "op7_url_filters": urls()}
+#: All documents that share a term with an item, scored by the definition.
+SEARCH = """with x as (
+  select 'd' as kind, doc_id, cast(null as bigint) as item_id, text from documents union all select 'i', null, item_id, text from (select distinct item_id, text from benchmark)),
+t as (select kind, doc_id, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from x),
+d as (select doc_id, term, count(*) as tf from t where kind = 'd' group by 1, 2),
+n as (select doc_id, sum(tf) as n from d group by 1),
+s as (select count(*) as docs, sum(n) as terms from n),
+m as (select doc_id, 25 + (75 * cast(n as bigint) * docs) // cast(terms as bigint) as m from n, s),
+w as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * count(*) + 1))) as bigint) as w from d, s group by term, docs),
+q as (select item_id, term, count(*) as n from t where kind = 'i' group by 1, 2),
+c as (select item_id, doc_id, cast(sum(q.n * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from q join d using (term) join w using (term) join m using (doc_id) group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from c where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 10"""
+
+#: Damage and faults by their definition; the edits by a recursion over a conversation's rows that keeps, for each state, the least (cost, initials) and what is written so far.
+REPAIR = """with d as (select *, coalesce(role, ' ') as r, coalesce(text, ' ') as x from conversations),
+k as (select *, HASH % 20 as kind from d),
+g as (select conv_id, turn, case when kind = 4 then 'user' else r end as role, case kind when 1 then '' when 2 then regexp_replace(x, '[.!?]', '', 'g') else x end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from k where kind <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, regexp_replace(text, '[ \\t-\\r]+$', '') as body from g),
+f as (select *, body = '' as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again, body <> '' and not regexp_matches(body, '[.!?]$') as cut, substr(role, 1, 1) as c, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as before from o),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where again and not blank) as duplicate, count(*) filter (where cut and not again) as truncated, count(*) filter (where i > 1 and before || c not in ('su', 'ua', 'au')) as illegal, count(*) as rows from f group by 1),
+follow(s, c, t) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(s, t, e, w) as (values (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', 'user:'), (1, 2, 'I', 'user:'), (2, 3, 'I', 'assistant:'), (3, 2, 'I', 'user:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 'user:' || chr(10) || 'assistant:')),
+e as (
+  select f.conv_id, i, s, s as t, 2 as cost, 'D' as e, '' as w from f, (select distinct s from ins)
+  union all select f.conv_id, i, s, t, case when cut then 5 else 0 end, 'K', role || ':' || text from f, follow where f.c = follow.c and not blank and not again
+  union all select f.conv_id, i, s, t, case when cut then 6 else 1 end, 'R', case follow.c when 'u' then 'user:' else 'assistant:' end || text from f, follow where follow.c <> 's' and not blank and not again),
+p as (select e.conv_id, i, ins.s, e.t, cost + 5 * len(ins.e) as cost, ins.e || e.e as e, case when ins.w <> '' and e.w <> '' then ins.w || chr(10) || e.w else ins.w || e.w end as w from e join ins on ins.t = e.s)
+"""
+
+
+def repair(key: str) -> str:
+    """The recursion as steps: ``p`` has all edits of row i from one state to another, with the messages inserted before it."""
+    sql = REPAIR.replace("HASH", key).replace("with d as", "with recursive d as", 1)
+    return sql + """, best(conv_id, i, t, b) as (
+  select distinct conv_id, 0, 0, {'cost': 0, 'e': '', 'w': ''} from conversations
+  union all
+  select conv_id, i, t, b from (select p.conv_id, p.i, p.t, min({'cost': best.b.cost + p.cost, 'e': best.b.e || p.e, 'w': case when best.b.w <> '' and p.w <> '' then best.b.w || chr(10) || p.w else best.b.w || p.w end}) as b
+    from best join p on p.conv_id = best.conv_id and p.i = best.i + 1 and p.s = best.t group by 1, 2, 3)),
+z as (select best.conv_id, min({'cost': b.cost + 5 * len(ins.e), 'e': b.e || ins.e, 'w': case when b.w <> '' and ins.w <> '' then b.w || chr(10) || ins.w else b.w || ins.w end}) as b
+  from best left join n on n.conv_id = best.conv_id join ins on ins.s = best.t where best.i = coalesce(n.rows, 0) and ins.t in (0, 3) group by 1)
+select z.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(n.blank, 0) as blank, coalesce(n.duplicate, 0) as duplicate, coalesce(n.truncated, 0) as truncated, coalesce(n.illegal, 0) as illegal,
+  cast(b.cost as bigint) as cost, b.e as audit, sha256(b.w) as repaired_sha256 from z left join n on z.conv_id = n.conv_id"""
+
+
+#: crc32 of an ASCII text by its polynomial, bit by bit.
+CRC = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)))"""
+
+ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "quality_ablations": ABLATIONS, "op7_url_filters": urls(), "op11_ranked_search": SEARCH, "op12_conversation_repair": repair(CRC)}

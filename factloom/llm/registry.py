@@ -5,12 +5,15 @@ from __future__ import annotations
 from factloom.llm import (
     bit_packing,
     bpe,
+    conversation_repair,
     decontamination,
     html_extraction,
     language_id,
     ngram_join,
     oracles,
     quality_rules,
+    ranked_search,
+    simhash,
     substring_dedup,
     token_counts,
     url_filters,
@@ -28,6 +31,9 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_language_id": language_id.query,
     "op10_bpe_automaton": bpe.query,
+    "op11_ranked_search": ranked_search.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_simhash": simhash.query,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
