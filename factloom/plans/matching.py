@@ -150,7 +150,7 @@ def box_overlap(spark, sf_dir):
 
 @register("ratcliff_names")
 def ratcliff_names(spark, sf_dir):
-    """Matching-block and Jaro-Winkler scores of all readings and names that are alike enough to share rare letter pairs."""
+    """Matching-block and Jaro-Winkler scores of all readings and names at least 0.8 alike (held against all pairs in a test)."""
     p = _misspelt(spark, sf_dir)
     found = similarity_join(p, p, "reading", "p_name", 0.8, "ratcliff")
     return found.select(F.col("a").alias("reading"), F.col("b").alias("name"), F.round("score", 4).alias("ratcliff"), F.round(jaro_winkler("a", "b"), 4).alias("jaro_winkler"))
