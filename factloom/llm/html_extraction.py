@@ -4,19 +4,21 @@
    linear in its length however deep it nests. A page's own containers are its outermost articles and mains where they hold
    half of its text or more, else the lowest container around all of its blocks that are text rather than links, the body
    included.
-2. In Spark the pages of a host vote on paths. Votes are summed before they are shuffled by host, and a host keeps its
-   ``WINNERS`` best, so a host with a third of all pages is a few rows per task.
-3. Pages are read again: of the host's winning paths, in the order of their votes (ties: by path), the first whose containers
+2. In Spark the pages of a host vote on paths. Votes are summed before they are shuffled by host, so a host with a third of all
+   pages is a few rows per task. No path loses its votes.
+3. Pages are read again: of the host's paths, in the order of their votes (ties: by path), the first whose containers
    cover the page's own ones gives all of its containers that are not mostly links; a page without such a path gives its own
-   containers.
+   containers. The paths of a host with up to ``PATHS`` of them go to its pages as they are; the pages of other hosts look up
+   the votes of their own covering paths, which is the same choice.
 
 No part is left out for its size. Where the whole body is the container, links before the first and after the last
 block of text are not part of it.
 
-Menus, footers, sidebars, forms, scripts and styles are left out by element and role, headers outside of articles. A class
-or id name is evidence only: a container that is called a notice, an advert, comments or the like (the last part of a
-name, or a name of nothing else) goes unless it holds most of the page's text or an article; one whose name merely contains such a word
-goes only if it is mostly links. Character references are decoded, white space inside a block becomes one blank, blocks are
+Menus, footers, sidebars, forms, scripts and styles are left out by element and role, headers outside of articles. A form around
+the page (it holds an article, or most of the text and with it a block of ``PROSE`` characters that is no link) is a container like any other. A class
+or id name is evidence only: a container that is called comments, a footer, an advert or the like (the last part of a name; of ambiguous words
+like ``search``, ``share`` or ``notice`` a name of nothing else) goes unless it holds most of the page's text or an article; one whose name
+merely contains such a word goes only if it is mostly links. Character references are decoded, white space inside a block becomes one blank, blocks are
 joined in page order by one blank.
 
 Defined results: null or empty html gives the empty text; null urls are one host of their own; pages without a
@@ -31,13 +33,14 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import common as C
 
-#: Paths a host keeps; hosts up to which winners are sent to all tasks; share of a vote for a page's further paths.
-WINNERS, BROADCAST_HOSTS, SECOND = 3, 20_000, 0.3
+#: Paths of a host that its pages get whole; hosts up to which they are sent to all tasks; share of a vote for a page's further paths;
+#: characters of a block that is prose.
+PATHS, BROADCAST_HOSTS, SECOND, PROSE = 16, 20_000, 0.3, 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -57,19 +60,21 @@ _NAMES = frozenset(
     "advertising sponsor sponsored promo promotion popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments "
     "disqus replies respond pagination pager toolbar skip".split()
 )
+#: Of these, words that also name articles about something: they count as the last part of a name only beside plain words.
+_AMBIGUOUS = frozenset("navigation menu banner notice alert ad ads promo promotion subscribe signup login search share sharing social related recommended respond skip toolbar widget sponsor sponsored replies cookie cookies consent gdpr".split())
 _PLAIN = frozenset("main site page header top bottom left right side box bar block list container wrapper wrap section area item items link links slot unit inner posts post stories buttons button media form thread".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar form".split())
 _DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[-_\s]+")
 
 
 class _Node:
-    __slots__ = ("first", "hard", "holds_article", "last", "links", "name", "noise", "own", "own_links", "parent", "path", "tag", "text")
+    __slots__ = ("first", "hard", "holds_article", "last", "links", "name", "noise", "own", "own_links", "parent", "path", "prose", "tag", "text")
 
     def __init__(self, tag: str, path: int, parent: "_Node | None", hard: bool, name: int, first: int):
         self.tag, self.path, self.parent, self.hard, self.name, self.first = tag, path, parent, hard, name, first
         self.last = first
         self.own = self.own_links = self.text = self.links = 0
-        self.noise = self.holds_article = False
+        self.noise = self.holds_article = self.prose = False
 
 
 class Page:
@@ -111,9 +116,13 @@ class Page:
     def settle(self) -> None:
         """Decide which containers are noise, and keep the blocks of the others."""
         self._sum(self.raw)
+        for text, holder, size, _ in self.raw:
+            holder.prose = holder.prose or len(text) >= PROSE and 2 * size >= len(text)
         for n in reversed(self.nodes):
             if n.holds_article or n.tag in ("article", "main"):
                 n.parent.holds_article = True
+            if n.prose:
+                n.parent.prose = True
         most = self.root.text
         for n in self.nodes:
             up = n.parent
@@ -121,7 +130,8 @@ class Page:
                 n.noise = up.noise and up.tag not in ("form", "header", "nav", "head")
             else:
                 called = n.name == 2 and not n.holds_article and 2 * n.text <= most or n.name == 1 and n.links >= n.text
-                n.noise = up.noise or n.hard or called
+                around = n.tag == "form" and (n.holds_article or n.prose and 2 * n.text > most)
+                n.noise = up.noise or n.hard and not around or called
         before, kept = [0], []
         for row in self.raw:
             if not row[1].noise:
@@ -147,7 +157,7 @@ def _called_noise(names: list[str]) -> int:
         parts = [p for p in _PARTS.split(_DIGITS.sub("", name.lower())) if p]
         hits = [p in _NAMES for p in parts]
         if any(hits):
-            sure = hits[-1] or all(h or p in _PLAIN for h, p in zip(hits, parts))
+            sure = hits[-1] and parts[-1] not in _AMBIGUOUS or all(h or p in _PLAIN for h, p in zip(hits, parts))
             worst = max(worst, 2 if sure else 1)
     return worst
 
@@ -271,22 +281,41 @@ def _cover(nodes: list[_Node], own: list[_Node]) -> bool:
     return True
 
 
-def extract(html: str | None, winners: list[str] | None = None) -> str:
-    """Main text of a page under its host's winning paths, best first."""
+def extract(html: str | None, paths: list[str] | None = None) -> str:
+    """Main text of a page under its host's paths, best first."""
     page = read_page(html)
     own = own_containers(page)
     blocks, dense = page.blocks, page.dense
     if _whole_page(own[0]):
         return " ".join(blocks[dense[0][0] : dense[-1][0] + 1] if dense else blocks)
+    by_path, around = _around(page, own) if paths else ({}, {})
     chosen = own
-    for number in map(page.path_number, winners or []):
-        nodes = [n for n in page.nodes if n.path == number and n.text and n.text >= n.links and not _whole_page(n)] if number else []
-        if nodes and _cover(nodes, own):
-            chosen = nodes
+    for number in map(page.path_number, paths or []):
+        if number in around and _covers(by_path[number], own):
+            chosen = by_path[number]
             break
     return " ".join(b for n in chosen for b in blocks[n.first : n.last])
 
 
+def _around(page: Page, own: list[_Node]) -> tuple[dict[int, list[_Node]], dict[int, _Node]]:
+    """The containers of each path that are not mostly links, in page order; the paths of those around the first of the page's own: only
+    these can cover it."""
+    by_path: dict[int, list[_Node]] = {}
+    for n in page.nodes:
+        if n.text and n.text >= n.links:
+            by_path.setdefault(n.path, []).append(n)
+    around, up = {}, own[0]
+    while not _whole_page(up):
+        if up.path in by_path:
+            around.setdefault(up.path, up)
+        up = up.parent
+    return by_path, around
+
+
+def _covers(nodes: list[_Node], own: list[_Node]) -> bool:
+    return nodes[0].first <= own[0].first and nodes[0].last >= own[-1].last or _cover(nodes, own)
+
+
 def _votes_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     hosts, paths, votes = [], [], []
     for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -307,24 +336,56 @@ def host_of(url="url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), "^[^:]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the winning paths of each host, best first."""
+def _covering_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, host, html) -> (key, host, path) of the paths that cover a page's own containers."""
+    rows = []
+    for key, host, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        page = read_page(html)
+        own = own_containers(page)
+        by_path, around = _around(page, own)
+        rows += [(key, host, page.path_of(n)) for number, n in around.items() if _covers(by_path[number], own)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["key", "host", "path"])
+
+
+def host_votes(pages: DataFrame) -> DataFrame:
+    """(host, path, votes) of the pages (host, html)."""
     votes = C.map_arrow(pages.select("host", "html"), _votes_batch, "host string, path string, vote double")
-    votes = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    rank = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    kept = votes.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= WINNERS)
-    return kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "path")))["path"].alias("paths"))
+    return votes.groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
+
+
+def _best(votes: DataFrame, key: str) -> DataFrame:
+    """(key, paths): the paths of each key by falling votes, then by name."""
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path")))
+    return votes.groupBy(key).agg(F.transform(ordered, lambda p: p["path"]).alias("paths"))
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """(host, paths): all paths of each host, best first."""
+    return _best(host_votes(pages), "host")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of())
-    winners = C.stored(host_paths(rows))
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
-    return C.map_arrow(joined, _extract_batch, "page_id long, url string, text string, n_chars long")
+    votes = C.stored(host_votes(rows))
+    counts = votes.groupBy("host").agg(F.count("*").alias("n"))
+    few, many = counts.where(F.col("n") <= PATHS), counts.where(F.col("n") > PATHS).select("host", F.lit(True).alias("many"))
+    paths = _best(votes.join(few.select("host"), "host"), "host")
+    if few.count() <= BROADCAST_HOSTS:
+        paths = F.broadcast(paths)  # at most PATHS paths a host
+    rich = many.count()
+    if not rich:
+        joined = rows.join(paths, "host", "left").select("page_id", "url", "html", "paths")
+        return C.map_arrow(joined, _extract_batch, "page_id long, url string, text string, n_chars long")
+    many = F.broadcast(many) if rich <= BROADCAST_HOSTS else many
+    told = rows.join(many, "host", "left").withColumn("key", F.xxhash64("host", "html"))
+    plain = told.where("many is null").join(paths, "host", "left").select("page_id", "url", "html", "paths")
+    # pages of hosts with many paths: equal pages of a host have one key and one choice
+    own = C.map_arrow(told.where("many").select("key", "host", "html"), _covering_batch, "key long, host string, path string").distinct()
+    chosen = C.stored(_best(own.join(votes, ["host", "path"]), "key"))  # the covering paths of one page
+    looked = told.where("many").join(chosen, "key", "left").select("page_id", "url", "html", "paths")
+    return C.map_arrow(plain.union(looked), _extract_batch, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
