@@ -6,9 +6,9 @@ language the set bits are counted over the text and corrected for false positive
 full slots to the power ``HASHES``); the highest corrected count decides. ``score`` is that count per n-gram.
 
 Learning reads a bounded sample: at most ``SAMPLE`` labelled documents per language (those with the smallest hash of
-their id). Their n-grams are counted in Spark, and the ``TOP`` most frequent of each language go into the
-filter, whose size follows from ``TOP`` and the number of languages, not from the corpus. Prediction reads every
-whole text and nothing but the text.
+their id). All of their n-grams go into the filter: Spark counts the distinct ones for its size (at most ``1 << WIDEST`` slots, so that
+it cannot outgrow memory; the correction for false positives holds for a full filter, too) and makes one bitmap a language. Prediction
+reads every whole text and nothing but the text.
 
 Defined results: null text or one without a letter is ``und`` with score 0; a text with letters always gets a learned
 language (ties: the first by name; no known n-gram: score 0); without any labelled text that holds a letter all are
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm import common as C
 
-#: Labelled documents per language, n-grams per language, hashes per n-gram.
-SAMPLE, TOP, HASHES = 1_000, 20_000, 3
+#: Labelled documents per language, hashes per n-gram, bits of a slot's number.
+SAMPLE, HASHES, WIDEST = 1_000, 3, 20
+#: A text whose best language knows a smaller share of its n-grams has none: far below the scores of held-out documents (see the tests).
+LEAST = 0.2
 
 SLICE = 1 << 20
 
@@ -53,20 +55,32 @@ def _slots(grams: np.ndarray, mask: int) -> list[np.ndarray]:
     return [((h >> np.uint64(21 * k)) & np.uint64(mask)).astype(np.int64) for k in range(HASHES)]
 
 
+def size_for(n_grams: int) -> int:
+    """Largest slot number of a filter of so many n-grams."""
+    return (1 << max(10, min(WIDEST, (8 * n_grams).bit_length()))) - 1
+
+
 class Filters:
     """The learned filters: for every plane of eight languages, a byte per slot."""
 
-    def __init__(self, grams: dict[str, np.ndarray]):
-        self.langs = sorted(grams)
-        total = max(1, sum(len(g) for g in grams.values()))
-        self.mask = (1 << max(10, min(20, int(total * 8).bit_length()))) - 1
-        self.planes = np.zeros((-(-len(self.langs) // 8), self.mask + 1), dtype=np.uint8)
+    def __init__(self, bitmaps: dict[str, bytes], mask: int):
+        self.langs, self.mask = sorted(bitmaps), mask
+        self.planes = np.zeros((-(-len(self.langs) // 8), mask + 1), dtype=np.uint8)
         for i, lang in enumerate(self.langs):
-            for s in _slots(grams[lang], self.mask):
-                self.planes[i // 8][s] |= np.uint8(1 << i % 8)
+            bits = np.unpackbits(np.frombuffer(bitmaps[lang], dtype=np.uint8), count=mask + 1)
+            self.planes[i // 8] |= bits << np.uint8(i % 8)
         full = [((self.planes[i // 8] >> np.uint8(i % 8)) & 1).mean() for i in range(len(self.langs))]
         self.false = np.minimum(np.array(full) ** HASHES, 0.99)
 
+    @classmethod
+    def of_grams(cls, grams: dict[str, np.ndarray]) -> Filters:
+        mask = size_for(sum(map(len, grams.values())))
+        bits = {lang: np.zeros(mask + 1, dtype=np.uint8) for lang in grams}
+        for lang, g in grams.items():
+            for s in _slots(g, mask):
+                bits[lang][s] = 1
+        return cls({lang: np.packbits(b).tobytes() for lang, b in bits.items()}, mask)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; about ``SLICE`` characters are looked at together."""
         names, scores, lo, size = [], [np.zeros(0)], 0, 0
@@ -104,25 +118,33 @@ class Filters:
         return names, score
 
 
-def _count_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _distinct_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     langs = np.array(batch.column(1).to_pylist(), dtype=object)
     grams, owner = _grams(batch.column(0).to_pylist())
-    out = []
-    for lang in sorted(set(langs.tolist())):
-        values, counts = np.unique(grams[(langs == lang)[owner]], return_counts=True)
-        out.append((lang, values, counts))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang for lang, v, _ in out for _ in range(len(v))], type=pa.string()),
-            pa.array(np.concatenate([v for _, v, _ in out]).astype(np.int64) if out else np.empty(0, np.int64)),
-            pa.array(np.concatenate([c for _, _, c in out]).astype(np.int64) if out else np.empty(0, np.int64)),
-        ],
-        names=["lang", "gram", "n"],
-    )
-
-
-def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Filters:
-    """Filters from ``labelled`` (doc_id, text, lang); at most ``sample`` documents and ``top`` n-grams a language.
+    out = [(lang, np.unique(grams[(langs == lang)[owner]])) for lang in sorted(set(langs.tolist()))]
+    names = pa.array([lang for lang, v in out for _ in range(len(v))], type=pa.string())
+    return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([np.empty(0, np.int64), *(v.astype(np.int64) for _, v in out)]))], names=["lang", "gram"])
+
+
+def _bitmap(mask: int):
+    """Slots of one language's n-grams, which come in pieces, as bits."""
+
+    def run(batches):
+        bits: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, grams = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy()
+            for lang in set(langs.tolist()):
+                mine = bits.setdefault(lang, np.zeros(mask + 1, dtype=np.uint8))
+                for s in _slots(grams[langs == lang], mask):
+                    mine[s] = 1
+        for lang, mine in bits.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.packbits(mine).tobytes()], type=pa.binary())], names=["lang", "bits"])
+
+    return run
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
+    """Filters from ``labelled`` (doc_id, text, lang); at most ``sample`` documents a language.
 
     A language's rows are first thinned to those whose hash lies below the place where about twice the sample is expected,
     so that no task ranks all rows of a frequent language.
@@ -134,11 +156,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Filters:
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = thin.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "doc_id")
     texts = known.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("text", "lang")  # at most `sample` rows a language
-    counts = C.map_arrow(texts, _count_batch, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    best = counts.withColumn("k", F.row_number().over(by_count)).where(F.col("k") <= top)
-    found = best.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
-    return Filters({r.lang: np.array(sorted(r.grams), dtype=np.uint32) for r in found})
+    grams = C.stored(C.map_arrow(texts, _distinct_batch, "lang string, gram long").distinct())
+    mask = size_for(grams.count())
+    parts = grams.repartition("lang").mapInArrow(_bitmap(mask), "lang string, bits binary")
+    # a bitmap a language, of a fixed size
+    return Filters({r.lang: bytes(r.bits) for r in parts.collect()}, mask)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -162,7 +184,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def undetermined_removed(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def undetermined_removed(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without the texts that have no language: ``und``, or a score under ``least``. No row is shuffled.
 
     Texts of one Arrow batch are looked at in slices. Null and empty texts, and texts without a letter, go; repeated rows and
