@@ -114,3 +114,42 @@ def dominant_kind(found: DataFrame, document: str, code: str, kinds: dict[str, S
         rank = F.when(reduce(lambda x, y: x | y, [F.col(code).startswith(p) for p in prefixes]), i).otherwise(rank)
     names = F.array(*map(F.lit, [*kinds, default]))
     return found.groupBy(document).agg(F.element_at(names, (F.min(rank) + 1).cast("int")).alias("kind"))
+
+
+#: Actions from the loosest to the strictest.
+STRICTNESS = ["auto", "gate", "review", "reject"]
+
+
+def merged_policy(rows: DataFrame, kind: str, state: str, layers: Sequence[tuple[str, DataFrame]], floors: DataFrame) -> DataFrame:
+    """``rows`` with ``action``, ``min_conf``, ``rule`` and ``tightened``: the policy of each row under rules that an override can only tighten.
+
+    ``layers`` (name, table of kind, state, action, min_conf) go from the base to the last override. Of each layer the rule of (kind, state)
+    counts, else the one of the state alone (kind null); the last layer that has one for the kind decides, else the last that has one
+    for the state. ``floors`` (kind, state, action, min_conf; null is any) are structural: the result is the upper bound of the
+    chosen rule and of all floors that fit, in the lattice of actions by strictness and of confidences by size, so no layer
+    can fall below a floor. Without any rule the action is the strictest before ``reject``. Tables are rules, a few rows each.
+    """
+    rank = lambda c: F.array_position(F.array(*map(F.lit, STRICTNESS)), c)
+    found = rows
+    specific, general = [], []
+    for i, (name, rules) in enumerate(layers):
+        rule = F.struct(F.col("action"), F.col("min_conf"), F.lit(name).alias("layer"))
+        # of equal rules in one layer the stricter holds
+        one = lambda df, *by: df.groupBy(*by).agg(F.max(F.struct(rank(F.col("action")).alias("r"), F.coalesce("min_conf", F.lit(0.0)).alias("m"), rule.alias("rule")))["rule"].alias("_rule"))
+        own = one(rules.where("kind is not null"), "kind", "state").select(F.col("kind").alias(kind), F.col("state").alias(state), F.col("_rule").alias(f"_s{i}"))
+        any_kind = one(rules.where("kind is null"), "state").select(F.col("state").alias(state), F.col("_rule").alias(f"_g{i}"))
+        found = found.join(own, [kind, state], "left").join(any_kind, state, "left")
+        specific.insert(0, F.struct(F.col(f"_s{i}.action"), F.col(f"_s{i}.min_conf"), F.concat(F.lit(f"{name}:"), F.col(kind), F.lit(":"), F.col(state)).alias("rule")))
+        general.insert(0, F.struct(F.col(f"_g{i}.action"), F.col(f"_g{i}.min_conf"), F.concat(F.lit(f"{name}:any:"), F.col(state)).alias("rule")))
+    chosen = F.coalesce(*[F.when(s["action"].isNotNull(), s) for s in [*specific, *general]])
+    found = found.withColumn("_rule", chosen).select(*[F.col(c) for c in rows.columns], "_rule")
+    # the least upper bound of all floors that fit, for each pair that occurs
+    pairs = found.select(F.col(kind).alias("_k"), F.col(state).alias("_t")).distinct()
+    fits = (F.col("kind").isNull() | (F.col("kind") == F.col("_k"))) & (F.col("state").isNull() | (F.col("state") == F.col("_t")))
+    bound = pairs.join(F.broadcast(floors), fits).groupBy("_k", "_t").agg(F.max(rank(F.col("action"))).alias("_a"), F.max("min_conf").alias("_m"))
+    found = found.join(bound, F.col(kind).eqNullSafe(F.col("_k")) & F.col(state).eqNullSafe(F.col("_t")), "left")
+    own = F.coalesce(rank(F.col("_rule.action")), F.lit(STRICTNESS.index("reject")))
+    final = F.greatest(own, F.col("_a"))
+    confidence = F.greatest(F.col("_rule.min_conf"), F.col("_m"))
+    tightened = (final > own) | (F.coalesce(confidence, F.lit(-1.0)) > F.coalesce("_rule.min_conf", F.lit(-1.0)))
+    return found.select(*[F.col(c) for c in rows.columns], F.element_at(F.array(*map(F.lit, STRICTNESS)), final.cast("int")).alias("action"), confidence.alias("min_conf"), F.coalesce("_rule.rule", F.lit("none")).alias("rule"), tightened.alias("tightened"))

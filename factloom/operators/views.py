@@ -133,15 +133,3 @@ def note_targets(notes: DataFrame, tests: DataFrame, document: str, key: str, no
     rank = F.when(F.array_contains("_w", "all"), 0).when(F.coalesce(alike >= floor, F.lit(False)), 1).when(F.coalesce(F.array_contains("_w", F.col("_t")), F.lit(False)), 2).otherwise(3)
     names = F.array(*map(F.lit, ("all", "named", "mentioned", "unclear")))
     return met.groupBy(document, key).agg(F.element_at(names, (F.min(rank) + 1).cast("int")).alias("applies"))
-
-
-def line_labels(lines: DataFrame, ocr: DataFrame, page: str, key: str) -> DataFrame:
-    """(page, key, coverage, label) of lines (page, key, band, x0, x1) by the boxes (page, band, x0, x1, conf) read on them: printed
-    from a coverage of 0.6 and a mean confidence of 0.85 on, handwritten under 0.3, else mixed or uncertain."""
-    o = ocr.select(page, "band", F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("conf").alias("_q"))
-    wide = F.greatest(F.lit(0), F.least("x1", "_b") - F.greatest("x0", "_a"))
-    met = lines.join(o, [page, "band"], "left").withColumn("_w", F.coalesce(wide, F.lit(0)))
-    g = met.groupBy(page, key).agg(F.sum("_w").alias("_s"), F.first("x0").alias("_x"), F.first("x1").alias("_y"), F.avg(F.when(F.col("_w") > 0, F.col("_q"))).alias("_c"))
-    cover = F.least(F.lit(1.0), F.col("_s") / (F.col("_y") - F.col("_x")))
-    label = F.when((cover >= 0.6) & (F.col("_c") >= 0.85), "printed").when(cover < 0.3, "handwritten").when(F.col("_c") >= 0.85, "mixed").otherwise("uncertain")
-    return g.select(page, key, F.round(cover, 4).alias("coverage"), label.alias("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions.similarity import lev_ratio
+from factloom.operators import lines as L
 from factloom.operators import tables as T
 from factloom.operators import views as V
 from factloom.plans.registry import register
@@ -473,11 +474,17 @@ def note_targets(spark, sf_dir):
 
 
 @register("line_labels", """with e as (select event_id, user_id, event_type, (event_id * 7) % 900 // 90 as band, event_id % 500 as x0, event_id % 500 + 100 + event_id % 37 as x1, 1 - value / 400 as conf from events),
-m as (select a.user_id, a.event_id, a.x1 - a.x0 as size, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) as w, b.conf from e a left join e b on a.user_id = b.user_id and a.band = b.band and b.event_type <> 'view' where a.event_type = 'view'),
-g as (select user_id, event_id, least(1.0, coalesce(sum(w), 0) / max(size)) as c, avg(conf) filter (where w > 0) as f from m group by 1, 2)
-select user_id, event_id, round(c, 4) as coverage, case when c >= 0.6 and f >= 0.85 then 'printed' when c < 0.3 then 'handwritten' when f >= 0.85 then 'mixed' else 'uncertain' end as label from g""")
+o as (select * from e where event_type <> 'view'), a as (select * from e where event_type = 'view'),
+p as (select *, max(x1) over (partition by user_id, band order by x0, x1 rows between unbounded preceding and 1 preceding) as reach from o),
+i as (select *, sum(case when reach is null or x0 > reach then 1 else 0 end) over (partition by user_id, band order by x0, x1 rows unbounded preceding) as island from p),
+u as (select user_id, band, island, min(x0) as u0, max(x1) as u1 from i group by 1, 2, 3),
+c as (select a.event_id, coalesce(sum(case when u0 is not null then greatest(0, least(x1, u1) - greatest(x0, u0)) end), 0) as covered from a left join u on a.user_id = u.user_id and a.band = u.band group by 1),
+m as (select a.event_id, avg(o.conf) as f from a join o on a.user_id = o.user_id and a.band = o.band and o.x0 < a.x1 and o.x1 > a.x0 group by 1),
+g as (select a.user_id, a.event_id, least(1.0, covered / (x1 - x0)) as c, f from a join c using (event_id) left join m using (event_id))
+select user_id, event_id, round(c, 4) as coverage, case when c >= 0.6 and f >= 0.85 then 'printed' when c < 0.3 then 'handwritten' when f >= 0.85 then 'mixed' else 'uncertain' end as label from g
+union all select user_id, event_id, 1.0, 'printed' from o where not exists (select 1 from a where a.user_id = o.user_id and a.band = o.band and a.x0 < o.x1 and a.x1 > o.x0)""")
 def line_labels(spark, sf_dir):
-    """Lines by the share that was read on them and its confidence."""
+    """Lines by the share that was read on them (boxes together) and its confidence; boxes on no line are lines of their own."""
     x0 = F.col("event_id") % 500
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("(event_id * 7) % 900 div 90").alias("band"), x0.alias("x0"), (x0 + 100 + F.col("event_id") % 37).alias("x1"), (1 - F.col("value") / 400).alias("conf"))
-    return V.line_labels(e.where("event_type = 'view'"), e.where("event_type != 'view'"), "user_id", "event_id")
+    return L.line_labels(e.where("event_type = 'view'"), e.where("event_type != 'view'"), "user_id", "event_id")

@@ -203,3 +203,54 @@ def live_drift(stream: DataFrame, n: int = 200, least: int = 20, sigma: float =
         return ([*past, float(row.value)][-n:],), out
 
     return _folded(stream, "source", ([],), step, "source string, id long", "past array<double>")
+
+
+def leases(stream: DataFrame, seconds: int = 300, most: int = 3) -> DataFrame:
+    """What happens to each job's claims (job, id, ts, worker, kind) in update mode: a ``claim`` holds the job for ``seconds`` and is refused
+    while another worker's is live; ``renew`` by its holder prolongs it, ``done`` by its holder ends the job. A lease that nobody renews expires:
+    when a later event of the job shows that its time is over, or when the watermark passes it and a timer fires although no event
+    comes. An expired job can be claimed again, ``most`` times in all; then it is ``dead``.
+
+    Rows: (job, event, worker, attempt, id); ``id`` is the event's, -1 for an expiry.
+    """
+    out = "job string, event string, worker string, attempt long, id long"
+    kept = "state string, worker string, attempt long, until double"
+
+    def expired(now):
+        state, worker, attempt, until = now
+        return ("dead" if attempt >= most else "free", "", attempt, 0.0), ("dead" if attempt >= most else "expired", worker, attempt, -1)
+
+    def step(now, row):
+        found, ts = [], row.ts.timestamp()
+        if now[0] == "held" and ts >= now[3]:
+            now, told = expired(now)
+            found.append(told)
+        state, worker, attempt, until = now
+        if row.kind == "claim" and state == "free":
+            now = ("held", row.worker, attempt + 1, ts + seconds)
+            found.append(("claimed", row.worker, attempt + 1, row.id))
+        elif row.kind in ("renew", "done") and state == "held" and row.worker == worker:
+            now = ("held", worker, attempt, ts + seconds) if row.kind == "renew" else ("done", worker, attempt, 0.0)
+            found.append(("renewed" if row.kind == "renew" else "done", worker, attempt, row.id))
+        else:
+            found.append(("refused", row.worker, attempt, row.id))
+        return now, found
+
+    def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, found = held.get if held.exists else ("free", "", 0, 0.0), []
+        if held.hasTimedOut:
+            if now[0] == "held":
+                now, told = expired(now)
+                found.append(told)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
+            for row in rows.itertuples(index=False):
+                now, more = step(now, row)
+                found += more
+        held.update(now)
+        if now[0] == "held" and now[3] * 1000 > held.getCurrentWatermarkMs():
+            held.setTimeoutTimestamp(int(now[3] * 1000))
+        yield pd.DataFrame([(key[0], *f) for f in found], columns=[c.split()[0] for c in out.split(", ")])
+
+    late = stream.withWatermark("ts", "0 seconds")
+    return late.groupBy("job").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
