@@ -12,20 +12,28 @@ from pyspark.sql import functions as F
 
 from factloom.functions.similarity import lev_ratio, whole_join
 
-# fixed values: letters read for digits, and the digits they stand for; a number with a unit glued to it; what belongs to no digit count
+# fixed values: letters read for digits, and the digits they stand for
 LOOK_ALIKE, DIGITS = "OoDQlI|iSsBZz", "0000111155822"
-NUMBER_TOKEN, NOT_COUNTED = "^([0-9OoDQlI|iSsBZz.,/\\-½]+)([a-zA-Z%µ/]*)$", "[.,/x×\\-]"
-NUMBER = "([0-9]+(?:[.][0-9]+)?(?:/[0-9]+)?|½)"
+#: What a number is made of beside digits; what may follow it in one token.
+SIGNS, UNIT = ".,/-", "[a-zA-Z%µ/]*"
+_RUN = "[0-9]+"
+#: A whole or decimal number, a fraction, or a half.
+NUMBER = f"({_RUN}(?:[.]{_RUN})?(?:/{_RUN})?|½)"
 
 
 def repaired_numbers(c: Column) -> Column:
-    """Letters read for digits are put right in the number part of a token if half of it or more is digits; lower case, single blanks."""
+    """Letters read for digits are put right in the number part of a token if half of it or more is digits; lower case, single blanks.
+
+    The number part of a token is as far as it can be read as digits and signs; a unit may follow.
+    """
 
     def token(t: Column) -> Column:
-        number, unit = F.regexp_extract(t, NUMBER_TOKEN, 1), F.regexp_extract(t, NUMBER_TOKEN, 2)
-        core = F.regexp_replace(number, NOT_COUNTED, "")
-        digits = F.length(F.regexp_replace(core, "[^0-9]", ""))
-        return F.when((digits > 0) & (digits * 2 >= F.length(core)), F.concat(F.translate(number, LOOK_ALIKE, DIGITS), unit)).otherwise(t)
+        read = F.translate(t, LOOK_ALIKE, DIGITS)
+        n = F.length(F.regexp_extract(read, f"^[0-9½{SIGNS}]*", 0))
+        number, rest = F.translate(F.substring(t, F.lit(1), n), SIGNS, ""), F.substring(t, n + 1, F.length(t))
+        digits = F.length(number) - F.length(F.translate(number, "0123456789", ""))
+        sure = (digits > 0) & (2 * digits >= F.length(number)) & rest.rlike(f"^{UNIT}$")
+        return F.when(sure, F.concat(F.substring(read, F.lit(1), n), rest)).otherwise(t)
 
     return F.lower(F.array_join(F.transform(F.filter(F.split(c, "\\s+"), lambda t: t != ""), token), " "))
 

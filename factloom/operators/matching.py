@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.similarity import lev_ratio, whole_join
+from factloom.sources.scratch import stored
 
 # fixed values: scores of the levels, floor of the fuzzy level, margin of a tie
 EXACT, NORMALISED, FUZZY_FLOOR, FUZZY_WEIGHT, MARGIN = 1.0, 0.97, 0.82, 0.95, 0.03
@@ -172,11 +173,28 @@ def covered_entries(entries: DataFrame, document: str, entry: str, size: int = 5
     e = entries.select(document, F.lower(F.trim(entry)).alias("entry")).where("entry != ''").distinct()
     words = F.filter(F.split("entry", "[^a-z0-9]+"), lambda w: w != "")
     shingles = F.when(F.size("_w") < size, F.array(F.array_join("_w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.size("_w") - size), lambda i: F.array_join(F.slice("_w", i + 1, size), " ")))
-    # entries go by a hash while their shingles are spread, so that long entries are not repeated with each
-    s = e.withColumn("_w", words).select(document, "entry", F.xxhash64("entry").alias("_e"), F.transform(F.array_distinct(shingles), lambda x: F.xxhash64(x)).alias("_s"))
+    # entries go by a hash while their shingles are spread, so that long entries are not repeated with each; shingles are made once, not
+    # anew on each branch of the join
+    s = stored(e.withColumn("_w", words).select(document, "entry", F.xxhash64("entry").alias("_e"), F.transform(F.array_distinct(shingles), lambda x: F.xxhash64(x)).alias("_s")))
     other = s.select(document, F.col("_e").alias("_b"), "_s")
     met = token_overlap_join(s, other, "_e", "_s", "_b", "_s", [document], floor, None).where("_e != _b").select(document, "_e", "_b", "n_left", "n_right")
     texts = s.select(document, "_e", "entry")
     met = met.join(texts, [document, "_e"]).join(texts.select(document, F.col("_e").alias("_b"), F.col("entry").alias("by")), [document, "_b"])
     fuller = (F.col("n_right") > F.col("n_left")) | ((F.col("n_right") == F.col("n_left")) & (F.col("by") < F.col("entry")))
     return met.where(fuller).groupBy(document, "entry").agg(F.min("by").alias("by"))
+
+
+def specific_entries(entries: DataFrame, document: str, entry: str, generic: Sequence[str]) -> DataFrame:
+    """(document, entry, kept): an entry of generic words only (a kind of examination without its place) goes if another entry of the document
+    holds all of its words and more."""
+    e = entries.select(document, F.lower(F.trim(entry)).alias("entry")).where("entry != ''").distinct()
+    words = F.array_distinct(F.filter(F.split("entry", "[^a-z0-9]+"), lambda w: w != ""))
+    e = e.withColumn("_w", words)
+    plain = (F.size("_w") > 0) & F.forall("_w", lambda w: w.isin(list(generic)))
+    # only documents with a generic entry are looked at further, and of their entries only the words that are generic
+    vague = e.where(plain).select(document, F.col("entry").alias("_g"), F.col("_w").alias("_v"))
+    held = e.select(document, "entry", F.size("_w").alias("_n"), F.explode(F.filter("_w", lambda w: w.isin(list(generic)))).alias("_x"))
+    met = vague.select(document, "_g", F.size("_v").alias("_k"), F.explode("_v").alias("_x")).join(held, [document, "_x"])
+    gone = met.groupBy(document, "_g", "entry").agg(F.count("*").alias("_c"), F.first("_k").alias("_k"), F.first("_n").alias("_n")).where("_c = _k and _n > _k")
+    gone = gone.select(document, F.col("_g").alias("entry"), F.lit(True).alias("_gone")).distinct()
+    return e.select(document, "entry").join(gone, [document, "entry"], "left").select(document, "entry", F.col("_gone").isNull().alias("kept"))

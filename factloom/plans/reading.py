@@ -48,10 +48,12 @@ def signal_lines(spark, sf_dir):
     return _lines(spark, sf_dir).where(R.two_signals(F.col("line"), _SIGNALS)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-_HEAD = "regexp_extract(t, '^([0-9OoDQlI|iSsBZz.,/\\-½]+)([a-zA-Z%µ/]*)$', 1)"
-_CORE = f"regexp_replace({_HEAD}, '[.,/x×\\-]', '', 'g')"
-_DIGITS = f"length(regexp_replace({_CORE}, '[^0-9]', '', 'g'))"
-_TOKEN = f"case when {_DIGITS} > 0 and {_DIGITS} * 2 >= length({_CORE}) then translate({_HEAD}, 'OoDQlI|iSsBZz', '0000111155822') || regexp_extract(t, '^([0-9OoDQlI|iSsBZz.,/\\-½]+)([a-zA-Z%µ/]*)$', 2) else t end"
+#: A token read as digits; its number part; whether half or more of that part's letters are digits as written.
+_READ = "translate(t, 'OoDQlI|iSsBZz', '0000111155822')"
+_N = f"length(regexp_extract({_READ}, '^[0-9½.,/-]*'))"
+_LETTERS = f"regexp_replace(substr(t, 1, {_N}), '[.,/-]', '', 'g')"
+_DIGITS = f"length(regexp_replace({_LETTERS}, '[^0-9]', '', 'g'))"
+_TOKEN = f"case when {_DIGITS} > 0 and {_DIGITS} * 2 >= length({_LETTERS}) and regexp_full_match(substr(t, {_N} + 1), '[a-zA-Z%µ/]*') then substr({_READ}, 1, {_N}) || substr(t, {_N} + 1) else t end"
 _NUM = f"regexp_extract_all(lower(array_to_string(list_transform(list_filter(string_split_regex({{}}, '\\s+'), lambda t: t <> ''), lambda t: {_TOKEN}), ' ')), '([0-9]+(?:[.][0-9]+)?(?:/[0-9]+)?|½)', 1)"
 
 
@@ -73,17 +75,24 @@ def compared_readers(spark, sf_dir):
     return R.compared_readers(p.select("p_partkey", a.alias("a"), b.alias("b")), "a", "b").select("p_partkey", "state")
 
 
-@register("grounded_values", """with v as (select conv_id, array_to_string(string_split_regex(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' +')[2:4], ' ') as v from conversations where turn = 0), r as (select conv_id, turn, role, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda x: x <> '') as r from conversations where turn > 0),
-d as (select distinct conv_id, v, list_filter(string_split(v, ' '), lambda x: x <> '') as w from v where v <> ''),
-j as (select conv_id, v, array_to_string(w, ' ') as t, len(w) as k, r from d join r using (conv_id) where len(r) > 0),
-s as (select conv_id, v, max(1 - levenshtein(t, x) / greatest(length(t), length(x))) as s from (select conv_id, v, t, unnest(list_transform(range(1, greatest(1, len(r) - n + 1) + 1), lambda i: array_to_string(r[i:i + n - 1], ' '))) as x from (select *, unnest([k - 1, k, k + 1]) as n from j) where n >= 1) group by 1, 2)
-select d.conv_id, d.v as value, round(coalesce(s, 0), 3) as similarity from d left join s on s.conv_id = d.conv_id and s.v = d.v where not regexp_matches(d.v, '[0-9]')""")
+_NUMBERS = "regexp_extract_all({}, '([0-9]+(?:[.][0-9]+)?(?:/[0-9]+)?|½)', 1)"
+
+
+@register("grounded_values", f"""with v as (select conv_id, array_to_string(string_split_regex(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' +')[2:4], ' ') as v from conversations where turn = 0),
+r as (select conv_id, turn, list_transform(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda x: x <> ''), lambda t: {_TOKEN}) as r from conversations where turn > 0),
+d as (select distinct conv_id, v, list_transform(list_filter(string_split(v, ' '), lambda x: x <> ''), lambda t: {_TOKEN}) as w from v where v <> ''),
+j as (select conv_id, v, turn, array_to_string(w, ' ') as t, len(w) as k, r from d join r using (conv_id) where len(r) > 0),
+s as (select conv_id, v, turn, max(1 - levenshtein(t, x) / greatest(length(t), length(x))) as s from (select conv_id, v, turn, t, unnest(list_transform(range(1, greatest(1, len(r) - n + 1) + 1), lambda i: array_to_string(r[i:i + n - 1], ' '))) as x from (select *, unnest([k - 1, k, k + 1]) as n from j) where n >= 1) group by 1, 2, 3),
+n as (select conv_id, v, turn, {_NUMBERS.format('t')} as a, {_NUMBERS.format("array_to_string(r, ' ')")} as b from j),
+o as (select s.*, len(list_filter(list_distinct(a), lambda y: len(list_filter(a, lambda z: z = y)) > len(list_filter(b, lambda z: z = y)))) = 0 as ok from s join n using (conv_id, v, turn)),
+m as (select conv_id, v, max({{'ok': ok, 's': s}}) as m from o group by 1, 2)
+select d.conv_id, d.v as value, round(coalesce(m.s, 0), 3) as similarity, coalesce(m.ok, false) as numbers_ok, coalesce(m.ok and m.s >= 0.72, false) as grounded from d left join m on m.conv_id = d.conv_id and m.v = d.v""")
 def grounded_values(spark, sf_dir):
-    """Values held against word windows of all readings of their document."""
+    """Values held against word windows of all readings of their document, numbers first."""
     c = table(spark, sf_dir, "conversations").withColumn("text", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")))
     v = c.where("turn = 0").select("conv_id", F.array_join(F.slice(F.split("text", " +"), 2, 3), " ").alias("value")).where("value != ''").distinct()
     out = R.grounded(v.withColumn("key", F.col("value")), c.where("turn > 0"), "conv_id", "key", "value", "text")
-    return out.where("not key rlike '[0-9]'").select("conv_id", F.col("key").alias("value"), "similarity")
+    return out.select("conv_id", F.col("key").alias("value"), "similarity", "numbers_ok", "grounded")
 
 
 _SPELT = "substr(p_name, 1, cast(p_partkey % length(p_name) as int)) || substr(p_name, cast(p_partkey % length(p_name) as int) + 2)"
@@ -149,6 +158,16 @@ def covered_entries(spark, sf_dir):
     return M.covered_entries(_lines(spark, sf_dir), "doc_id", "line")
 
 
+@register("specific_entries", f"""with {_LINES}, u as (select doc_id, unnest(string_split_regex(line, '[,;.]')) as part from l), e as (select distinct doc_id, lower(trim(part)) as entry from u where trim(part) <> ''),
+b as (select *, list_distinct(list_filter(string_split_regex(entry, '[^a-z0-9]+'), lambda y: y <> '')) as ws from e), g as (select * from b where len(ws) > 0 and len(list_filter(ws, lambda y: y not in ('the', 'la', 'der', 'die', 'est', 'und'))) = 0),
+d as (select distinct g.doc_id, g.entry from g join b on g.doc_id = b.doc_id where len(b.ws) > len(g.ws) and list_has_all(b.ws, g.ws))
+select b.doc_id, b.entry, d.doc_id is null as kept from b left join d on d.doc_id = b.doc_id and d.entry = b.entry""")
+def specific_entries(spark, sf_dir):
+    """Entries of generic words only, dropped beside a fuller one of their document."""
+    parts = _lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", "[,;.]")).alias("part"))
+    return M.specific_entries(parts, "doc_id", "part", ["the", "la", "der", "die", "est", "und"])
+
+
 @register("ages", """with t as (select c_custkey, (c_custkey % 140) || case c_nationkey % 4 when 0 then ' yrs' when 1 then ' months' when 2 then 'y' else '' end as s, case c_nationkey % 3 when 0 then 'F' when 1 then ' male' else '?' end as x from customer),
 m as (select c_custkey, x, try_cast(regexp_extract(s, '([0-9]{1,3}) ?(years?|yrs?|y|months?|m|days?|d)?', 1) as int) as n, substr(regexp_extract(s, '([0-9]{1,3}) ?(years?|yrs?|y|months?|m|days?|d)?', 2), 1, 1) as u from t),
 y as (select c_custkey, x, cast(case when u = 'm' then floor(n / 12) when u = 'd' then floor(n / 365) else n end as bigint) as y from m)
