@@ -12,14 +12,9 @@ from pyspark.sql import functions as F
 from factloom.functions.similarity import deletions, ratcliff
 
 
-def leader_groups(df: DataFrame, key: str, value: str, order: str, floor: float = 0.85) -> DataFrame:
-    """(key, value, n, first, leader) of the distinct values of each key: in the order of their first reading, a value joins the first group whose
-    first member (its leader) is at least ``floor`` alike by matching blocks, or leads a new one.
-
-    Values are counted before they are shuffled. A key's values stream through one task in their order; only its leaders are held.
-    """
-    each = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    rows = each.select(key, F.col(value).cast("string").alias("value"), "n", "first")
+def led(rows: DataFrame, key: str, order: list, floor: float) -> DataFrame:
+    """``rows`` (key, value, ...) with ``leader``: in the given order, a value of a key joins the first leader that is at least ``floor`` alike by matching
+    blocks, or becomes one. A key's values stream through one task in their order; only its leaders are held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, leaders = None, []
@@ -40,8 +35,15 @@ def leader_groups(df: DataFrame, key: str, value: str, order: str, floor: float
                     found.append(v)
             yield batch.assign(leader=found)
 
-    kinds = dict(rows.dtypes)
-    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "first", "value").mapInPandas(run, f"{key} {kinds[key]}, value string, n long, first {kinds['first']}, leader string")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{schema}, leader string")
+
+
+def leader_groups(df: DataFrame, key: str, value: str, order: str, floor: float = 0.85) -> DataFrame:
+    """(key, value, n, first, leader) of the distinct values of each key, led in the order of their first reading. Values are counted before they
+    are shuffled."""
+    each = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return led(each.select(key, F.col(value).cast("string").alias("value"), "n", "first"), key, ["first", "value"], floor)
 
 
 def group_consensus(df: DataFrame, key: str, value: str, order: str, floor: float = 0.85) -> DataFrame:

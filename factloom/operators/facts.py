@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.consensus import led
+
 
 def fan_out(df: DataFrame, key: str, lists: dict[str, str]) -> DataFrame:
     """(key, fact_type, seq, value): one row per entry of each list column; empty lists give no row."""
@@ -69,24 +71,11 @@ def keyword_groups(docs: DataFrame, key: str, text: str, keywords: DataFrame, lo
 def clusters_within_key(df: DataFrame, key: str, value: str, floor: float = 0.78) -> DataFrame:
     """Greedy merge of alike values inside each key, most frequent first: (key, value, shown, n).
 
-    Values are counted before they are grouped, so a group holds the distinct spellings of one key.
+    Values are counted before they are shuffled; the distinct spellings of a key stream past the shown ones, which alone are held.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-
-    def merge(pdf):
-        import difflib
-
-        pdf = pdf.sort_values(["n", value], ascending=[False, True], kind="stable")
-        heads, shown = [], []
-        for v in pdf[value]:
-            hit = next((h for h in heads if difflib.SequenceMatcher(None, h, v, autojunk=False).ratio() >= floor), None)
-            if hit is None:
-                heads.append(v)
-            shown.append(hit or v)
-        return pdf.assign(shown=shown)[[key, value, "shown", "n"]]
-
-    kind = df.schema[key].dataType.simpleString()
-    return counts.groupBy(key).applyInPandas(merge, f"{key} {kind}, {value} string, shown string, n long")
+    rows = counts.select(key, F.col(value).cast("string").alias("value"), "n")
+    return led(rows, key, [F.desc("n"), "value"], floor).select(key, F.col("value").alias(value), F.col("leader").alias("shown"), "n")
 
 
 def numbers_supported(df: DataFrame, key: str, value: str, reading: str) -> DataFrame:

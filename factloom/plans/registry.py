@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from factloom.plans import answers, decisions, facts, grounding, matching, measures, pages, reading, records, streams, texts, views  # noqa: F401
+    from factloom.plans import answers, decisions, facts, grounding, matching, measures, pages, people, reading, records, streams, texts, views  # noqa: F401
 
 
 
