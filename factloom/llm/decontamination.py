@@ -10,8 +10,9 @@ marks (windows and their items, found along suffix links) tell what occurs. Runs
 two-step path for can hold no window and are skipped by array lookups, so only stretches that may match
 are streamed.
 
-The items are sent to the executors only in blocks of a proven size: item texts are dealt into blocks by hash
-so that each is about ``BLOCK_BYTES`` at most. An automaton has at most two states and three arcs for each word of its
+The items are sent to the executors only in blocks of a proven size: item texts longer than a quarter of a block are cut in Spark into pieces
+that overlap by a window less one word, so that they have the same windows; pieces are dealt by hash, and each deal is filled up into
+blocks by running sums. An automaton has at most two states and three arcs for each word of its
 items; they lie in flat arrays and one table of arcs. With one block documents are judged in one pass; with several, each
 pass gives only the spans and items that one block finds, and these are united per document before it is judged.
 
@@ -31,7 +32,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import common as C
@@ -266,14 +267,55 @@ def _judge_batch(items: Broadcast | None, window: int, texts: bool, longest: int
     return fn
 
 
-def _blocks(items: DataFrame):
-    """Broadcasts of the items (item_id, text), about ``BLOCK_BYTES`` of text each."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES) or 1
-    for b in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().collect()
-        yield n, items.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in block))
+def _cut_batch(window: int, limit: int):
+    """Items (item_id, text) as pieces of about ``limit`` bytes that hold the same windows."""
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, pieces = [], []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(text)
+            at = 0
+            while True:
+                end, size = at, 0
+                while end < len(words) and (size < limit or end - at < 2 * window):
+                    size += len(words[end]) + 1
+                    end += 1
+                names.append(name)
+                pieces.append(b" ".join(words[at:end]).decode("utf-8", "surrogatepass"))
+                if end == len(words):
+                    break
+                at = end - window + 1
+        return pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(pieces, type=pa.string())], names=["item_id", "text"])
+
+    return fn
+
+
+def _blocks(items: DataFrame, window: int):
+    """(number of blocks, broadcast) of the items (item_id, text), ``BLOCK_BYTES`` of text each at most."""
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    limit = BLOCK_BYTES // 4
+    total, longest = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
+    if longest > limit:
+        long = F.octet_length("text") > limit
+        items = C.stored(items.where(~long).union(C.map_arrow(items.where(long), _cut_batch(window, limit), "item_id string, text string")))
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    if total <= BLOCK_BYTES:
+        yield 1, _sent(items)
+        return
+    # a block ends with the piece that reaches three quarters, and a piece has a quarter at most
+    deals = -(-2 * total // BLOCK_BYTES)
+    order = Window.partitionBy("deal").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0))
+    dealt = items.withColumn("deal", F.pmod(F.xxhash64("item_id", "text"), F.lit(deals))).withColumn("fill", F.floor(before / (3 * limit)))
+    dealt = C.stored(dealt)
+    places = sorted(map(tuple, dealt.select("deal", "fill").distinct().collect()))  # a row a block
+    for deal, fill in places:
+        yield len(places), _sent(dealt.where((F.col("deal") == deal) & (F.col("fill") == fill)))
+
+
+def _sent(block: DataFrame) -> Broadcast:
+    rows = block.select("item_id", "text").collect()
+    return block.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in rows))
 
 
 _JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -283,7 +325,7 @@ def _hits(docs: DataFrame, items: DataFrame, window: int) -> tuple[Broadcast | N
     """The broadcast of an only block; else the keyed texts, (key, spans, items) of the texts that any block is found in, and
     the ids that stand for several texts."""
     hashed, hits, keyed, unclear = C.hashed_texts(docs), None, None, None
-    for n, sent in _blocks(items):
+    for n, sent in _blocks(items, window):
         if n == 1:
             return sent, None, None, None
         if keyed is None:

@@ -77,3 +77,34 @@ def test_the_language_stage_rejects_what_no_language_knows(spark, sf):
     assert labelled <= kept
     scores = language_id.identify(both).where("held_out").join(docs.where("lang is not null").select("doc_id"), "doc_id").agg(F.min("score")).first()[0]
     assert scores > 2 * language_id.LEAST
+
+
+def test_long_items_are_cut_into_blocks_of_a_bounded_size(spark, monkeypatch):
+    """An item longer than a block, and documents with a passage at any of its places, also over the cuts; a very long document."""
+    import random
+
+    from factloom.llm import decontamination
+
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    item = [rnd.choice(words) for _ in range(4000)]
+    texts = [" ".join(["x"] * 3 + item[at : at + 13] + ["y"] * 5) for at in range(0, 3980, 17)]
+    texts += [" ".join(["clean"] * 50), " ".join(item[10:22]), " ".join(["z"] * 200_000 + item[100:140]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([("long", " ".join(item)), ("short", "x x x"), ("none", None)], "item_id string, text string").withColumn("n_hit", F.lit("clash"))
+    whole = sorted(map(tuple, decontamination.decontaminate(docs, items, texts=False).collect()), key=str)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
+    sizes = [(n, sum(len(t) for _, t in sent.value)) for n, sent in decontamination._blocks(items, 13)]
+    assert len(sizes) > 8 and max(size for _, size in sizes) <= 4000 + 26 * 6
+    cut = sorted(map(tuple, decontamination.decontaminate(docs, items, texts=False).collect()), key=str)
+    assert cut == whole and sum(r[5] for r in whole) >= 230
+
+
+def test_language_id_ignores_clashing_columns(spark):
+    rows = [(1, "plint strom gleth", "aa"), (3, "vuma zaki wuju", "bb"), (4, "vuma zaki", "bb"), (5, "plint", "aa"), (9, "plint gleth", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = sorted(map(tuple, language_id.identify(df).collect()), key=str)
+    for name in ("lang_pred", "score", "held_out", "gram", "bits", "below", "n"):
+        df = df.withColumn(name, F.lit(1))
+    assert sorted(map(tuple, language_id.identify(df).collect()), key=str) == plain
+    assert language_id.undetermined_removed(df).columns == df.columns
