@@ -43,16 +43,19 @@ def _rules() -> tuple[str, str]:
 LEVELS = 6
 
 
-def urls() -> str:
-    """From the definition: every level written out, all branches compared, evidence of siblings, hosts and domains by joins."""
+def urls(held_out: bool = False) -> str:
+    """From the definition: every level written out, all branches compared, evidence of siblings, hosts and domains by joins. ``held_out`` hides the
+    verdicts of a quarter of the pages from the tree and gives what it says about them."""
     rule, verdict = _rules()
+    hidden = "coalesce(page_id % 4 = 2, false)"
+    seen = f"case when not {hidden} then {verdict} end" if held_out else verdict
     segment = (
         "case when regexp_matches(x, '^[0-9]+([.][A-Za-z]{1,5})?$') then '#' || regexp_extract(x, '^[0-9]+((?:[.][A-Za-z]{1,5})?)$', 1) "
         "when regexp_matches(x, '^[0-9a-fA-F-]{8,}$') then '#x' else regexp_replace(x, '[0-9]+', '#', 'g') end"
     )
     sql = f"""with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 p as (select page_id, lower(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '')) as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
-j as (select *, {rule} as rule, {verdict} as verdict, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {segment}), '/') as shape from p),
+j as (select *, {rule} as rule, {verdict} as told, {seen} as verdict, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {segment}), '/') as shape from p),
 t0 as (select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, shape, count(verdict) as labelled, count(*) filter (where verdict = 'block') as blocked, string_split(shape, '/') as parts, '' as node, 0.0 as sr, 0 as sm from j group by host, shape)"""
     for d in range(1, LEVELS + 1):
         sql += f""",
@@ -64,7 +67,7 @@ m{d} as (select host, node, part, l, r, m, case when part <> '' and l > 0 and al
 t{d} as (select s.host, s.domain, shape, labelled, blocked, parts, case when nxt = '' then s.node else s.node || '/' || nxt end as node,
   case when l = 0 and m > 0 and sm = 0 then r else sr end as sr, case when l = 0 and m > 0 and sm = 0 then m else sm end as sm
   from s{d} s join m{d} m on s.host = m.host and s.node = m.node and s.part = m.part)"""
-    return sql + f""",
+    sql += f""",
 t as (select host, domain, shape, labelled, blocked, case when labelled > 0 then blocked / labelled end as own, node as template, sr, sm from t{LEVELS}),
 n as (select domain, shape, sum(own) as r, count(*) as m from t where labelled > 0 group by 1, 2),
 f as (select shape, sum(r / m) as r, count(*) as m from n group by 1),
@@ -72,7 +75,10 @@ pa as (select t.*, (coalesce(f.r, 0) - coalesce(n.r / n.m, 0) + 1) / (coalesce(f
   from t left join n on t.domain = n.domain and t.shape = n.shape left join f on t.shape = f.shape),
 c as (select host, template, sum(labelled) as l, sum(blocked) as b from t group by 1, 2),
 y as (select pa.host, shape, pa.template, (b + 2 * (sr + 2 * (nr + 2 * a) / (nm + 2)) / (sm + 2)) / (l + 2) as purity from pa join c on pa.host = c.host and pa.template = c.template)
-select page_id, j.host, path, rule, coalesce(verdict, case when purity >= {U.PURITY} then 'block' else 'allow' end) as verdict, y.template, cast(purity as double) as purity
+"""
+    if held_out:
+        return sql + f"select page_id, told, case when purity >= {U.PURITY} then 'block' else 'allow' end as verdict, y.template, cast(purity as double) as purity from j join y on j.host = y.host and j.shape = y.shape where {hidden} and told is not null"
+    return sql + f"""select page_id, j.host, path, rule, coalesce(verdict, case when purity >= {U.PURITY} then 'block' else 'allow' end) as verdict, y.template, cast(purity as double) as purity
 from j join y on j.host = y.host and j.shape = y.shape"""
 
 
@@ -125,4 +131,4 @@ select z.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(n.blank, 0
 CRC = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint)),
   lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)))"""
 
-ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "quality_ablations": ABLATIONS, "op7_url_filters": urls(), "op11_ranked_search": SEARCH, "op12_conversation_repair": repair(CRC)}
+ORACLES = {"op1_html_extraction": HTML, "op3_quality_rules": QUALITY, "quality_ablations": ABLATIONS, "op7_url_filters": urls(), "url_holdout": urls(held_out=True), "op11_ranked_search": SEARCH, "op12_conversation_repair": repair(CRC)}

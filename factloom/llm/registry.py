@@ -28,6 +28,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.query,
     "op6_bit_packing": bit_packing.query,
     "op7_url_filters": url_filters.query,
+    "url_holdout": url_filters.held_out_query,
     "op8_decontamination": decontamination.query,
     "op9_language_id": language_id.query,
     "op10_bpe_automaton": bpe.query,

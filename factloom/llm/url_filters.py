@@ -123,17 +123,36 @@ def templates(rows: DataFrame) -> DataFrame:
     return found.select("host", "shape", "template", ((F.col("b") + 2 * q) / (F.col("l") + 2)).alias("purity"))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, template, purity`` of each row of ``pages`` (page_id, url)."""
+def _shaped(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     host, path = split_url()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path")).withColumn("found", rule_of(rules))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), F.concat(F.lit("/"), F.array_join(F.transform(segments, _segment), "/")).alias("shape"))
+    return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"), F.concat(F.lit("/"), F.array_join(F.transform(segments, _segment), "/")).alias("shape"))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict, template, purity`` of each row of ``pages`` (page_id, url)."""
+    rows = _shaped(pages, rules)
     judged = rows.join(templates(rows), ["host", "shape"])
     own = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "template", "purity")
 
 
+def held_out_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """``page_id, told, verdict, template, purity`` of the pages that a rule judges and whose id leaves 2 modulo 4: their own verdict (``told``)
+    is hidden from the tree, which is learned from all other pages, and ``verdict`` is what their template alone decides."""
+    rows = _shaped(pages, rules).withColumn("told", F.col("verdict"))
+    hidden = F.coalesce(F.pmod("page_id", F.lit(4)) == 2, F.lit(False))
+    rows = rows.withColumn("verdict", F.when(~hidden, F.col("told")))
+    judged = rows.where(hidden & F.col("told").isNotNull()).join(templates(rows), ["host", "shape"])
+    return judged.select("page_id", "told", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("verdict"), "template", "purity")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(C.documents_of(spark, sf_dir, "pages"))
+
+
+def held_out_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of operator 7: how the templates judge pages whose own labels they do not see."""
+    return held_out_verdicts(C.documents_of(spark, sf_dir, "pages"))

@@ -108,3 +108,21 @@ def test_language_id_ignores_clashing_columns(spark):
         df = df.withColumn(name, F.lit(1))
     assert sorted(map(tuple, language_id.identify(df).collect()), key=str) == plain
     assert language_id.undetermined_removed(df).columns == df.columns
+
+
+def test_held_out_urls_are_judged_by_their_templates(spark):
+    from oracle import connect, rows_of, sql_rows
+
+    from factloom.llm import oracles, registry, url_filters
+
+    sf = "/root/testdata/sf0.01"
+    assert rows_of(registry.QUERIES["url_holdout"](spark, sf)) == sql_rows(connect(sf), oracles.ORACLES["url_holdout"])
+    # enough of its own kind makes the tree block what it has not seen; nothing that is allowed is blocked
+    rows = [(i, f"http://big.net/es/{i}/p.html" if i % 2 else f"http://big.net/en/{i}/p.html") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("told", F.lit(1))
+    rules = [("block", "net/es/"), ("allow", "big.net/en/")]
+    got = {r.page_id: (r.told, r.verdict) for r in url_filters.held_out_verdicts(df, rules).collect()}
+    assert got == {i: ("allow", "allow") for i in range(400) if i % 4 == 2}
+    odd = spark.createDataFrame([(i, f"http://big.net/{'es' if i % 4 > 1 else 'en'}/{i}/p.html") for i in range(400)], "page_id long, url string")
+    assert {(r.told, r.verdict) for r in url_filters.held_out_verdicts(odd, rules).collect()} == {("block", "block")}
+    assert url_filters.held_out_verdicts(odd.limit(0), rules).count() == 0
