@@ -84,9 +84,10 @@ def split_orders(spark, sf_dir):
 
 @register("not_ordered")
 def not_ordered(spark, sf_dir):
-    """Names in the lines of a document that no plain line holds (held against given pages in a test)."""
+    """Words of the lines with bars that no plain line of their document holds (held against given pages in a test)."""
     pages = _lines(spark, sf_dir)
-    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*map(F.lit, ("token", "the", "licensed", "und", "la", "eye")))).alias("name"))
+    words = F.array_distinct(F.split(F.lower("line"), "[^a-z]+"))
+    names = pages.where("contains(line, '|')").select("doc_id", F.explode(words).alias("name")).where("length(name) >= 3").distinct()
     return O.not_ordered(names, "name", pages, "doc_id", "pos", "line", spark.createDataFrame([("token",)], "name string"), 1)
 
 
