@@ -33,7 +33,8 @@ SAMPLE, HASHES, WIDEST = 1_000, 3, 20
 #: A text whose best language knows a smaller share of its n-grams has none: far below the scores of held-out documents (see the tests).
 LEAST = 0.2
 
-SLICE = 1 << 20
+#: Characters that are looked at together.
+SLICE = 1 << 18
 
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
