@@ -11,9 +11,12 @@ from factloom.operators.results import occurrences
 
 # fixed values: specimens before a test; words for sugar; letters for fasting and after a meal
 SPECIMEN, SUGAR, SUGAR_LETTERS = "s sr serum plasma", "sugar suger sugr glucose bs", "f fs fbs fbg pp pps ppbs pp2bs"
-#: Labels before a list, marks before its entries, numbers of its entries, results behind them.
+# fixed values: labels before a list, marks before its entries, numbers of its entries, results behind them
 _LABEL, _MARKS = "^\\s*(?:blood|serum|urine|adv(?:ice|ised)?|inv(?:estigations?)?|ix)\\s*[:-]\\s*", "[✓✔☑√•·●◦▪→*]"
 _NUMBERED, _RESULT = "^\\s*(?:[(\\[]\\s*[0-9]{1,2}\\s*[)\\]]|[0-9]{1,2}[.)])\\s*", "\\s*[-–:=]\\s*(?:[0-9]{3,}(?:[.][0-9]+)?|[0-9]+[.][0-9]+)\\s*$"
+# fixed values: where a list is cut into parts, a part into names, and names apart where all are known
+_PARTS, _STRONG = "\\s*[,;+]\\s*(?=[A-Za-z0-9(\\[{])|\\s+and\\s+", "\\s*[/\\\\|&]\\s*"
+_WEAK = "\\s+-\\s+|(?<=[A-Za-z0-9])-(?=[A-Za-z0-9])|[.](?=\\s*[A-Za-z0-9])"
 
 
 def _in(c: Column, words: str) -> Column:
@@ -57,7 +60,7 @@ def split_orders(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame
 
     A part that the names know as a whole is never cut (``A/G ratio``). Others are cut at slashes and bars unless a piece has a single letter
     (``R/E``), at ``-`` and ``.`` only into known names (``CK-MB`` stays), and a run of known names, with specimens before them
-    (``S LIPASE TSH``), a stuck tick (``vCRP``) or without blanks (``CBCCRP``), into these. Sugar written once for several letters is one row
+    (``S LIPASE FT4``), a stuck tick (``vTSH``) or without blanks (``TSHLFT``), into these. Sugar written once for several letters is one row
     a letter. List numbers, brackets and results are taken off.
     """
     keys = list(keys)
@@ -65,7 +68,7 @@ def split_orders(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame
     base = F.regexp_replace(F.trim(F.col(text)), f"(?i){_LABEL}", "")
     clean = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, _NUMBERED, ""), "[{}\\[\\]]", ""), _RESULT, ""), "^[ .]+|[ .]+$", "")
     whole = sugar_items(F.regexp_replace(F.regexp_replace(base, _MARKS, " "), "[/\\\\|,;+&-]", " "))
-    parts = F.transform(F.split(F.regexp_replace(base, _MARKS, ","), "\\s*[,;+]\\s*(?=[A-Za-z0-9(\\[{])|\\s+and\\s+"), clean)
+    parts = F.transform(F.split(F.regexp_replace(base, _MARKS, ","), _PARTS), clean)
     rows = df.select(*keys, F.posexplode(F.coalesce(whole, parts)).alias("_a", "_t")).where("_t != ''")
 
     def told(rows: DataFrame, c: str) -> DataFrame:
@@ -77,13 +80,13 @@ def split_orders(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame
     out = item(sugar.where("_s is not null").select(*keys, "_a", F.posexplode("_s").alias("_b", "_x")), "_x", "_a", "_b", zero, zero)
     rows = told(sugar.where("_s is null").drop("_s"), "_t")
     out = out.union(item(rows.where("_known"), "_t", "_a", zero, zero, zero))
-    bits = F.filter(F.transform(F.split("_t", "\\s*[/\\\\|&]\\s*"), lambda b: clean(b)), lambda b: b != "")
+    bits = F.filter(F.transform(F.split("_t", _STRONG), lambda b: clean(b)), lambda b: b != "")
     cut = F.forall(bits, lambda b: F.length(F.regexp_replace(b, "[^A-Za-z]", "")) >= 2)
     bits = told(rows.where("not _known").select(*keys, "_a", F.posexplode(F.when(cut, bits).otherwise(F.array("_t"))).alias("_b", "_t")), "_t")
     out = out.union(item(bits.where("_known"), "_t", "_a", "_b", zero, zero))
     # weak cuts: all pieces must be known
     rest = bits.where("not _known").select(*keys, "_a", "_b", "_t")
-    weak = F.filter(F.transform(F.split("_t", "\\s+-\\s+|(?<=[A-Za-z0-9])-(?=[A-Za-z0-9])|[.](?=\\s*[A-Za-z0-9])"), lambda b: F.trim(b)), lambda b: b != "")
+    weak = F.filter(F.transform(F.split("_t", _WEAK), lambda b: F.trim(b)), lambda b: b != "")
     at = [*keys, "_a", "_b"]
     pieces = told(rest.select(*at, F.posexplode(weak).alias("_c", "_x")), "_x")
     sure = pieces.groupBy(*at).agg(F.bool_and("_known").alias("_all"), F.count("*").alias("_n")).where("_all and _n > 1").select(*at, F.lit(True).alias("_weak"))
@@ -121,7 +124,7 @@ IMAGING = "mri xray cxr usg ultrasound ultrasonography sonography opg dexa mammo
 PHYSIO = "physio physiotherapy ust ift tens kegel exercise exercises"
 SERVICES = "clinic centre center pharmacy consultation dental laser eye ent pathology microbiology biopsy endoscopy physiotherapy doppler"
 PHONE, FORMS = "ph tel phone mob mobile fax cell", "tab tabs tablet tablets cap caps capsule capsules syp syr inj drops oint cream gel susp"
-#: Signs of a dose; two of them make a medicine order.
+# fixed values: signs of a dose; two of them make a medicine order
 DOSE_SIGNS = ["\\bx ?[0-9]+ ?(d|days?|wks?|weeks?|mos?|months?)\\b", "(^|[^0-9])[0-9] ?[-–] ?[0-9] ?[-–] ?[0-9]($|[^0-9])", "\\b(bd|b[.]d|tds|bid|od|qid|hs|sos)\\b", "[0-9] ?(mg|mcg|ml|gm|iu)\\b", "\\b(once|twice|thrice)\\b"]
 
 

@@ -7,16 +7,16 @@ from factloom.functions import orders as O
 
 NAMES = ["CBC", "KFT", "LFT", "HbA1c", "FBS", "PPBS", "TSH", "FT4", "Lipase", "CRP", "Urea", "A/G ratio", "Urine R/E", "CK-MB", "D-dimer", "Blood urea nitrogen", "OPG", "Vitamin D", "S. Lipase"]
 LISTS = {
-    "CBC/KFT/LFT": ["CBC", "KFT", "LFT"],
-    "HbA1c/FBS/PPBS/S LIPASE TSH/FT4": ["HbA1c", "FBS", "PPBS", "S LIPASE", "TSH", "FT4"],
-    "Blood: CBC, Urea, FBS": ["CBC", "Urea", "FBS"],
+    "TSH/LFT/KFT": ["TSH", "LFT", "KFT"],
+    "CRP/Urea/S LIPASE FT4/PPBS": ["CRP", "Urea", "S LIPASE", "FT4", "PPBS"],
+    "Serum: Urea, CRP, KFT": ["Urea", "CRP", "KFT"],
     "A/G ratio, Urine R/E": ["A/G ratio", "Urine R/E"],
     "new R/E and CBC": ["new R/E", "CBC"],
     "CK-MB; HbA1c-FBS": ["CK-MB", "HbA1c", "FBS"],
-    "X-ray LS spine": ["X-ray LS spine"],
-    "vCBC vCRP": ["CBC", "CRP"],
-    "CBCCRP": ["CBC", "CRP"],
-    "CBCCRPxyz": ["CBCCRPxyz"],
+    "X-ray left knee": ["X-ray left knee"],
+    "vTSH vLFT": ["TSH", "LFT"],
+    "TSHLFT": ["TSH", "LFT"],
+    "TSHLFTxyz": ["TSHLFTxyz"],
     "Blood urea nitrogen": ["Blood urea nitrogen"],
     "Blood Sugar F/PP": ["Blood sugar F", "Blood sugar PP"],
     "CBC, Sugar F PP + TSH": ["CBC", "Blood sugar F", "Blood sugar PP", "TSH"],
