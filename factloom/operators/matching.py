@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -167,10 +168,32 @@ def bind_codes(df: DataFrame, column: str, codes: DataFrame, licensed: Sequence[
     return df.join(result, column, "left").withColumn("code_status", F.coalesce("code_status", F.lit("unbound")))
 
 
+def meeting_entries(entries: Column, size: int, floor: float) -> Column:
+    """Of a document's distinct entries those that share a word shingle with another one; none where no entry shares ``floor`` of its own.
+    An entry of fewer words is one shingle."""
+
+    def one(texts: list[str]) -> list[str]:
+        words = [re.findall("[a-z0-9]+", t) for t in texts]
+        sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in words]
+        once, twice = set(), set()
+        for s in sets:
+            twice |= once & s
+            once |= s
+        shared = [len(s & twice) for s in sets] if twice else []
+        if not any(k and k >= floor * len(s) - 1e-9 for k, s in zip(shared, sets)):
+            return []
+        return [t for t, k in zip(texts, shared) if k]
+
+    return F.pandas_udf(lambda x: x.map(lambda t: one(list(t))), "array<string>")(entries)
+
+
 def covered_entries(entries: DataFrame, document: str, entry: str, size: int = 5, floor: float = 0.8) -> DataFrame:
     """(document, entry, by): entries of a document whose word shingles another of its entries holds to ``floor``: the fuller one
-    stands (ties: the smaller text). Entries of a document meet by their rarest shingles."""
-    e = entries.select(document, F.lower(F.trim(entry)).alias("entry")).where("entry != ''").distinct()
+    stands (ties: the smaller text). Entries of a document meet by their rarest shingles.
+
+    The entries of one document are brought together once; shingles are spread only for those that share one."""
+    e = entries.select(document, F.lower(F.trim(entry)).alias("entry")).where(F.col(document).isNotNull() & (F.col("entry") != ""))
+    e = e.groupBy(document).agg(F.collect_set("entry").alias("_l")).select(document, F.explode(meeting_entries(F.col("_l"), size, floor)).alias("entry"))
     words = F.filter(F.split("entry", "[^a-z0-9]+"), lambda w: w != "")
     shingles = F.when(F.size("_w") < size, F.array(F.array_join("_w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.size("_w") - size), lambda i: F.array_join(F.slice("_w", i + 1, size), " ")))
     # entries go by a hash while their shingles are spread, so that long entries are not repeated with each; shingles are made once, not
