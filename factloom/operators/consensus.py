@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import deletions, ratcliff
+from factloom.functions.similarity import edit_keys, ratcliff
 
 
 def led(rows: DataFrame, key: str, order: list, floor: float) -> DataFrame:
@@ -68,15 +68,21 @@ def left_out_words(df: DataFrame, group: str, row: str, text: str, pattern: str
     """(group, row, word, snapped): words of a row that none of its group's other rows has, and that are near exactly one word of these rows
     (one edit, two from six letters on).
 
-    A row's vocabulary is its group's without what only the row itself says: counts of rows for each word of the group, less the row's own. Words
-    meet by their deletions.
+    A row's vocabulary is its group's without what only the row itself says: a word is of one row or of several. Words meet by segments
+    that they share unchanged, at most three keys a known word; keys are hashes, the edits decide.
     """
     words = df.select(group, row, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1)))).alias("word")).where(F.length("word") >= least)
-    counted = words.groupBy(group, "word").agg(F.countDistinct(row).alias("_n"), F.min(row).alias(row))
+    counted = words.groupBy(group, "word").agg(F.min(row).alias(row), F.max(row).alias("_to")).where(F.col(row).isNotNull())
     # a word of one row only is unknown to that row, and known to all others
-    lone = counted.where("_n = 1").withColumn("_k", F.when(F.length("word") < 6, 1).otherwise(2))
-    probes = lone.select(group, row, "word", "_k", F.explode(deletions(F.col("word"), F.col("_k"))).alias("_d"))
-    known = counted.select(group, F.col("word").alias("_w"), F.when(F.col("_n") == 1, F.col(row)).alias("_own"), F.explode(deletions(F.col("word"), F.lit(2))).alias("_d"))
-    near = probes.join(known, [group, "_d"]).where((F.col("word") != F.col("_w")) & ~F.col("_own").eqNullSafe(F.col(row)))
-    near = near.select(group, row, "word", "_k", "_w").distinct().where(F.levenshtein("word", "_w") <= F.col("_k"))
-    return near.groupBy(group, row, "word").agg(F.min("_w").alias("snapped"), F.count("*").alias("_c")).where("_c = 1").select(group, row, "word", "snapped")
+    one = F.col(row) == F.col("_to")
+    short, long = (edit_keys(k, F.col("a"), F.col("b"), least) for k in (1, 2))
+    asked = counted.where(one).select(group, row, F.col("word").alias("a"), F.when(F.length("word") < 6, 1).otherwise(2).alias("_k"))
+    asked = asked.select(group, row, "a", "_k", F.explode_outer(F.when(F.col("_k") == 1, short[0]).otherwise(long[0])).alias("_g")).where("_g is not null")
+    known = counted.select(group, F.col("word").alias("b"), F.when(one, F.col(row)).alias("_own"))
+    # partners of words under six letters have six at most, partners of longer ones four at least
+    n, none = F.length("b"), F.array().cast("array<bigint>")
+    known = known.select(group, "b", "_own", F.explode_outer(F.concat(F.when(n <= 6, short[1]).otherwise(none), F.when(n >= 4, long[1]).otherwise(none))).alias("_g"))
+    # keys are made once (a plain explode looks at its array beforehand); each word is many rows here, which Spark's estimate does not see: neither side may be sent to all tasks
+    near = asked.join(known.hint("merge"), [group, "_g"]).where((F.col("a") != F.col("b")) & ~F.col("_own").eqNullSafe(F.col(row)))
+    near = near.where(F.levenshtein("a", "b", 2).between(0, F.col("_k"))).select(group, row, "a", "b").distinct()
+    return near.groupBy(group, row, F.col("a").alias("word")).agg(F.min("b").alias("snapped"), F.count("*").alias("_c")).where("_c = 1").select(group, row, "word", "snapped")

@@ -24,3 +24,40 @@ def test_covered_entries_spread_only_entries_that_meet(spark, monkeypatch):
     got = M.covered_entries(spark.createDataFrame(rows, "d int, e string"), "d", "e").collect()
     assert sorted((r.d, r.entry, r.by) for r in got) == [(1, "red green blue black white grey", "a red green blue black white grey"), (2, "...", "--"), (3, "b, c", "b c")]
     assert kept[0].count() == 6
+
+
+def test_left_out_words_send_no_exploded_side_to_all_tasks(spark, sf):
+    from factloom.operators.consensus import left_out_words
+
+    df = spark.read.parquet(f"{sf}/conversations.parquet")
+    assert "Broadcast" not in plan_of(left_out_words(df, "conv_id", "turn", "text"))
+
+
+def test_left_out_words_against_all_pairs(spark):
+    from random import Random
+
+    from factloom.operators.consensus import left_out_words
+
+    random, rows = Random(5), []
+    for g in range(6):
+        rows += [(g, t, " ".join("".join(random.choice("ab") for _ in range(random.randint(3, 9))) for _ in range(4))) for t in range(4)]
+    rows.append((1, None, "aaa bbb aab"))  # a row without a number says nothing
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = [prev := i] + [prev := min(row[j] + (c != d), row[j + 1] + 1, prev + 1) for j, d in enumerate(b)]
+        return row[-1]
+
+    said = {}
+    for g, t, text in rows:
+        for w in text.split() if t is not None else ():
+            said.setdefault((g, w), set()).add(t)
+    want = {}
+    for (g, w), turns in said.items():
+        if len(turns) == 1:
+            near = [v for (h, v), others in said.items() if h == g and v != w and others - turns and edits(w, v) <= (1 if len(w) < 6 else 2)]
+            if len(near) == 1:
+                want[g, min(turns), w] = near[0]
+    got = left_out_words(spark.createDataFrame(rows, "g int, t int, x string"), "g", "t", "x").collect()
+    assert want and {(r.g, r.t, r.word): r.snapped for r in got} == want
