@@ -61,3 +61,9 @@ def test_left_out_words_against_all_pairs(spark):
                 want[g, min(turns), w] = near[0]
     got = left_out_words(spark.createDataFrame(rows, "g int, t int, x string"), "g", "t", "x").collect()
     assert want and {(r.g, r.t, r.word): r.snapped for r in got} == want
+
+
+def test_similarity_joins_send_no_exploded_side_to_all_tasks(spark, sf):
+    from factloom.plans.matching import resolve_names
+
+    assert "Broadcast" not in plan_of(resolve_names(spark, sf))
