@@ -122,11 +122,13 @@ def resolve_entities(candidates: DataFrame, known: DataFrame, floor: float = 0.9
     named = candidates.join(person, "id", "left")
     rest = named.where("_by_id is null and name is not null")
     alike = whole_join(rest, known, "name", "name", floor)
-    k = known.select(F.col("name").alias("b"), "person", F.col("year").alias("_year"))
+    # people of one name and year are as alike to anyone, so each name and year meets once, with its smallest person
+    k = known.groupBy(F.col("name").alias("b"), F.col("year").alias("_year")).agg(F.min("person").alias("person"))
     far = F.coalesce(F.abs(F.col("year") - F.col("_year")) > 1, F.lit(False))
-    scored = rest.select("key", "year", F.col("name").alias("a")).join(alike, "a").join(k, "b").withColumn("s", F.col("score") - F.when(far, penalty).otherwise(0.0)).where(F.col("s") >= floor)
-    best = scored.groupBy("key").agg(F.max(F.struct("s", (-F.col("person")).alias("p"))).alias("_b"))
-    out = named.join(best, "key", "left")
+    asked = rest.select(F.col("name").alias("a"), "year").distinct()
+    scored = asked.join(alike.hint("merge"), "a").join(k.hint("merge"), "b").withColumn("s", F.col("score") - F.when(far, penalty).otherwise(0.0)).where(F.col("s") >= floor)
+    best = scored.groupBy(F.col("a").alias("_a"), F.col("year").alias("_y")).agg(F.max(F.struct("s", (-F.col("person")).alias("p"))).alias("_b"))
+    out = named.join(best.hint("merge"), (F.col("name") == F.col("_a")) & F.col("year").eqNullSafe(F.col("_y")), "left")
     matched = F.coalesce("_by_id", -F.col("_b.p"))
     fresh = F.concat(F.lit("N"), F.substring(F.sha2(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("-"))), 256), 1, 12))
     return out.select("key", matched.alias("matched"), F.when(F.col("_by_id").isNotNull(), "id").when(F.col("_b").isNotNull(), "name").otherwise("new").alias("method"),

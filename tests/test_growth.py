@@ -67,3 +67,12 @@ def test_similarity_joins_send_no_exploded_side_to_all_tasks(spark, sf):
     from factloom.plans.matching import resolve_names
 
     assert "Broadcast" not in plan_of(resolve_names(spark, sf))
+
+
+def test_resolve_entities_meet_once_a_name_and_year(spark):
+    known = spark.createDataFrame([(i, i, "ann miller", 1950) for i in range(1, 301)] + [(900, None, "bob miller", None)], "person int, id int, name string, year int")
+    asked = spark.createDataFrame([(i, None, "ann miler", 1951) for i in range(300)] + [(500, None, "ann miller", 1990), (501, 7, "x", None), (502, None, None, 1950), (503, None, "bob miller", None)], "key int, id int, name string, year int")
+    out = M.resolve_entities(asked, known, floor=0.65)
+    got = {r.key: (r.matched, r.method, r.score) for r in out.collect()}
+    assert {got[i] for i in range(300)} == {(1, "name", 0.9)}
+    assert got[500] == (1, "name", 0.7) and got[501] == (7, "id", 1.0) and got[502][:2] == (None, "new") and got[503] == (900, "name", 1.0)
