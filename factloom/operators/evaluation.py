@@ -86,31 +86,26 @@ def paired_edits(df: DataFrame, expected: str, got: str) -> DataFrame:
     """``edits``, ``length``, ``missed`` and ``extra`` of two lists of names: the most alike names are paired first (ties: in order of
     the lists), unpaired expected names count as deletions, unpaired given ones as insertions. Lists are those of one document."""
 
-    def distance(a: str, b: str) -> int:
-        row = np.arange(len(b) + 1)
-        for i, c in enumerate(a, 1):
-            step = np.minimum(row[:-1] + np.fromiter((c != d for d in b), dtype=np.int64, count=len(b)), row[1:] + 1)
-            row = np.concatenate([[i], step])
-            row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))  # insertions run on from the left
-        return int(row[-1])
-
-    def one(want, have) -> tuple[int, int, int, int]:
-        want, have = list(want if want is not None else []), list(have if have is not None else [])
-        cost = {(i, j): distance(a, b) for i, a in enumerate(want) for j, b in enumerate(have)}
-        order = sorted(cost, key=lambda p: (cost[p] / max(1, len(want[p[0]]), len(have[p[1]])), p))
+    def one(want, have, cost) -> tuple[int, int, int, int]:
+        want, have = [] if want is None else want.tolist(), [] if have is None else have.tolist()
+        near = sorted((c / max(1, n, m), i, j, c) for i, n in enumerate(want) for j, m in enumerate(have) if (c := int(cost[i * len(have) + j])) < max(n, m))
         left, right, edits = set(range(len(want))), set(range(len(have))), 0
-        for i, j in order:
-            if i in left and j in right and cost[i, j] < max(len(want[i]), len(have[j])):
+        for _, i, j, c in near:
+            if i in left and j in right:
                 left.remove(i)
                 right.remove(j)
-                edits += cost[i, j]
-        edits += sum(len(want[i]) for i in left) + sum(len(have[j]) for j in right)
-        return edits, sum(map(len, want)), len(left), len(right)
-
-    def batch(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(a, b) for a, b in zip(x, y)], columns=["edits", "length", "missed", "extra"], dtype="int64")
-
-    return df.withColumn("_p", F.pandas_udf(batch, "edits long, length long, missed long, extra long")(expected, got)).select(*[c for c in df.columns if c not in (expected, got)], "_p.*")
+                edits += c
+        edits += sum(want[i] for i in left) + sum(have[j] for j in right)
+        return edits, sum(want), len(left), len(right)
+
+    def batch(x: pd.Series, y: pd.Series, cost: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*row) for row in zip(x, y, cost)], columns=["edits", "length", "missed", "extra"], dtype="int64")
+
+    # Spark counts the edits; only lengths and edits go to Python
+    size = lambda c: F.transform(c, lambda v: F.length(v))
+    cost = F.flatten(F.transform(expected, lambda v: F.transform(got, lambda w: F.levenshtein(v, w))))
+    paired = F.pandas_udf(batch, "edits long, length long, missed long, extra long")(size(expected), size(got), cost)
+    return df.withColumn("_p", paired).select(*[c for c in df.columns if c not in (expected, got)], "_p.*")
 
 
 def disagreement_rates(runs: DataFrame, run: str, states: str, bad: str, counted: Sequence[str]) -> DataFrame:
