@@ -79,7 +79,8 @@ def name_join(left: DataFrame, right: DataFrame, a: str, b: str, floor: float) -
     x, y = last(left, a), last(right, b)
     alike = similarity_join(x, y, "last", "last", SURNAME, "jaro_winkler")
     met = x.select(F.col("name").alias("x"), F.col("last").alias("a")).join(alike.select("a", "b"), "a").join(y.select(F.col("name").alias("y"), F.col("last").alias("b")), "b")
-    # cheap bound before the score: an initial or a missing given name is worth less, so is another first letter
+    # names of common surnames are many small rows and much work: their score is spread over all tasks
+    met = met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4)
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"), name_score("x", "y").alias("score")).where(F.col("score") >= floor)
 
 

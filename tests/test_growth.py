@@ -83,3 +83,18 @@ def test_paired_lists_count_edits_in_spark(spark):
 
     df = spark.createDataFrame([(1, ["aa", "b"], ["ab"])], "k int, w array<string>, h array<string>")
     assert "levenshtein" in plan_of(paired_edits(df, "w", "h"))
+
+
+def test_jaro_winkler_joins_look_at_blocks(spark, sf):
+    from factloom.functions.similarity import jaro_winkler_block, jaro_winkler_ratios, similarity_join
+
+    texts = ["", "a", "ab", "ba", "martha", "marhta", "dixon", "dicksonx", "ñez", "ñze", "\U0001f600a", "z" * 300, "z" * 299 + "y", "the", "teh"]
+    for floor in (0.65, 0.85, 0.95):
+        ratios = {(a, b): jaro_winkler_ratios([a], [b])[0] for a in texts for b in texts}
+        i, j = jaro_winkler_block(texts, texts, floor)
+        assert {p for p, r in ratios.items() if r >= floor} <= {(texts[u], texts[v]) for u, v in zip(i, j)}
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {(r.a, r.b) for r in similarity_join(x, x, "t", "t", 0.85, "jaro_winkler").collect()}
+    assert found == {p for p, r in ratios.items() if r >= 0.85}
+    plan = plan_of(similarity_join(x, x, "t", "t", 0.85, "jaro_winkler"))
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
