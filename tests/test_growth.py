@@ -98,3 +98,13 @@ def test_jaro_winkler_joins_look_at_blocks(spark, sf):
     assert found == {p for p, r in ratios.items() if r >= 0.85}
     plan = plan_of(similarity_join(x, x, "t", "t", 0.85, "jaro_winkler"))
     assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_dictionary_scan_moves_no_word_of_the_text(spark):
+    from factloom.functions.reading import dictionary_scan
+
+    lines = spark.createDataFrame([(1, "the token of the day")], "k int, t string")
+    names = spark.createDataFrame([("the token",), ("day",)], "n string")
+    out = dictionary_scan(lines, ["k"], "t", names, "n")
+    assert "SortMergeJoin" not in plan_of(out)
+    assert sorted(r.name for r in out.collect()) == ["day", "the token"]
