@@ -103,3 +103,14 @@ def test_dictionary_scan_moves_no_word_of_the_text(spark):
     out = dictionary_scan(lines, ["k"], "t", names, "n")
     assert "SortMergeJoin" not in plan_of(out)
     assert sorted(r.name for r in out.collect()) == ["day", "the token"]
+
+
+def test_findings_of_repeated_references_and_ids(spark):
+    from factloom.operators import resources as S
+
+    refs = '"r":[{"reference":"P/1"},{"reference":"P/1"},{"reference":"P/2"},{"reference":"Q/9"},{"reference":"A/1"}]'
+    entries = ['{"resourceType":"A","id":"1",%s}' % refs, '{"resourceType":"A","id":"1","v":3}', '{"resourceType":"A","id":"1","v":4}', '{"resourceType":"B","v":null}', '{"id":"2"}', '{"resourceType":"P","id":"2"}']
+    rows = [(1, '{"entry":[%s]}' % ",".join(entries)), (2, '{"entry":[]}'), (3, None), (4, '{"entry":["text",{"resourceType":"A","id":"1","v":1}]}')]
+    out = S.conformance(spark.createDataFrame(rows, "d int, bundle string"), "d", ["A", "C"], {"A": ["v"], "B": ["v", "w.x"]})
+    want = {(1, "missing type", "C", 1), (1, "no id", "B", 1), (1, "same id", "A", 1), (1, "dangling reference", "P", 2), (1, "dangling reference", "Q", 1), (1, "no value", "A.v", 1), (1, "no value", "B.v", 1), (1, "no value", "B.w.x", 1)}
+    assert {tuple(r) for r in out.collect()} == want | {(4, "missing type", "C", 1), (4, "no id", None, 1)}
