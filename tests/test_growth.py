@@ -105,6 +105,13 @@ def test_dictionary_scan_moves_no_word_of_the_text(spark):
     assert sorted(r.name for r in out.collect()) == ["day", "the token"]
 
 
+def test_bundles_are_read_once(spark, sf):
+    from factloom.plans.pages import bundle_findings
+
+    plan = plan_of(bundle_findings(spark, sf))
+    assert plan.count("collect_list") == 2 and "Union" not in plan  # one aggregate in two steps
+
+
 def test_findings_of_repeated_references_and_ids(spark):
     from factloom.operators import resources as S
 
@@ -114,3 +121,9 @@ def test_findings_of_repeated_references_and_ids(spark):
     out = S.conformance(spark.createDataFrame(rows, "d int, bundle string"), "d", ["A", "C"], {"A": ["v"], "B": ["v", "w.x"]})
     want = {(1, "missing type", "C", 1), (1, "no id", "B", 1), (1, "same id", "A", 1), (1, "dangling reference", "P", 2), (1, "dangling reference", "Q", 1), (1, "no value", "A.v", 1), (1, "no value", "B.v", 1), (1, "no value", "B.w.x", 1)}
     assert {tuple(r) for r in out.collect()} == want | {(4, "missing type", "C", 1), (4, "no id", None, 1)}
+
+
+def test_bundles_move_no_resource(spark, sf):
+    from factloom.plans.pages import document_bundles
+
+    assert plan_of(document_bundles(spark, sf)).count("Exchange hashpartitioning") == 1
