@@ -15,6 +15,8 @@ _NUMBER = "[<>]?[0-9]+(?:[.][0-9]+)?%?"
 _NAMES, _SIGNS = "(?:[/,&+] [a-z][a-z0-9.]* )*", "(?:[:=(.-] )*"
 _OTHER = f"^{_NAMES}{_SIGNS}{_NUMBER} (?:(?:{'|'.join(NO_RESULT_UNITS.split())})(?: |$)|mg(?: [^/]|$))"
 _VALUE = f"^{_NAMES}{_SIGNS}(?:{_NUMBER}|(?:non |not )?(?:{'|'.join(RESULT_WORDS.split())}))(?: |$)"
+#: How a value, or what may stand before it, begins.
+_FIRST = f"^(?:[/,&+:=(.<>0-9-]|non|not|{'|'.join(RESULT_WORDS.split())})"
 
 
 def tokens(c: Column) -> Column:
@@ -28,30 +30,48 @@ def valued(behind: Column) -> Column:
     return behind.rlike(_VALUE) & ~behind.rlike(_OTHER)
 
 
+def _places(rows: DataFrame, within: str, line: str, names: DataFrame, name: str, longest: int) -> DataFrame:
+    """(within, line, place, n_words, name) of lines as tokens ``_t``: every place of a name; of overlapping ones the longest stands."""
+    word = lambda n, i: F.get("_t", i) if n == 1 else F.array_join(F.slice("_t", i + 1, n), " ")
+    spans = [F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_words"), word(n, i).alias("name")))) for n in range(1, longest + 1)]
+    none = F.array().cast("array<struct<place:int,n_words:int,name:string>>")
+    known = names.select(F.array_join(tokens(F.col(name)), " ").alias("name")).where("name != ''").distinct()
+    # lines without tokens meet no name: an outer list, as Spark would make each list twice to leave out empty ones
+    found = rows.select(within, line, F.inline_outer(F.concat(*[F.coalesce(x, none) for x in spans]))).join(known, "name").select(within, line, "place", "n_words", "name")
+    if longest == 1:
+        return found
+    # a longer name covers those inside it: the furthest end of the longer ones that begin no later
+    own = Window.partitionBy(within, line).orderBy("place", F.desc("n_words"))
+    reach = F.max(F.col("place") + F.col("n_words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("_e", reach).where(F.col("_e").isNull() | (F.col("place") + F.col("n_words") > F.col("_e"))).drop("_e")
+
+
+def names_on_lines(lines: DataFrame, within: str, line: str, text: str, names: DataFrame, name: str, longest: int = 3) -> DataFrame:
+    """(within, line, name): the names that stand in a line, as ``occurrences`` finds them, whatever their values."""
+    return _places(lines.select(within, line, tokens(F.col(text)).alias("_t")), within, line, names, name, longest).select(within, line, "name").distinct()
+
+
 def occurrences(lines: DataFrame, within: str, line: str, text: str, names: DataFrame, name: str, longest: int = 3) -> DataFrame:
     """(within, line, place, n_words, name, valued): every place of a name of one to ``longest`` words; of overlapping ones the longest stands.
 
     A value may be written once for joined names (``a / b / c : negative``) and at the start of the next line.
     """
     rows = lines.select(within, line, tokens(F.col(text)).alias("_t"))
+    found = _places(rows, within, line, names, name, longest)
     rows = rows.withColumn("_n", F.lead("_t").over(Window.partitionBy(within).orderBy(line)))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(i.alias("place"), n.alias("n_words"), F.array_join(F.slice("_t", i + 1, n), " ").alias("name")))).otherwise(F.array().cast("array<struct<place:int,n_words:int,name:string>>"))))
-    known = names.select(F.array_join(tokens(F.col(name)), " ").alias("name")).where("name != ''").distinct()
-    found = rows.select(within, line, F.inline(spans)).join(known, "name")
-    # a longer name covers those inside it: the furthest end of the longer ones that begin no later
-    own = Window.partitionBy(within, line).orderBy("place", F.desc("n_words"))
-    reach = F.max(F.col("place") + F.col("n_words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("_e", reach).where(F.col("_e").isNull() | (F.col("place") + F.col("n_words") > F.col("_e")))
     # the places of a line meet its tokens once
     placed = found.groupBy(within, line).agg(F.collect_list(F.struct("place", "n_words", "name")).alias("_l")).join(rows, [within, line])
 
-    def behind(p: Column) -> Column:
+    def beside(p: Column) -> Column:
         end = p["place"] + p["n_words"]
         more = F.when(end + REACH > F.size("_t"), F.coalesce(F.slice("_n", 1, REACH), F.array())).otherwise(F.array().cast("array<string>"))
-        return F.array_join(F.concat(F.slice("_t", end + 1, REACH), more), " ")
+        behind = F.array_join(F.concat(F.slice("_t", end + 1, REACH), more), " ")
+        # most names are followed by a word that begins no value: what is behind them is not joined
+        first = F.coalesce(F.get("_t", end), F.get("_n", F.lit(0)), F.lit(""))
+        return F.when(first.rlike(_FIRST), valued(behind)).otherwise(False)
 
-    out = F.transform("_l", lambda p: F.struct(p["place"].alias("place"), p["n_words"].alias("n_words"), p["name"].alias("name"), valued(behind(p)).alias("valued")))
-    return placed.select(within, line, F.inline(out))
+    out = F.transform("_l", lambda p: F.struct(p["place"].alias("place"), p["n_words"].alias("n_words"), p["name"].alias("name"), beside(p).alias("valued")))
+    return placed.select(within, line, F.inline_outer(out))
 
 
 def results_on_page(places: DataFrame, within: str) -> DataFrame:

@@ -127,3 +127,16 @@ def test_bundles_move_no_resource(spark, sf):
     from factloom.plans.pages import document_bundles
 
     assert plan_of(document_bundles(spark, sf)).count("Exchange hashpartitioning") == 1
+
+
+def test_results_on_page_put_places_in_no_order(spark, sf):
+    from factloom.operators import results as W
+    from factloom.plans.grounding import results_on_page
+
+    assert plan_of(results_on_page(spark, sf)).count("Window [") == 1  # the next line
+    lines = spark.createDataFrame([(1, 0, "a b (c"), (1, 1, "12 a / b : positive a positively"), (1, 2, ""), (1, 3, None), (2, 5, "a = - 3.5 % b c")], "d int, l int, t string")
+    names = spark.createDataFrame([("a",), ("b",), ("c",), ("b c",)], "n string")
+    for longest, places in ((1, 9), (2, 8)):
+        got = sorted(tuple(r) for r in W.occurrences(lines, "d", "l", "t", names, "n", longest).collect())
+        assert len(got) == places
+        assert [(r[1], r[4]) for r in got if r[5]] == [(0, "c"), (1, "a"), (1, "b"), (5, "a")]
