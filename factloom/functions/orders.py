@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.results import occurrences
+from factloom.operators.results import names_on_lines
 
 # fixed values: specimens before a test; words for sugar; letters for fasting and after a meal
 SPECIMEN, SUGAR, SUGAR_LETTERS = "s sr serum plasma", "sugar suger sugr glucose bs", "f fs fbs fbg pp pps ppbs pp2bs"
@@ -138,20 +138,21 @@ def _some(words: Column, group: str) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, group.split())))
 
 
-def entry_reason(c: Column, placed: Column) -> Column:
-    """Why a written entry is no laboratory test, by its own words; null if it may be one. Imaging that the lists place is none of these."""
-    words = _words(c)
+def entry_reason(c: Column, placed: Column, words: Column | None = None) -> Column:
+    """Why a written entry is no laboratory test, by its own words; null if it may be one. Imaging that the lists place is none of these.
+    ``words`` is the column of its words, if there is one already."""
+    words = _words(c) if words is None else words
     doses = sum((F.lower(c).rlike(p).cast("int") for p in DOSE_SIGNS), F.lit(0))
     label = F.forall(words, lambda w: w.isin(PHONE.split()) | w.rlike("^[0-9]+$")) & _some(words, PHONE)
     return F.when(label, "phone label").when(_some(words, PHYSIO), "physiotherapy").when(_some(words, f"{IMAGING} ctscan") & ~placed, "imaging").when(doses >= 2, "medicine order")
 
 
-def line_reason(c: Column) -> Column:
+def line_reason(c: Column, words: Column | None = None) -> Column:
     """Why a printed line orders no test: a list of services (two marks or three such words), a medicine line, or its own words."""
-    words = _words(c)
+    words = _words(c) if words is None else words
     services = F.size(F.array_intersect(words, F.array(*map(F.lit, SERVICES.split()))))
     marks = F.length(c) - F.length(F.regexp_replace(c, "[●•·▪■|]", ""))
-    return F.when((marks >= 2) | (services >= 3), "list of services").when(_some(words, FORMS), "medicine line").otherwise(entry_reason(c, F.lit(False)))
+    return F.when((marks >= 2) | (services >= 3), "list of services").when(_some(words, FORMS), "medicine line").otherwise(entry_reason(c, F.lit(False), words))
 
 
 def not_ordered(names: DataFrame, name: str, lines: DataFrame, within: str, line: str, text: str, placed: DataFrame, longest: int = 3) -> DataFrame:
@@ -160,8 +161,11 @@ def not_ordered(names: DataFrame, name: str, lines: DataFrame, within: str, line
     own = names.select(within, F.lower(F.trim(name)).alias("name")).distinct()
     there = placed.select(F.lower(F.trim(placed.columns[0])).alias("name")).distinct().withColumn("_p", F.lit(True))
     own = own.join(there, "name", "left").withColumn("_own", entry_reason(F.col("name"), F.coalesce("_p", F.lit(False))))
-    held = occurrences(lines, within, line, text, own.select("name").distinct(), "name", longest).select(within, line, "name").distinct()
-    reasons = held.join(lines.select(within, line, line_reason(F.col(text)).alias("_r")), [within, line])
+    # documents without a name have nothing to be looked at
+    lines = lines.join(own.select(within).distinct(), within, "left_semi")
+    held = names_on_lines(lines, within, line, text, own.select("name").distinct(), "name", longest)
+    told = lines.withColumn("_w", _words(F.col(text))).select(within, line, line_reason(F.col(text), F.col("_w")).alias("_r"))
+    reasons = held.join(told, [within, line])
     every = reasons.groupBy(within, "name").agg(F.bool_and(F.col("_r").isNotNull()).alias("_all"), F.min(F.struct(line, "_r"))["_r"].alias("_r")).where("_all")
     out = own.join(every, [within, "name"], "left")
     return out.select(within, "name", F.coalesce("_own", F.concat(F.lit("in a line: "), "_r")).alias("reason")).where("reason is not null")

@@ -129,6 +129,13 @@ def test_bundles_move_no_resource(spark, sf):
     assert plan_of(document_bundles(spark, sf)).count("Exchange hashpartitioning") == 1
 
 
+def test_not_ordered_looks_for_no_values(spark, sf):
+    from factloom.plans.people import not_ordered
+
+    plan = plan_of(not_ordered(spark, sf))
+    assert "Window" not in plan and "valued" not in plan
+
+
 def test_results_on_page_put_places_in_no_order(spark, sf):
     from factloom.operators import results as W
     from factloom.plans.grounding import results_on_page
