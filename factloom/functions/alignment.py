@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import stored
+
 #: Letters of a value that one machine word holds; pairs of value and line that are aligned side by side.
 WORD, SIDE_BY_SIDE = 64, 2048
+#: Starts of segments that are looked for in a line one by one.
+FEW = 100
 
 
 def _ends(values: list[str], lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +119,8 @@ def near_lines(values: DataFrame, lines: DataFrame, within: str, key: str, value
     """(within, key, value, line, text, edits, begin, end) of the values and the lines of their document that hold a stretch at least ``floor`` alike.
 
     A value of ``m`` letters may have ``k = (1 - floor) * m`` edits, so one of ``k + 1`` segments of it stands in the line unchanged (pigeonhole).
-    The first letters of a document's segments travel with its lines; those that a line holds find their values again.
+    The first letters of a document's segments travel with its lines; those that a line holds find their values again, and a line that
+    holds a whole segment is aligned.
     """
     edits = f"cast(floor({1 - floor} * length(value) + 1e-9) as int)"
     begin, end = f"cast(floor(i * length(value) / ({edits} + 1)) as int)", f"cast(floor((i + 1) * length(value) / ({edits} + 1)) as int)"
@@ -123,10 +128,13 @@ def near_lines(values: DataFrame, lines: DataFrame, within: str, key: str, value
     v = values.select(within, key, F.col(value).alias("value")).where("length(value) > 0").distinct()
     probes = v.select("*", F.explode(F.array_distinct(F.expr(f"transform(sequence(0, {edits}), i -> substring(value, {begin} + 1, least({size}, {end} - {begin})))"))).alias("_g"))
     of_page = probes.groupBy(within).agg(F.collect_set("_g").alias("_p"))
+    whole = F.expr(f"exists(sequence(0, {edits}), i -> contains(text, substring(value, {begin} + 1, {end} - {begin})))")
     own = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substring("text", i, n))))
-    page = lines.select(within, line, F.col(text).alias("text")).where("length(text) > 0").join(of_page, within)
-    held = page.select(within, line, "text", F.explode(F.array_intersect("_p", own)).alias("_g"))
-    pairs = held.join(probes, [within, "_g"]).select(within, key, "value", line, "text").distinct()
+    page = lines.select(within, line, F.col(text).alias("text")).join(of_page, within)
+    # a few letters are looked for one by one, many among all that a line holds; an outer list, as Spark would make it twice to leave out empty ones
+    there = F.when(F.size("_p") <= FEW, F.filter("_p", lambda p: F.contains("text", p))).otherwise(F.array_intersect("_p", own))
+    held = page.select(within, line, "text", F.explode_outer(there).alias("_g"))
+    pairs = held.join(probes, [within, "_g"]).where(whole).select(within, key, "value", line, "text").distinct()
     found = pairs.withColumn("_a", aligned(F.col("value"), F.col("text")))
     return found.where(F.col("_a.edits") <= F.expr(edits)).select(within, key, "value", line, "text", "_a.edits", "_a.begin", "_a.end")
 
@@ -144,7 +152,9 @@ def grounded_notes(values: DataFrame, lines: DataFrame, within: str, key: str, v
     Of several lines that hold it, one with its numbers comes first, then the fewest edits, then the first line. A stretch reaches to the
     ends of its words. Values without a letter or digit are left out.
     """
-    v = values.select(within, key, folded(F.col(value)).alias("value")).where("value != ''").distinct()
+    v = stored(values.select(within, key, folded(F.col(value)).alias("value")).where("value != ''").distinct())
+    # only lines of documents with a value are folded
+    lines = lines.join(v.select(within).distinct(), within, "left_semi")
     found = near_lines(v, lines.select(within, line, folded(F.col(text)).alias("text")), within, key, "value", line, "text", floor)
     before, after = F.expr("substring(text, 1, begin)"), F.expr("substring(text, `end` + 1)")
     stretch = F.concat(F.regexp_extract(before, "([^ ]*)$", 1), F.expr("substring(text, begin + 1, `end` - begin)"), F.regexp_extract(after, "^([^ ]*)", 1))

@@ -41,7 +41,8 @@ def grounded_notes(spark, sf_dir):
     """Notes with a number, as a reader gave them (a letter lost, a number changed, some from another document), held against
     the whole page: place, likeness and literal numbers; made-up ones are retracted."""
     pages = _lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
-    written = pages.select("doc_id", "pos", F.posexplode(F.regexp_extract_all(A.folded(F.col("line")), F.lit(f"({_NOTE})"), F.lit(1))).alias("i", "note"))
+    # a note has a number: no other line is folded
+    written = pages.where(F.col("line").rlike("[0-9]")).select("doc_id", "pos", F.posexplode(F.regexp_extract_all(A.folded(F.col("line")), F.lit(f"({_NOTE})"), F.lit(1))).alias("i", "note"))
     at = (F.col("pos") % F.length("note")).cast("int")
     lost = F.concat(F.substring(F.col("note"), F.lit(1), at), F.substring(F.col("note"), at + 2, F.length("note")))
     changed = F.regexp_replace("note", F.lit("^([^0-9]*)[0-9]"), F.concat(F.lit("$1"), ((F.col("doc_id") + F.col("pos")) % 10).cast("string")))

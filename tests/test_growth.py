@@ -147,3 +147,22 @@ def test_results_on_page_put_places_in_no_order(spark, sf):
         got = sorted(tuple(r) for r in W.occurrences(lines, "d", "l", "t", names, "n", longest).collect())
         assert len(got) == places
         assert [(r[1], r[4]) for r in got if r[5]] == [(0, "c"), (1, "a"), (1, "b"), (5, "a")]
+
+
+def test_notes_are_made_once_and_only_their_pages_are_read_for_them(spark, sf):
+    from factloom.plans.grounding import grounded_notes
+
+    plan = plan_of(grounded_notes(spark, sf))
+    assert plan.count("documents.parquet") == 1 and "LeftSemi" in plan
+
+
+def test_few_and_many_starts_of_segments_find_the_same_lines(spark, monkeypatch):
+    from factloom.functions import alignment as A
+
+    values = spark.createDataFrame([(1, i, f"word {i} and {i * 7}") for i in range(60)] + [(2, 0, "fasting 12 hrs")], "d int, k int, v string")
+    lines = spark.createDataFrame([(1, i, f"a word {i} an {i * 7} b") for i in range(0, 60, 3)] + [(2, 0, "fastng 12 hrs"), (2, 1, ""), (2, 2, None), (3, 0, "fasting 12 hrs")], "d int, at int, t string")
+    found = []
+    for few in (0, 1000):
+        monkeypatch.setattr(A, "FEW", few)
+        found.append(sorted(tuple(r) for r in A.near_lines(values, lines, "d", "k", "v", "at", "t", 0.8).collect()))
+    assert found[0] == found[1] and len({r[1] for r in found[0] if r[0] == 1}) >= 20 and [r[:2] for r in found[0] if r[0] == 2] == [(2, 0)]
