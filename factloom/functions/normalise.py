@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import deletions
+from factloom.functions.similarity import deletion_keys, edit_keys
+from factloom.sources.scratch import stored
+
+#: Letters of a word up to which it meets others by its deletions.
+LONG = 32
 
 
 def normalise_column(df: DataFrame, column: str, rule, name: str = "normal") -> DataFrame:
@@ -100,12 +104,27 @@ def repeated_entries(df: DataFrame, key: str, entries: str) -> DataFrame:
 
 def snap_words(df: DataFrame, group: str, key: str, text: str, edits: int = 2) -> DataFrame:
     """(group, word, snapped): words of one document that are at most ``edits`` (1 or 2) edits from exactly one of the words that
-    more documents of their group hold. Words meet by their deletions, so that no length and no first letter is left out."""
-    words = df.select(group, key, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("w")).where("w != ''")
-    v = words.groupBy(group, "w").agg(F.countDistinct(key).alias("n"))
-    keys = F.explode(deletions(F.col("w"), F.lit(edits))).alias("_k")
-    rare = v.where("n = 1").select(group, F.col("w").alias("word"), keys)
-    common = v.where("n > 1").select(group, F.col("w").alias("common"), keys)
-    pairs = rare.join(common, [group, "_k"]).where(F.levenshtein("word", "common") <= edits).select(group, "word", "common").distinct()
-    found = pairs.groupBy(group, "word").agg(F.min("common").alias("snapped"), F.count("*").alias("n"))
-    return found.where("n = 1").select(group, "word", "snapped")
+    more documents of their group hold. Words meet by their deletions, so that no length and no first letter is left out; long words, which
+    have many, by unchanged segments. Keys are hashes, the edits decide."""
+    words = df.select(group, key, F.explode_outer(F.array_distinct(F.split(F.lower(text), "[^a-z]+"))).alias("w")).where("w != ''")
+    # a word of one document has the same first and last one
+    v = stored(words.groupBy(group, "w").agg((F.min(key) == F.max(key)).alias("one")))
+    rare, common = v.where("one").select(group, F.col("w").alias("word")), v.where("not one").select(group, F.col("w").alias("common"))
+    keys = lambda df, w, by: df.select(group, w, F.explode_outer(by).alias("_k")).where("_k is not null").select(F.col(group).alias(f"_{w}"), w, F.xxhash64(group, "_k").alias("_k"))
+
+    def told(rare: DataFrame, k: int) -> DataFrame:
+        """(group, word, snapped, _last): the smallest and the largest common word that a rare one has at ``k`` edits at most, however often they meet."""
+        asked, held = edit_keys(k, F.col("word"), F.col("common"))
+        # a pair is of two words up to ``LONG`` letters, or of two that have more or lack at most ``k`` of it
+        short = lambda df, w: keys(df.where(F.length(w) <= LONG), w, deletion_keys(F.col(w), k))
+        long = lambda df, w, by: keys(df.where(F.length(w) > LONG - k), w, by)
+        # a word is many rows here, which Spark's estimate does not see: neither side may be sent to all tasks
+        met = short(rare, "word").join(short(common, "common").hint("merge"), "_k")
+        met = met.unionByName(long(rare, "word", asked).join(long(common, "common", held).hint("merge"), "_k"))
+        near = met.where((F.col("_word") == F.col("_common")) & F.levenshtein("word", "common", k).between(0, k))
+        return near.groupBy(F.col("_word").alias(group), "word").agg(F.min("common").alias("snapped"), F.max("common").alias("_last"))
+
+    # a word that has two partners at one edit needs no more of them; the few keys of one edit leave fewer words for the many of two
+    for k in range(1, edits):
+        rare = stored(rare.join(told(rare, k).where("snapped < _last").hint("merge"), [group, "word"], "left_anti"))
+    return told(rare, edits).where("snapped = _last").select(group, "word", "snapped")

@@ -166,3 +166,36 @@ def test_few_and_many_starts_of_segments_find_the_same_lines(spark, monkeypatch)
         monkeypatch.setattr(A, "FEW", few)
         found.append(sorted(tuple(r) for r in A.near_lines(values, lines, "d", "k", "v", "at", "t", 0.8).collect()))
     assert found[0] == found[1] and len({r[1] for r in found[0] if r[0] == 1}) >= 20 and [r[:2] for r in found[0] if r[0] == 2] == [(2, 0)]
+
+
+def test_deletion_keys_meet_where_edits_allow():
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    from factloom.functions.similarity import _deletion_hashes
+
+    def left(t, k):
+        return {"".join(c for x, c in enumerate(t) if x not in gone) for n in range(k + 1) for gone in combinations(range(len(t)), min(n, len(t)))}
+
+    texts = ["", "a", "aa", "ab", "ba", "abc", "cabba", "abbac", "ñez", "\U0001f600a", None, "conditions"]
+    for edits in (1, 2):
+        keys = [set(k) for k in _deletion_hashes(pa.array(texts), edits).to_pylist()]
+        words = [left(t or "", edits) for t in texts]
+        assert [len(k) for k in keys] == [len(w) for w in words]
+        assert all(bool(keys[i] & keys[j]) == bool(words[i] & words[j]) for i, j in combinations(range(len(texts)), 2))
+
+
+def test_snapped_words_carry_numbers_and_are_told_apart_once(spark, monkeypatch):
+    from factloom.functions import normalise as N
+
+    base = "abcdefghijklmnopqrstuvwxyzabcdefgh"
+    docs = [("s", 1, f"{base} word {base[2:]}x"), ("s", 2, f"{base} word wird {base[:-3]}"), ("s", 3, "wo words sword "), (None, 4, "word wort"), ("s", None, "wordy word")]
+    df = spark.createDataFrame(docs, "g string, k long, t string")
+    found = []
+    for long in (0, 5, 32):
+        monkeypatch.setattr(N, "LONG", long)
+        found.append(sorted(tuple(r) for r in N.snap_words(df, "g", "k", "t").collect()))
+    assert found[0] == found[1] == found[2] == [("s", w, "word") for w in ("sword", "wird", "wo", "words")]
+    plan = plan_of(N.snap_words(df, "g", "k", "t"))
+    assert "ArrowEvalPython" in plan and "Broadcast" not in plan
