@@ -199,3 +199,10 @@ def test_snapped_words_carry_numbers_and_are_told_apart_once(spark, monkeypatch)
     assert found[0] == found[1] == found[2] == [("s", w, "word") for w in ("sword", "wird", "wo", "words")]
     plan = plan_of(N.snap_words(df, "g", "k", "t"))
     assert "ArrowEvalPython" in plan and "Broadcast" not in plan
+
+
+def test_readings_of_one_small_file_are_dealt_over_all_tasks(spark, sf):
+    from factloom.plans.reading import compared_readers
+
+    out = compared_readers(spark, sf)
+    assert "RoundRobinPartitioning" in plan_of(out) and out.columns == ["p_partkey", "state"]
