@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.reading import SENT
 from factloom.operators.consensus import led
 
 
@@ -60,12 +61,16 @@ def nearest_following(lines: DataFrame, group: str, key: str, y: str, x: str, he
 def keyword_groups(docs: DataFrame, key: str, text: str, keywords: DataFrame, longest: int = 2) -> DataFrame:
     """(key, group): documents whose text holds a keyword of a group as whole words; n-grams meet keywords by equi join."""
     words = docs.select(key, F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "").alias("w"))
-    grams = None
+    # keywords of a bounded number go to all tasks, so that not every n-gram is moved; more of them are joined
+    known = F.broadcast(keywords) if keywords.limit(SENT + 1).count() <= SENT else keywords
+    found = None
     for n in range(1, longest + 1):
-        each = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
-        rows = words.where(F.size("w") >= n).select(key, each.alias("keyword"))
-        grams = rows if grams is None else grams.union(rows)
-    return grams.join(keywords, "keyword").select(key, "group").distinct()
+        gram = lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)])  # noqa: E731, B023
+        each = F.col("w") if n == 1 else F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), gram))
+        # an outer list, as Spark would make it twice to leave out empty ones
+        rows = words.select(key, F.explode_outer(F.array_distinct(each)).alias("keyword")).join(known, "keyword").select(key, "group")
+        found = rows if found is None else found.union(rows)
+    return found.distinct()
 
 
 def clusters_within_key(df: DataFrame, key: str, value: str, floor: float = 0.78) -> DataFrame:

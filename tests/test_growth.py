@@ -206,3 +206,14 @@ def test_readings_of_one_small_file_are_dealt_over_all_tasks(spark, sf):
 
     out = compared_readers(spark, sf)
     assert "RoundRobinPartitioning" in plan_of(out) and out.columns == ["p_partkey", "state"]
+
+
+def test_keyword_groups_move_no_n_gram(spark, sf):
+    from factloom.operators.facts import keyword_groups
+    from factloom.plans.facts import keyword_groups as query
+
+    assert "SortMergeJoin" not in plan_of(query(spark, sf)) and "BroadcastHashJoin" in plan_of(query(spark, sf))
+    docs = spark.createDataFrame([(1, "An MIT license"), (2, "license-MIT, the"), (3, ""), (4, None), (5, "a b c"), (6, "c")], "d int, t string")
+    known = spark.createDataFrame([("mit license", "x"), ("the", "y"), ("a b c", "z"), ("c", "z"), ("c", "w")], "keyword string, group string")
+    got = {n: {tuple(r) for r in keyword_groups(docs, "d", "t", known, n).collect()} for n in (1, 2, 3)}
+    assert got[1] == {(2, "y"), (5, "z"), (5, "w"), (6, "z"), (6, "w")} and got[2] == got[3] == got[1] | {(1, "x")}
