@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.results import names_on_lines
+from factloom.sources.scratch import stored
 
 # fixed values: specimens before a test; words for sugar; letters for fasting and after a meal
 SPECIMEN, SUGAR, SUGAR_LETTERS = "s sr serum plasma", "sugar suger sugr glucose bs", "f fs fbs fbg pp pps ppbs pp2bs"
@@ -70,19 +71,21 @@ def split_orders(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame
     whole = sugar_items(F.regexp_replace(F.regexp_replace(base, _MARKS, " "), "[/\\\\|,;+&-]", " "))
     parts = F.transform(F.split(F.regexp_replace(base, _MARKS, ","), _PARTS), clean)
     rows = df.select(*keys, F.posexplode(F.coalesce(whole, parts)).alias("_a", "_t")).where("_t != ''")
+    # what several steps read is made once: each step would make all before it anew for each of its readers
+    rows = stored(rows.withColumn("_s", sugar_items(F.col("_t"))))
 
     def told(rows: DataFrame, c: str) -> DataFrame:
         return rows.withColumn("_k", F.lower(c)).join(known, "_k", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
 
     item = lambda rows, c, *at: rows.select(*keys, F.array(*[F.col(a).cast("int") if isinstance(a, str) else a for a in at]).alias("_at"), F.col(c).alias("item"))
     zero = F.lit(0)
-    sugar = rows.withColumn("_s", sugar_items(F.col("_t")))
+    sugar = rows
     out = item(sugar.where("_s is not null").select(*keys, "_a", F.posexplode("_s").alias("_b", "_x")), "_x", "_a", "_b", zero, zero)
-    rows = told(sugar.where("_s is null").drop("_s"), "_t")
+    rows = stored(told(sugar.where("_s is null").drop("_s"), "_t"))
     out = out.union(item(rows.where("_known"), "_t", "_a", zero, zero, zero))
     bits = F.filter(F.transform(F.split("_t", _STRONG), lambda b: clean(b)), lambda b: b != "")
     cut = F.forall(bits, lambda b: F.length(F.regexp_replace(b, "[^A-Za-z]", "")) >= 2)
-    bits = told(rows.where("not _known").select(*keys, "_a", F.posexplode(F.when(cut, bits).otherwise(F.array("_t"))).alias("_b", "_t")), "_t")
+    bits = stored(told(rows.where("not _known").select(*keys, "_a", F.posexplode(F.when(cut, bits).otherwise(F.array("_t"))).alias("_b", "_t")), "_t"))
     out = out.union(item(bits.where("_known"), "_t", "_a", "_b", zero, zero))
     # weak cuts: all pieces must be known
     rest = bits.where("not _known").select(*keys, "_a", "_b", "_t")
@@ -91,19 +94,19 @@ def split_orders(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame
     pieces = told(rest.select(*at, F.posexplode(weak).alias("_c", "_x")), "_x")
     sure = pieces.groupBy(*at).agg(F.bool_and("_known").alias("_all"), F.count("*").alias("_n")).where("_all and _n > 1").select(*at, F.lit(True).alias("_weak"))
     out = out.union(item(pieces.join(sure, at), "_x", "_a", "_b", "_c", zero))
-    rest = rest.join(sure, at, "left").where("_weak is null").drop("_weak")
+    rest = stored(rest.join(sure, at, "left").where("_weak is null").drop("_weak"))
     # runs: every word is a specimen, a known name, one behind a stuck tick, or known names without blanks
     words = rest.select(*at, F.posexplode(F.filter(F.split("_t", "\\s+"), lambda w: w != "")).alias("_c", "_w"))
     words = told(words.withColumn("_bare", F.regexp_replace("_w", "^[.]+|[.]+$", "")), "_bare").withColumnRenamed("_known", "_whole")
     words = told(words.withColumn("_tick", F.when(F.col("_bare").rlike("^[vV][A-Z].{2,}"), F.expr("substring(_bare, 2)"))).drop("_k"), "_tick").withColumnRenamed("_known", "_ticked")
-    words = words.drop("_k").withColumn("_low", F.lower("_bare"))
+    words = stored(words.drop("_k").withColumn("_low", F.lower("_bare")))
     words = words.join(glued(words.where("not _whole and not _ticked"), "_bare", names, name).select(F.col("word").alias("_low"), "parts"), "_low", "left")
     specimen = _in(F.col("_low"), SPECIMEN) & ~F.col("_whole")
     # a cut of the word as it is written: the parts' lengths from its start
     lengths = F.transform("parts", lambda p: F.length(p))
     spelt = F.transform("parts", lambda p, i: F.substring(F.col("_bare"), F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(1), lambda a, b: a + b), F.length(p)))
     got = F.when(specimen, F.array().cast("array<string>")).when(F.col("_whole"), F.array("_bare")).when(F.col("_ticked"), F.array("_tick")).otherwise(spelt)
-    words = words.withColumns({"_got": got, "_spec": specimen})
+    words = stored(words.withColumns({"_got": got, "_spec": specimen}))
     run = Window.partitionBy(*at).orderBy("_c")
     # specimens go to the word behind them
     before = F.collect_list(F.struct("_c", F.when(F.col("_spec"), F.col("_w")).alias("w"))).over(run.rowsBetween(Window.unboundedPreceding, -1))

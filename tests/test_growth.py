@@ -217,3 +217,10 @@ def test_keyword_groups_move_no_n_gram(spark, sf):
     known = spark.createDataFrame([("mit license", "x"), ("the", "y"), ("a b c", "z"), ("c", "z"), ("c", "w")], "keyword string, group string")
     got = {n: {tuple(r) for r in keyword_groups(docs, "d", "t", known, n).collect()} for n in (1, 2, 3)}
     assert got[1] == {(2, "y"), (5, "z"), (5, "w"), (6, "z"), (6, "w")} and got[2] == got[3] == got[1] | {(1, "x")}
+
+
+def test_split_orders_make_no_step_twice(spark, sf):
+    from factloom.plans.people import split_orders
+
+    plan = plan_of(split_orders(spark, sf)).lower()
+    assert "sugar" not in plan  # lists are taken apart before, once
