@@ -42,8 +42,12 @@ def routed(text: Column, listed_as: Column) -> Column:
 
 
 def evidence_rollup(facts: DataFrame, blocks: DataFrame, key: str, ids: str, default: float = 0.5) -> DataFrame:
-    """Mean confidence and union box of each fact's evidence blocks (block_id, conf, x0, y0, x1, y1)."""
-    used = facts.select(key, F.explode_outer(ids).alias("block_id")).join(blocks, "block_id", "left")
+    """Mean confidence and union box of each fact's evidence blocks (block_id, conf, x0, y0, x1, y1).
+
+    Only named blocks are looked up: facts without any would all meet in one task, under the id null. They come in by their keys, beside
+    the blocks that were found."""
+    named = facts.select(key, F.explode(ids).alias("block_id")).where("block_id is not null")
+    used = named.join(blocks, "block_id").drop("block_id").unionByName(facts.select(key), allowMissingColumns=True)
     return used.groupBy(key).agg(F.round(F.coalesce(F.avg("conf"), F.lit(default)), 4).alias("conf"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 

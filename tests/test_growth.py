@@ -224,3 +224,15 @@ def test_split_orders_make_no_step_twice(spark, sf):
 
     plan = plan_of(split_orders(spark, sf)).lower()
     assert "sugar" not in plan  # lists are taken apart before, once
+
+
+def test_facts_without_evidence_meet_in_no_task(spark):
+    from factloom.operators.facts import evidence_rollup
+
+    facts = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, [None]), (5, ["absent"]), (6, ["b", None]), (7, ["c"]), (None, ["b"]), (2, ["a"])], "k int, ids array<string>")
+    blocks = spark.createDataFrame([("a", 0.9, 1, 2, 3, 4), ("b", 0.6, 0, 5, 9, 6), ("c", None, 7, 7, 8, 8), (None, 0.1, 0, 0, 99, 99)], "block_id string, conf double, x0 int, y0 int, x1 int, y1 int")
+    out = evidence_rollup(facts, blocks, "k", "ids")
+    assert "LeftOuter" not in plan_of(out) and "], true, [block_id" not in plan_of(out)  # no fact is looked up under the id null
+    none = (0.5, None, None, None, None)
+    want = {1: (0.8, 0, 2, 9, 6), 2: (0.9, 1, 2, 3, 4), 3: none, 4: none, 5: none, 6: (0.6, 0, 5, 9, 6), 7: (0.5, 7, 7, 8, 8), None: (0.6, 0, 5, 9, 6)}
+    assert {r.k: tuple(r)[1:] for r in out.collect()} == want and out.count() == len(want)
