@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def facts_of_documents(facts: DataFrame, documents: DataFrame, fact: str, ids: str, document: str) -> DataFrame:
-    """(document, fact): facts whose array of source documents names a document; once per pair."""
+    """(document, fact): facts whose array of source documents names a document; once per pair.
+
+    A task holds the ids of its documents, not the names sorted beside them."""
     named = facts.select(fact, F.explode(ids).alias(document))
-    return named.join(documents.select(document).distinct(), document).select(document, fact).distinct()
+    return named.join(documents.select(document).hint("shuffle_hash"), document, "left_semi").select(document, fact).distinct()
 
 
 def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -236,3 +236,14 @@ def test_facts_without_evidence_meet_in_no_task(spark):
     none = (0.5, None, None, None, None)
     want = {1: (0.8, 0, 2, 9, 6), 2: (0.9, 1, 2, 3, 4), 3: none, 4: none, 5: none, 6: (0.6, 0, 5, 9, 6), 7: (0.5, 7, 7, 8, 8), None: (0.6, 0, 5, 9, 6)}
     assert {r.k: tuple(r)[1:] for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_names_of_documents_are_not_sorted_beside_them(spark):
+    from factloom.operators.views import facts_of_documents
+
+    facts = spark.createDataFrame([("f", [1, 2, 2, 9]), ("f", [2, 3]), ("g", []), ("h", None), ("i", [None, 1]), (None, [3])], "fact string, ids array<int>")
+    documents = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "x"), (4, "x"), (None, "x")], "d int, t string")
+    out = facts_of_documents(facts, documents, "fact", "ids", "d")
+    plan = plan_of(out)
+    assert "ShuffledHashJoin" in plan and "LeftSemi" in plan and "Sort [" not in plan and out.columns == ["d", "fact"]
+    assert sorted((r.d, r.fact or "") for r in out.collect()) == [(1, "f"), (1, "i"), (2, "f"), (3, ""), (3, "f")]
