@@ -30,13 +30,22 @@ def person_name(c: Column) -> Column:
     return F.initcap(F.trim(F.regexp_replace(letters, "^((" + "|".join(TITLES) + ") )+", "")))
 
 
-def dose(c: Column) -> tuple[Column, Column]:
-    """Strength and unit of a medicine text; g and mcg are given in mg."""
+def written_dose(c: Column) -> tuple[Column, Column]:
+    """Number and unit of a medicine text, as written."""
     number = F.regexp_extract(F.lower(c), "([0-9]+(?:[.][0-9]+)?) ?(mg|mcg|g|ml|iu)", 1).try_cast("double")
-    unit = F.regexp_extract(F.lower(c), "([0-9]+(?:[.][0-9]+)?) ?(mg|mcg|g|ml|iu)", 2)
+    return number, F.regexp_extract(F.lower(c), "([0-9]+(?:[.][0-9]+)?) ?(mg|mcg|g|ml|iu)", 2)
+
+
+def in_mg(number: Column, unit: Column) -> tuple[Column, Column]:
+    """Strength and unit of a written dose; g and mcg are given in mg."""
     return F.when(unit == "g", number * 1000).when(unit == "mcg", number / 1000).otherwise(number), F.when(unit.isin("g", "mcg"), "mg").when(unit != "", unit)
 
 
+def dose(c: Column) -> tuple[Column, Column]:
+    """Strength and unit of a medicine text; g and mcg are given in mg."""
+    return in_mg(*written_dose(c))
+
+
 def per_day(c: Column) -> Column:
     """Times a day: ``1-0-1``, ``q8h``, ``n times``, or a token; the longest token first."""
     low = F.lower(c)

@@ -27,58 +27,76 @@ def latest_answers(rows: DataFrame, document: str, payload: str, order: Sequence
     return last.withColumn("answer", F.from_json(payload, schema)).withColumn("answer", F.when(F.trim(F.col(payload)).startswith("{"), F.col("answer")))
 
 
-def _fact(kind: str, seq: Column, name: Column, num: Column | None = None, text: Column | None = None, unit: Column | None = None) -> list[Column]:
+def _fact(kind: str, seq: Column, name: Column, num: Column | None = None, text: Column | None = None, unit: Column | None = None) -> Column:
     none = F.lit(None)
-    return [F.lit(kind).alias("fact_type"), seq.cast("long").alias("seq"), name.alias("name"), (none if num is None else num).cast("double").alias("value_num"), (none if text is None else text).cast("string").alias("value_text"), (none if unit is None else unit).cast("string").alias("unit")]
+    return F.struct(F.lit(kind).alias("fact_type"), seq.cast("long").alias("seq"), name.alias("name"), (none if num is None else num).cast("double").alias("value_num"), (none if text is None else text).cast("string").alias("value_text"), (none if unit is None else unit).cast("string").alias("unit"))
+
+
+def _medicine_name(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)[0-9]+(?:[.][0-9]+)? ?(mg|mcg|g|ml|iu)\\b.*$", ""), "(?i)^(tab|cap|inj|syp)[. ]+", ""))
 
 
 def medications(answers: DataFrame) -> DataFrame:
     """Medicine rows: strength and unit from the text, doses a day and days from their own fields."""
     m = answers.select("document_id", F.posexplode("answer.medications").alias("p", "m"))
     strength, unit = N.dose(F.col("m.text"))
-    name = F.trim(F.regexp_replace(F.regexp_replace("m.text", "(?i)[0-9]+(?:[.][0-9]+)? ?(mg|mcg|g|ml|iu)\\b.*$", ""), "(?i)^(tab|cap|inj|syp)[. ]+", ""))
-    return m.select("document_id", (F.col("p") + 1).cast("long").alias("seq"), name.alias("name"), strength.alias("strength"), unit.alias("unit"), N.per_day(F.col("m.frequency")).alias("per_day"), N.duration_days(F.col("m.duration")).alias("days"))
+    return m.select("document_id", (F.col("p") + 1).cast("long").alias("seq"), _medicine_name(F.col("m.text")).alias("name"), strength.alias("strength"), unit.alias("unit"), N.per_day(F.col("m.frequency")).alias("per_day"), N.duration_days(F.col("m.duration")).alias("days"))
 
 
-def vitals(answers: DataFrame) -> DataFrame:
-    """(document_id, name, value): vital signs by their proper names, a pressure as two; the first value of a name wins."""
-    v = answers.select("document_id", F.posexplode("answer.vitals").alias("p", "v"))
+def vital_values(listed: Column) -> Column:
+    """Vital signs (name, value) by their proper names, a pressure as two; the first value of a name wins."""
     names = F.create_map(*[F.lit(x) for kv in VITAL_NAMES.items() for x in kv])
-    v = v.select("document_id", "p", F.try_element_at(names, F.lower(F.trim("v.name"))).alias("name"), F.trim("v.value").alias("value")).where("name is not null")
-    high, low = (F.regexp_extract("value", "^([0-9]{2,3}) ?/ ?([0-9]{2,3})", i).try_cast("double") for i in (1, 2))
-    plain = F.regexp_extract("value", "^([0-9]+(?:[.][0-9]+)?)", 1).try_cast("double")
-    pair = F.array(F.struct(F.lit("systolic").alias("n"), high.alias("x")), F.struct(F.lit("diastolic").alias("n"), low.alias("x")))
-    rows = v.select("document_id", "p", F.inline(F.when(F.col("name") == "blood_pressure", pair).otherwise(F.array(F.struct(F.col("name").alias("n"), plain.alias("x"))))))
-    rows = rows.where("x is not null")
-    return rows.groupBy("document_id", F.col("n").alias("name")).agg(F.min_by("x", "p").alias("value"))
+
+    def values(v: Column) -> Column:
+        name, value = F.try_element_at(names, F.lower(F.trim(v["name"]))), F.trim(v["value"])
+        high, low = (F.regexp_extract(value, "^([0-9]{2,3}) ?/ ?([0-9]{2,3})", i).try_cast("double") for i in (1, 2))
+        plain = F.regexp_extract(value, "^([0-9]+(?:[.][0-9]+)?)", 1).try_cast("double")
+        one = lambda n, x: F.struct(n.alias("n"), x.alias("x"))
+        return F.when(name == "blood_pressure", F.array(one(F.lit("systolic"), high), one(F.lit("diastolic"), low))).otherwise(F.array(one(name, plain)))
+
+    read = F.filter(F.flatten(F.transform(listed, values)), lambda r: r["n"].isNotNull() & r["x"].isNotNull())
+    # from the last to the first, so that the first value of a name stays
+    put = lambda kept, r: F.concat(F.array(r), F.filter(kept, lambda k: k["n"] != r["n"]))
+    return F.aggregate(F.reverse(read), F.array().cast("array<struct<n:string,x:double>>"), put)
 
 
-def _prescription(answers: DataFrame) -> DataFrame:
-    m = medications(answers).select("document_id", *_fact("medication", F.col("seq"), F.col("name"), F.col("strength"), None, F.col("unit")))
-    tests = answers.select("document_id", F.posexplode("answer.investigations").alias("p", "x")).select("document_id", *_fact("order", F.col("p") + 1, F.col("x")))
-    advice = answers.select("document_id", F.posexplode("answer.advice").alias("p", "x")).select("document_id", *_fact("advice", F.col("p") + 1, F.lit("advice"), None, F.col("x")))
-    return m.unionByName(tests).unionByName(advice)
+def _prescription(answer: Column) -> Column:
+    def medicine(m: Column) -> Column:
+        number, unit = N.written_dose(m["text"])
+        return F.struct(_medicine_name(m["text"]).alias("name"), number.alias("number"), unit.alias("unit"))
 
+    def fact(m: Column, p: Column) -> Column:
+        strength, unit = N.in_mg(m["number"], m["unit"])
+        return _fact("medication", p + 1, m["name"], strength, None, unit)
 
-def _lab_report(answers: DataFrame) -> DataFrame:
-    r = answers.select("document_id", F.posexplode("answer.results").alias("p", "r"))
-    return r.where("r.name.status is distinct from 'rejected'").select("document_id", *_fact("observation", F.col("p") + 1, F.col("r.name.value"), F.col("r.value"), None, F.col("r.unit")))
+    # a text is taken apart once, as Spark would look for the unit wherever it is compared
+    medicines = F.transform(F.transform(answer["medications"], medicine), fact)
+    tests = F.transform(answer["investigations"], lambda x, p: _fact("order", p + 1, x))
+    advice = F.transform(answer["advice"], lambda x, p: _fact("advice", p + 1, F.lit("advice"), None, x))
+    return F.flatten(F.array_compact(F.array(medicines, tests, advice)))
 
 
-def _vitals(answers: DataFrame) -> DataFrame:
-    return vitals(answers).select("document_id", *_fact("vital", F.lit(1), F.col("name"), F.col("value")))
+def _lab_report(answer: Column) -> Column:
+    rows = F.transform(answer["results"], lambda r, p: F.struct(r["name"]["status"].alias("s"), _fact("observation", p + 1, r["name"]["value"], r["value"], None, r["unit"]).alias("f")))
+    return F.filter(rows, lambda r: ~r["s"].eqNullSafe("rejected"))["f"]
 
 
-HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {"prescription": _prescription, "lab_report": _lab_report, "vitals": _vitals}
+def _vitals(answer: Column) -> Column:
+    return F.transform(vital_values(answer["vitals"]), lambda v: _fact("vital", F.lit(1), v["n"], v["x"]))
+
+
+HANDLERS: dict[str, Callable[[Column], Column]] = {"prescription": _prescription, "lab_report": _lab_report, "vitals": _vitals}
 
 
 def fan_out_answers(answers: DataFrame) -> DataFrame:
-    """Fact rows (document_id, fact_type, seq, name, value_num, value_text, unit), by the handler of each document's schema."""
-    out = None
+    """Fact rows (document_id, fact_type, seq, name, value_num, value_text, unit), by the handler of each document's schema.
+
+    Each answer is read once: its handler makes a list of facts, which then becomes rows."""
+    found = F.lit(None)
     for schema, handler in HANDLERS.items():
-        rows = handler(answers.where(F.col("schema_name") == schema)).select(*_FACT)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        found = F.when(F.col("schema_name") == schema, handler(F.col("answer"))).otherwise(found)
+    # an outer list, as Spark would make it twice to leave out empty ones
+    return answers.select("document_id", F.inline_outer(found)).where("fact_type is not null").select(*_FACT)
 
 
 def flat_tests(answers: DataFrame) -> DataFrame:

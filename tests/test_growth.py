@@ -247,3 +247,22 @@ def test_names_of_documents_are_not_sorted_beside_them(spark):
     plan = plan_of(out)
     assert "ShuffledHashJoin" in plan and "LeftSemi" in plan and "Sort [" not in plan and out.columns == ["d", "fact"]
     assert sorted((r.d, r.fact or "") for r in out.collect()) == [(1, "f"), (1, "i"), (2, "f"), (3, ""), (3, "f")]
+
+
+def test_answers_are_made_and_read_once(spark, sf):
+    from factloom.operators import answers as A
+    from factloom.plans.answers import answer_facts
+
+    plan = plan_of(answer_facts(spark, sf))
+    assert plan.count("from_json") == 1 and plan.count("FileScan") == 3
+    listed = '[{"name":"mood","value":"5"},{"name":"pulse"},{"name":"BP","value":"n/a"},null,{"name":" Pr ","value":"70/min"},{"name":"HR","value":"71"},{"name":"bp","value":"120 / 80"},{"name":"blood pressure","value":"90/60"},{"value":"3"}]'
+    medicines = '[null,{"text":"Inj. X 2 g daily"},{"text":"Cap y 500 MCG"},{"text":"z"},{}]'
+    raw = [(1, "vitals", '{"vitals":%s}' % listed), (2, "prescription", '{"medications":%s,"advice":["a",null]}' % medicines), (3, "prescription", '{"investigations":[null,"T"]}'), (4, "lab_report", '{"results":[{"name":{"value":"A","status":"rejected"},"value":1},null,{"name":{"value":"B"},"value":2,"unit":"u"}],"vitals":%s}' % listed), (5, "other", "{}"), (6, None, "{}"), (7, "vitals", None), (8, "prescription", "{}"), (9, "lab_report", "[]")]
+    out = A.fan_out_answers(A.latest_answers(spark.createDataFrame(raw, "document_id long, schema_name string, payload string"), "document_id", "payload", [F.lit(1)]))
+    assert out.dtypes == [("document_id", "bigint"), ("fact_type", "string"), ("seq", "bigint"), ("name", "string"), ("value_num", "double"), ("value_text", "string"), ("unit", "string")]
+    want = {(1, "vital", 1, "pulse", 70.0, None, None), (1, "vital", 1, "systolic", 120.0, None, None), (1, "vital", 1, "diastolic", 80.0, None, None)}
+    want |= {(2, "medication", 1, None, None, None, None), (2, "medication", 2, "X", 2000.0, None, "mg"), (2, "medication", 3, "y", 0.5, None, "mg"), (2, "medication", 4, "z", None, None, None), (2, "medication", 5, None, None, None, None)}
+    want |= {(2, "advice", 1, "advice", None, "a", None), (2, "advice", 2, "advice", None, None, None), (3, "order", 1, None, None, None, None), (3, "order", 2, "T", None, None, None)}
+    want |= {(4, "observation", 2, None, None, None, None), (4, "observation", 3, "B", 2.0, None, "u")}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
