@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
+from factloom.functions.reading import SENT
 from factloom.functions.similarity import lev_ratio, whole_join
 from factloom.sources.scratch import stored
 
@@ -54,10 +59,14 @@ def token_overlap_join(left: DataFrame, right: DataFrame, lkey: str, ltokens: st
 
     A row that holds that many of ``n`` tokens holds one of any ``n - ceil(floor * n) + 1`` of them, so only a left row's
     rarest tokens look for partners (within the given columns): a word that every document holds pairs nothing. Candidates
-    are then checked by their whole token sets.
+    are then checked by their whole token sets. Left rows of up to ``SENT`` tokens in all go to all tasks instead, and no token of
+    ``right`` moves.
     """
     a = left.select(lkey, *within, F.array_distinct(ltokens).alias("_t")).withColumn("_n", F.size("_t")).where("_n > 0")
     b = right.select(rkey, *within, F.array_distinct(rtokens).alias("_u"))
+    kind, other = a.schema["_t"].dataType.elementType, b.schema["_u"].dataType.elementType
+    if not within and kind == other and isinstance(kind, (Y.StringType, Y.IntegralType)) and a.select(F.explode("_t")).limit(SENT + 1).count() <= SENT:
+        return _best_overlaps(_overlaps(a, b, lkey, rkey, floor), lkey, rkey, k)
     each, words = a.select(lkey, *within, "_n", F.explode("_t").alias("_w")), b.select(rkey, *within, F.explode("_u").alias("_w"))
     held = words.join(each.select(*within, "_w").distinct(), [*within, "_w"], "left_semi")
     often = held.groupBy(*within, "_w").agg(F.count("*").alias("_f"))
@@ -66,13 +75,45 @@ def token_overlap_join(left: DataFrame, right: DataFrame, lkey: str, ltokens: st
     pairs = probe.where("_f is not null").select(lkey, *within, "_w").join(held, [*within, "_w"]).select(lkey, *within, rkey).distinct()
     hit = pairs.join(a, [lkey, *within]).join(b, [rkey, *within]).withColumn("shared", F.size(F.array_intersect("_t", "_u")).cast("long"))
     hit = hit.where(F.col("shared") >= floor * F.col("_n") - 1e-9)
+    return _best_overlaps(hit.select(lkey, *within, rkey, "shared", F.col("_n").alias("n_left"), F.size("_u").alias("n_right")), lkey, rkey, k)
+
+
+def _best_overlaps(hit: DataFrame, lkey: str, rkey: str, k: int | None) -> DataFrame:
     if k is None:
-        return hit.select(lkey, *within, rkey, "shared", F.col("_n").alias("n_left"), F.size("_u").alias("n_right"))
-    hit = hit.select(lkey, rkey, "shared", F.round(F.col("shared") / F.col("_n"), 4).alias("share"))
+        return hit
+    hit = hit.select(lkey, rkey, "shared", F.round(F.col("shared") / F.col("n_left"), 4).alias("share"))
     w = Window.partitionBy(lkey).orderBy(F.desc("share"), rkey)
     return hit.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _overlaps(a: DataFrame, b: DataFrame, lkey: str, rkey: str, floor: float) -> DataFrame:
+    """The pairs of few left rows (lkey, _t, _n) with ``b`` (rkey, _u): each task counts what its rows share with every left row."""
+    few = a.select(lkey, "_n", "_t").where(F.col(lkey).isNotNull()).toArrow().combine_chunks()
+    keys, sizes, sets = (few.column(i).combine_chunks() for i in range(3))
+    tokens = pc.list_flatten(sets)
+    known = tokens.unique()
+    # the left rows of each token, one after another
+    order = pc.sort_indices(at := pc.index_in(tokens, value_set=known))
+    owners, starts = pc.list_parent_indices(sets).take(order).to_numpy(), np.searchsorted(at.take(order).to_numpy(), np.arange(len(known) + 1))
+    least = floor * sizes.to_numpy() - 1e-9
+    step, n = max(1, 1_000_000 // max(1, len(tokens))), len(keys)
+
+    def count(batches):
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                right, said = (batch.column(c).slice(i, step) for c in range(2))
+                place = pc.index_in(pc.list_flatten(said), value_set=known)
+                found, row = place.drop_null().to_numpy(), pc.list_parent_indices(said).filter(place.is_valid()).to_numpy()
+                times = starts[found + 1] - starts[found]
+                owner = owners[np.arange(times.sum()) - np.repeat(times.cumsum() - times - starts[found], times)]
+                shared = np.bincount(np.repeat(row, times) * n + owner, minlength=len(right) * n).reshape(len(right), n)
+                r, o = np.nonzero((shared > 0) & (shared >= least))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(o)), right.take(pa.array(r)), pa.array(shared[r, o], pa.int64()), sizes.take(pa.array(o)), pc.list_value_length(said).take(pa.array(r)).cast(pa.int32())], ["_l", "_r", "shared", "n_left", "n_right"])
+
+    kinds = Y.StructType([Y.StructField("_l", a.schema[lkey].dataType), Y.StructField("_r", b.schema[rkey].dataType), Y.StructField("shared", Y.LongType()), Y.StructField("n_left", Y.IntegerType()), Y.StructField("n_right", Y.IntegerType())])
+    return b.select(rkey, "_u").where(F.col(rkey).isNotNull()).mapInArrow(count, kinds).select(F.col("_l").alias(lkey), F.col("_r").alias(rkey), "shared", "n_left", "n_right")
+
+
 def consensus(df: DataFrame, key: str, value: str) -> DataFrame:
     """Medoid of each key: the distinct value closest to the key's others (ties: more frequent, then smaller)."""
     v = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))

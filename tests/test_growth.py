@@ -266,3 +266,28 @@ def test_answers_are_made_and_read_once(spark, sf):
     want |= {(4, "observation", 2, None, None, None, None), (4, "observation", 3, "B", 2.0, None, "u")}
     got = [tuple(r) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_few_left_rows_are_sent_to_all_tasks(spark, sf, monkeypatch):
+    from random import Random
+
+    from factloom.plans.matching import evidence_overlap
+
+    plan = plan_of(evidence_overlap(spark, sf))
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and plan.count("documents.parquet") == 1
+    random, words = Random(8), [f"w{i}" for i in range(40)]
+    left = [(f"l{i}", random.sample(words, random.randint(1, 12)) * random.randint(1, 2)) for i in range(30)] + [("none", []), ("null", None), ("absent", ["zz"]), (None, words)]
+    right = [(i, random.choices(words, k=random.randint(1, 60))) for i in range(300)] + [(900, None), (901, []), (902, ["x"]), (903, words), (903, words[:20]), (None, words)]
+    a, b = spark.createDataFrame(left, "l string, t array<string>"), spark.createDataFrame(right, "r long, t array<string>")
+    found = {}
+    for k in (None, 3):
+        for sent in (M.SENT, 40, 0):
+            monkeypatch.setattr(M, "SENT", sent)
+            out = M.token_overlap_join(a, b, "l", "t", "r", "t", floor=0.6, k=k)
+            assert ("MapInArrow" in plan_of(out)) == (sent > 40)
+            got = (out.dtypes, sorted(tuple(r) for r in out.collect()))
+            assert found.setdefault(k, got) == got
+        monkeypatch.undo()
+    assert len(found[None][1]) > 1000
+    empty = a.where("l = 'none'")
+    assert M.token_overlap_join(empty, b, "l", "t", "r", "t").count() == 0
