@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import wilson_lower
+from factloom.functions.similarity import edit_distances, wilson_lower
 
 
 def tally(df: DataFrame, by: Sequence[str], expected: str, got: str) -> DataFrame:
@@ -82,35 +83,65 @@ def false_rates(df: DataFrame, by: Column | str, truth: str, got: str) -> DataFr
     )
 
 
+#: Pairs of names that are held against each other at once.
+PAIRS = 1 << 18
+
+
+def _paired(want: pa.Array, have: pa.Array) -> pa.Array:
+    """``paired_edits`` of lists of names."""
+
+    def names(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        said = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())[said.is_valid().to_numpy(zero_copy_only=False)]
+        return said.drop_null().cast(pa.string()), row
+
+    (x, row_x), (y, row_y) = names(want), names(have)
+    coded = pa.concat_arrays([x, y]).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code, length = coded.indices.to_numpy(), np.array([len(w) for w in words], dtype=np.int64)
+    code_x, code_y = code[: len(x)], code[len(x) :]
+    n, m = (np.bincount(r, minlength=len(want)) for r in (row_x, row_y))
+    begin_x, begin_y, size = np.cumsum(n) - n, np.cumsum(m) - m, np.cumsum(n * m)
+    free_x, free_y, edits, row = np.ones(len(x), dtype=bool), np.ones(len(y), dtype=bool), np.zeros(len(want), dtype=np.int64), 0
+    first_x, first_y = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
+    while row < len(want):
+        end = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + PAIRS, side="right")))
+        own = np.repeat(np.arange(row, end), (n * m)[row:end])
+        k = np.arange(len(own)) - (size - n * m - (size[row - 1] if row else 0))[own]
+        i, j, row = begin_x[own] + k // m[own], begin_y[own] + k % m[own], end
+        pairs, at = np.unique(code_x[i].astype(np.int64) * len(words) + code_y[j], return_inverse=True)
+        u, v = np.divmod(pairs, len(words))
+        cost, longer = edit_distances([words[c] for c in u], [words[c] for c in v]), np.maximum(length[u], length[v])
+        ratio = (cost / np.maximum(1, longer))[at]
+        order = np.argsort(ratio, kind="stable")
+        order = order[(cost < longer)[at[order]]]
+        while len(order):
+            # a pair that comes first for both its names is one that is taken in order, whatever the others are
+            a, b, place = i[order], j[order], np.arange(len(order))
+            first_x[a[::-1]], first_y[b[::-1]] = place[::-1], place[::-1]
+            best = (first_x[a] == place) & (first_y[b] == place)
+            free_x[a[best]], free_y[b[best]] = False, False
+            np.add.at(edits, own[order[best]], cost[at[order[best]]])
+            order = order[free_x[a] & free_y[b]]
+
+    def total(r: np.ndarray, some: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(r[some], weights=weights[some], minlength=len(want)).astype(np.int64)
+
+    edits += total(row_x, free_x, length[code_x]) + total(row_y, free_y, length[code_y])
+    written, missed, extra = total(row_x, np.ones(len(x), dtype=bool), length[code_x]), total(row_x, free_x, free_x), total(row_y, free_y, free_y)
+    return pa.StructArray.from_arrays([pa.array(c) for c in (edits, written, missed, extra)], names=["edits", "length", "missed", "extra"])
+
+
 def paired_edits(df: DataFrame, expected: str, got: str) -> DataFrame:
     """``edits``, ``length``, ``missed`` and ``extra`` of two lists of names: the most alike names are paired first (ties: in order of
-    the lists), unpaired expected names count as deletions, unpaired given ones as insertions. Lists are those of one document."""
-
-    def distance(a: str, b: str) -> int:
-        row = np.arange(len(b) + 1)
-        for i, c in enumerate(a, 1):
-            step = np.minimum(row[:-1] + np.fromiter((c != d for d in b), dtype=np.int64, count=len(b)), row[1:] + 1)
-            row = np.concatenate([[i], step])
-            row = np.minimum.accumulate(row - np.arange(len(row))) + np.arange(len(row))  # insertions run on from the left
-        return int(row[-1])
-
-    def one(want, have) -> tuple[int, int, int, int]:
-        want, have = list(want if want is not None else []), list(have if have is not None else [])
-        cost = {(i, j): distance(a, b) for i, a in enumerate(want) for j, b in enumerate(have)}
-        order = sorted(cost, key=lambda p: (cost[p] / max(1, len(want[p[0]]), len(have[p[1]])), p))
-        left, right, edits = set(range(len(want))), set(range(len(have))), 0
-        for i, j in order:
-            if i in left and j in right and cost[i, j] < max(len(want[i]), len(have[j])):
-                left.remove(i)
-                right.remove(j)
-                edits += cost[i, j]
-        edits += sum(len(want[i]) for i in left) + sum(len(have[j]) for j in right)
-        return edits, sum(map(len, want)), len(left), len(right)
-
-    def batch(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(a, b) for a, b in zip(x, y)], columns=["edits", "length", "missed", "extra"], dtype="int64")
-
-    return df.withColumn("_p", F.pandas_udf(batch, "edits long, length long, missed long, extra long")(expected, got)).select(*[c for c in df.columns if c not in (expected, got)], "_p.*")
+    the lists), unpaired expected names count as deletions, unpaired given ones as insertions; null is no name. Lists are those of one
+    document; those of a batch are paired together."""
+
+    def batch(x: pa.Array, y: pa.Array) -> pa.Array:
+        return _paired(x, y)
+
+    batch.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+    return df.withColumn("_p", F.arrow_udf(batch, "edits long, length long, missed long, extra long")(expected, got)).select(*[c for c in df.columns if c not in (expected, got)], "_p.*")
 
 
 def disagreement_rates(runs: DataFrame, run: str, states: str, bad: str, counted: Sequence[str]) -> DataFrame:

@@ -291,3 +291,42 @@ def test_few_left_rows_are_sent_to_all_tasks(spark, sf, monkeypatch):
     assert len(found[None][1]) > 1000
     empty = a.where("l = 'none'")
     assert M.token_overlap_join(empty, b, "l", "t", "r", "t").count() == 0
+
+
+def test_lists_of_a_batch_are_paired_together(spark, monkeypatch):
+    from random import Random
+
+    import pyarrow as pa
+
+    from factloom.operators import evaluation as E
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = [prev := i] + [prev := min(row[j] + (c != d), row[j + 1] + 1, prev + 1) for j, d in enumerate(b)]
+        return row[-1]
+
+    def greedy(want, have):
+        want, have = ([n for n in v or [] if n is not None] for v in (want, have))
+        cost = {(i, j): edits(a, b) for i, a in enumerate(want) for j, b in enumerate(have)}
+        left, right, total = set(range(len(want))), set(range(len(have))), 0
+        for i, j in sorted(cost, key=lambda p: (cost[p] / max(1, len(want[p[0]]), len(have[p[1]])), p)):
+            if i in left and j in right and cost[i, j] < max(len(want[i]), len(have[j])):
+                left.remove(i)
+                right.remove(j)
+                total += cost[i, j]
+        return total + sum(len(want[i]) for i in left) + sum(len(have[j]) for j in right), sum(map(len, want)), len(left), len(right)
+
+    random = Random(4)
+    names = lambda: None if random.random() < 0.05 else [None if random.random() < 0.05 else "".join(random.choice("abñ\U0001f600") for _ in range(random.randint(0, 7))) for _ in range(random.randint(0, 9))]
+    cases = [(k, names(), names()) for k in range(400)]
+    out = E.paired_edits(spark.createDataFrame(cases, "k int, want array<string>, have array<string>"), "want", "have")
+    assert out.dtypes == [("k", "int")] + [(c, "bigint") for c in ("edits", "length", "missed", "extra")]
+    want = [greedy(a, b) for _, a, b in cases]
+    assert {r.k: tuple(r)[1:] for r in out.collect()} == dict(enumerate(want))
+    asked, whole = [], E.edit_distances
+    monkeypatch.setattr(E, "edit_distances", lambda a, b: asked.append(len(a)) or whole(a, b))
+    lists = [pa.array([c[k] for c in cases], pa.list_(pa.string())) for k in (1, 2)]
+    assert [tuple(r.values()) for r in E._paired(*lists).to_pylist()] == want and len(asked) == 1  # one call for all lists
+    monkeypatch.setattr(E, "PAIRS", 20)
+    assert [tuple(r.values()) for r in E._paired(*lists).to_pylist()] == want and max(asked[1:]) <= 81
