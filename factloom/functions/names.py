@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.similarity import by_pairs, jaro_winkler_ratios, similarity_join
+from factloom.functions.similarity import Marks, by_pairs, jaro_winkler_block, jaro_winkler_bound, jaro_winkler_ratios, jaro_winkler_rows, similarity_join, text_rows
+from factloom.sources.scratch import stored
 
 # fixed values: titles, degrees that end a name, words of organisations
 TITLES = "dr doctor prof mr mrs ms"
@@ -68,20 +72,104 @@ def name_score(read: Column | str, known: Column | str) -> Column:
     return F.pandas_udf(lambda x, y: by_pairs(name_ratios, x, y), "double")(read, known)
 
 
+#: Names of one block, and pairs of names that are looked at together.
+BLOCK, PAIRS = 8192, 1 << 17
+
+
+class _Parts:
+    """Plain names in the order of their surnames, with distinct surnames and first words."""
+
+    def __init__(self, names: list[str], pad: int):
+        words = sorted(((w[-1], w[0] if len(w) > 1 else "", n) for n in names if (w := n.split())), key=lambda p: p[0])
+        self.names = [n for _, _, n in words]
+        self.last, self.n = np.unique(np.array([w for w, _, _ in words], dtype=object), return_counts=True) if words else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
+        self.begin = np.cumsum(self.n) - self.n
+        first, self.first = np.unique(np.array([w for _, w, _ in words], dtype=object), return_inverse=True) if words else ([], np.zeros(0, dtype=np.int64))
+        self.given, self.given_length = list(first), np.array([len(w) for w in first], dtype=np.int64)
+        self.letter = np.array([ord(w[0]) if w else 0 for w in first], dtype=np.int64)
+        self.full_marks, self.given_marks = Marks(self.names), Marks(self.given)
+        self.full_rows, self.given_rows, self.last_rows = (text_rows(v, pad) for v in (self.names, self.given, list(self.last)))
+
+
+def _ratios(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
+    """Likeness of texts ``i`` of ``a`` and ``j`` of ``b`` (rows of letters and lengths), a bounded number of them at once, those of like length together."""
+    out, (x, lx), (y, ly) = np.zeros(len(i)), a, b
+    order = np.argsort(np.maximum(lx[i], ly[j]), kind="stable")
+    for k in range(0, len(i), at_once):
+        part = order[k : k + at_once]
+        u, v = i[part], j[part]
+        out[part] = jaro_winkler_rows(x[u, : max(1, lx[u].max())], lx[u], y[v, : max(1, ly[v].max())], ly[v])
+    return out
+
+
+def name_pairs(read: list[str], known: list[str], floor: float) -> Iterator[tuple[list[str], list[str], np.ndarray]]:
+    """The pairs of two lists of distinct plain names whose ``name_ratios`` reach ``floor`` (above 0.8), with these, in pieces.
+
+    Surnames must be alike, so distinct surnames are compared first. Of names with alike surnames, those go on whose likeness as a whole or by parts may
+    reach the floor by their common letters; given names are compared once a pair of words.
+    """
+    x, y, low = _Parts(read, -1), _Parts(known, -2), floor - 1e-4  # scores are rounded
+    p, q = jaro_winkler_block(list(x.last), list(y.last), SURNAME)
+    alike = _ratios(x.last_rows, y.last_rows, p, q)
+    p, q, alike = (v[alike >= SURNAME] for v in (p, q, alike))
+    size = x.n[p] * y.n[q]
+    ends = np.cumsum(size)
+    for k in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        end = min(k + PAIRS, int(ends[-1]))
+        some = np.arange(np.searchsorted(ends, k, side="right"), np.searchsorted(ends, end - 1, side="right") + 1)
+        r = np.repeat(some, np.minimum(ends[some], end) - np.maximum(ends[some] - size[some], k))
+        at = np.arange(k, end) - (ends - size)[r]
+        i, j, last = x.begin[p[r]] + at // y.n[q[r]], y.begin[q[r]] + at % y.n[q[r]], alike[r]
+        u, v = x.first[i], y.first[j]
+        lu, lv = x.given_length[u], y.given_length[v]
+        initial, none = (lu == 1) | (lv == 1), (lu == 0) | (lv == 0)
+        known_given = np.where(none, NO_GIVEN, np.where(initial & (x.letter[u] == y.letter[v]), INITIAL, np.nan))
+        given = np.where(np.isnan(known_given), np.minimum(jaro_winkler_bound(x.given_marks, y.given_marks, u, v), np.where(initial, INITIAL, 1.0)), known_given)
+        by_parts = SURNAME_WEIGHT * last + (1 - SURNAME_WEIGHT) * given >= low
+        whole = jaro_winkler_bound(x.full_marks, y.full_marks, i, j)
+        keep = np.flatnonzero(by_parts | (whole >= low))
+        i, j, u, v, last, whole, initial, given = (w[keep] for w in (i, j, u, v, last, whole, initial, known_given))
+        open_ = np.flatnonzero(np.isnan(given))
+        words, back = np.unique(u[open_] * len(y.given) + v[open_], return_inverse=True)
+        said = _ratios(x.given_rows, y.given_rows, words // max(1, len(y.given)), words % max(1, len(y.given)))[back]
+        given[open_] = np.where(initial[open_], np.minimum(said, INITIAL), said)
+        score = SURNAME_WEIGHT * last + (1 - SURNAME_WEIGHT) * given
+        # the whole names count where they may say more than the parts
+        more = np.flatnonzero((whole >= low) & (whole >= score))
+        score[more] = np.maximum(_ratios(x.full_rows, y.full_rows, i[more], j[more]), score[more])
+        score = np.round(score, 4)
+        found = score >= floor
+        yield [x.names[n] for n in i[found]], [y.names[n] for n in j[found]], score[found]
+
+
 def name_join(left: DataFrame, right: DataFrame, a: str, b: str, floor: float) -> DataFrame:
     """(a, b, score) of all distinct plain names that score ``floor`` (above 0.8) or more.
 
-    Names whose surnames are not alike score 0.8 at most, so all others meet by their surnames: an exact join of distinct surnames.
+    Names whose surnames are not alike score 0.8 at most, so all others meet by their surnames: blocks of names are held against each other, and only pairs
+    at the floor become rows.
     """
     if floor <= 0.8:
         raise ValueError("a floor of 0.8 or less is reached without a common surname")
-    last = lambda df, c: df.select(F.col(c).alias("name")).where("name != ''").distinct().withColumn("last", F.element_at(F.split("name", " "), -1))
-    x, y = last(left, a), last(right, b)
-    alike = similarity_join(x, y, "last", "last", SURNAME, "jaro_winkler")
-    met = x.select(F.col("name").alias("x"), F.col("last").alias("a")).join(alike.select("a", "b"), "a").join(y.select(F.col("name").alias("y"), F.col("last").alias("b")), "b")
-    # names of common surnames are many small rows and much work: their score is spread over all tasks
-    met = met.repartition(met.sparkSession.sparkContext.defaultParallelism * 4)
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), name_score("x", "y").alias("score")).where(F.col("score") >= floor)
+
+    def blocks(df: DataFrame, c: str, t: str) -> tuple[DataFrame, int]:
+        names = stored(df.select(F.col(c).alias("name")).where("name != ''").distinct()).withColumn("last", F.element_at(F.split(F.trim("name"), " "), -1))
+        n = max(1, names.count() // BLOCK)
+        # names of a surname stand in one block, or in several of their own if they are many
+        names = names.withColumn("_n", F.count("*").over(Window.partitionBy("last")))
+        piece = F.when(F.col("_n") > BLOCK, F.struct(F.col("last"), F.pmod(F.xxhash64("name"), F.ceil(F.col("_n") / BLOCK)).alias("piece")))
+        block = F.when(piece.isNull(), F.pmod(F.xxhash64("last"), F.lit(n)))
+        return names.groupBy(block.alias("_k"), piece.alias("_p")).agg(F.collect_list("name").alias(t)).select(t), n  # names of one block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u, v in zip(batch.column("_a"), batch.column("_b")):
+                for read, known, score in name_pairs(u.as_py(), v.as_py(), floor):
+                    yield pa.RecordBatch.from_arrays([pa.array(read, pa.string()), pa.array(known, pa.string()), pa.array(score)], names=["a", "b", "score"])
+
+    (x, n), (y, m) = blocks(left, a, "_a"), blocks(right, b, "_b")
+    # blocks differ in work: few of them a task
+    met = x.crossJoin(y).repartition(max(left.sparkSession.sparkContext.defaultParallelism * 4, n * m // 4))
+    return met.mapInArrow(run, "a string, b string, score double")
 
 
 def practitioner_matches(written: DataFrame, masters: DataFrame, floor: float = 0.9, top: int = 5) -> DataFrame:

@@ -74,8 +74,8 @@ def results_on_page(spark, sf_dir):
 
 #: People named by the first two words of a document; below, as written: an initial, a letter lost, or only the surname.
 def _people(spark, sf_dir):
-    words = F.split("text", " ")
-    name = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit("")))), "[^a-z]+", " "))
+    # the rest of a text is not cut into words
+    name = F.trim(F.regexp_replace(F.lower(F.substring_index("text", " ", 2)), "[^a-z]+", " "))
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).where("length(name) > 3 and contains(name, ' ')")
 
 

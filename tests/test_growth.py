@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.operators import matching as M
@@ -330,3 +331,38 @@ def test_lists_of_a_batch_are_paired_together(spark, monkeypatch):
     assert [tuple(r.values()) for r in E._paired(*lists).to_pylist()] == want and len(asked) == 1  # one call for all lists
     monkeypatch.setattr(E, "PAIRS", 20)
     assert [tuple(r.values()) for r in E._paired(*lists).to_pylist()] == want and max(asked[1:]) <= 81
+
+
+def test_names_are_held_against_each_other_in_blocks(spark, monkeypatch):
+    from random import Random
+
+    from factloom.functions import names as N
+    from factloom.functions import similarity as S
+
+    random = Random(9)
+    word = lambda: "".join(random.choice("abdein") for _ in range(random.randint(1, 7)))
+    given, last = [word() for _ in range(25)], [word() for _ in range(12)]
+    some = lambda n: sorted({" ".join([random.choice(given) for _ in range(random.choice([0, 1, 1, 1, 2]))] + [random.choice(last)]) for _ in range(n)})
+    read, known = some(150), some(150)
+    read += [f"{n} " for n in read[:20]]  # what a lost letter may leave
+    ratios = N.name_ratios([u for u in read for _ in known], [v for _ in read for v in known])
+    all_pairs = dict(zip(((u, v) for u in read for v in known), ratios.tolist()))
+    for floor in (0.81, 0.9):
+        want = {p: r for p, r in all_pairs.items() if r >= floor}
+        for pairs in (101, 1 << 17):
+            monkeypatch.setattr(N, "PAIRS", pairs)
+            got = {}
+            for u, v, score in N.name_pairs(read, known, floor):
+                assert len(u) <= pairs
+                got.update(zip(zip(u, v), score.tolist()))
+            assert want and got == want
+    monkeypatch.setattr(N, "BLOCK", 20)  # surnames of more names are cut into pieces
+    out = N.name_join(spark.createDataFrame([(n,) for n in read + read[:9] + ["", None]], "r string"), spark.createDataFrame([(n,) for n in known + ["", None]], "k string"), "r", "k", 0.9)
+    plan = plan_of(out)
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "SortMergeJoin" not in plan  # no pair is a row before its score is known
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(want) and {(u, v): s for u, v, s in found} == want
+    texts = ["", "a", "aaaa", "aaab", "ñoño", "\U0001f600a", "z" * 300, "z" * 299 + "y", *last]
+    x = S.Marks(texts)
+    i, j = (v.ravel() for v in np.meshgrid(range(len(texts)), range(len(texts))))
+    assert (S.jaro_winkler_bound(x, x, i, j) >= S.jaro_winkler_ratios([texts[k] for k in i], [texts[k] for k in j])).all()
