@@ -172,6 +172,26 @@ def name_join(left: DataFrame, right: DataFrame, a: str, b: str, floor: float) -
     return met.mapInArrow(run, "a string, b string, score double")
 
 
+def _best_masters(asked: DataFrame, alike: DataFrame, masters: DataFrame, mine: Column, n: int) -> DataFrame:
+    """(name, field, master, score) of the best ``n`` masters of each distinct (name, field), equal scores (``mine``) by master, and some more.
+
+    Masters of one name and field score the same, so the first ``n`` of them will do. Of a written name's masters, the best ``n`` in each field serve those
+    who ask for that field. Others see the best by their lower score: ``n`` at most of the field asked for and twice each of less than ``n`` others may
+    stand before one that counts, so ``3 * n`` are enough.
+    """
+    first = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    some = masters.distinct().withColumn("_k", first(["m_name", "m_field"], "master")).where(F.col("_k") <= n).drop("_k")
+    rows = alike.join(some, "m_name").groupBy("name", "m_field", "master").agg(F.max("score").alias("score"))
+    rows = rows.withColumn("_less", F.round(F.col("score") * NO_SPECIALTY, 4))
+    rows = rows.withColumns({"_k": first(["name", "m_field"], F.desc("score"), "master"), "_u": first(["name", "m_field"], F.desc("_less"), "master")})
+    own = rows.where((F.col("_k") <= n) & F.col("m_field").isNotNull()).withColumn("field", F.col("m_field"))
+    rest = rows.where(F.col("_u") <= n).withColumn("_k", first(["name", "master"], F.desc("score"), "m_field")).where("_k <= 2")
+    rest = rest.withColumn("_k", first(["name"], F.desc("_less"), "master", "m_field")).where(F.col("_k") <= 3 * n).select("name", "m_field", "master", "score")
+    found = asked.join(own.select("name", "field", "m_field", "master", "score"), ["name", "field"]).unionByName(asked.join(rest, "name"))
+    found = found.groupBy("name", "field", "master").agg(F.max(mine).alias("score"))
+    return found.withColumn("_k", first(["name", "field"], F.desc("score"), "master")).where(F.col("_k") <= n).drop("_k")
+
+
 def practitioner_matches(written: DataFrame, masters: DataFrame, floor: float = 0.9, top: int = 5) -> DataFrame:
     """(key, linked, method, confidence, n, why) of written practitioners (key, name, reg_no, field) against masters (master, name, reg_no, field).
 
@@ -179,29 +199,38 @@ def practitioner_matches(written: DataFrame, masters: DataFrame, floor: float =
     little if the field differs. A link needs ``floor``; by name alone also a gap of ``MARGIN`` to the runner-up, and an initial that fits
     no second master of an alike surname. ``n`` counts the candidates kept, ``top`` at most.
     """
-    w = written.select("key", plain_name(F.col("name")).alias("name"), "reg_no", "field")
-    m = masters.select("master", plain_name(F.col("name")).alias("m_name"), F.col("reg_no").alias("m_reg"), F.col("field").alias("m_field"))
+    w = stored(written.select("key", plain_name(F.col("name")).alias("name"), "reg_no", "field"))
+    m = stored(masters.select("master", plain_name(F.col("name")).alias("m_name"), F.col("reg_no").alias("m_reg"), F.col("field").alias("m_field")))
+    keyed = w.where("key is not null")
     number = lambda c: F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
-    numbered = w.withColumn("_r", number("reg_no")).join(m.withColumn("_r", number("m_reg")), "_r").where("_r != ''")
+    numbered = keyed.withColumn("_r", number("reg_no")).join(m.withColumn("_r", number("m_reg")), "_r").where("_r != ''")
     agrees = (F.col("name") == "") | (name_score("name", "m_name") >= NAME_AGREES)
-    numbered = numbered.select("key", "master", F.when(agrees, BY_NUMBER).otherwise(BY_NUMBER_ONLY).alias("score"), F.lit(True).alias("by_number"))
+    numbered = numbered.select("key", "master", F.when(agrees, BY_NUMBER).otherwise(BY_NUMBER_ONLY).alias("score"))
     # the runner-up counts as far as it can spoil the gap
     low = max(0.81, floor - MARGIN)
-    alike = name_join(w, m, "name", "m_name", low).select(F.col("a").alias("name"), F.col("b").alias("m_name"), "score")
-    named = w.join(alike, "name").join(m, "m_name")
+    alike = stored(name_join(keyed, m, "name", "m_name", low).select(F.col("a").alias("name"), F.col("b").alias("m_name"), "score"))
     fits = F.col("field").isNotNull() & (F.col("field") == F.col("m_field"))
-    named = named.select("key", "master", (F.col("score") * F.when(fits, 1.0).otherwise(NO_SPECIALTY)).alias("score"), F.lit(False).alias("by_number"))
+    mine = F.round(F.col("score") * F.when(fits, 1.0).otherwise(NO_SPECIALTY), 4)
+    # a key's list is as long as its masters by number may leave gaps in it; keys with more of those see all masters of their names
+    gaps = top
+    numbered = numbered.groupBy("key", "master").agg(F.max("score").alias("score")).withColumn("by_number", F.lit(True))
+    many = numbered.groupBy("key").agg(F.count("*").alias("_c")).where(F.col("_c") > gaps).select("key")
+    named = keyed.join(many, "key", "left_semi").join(alike, "name").join(m, "m_name").select("key", "master", mine.alias("score"))
+    listed = _best_masters(keyed.select("name", "field").distinct(), alike, m.select("m_name", "m_field", "master"), mine, top + gaps)
+    same = F.col("w.name").eqNullSafe(F.col("l.name")) & F.col("w.field").eqNullSafe(F.col("l.field"))
+    named = named.unionByName(keyed.alias("w").join(listed.alias("l"), same).select("key", "master", "l.score")).withColumn("by_number", F.lit(False))
     found = numbered.unionByName(named).groupBy("key", "master").agg(F.max(F.struct("by_number", "score")).alias("b")).select("key", "master", F.round("b.score", 4).alias("score"), "b.by_number")
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("by_number"), "master")
     ranked = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
     best = ranked.groupBy("key").agg(F.max(F.when(F.col("rn") == 1, F.struct("score", "master", "by_number"))).alias("b"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"), F.count("*").alias("n"))
-    # masters of an alike surname whose name begins with a written initial
+    # masters of an alike surname whose name begins with a written initial: whether there are two shows in the least and the greatest
     last = lambda c: F.element_at(F.split(c, " "), -1)
     short = w.where(F.col("name").rlike("^[a-z] ")).select(F.substring("name", 1, 1).alias("i"), last("name").alias("s")).distinct()
     known = m.where("contains(m_name, ' ')").select("master", F.substring("m_name", 1, 1).alias("i"), last("m_name").alias("b"))
+    known = known.groupBy("i", "b").agg(F.min("master").alias("_lo"), F.max("master").alias("_hi"))
     same = similarity_join(short, known, "s", "b", AMBIGUOUS, "jaro_winkler").select(F.col("a").alias("s"), "b")
-    many = short.join(same, "s").join(known, ["i", "b"]).groupBy("i", "s").agg(F.countDistinct("master").alias("_m")).where("_m > 1").select("i", "s", F.lit(True).alias("ambiguous"))
-    out = w.withColumns({"i": F.when(F.col("name").rlike("^[a-z] "), F.substring("name", 1, 1)), "s": last("name")}).join(many, ["i", "s"], "left").join(best, "key", "left")
+    two = short.join(same, "s").join(known, ["i", "b"]).groupBy("i", "s").agg((F.min("_lo") < F.max("_hi")).alias("ambiguous")).where("ambiguous")
+    out = w.withColumns({"i": F.when(F.col("name").rlike("^[a-z] "), F.substring("name", 1, 1)), "s": last("name")}).join(two, ["i", "s"], "left").join(best, "key", "left")
     score, sure = F.col("b.score"), F.coalesce("b.by_number", F.lit(False))
     why = F.when(score.isNull() | (score < floor), "too low").when(~sure & (score - F.col("second") < MARGIN - 1e-9), "near tie").when(~sure & F.col("ambiguous"), "ambiguous initial")
     method = F.when(score.isNull(), "unknown").when(sure, "registration_no").otherwise("printed_name")

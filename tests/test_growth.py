@@ -366,3 +366,45 @@ def test_names_are_held_against_each_other_in_blocks(spark, monkeypatch):
     x = S.Marks(texts)
     i, j = (v.ravel() for v in np.meshgrid(range(len(texts)), range(len(texts))))
     assert (S.jaro_winkler_bound(x, x, i, j) >= S.jaro_winkler_ratios([texts[k] for k in i], [texts[k] for k in j])).all()
+
+
+def test_masters_of_common_names_do_not_multiply(spark, monkeypatch):
+    from random import Random
+
+    from factloom.functions import names as N
+
+    random, seen = Random(2), []
+    names = ["ann voss", "a voss", "ana voss", "ann vos", "bob quist", "rob quist", "quist", "zoe", ""]
+    masters = [(i if random.random() < 0.8 else random.choice([None, *range(30)]), random.choice(names), random.choice([None, "", f"R-{random.randrange(9)}", f"R-{random.randrange(200)}"]), random.choice([None, 1, 2, 3])) for i in range(300)]
+    written = [(i if random.random() < 0.8 else random.choice([None, *range(30)]), random.choice(names), random.choice([None, "-", f"r {random.randrange(9)}", f"r{random.randrange(200)}"]), random.choice([None, 1, 2])) for i in range(200)]
+    best = N._best_masters
+    monkeypatch.setattr(N, "_best_masters", lambda *a: seen.append((best(*a), a[-1])) or seen[0][0])
+    w, m = spark.createDataFrame(written, "key int, name string, reg_no string, field int"), spark.createDataFrame(masters, "master int, name string, reg_no string, field int")
+    got = sorted(map(str, (tuple(r) for r in N.practitioner_matches(w, m).collect())))
+    listed, n = seen[0]
+    classes = {(name, field) for key, name, _, field in written if key is not None and name}
+    assert 0 < listed.count() <= n * len(classes)  # however many masters have the name
+    number = lambda r: "".join(c for c in r or "" if c.isalnum()).upper()
+    pairs = [(u, v) for u in names for v in names]
+    scores = dict(zip(pairs, N.name_ratios([u for u, _ in pairs], [v for _, v in pairs]).tolist()))
+    found = {}
+    for key, name, reg, field in written:
+        for master, full, m_reg, m_field in masters if key is not None else ():
+            s = scores[name, full]
+            if number(reg) and number(reg) == number(m_reg):
+                c = (True, 0.99 if s >= 0.75 or not name else 0.9)
+            elif s >= 0.87:
+                c = (False, round(s * (1 if field is not None and field == m_field else 0.97) + 1e-12, 4))
+            else:
+                continue
+            found.setdefault(key, {})[master] = max(c, found.get(key, {}).get(master, c))
+    want = []
+    for key, name, _, _ in written:
+        top = sorted(((-s, not by, -1 if master is None else master) for master, (by, s) in found.get(key, {}).items()))[:5]
+        words, why = name.split(), "too low" if not top or -top[0][0] < 0.9 else None
+        if why is None and top[0][1]:
+            fits = {master for master, full, _, _ in masters if master is not None and " " in full and N.jaro_winkler_ratios([full.split()[-1]], [words[-1]])[0] >= 0.92 and full[0] == words[0][0]} if words and len(words) > 1 and len(words[0]) == 1 else set()
+            why = "near tie" if len(top) > 1 and top[1][0] - top[0][0] < 0.03 - 1e-9 else "ambiguous initial" if len(fits) > 1 else None
+        linked = None if why is not None or top[0][2] == -1 else top[0][2]
+        want.append((key, linked, "unknown" if not top else "printed_name" if top[0][1] else "registration_no", -top[0][0] if top else None, len(top), why))
+    assert got == sorted(map(str, want))
