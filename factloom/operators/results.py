@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.scratch import stored
+
+#: Names that are sent to all tasks.
+SENT = 200_000
 #: Tokens behind a name that are looked at: the names that share its value, and the value.
 REACH = 40
 # fixed values: words that are results, and units of time and dose that make a number something else
@@ -21,8 +27,8 @@ _FIRST = f"^(?:[/,&+:=(.<>0-9-]|non|not|{'|'.join(RESULT_WORDS.split())})"
 
 def tokens(c: Column) -> Column:
     """Words, numbers and signs of a text in lower case."""
-    apart = F.regexp_replace(F.regexp_replace(F.lower(c), "([/,&+:=();|-])", " $1 "), "[.](?![0-9])", " . ")
-    return F.filter(F.split(apart, "[ \\t\\n\\r]+"), lambda w: w != "")
+    apart = F.regexp_replace(F.lower(c), "([/,&+:=();|-]|[.](?![0-9]))", " $1 ")
+    return F.array_remove(F.split(apart, "[ \\t\\n\\r]+"), "")
 
 
 def valued(behind: Column) -> Column:
@@ -30,14 +36,18 @@ def valued(behind: Column) -> Column:
     return behind.rlike(_VALUE) & ~behind.rlike(_OTHER)
 
 
-def _places(rows: DataFrame, within: str, line: str, names: DataFrame, name: str, longest: int) -> DataFrame:
-    """(within, line, place, n_words, name) of lines as tokens ``_t``: every place of a name; of overlapping ones the longest stands."""
+def _places(rows: DataFrame, within: str, line: str, known: DataFrame, longest: int, beside: Callable[[Column], Column] | None = None, late: bool = False) -> DataFrame:
+    """(within, line, place, n_words, name) of lines as tokens ``_t``, and ``valued`` by what is ``beside`` the token behind it: every place of a ``known``
+    name; of overlapping ones the longest stands. ``late``: only the places of known names are looked at; tokens must not move, so names are sent to all tasks."""
     word = lambda n, i: F.get("_t", i) if n == 1 else F.array_join(F.slice("_t", i + 1, n), " ")
-    spans = [F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_words"), word(n, i).alias("name")))) for n in range(1, longest + 1)]
-    none = F.array().cast("array<struct<place:int,n_words:int,name:string>>")
-    known = names.select(F.array_join(tokens(F.col(name)), " ").alias("name")).where("name != ''").distinct()
+    place = lambda n, i: F.struct(i.alias("place"), F.lit(n).alias("n_words"), word(n, i).alias("name"), *([] if beside is None or late else [beside(i + n).alias("valued")]))
+    spans = [F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: place(n, i))) for n in range(1, longest + 1)]
     # lines without tokens meet no name: an outer list, as Spark would make each list twice to leave out empty ones
-    found = rows.select(within, line, F.inline_outer(F.concat(*[F.coalesce(x, none) for x in spans]))).join(known, "name").select(within, line, "place", "n_words", "name")
+    found = rows.select(within, line, *(["_t", "_n"] if late else []), F.inline_outer(F.flatten(F.array_compact(F.array(*spans))) if longest > 1 else spans[0]))
+    found = found.join(F.broadcast(known) if late else known, "name")
+    if late:
+        found = found.withColumn("valued", beside(F.col("place") + F.col("n_words")))
+    found = found.select(within, line, "place", "n_words", "name", *([] if beside is None else ["valued"]))
     if longest == 1:
         return found
     # a longer name covers those inside it: the furthest end of the longer ones that begin no later
@@ -46,32 +56,35 @@ def _places(rows: DataFrame, within: str, line: str, names: DataFrame, name: str
     return found.withColumn("_e", reach).where(F.col("_e").isNull() | (F.col("place") + F.col("n_words") > F.col("_e"))).drop("_e")
 
 
+def _known(names: DataFrame, name: str) -> DataFrame:
+    return names.select(F.array_join(tokens(F.col(name)), " ").alias("name")).where("name != ''").distinct()
+
+
 def names_on_lines(lines: DataFrame, within: str, line: str, text: str, names: DataFrame, name: str, longest: int = 3) -> DataFrame:
     """(within, line, name): the names that stand in a line, as ``occurrences`` finds them, whatever their values."""
-    return _places(lines.select(within, line, tokens(F.col(text)).alias("_t")), within, line, names, name, longest).select(within, line, "name").distinct()
+    return _places(lines.select(within, line, tokens(F.col(text)).alias("_t")), within, line, _known(names, name), longest).select(within, line, "name").distinct()
 
 
 def occurrences(lines: DataFrame, within: str, line: str, text: str, names: DataFrame, name: str, longest: int = 3) -> DataFrame:
     """(within, line, place, n_words, name, valued): every place of a name of one to ``longest`` words; of overlapping ones the longest stands.
 
-    A value may be written once for joined names (``a / b / c : negative``) and at the start of the next line.
+    A value may be written once for joined names (``a / b / c : negative``) and at the start of the next line. Lines move once, as they are written, to
+    meet the next ones; up to ``SENT`` names go to all tasks, so that no word of a line moves.
     """
-    rows = lines.select(within, line, tokens(F.col(text)).alias("_t"))
-    found = _places(rows, within, line, names, name, longest)
-    rows = rows.withColumn("_n", F.lead("_t").over(Window.partitionBy(within).orderBy(line)))
-    # the places of a line meet its tokens once
-    placed = found.groupBy(within, line).agg(F.collect_list(F.struct("place", "n_words", "name")).alias("_l")).join(rows, [within, line])
-
-    def beside(p: Column) -> Column:
-        end = p["place"] + p["n_words"]
+    # the first ``REACH`` words hold as many tokens or more
+    start = F.regexp_extract("_n", f"^[ \\t\\n\\r]*+(?:[^ \\t\\n\\r]++[ \\t\\n\\r]*+){{0,{REACH}}}", 0)
+    following = F.lead(text).over(Window.partitionBy(within).orderBy(line))
+    rows = lines.select(within, line, text, following.alias("_n")).select(within, line, tokens(F.col(text)).alias("_t"), tokens(start).alias("_n"))
+
+    def beside(end: Column) -> Column:
         more = F.when(end + REACH > F.size("_t"), F.coalesce(F.slice("_n", 1, REACH), F.array())).otherwise(F.array().cast("array<string>"))
         behind = F.array_join(F.concat(F.slice("_t", end + 1, REACH), more), " ")
         # most names are followed by a word that begins no value: what is behind them is not joined
         first = F.coalesce(F.get("_t", end), F.get("_n", F.lit(0)), F.lit(""))
         return F.when(first.rlike(_FIRST), valued(behind)).otherwise(False)
 
-    out = F.transform("_l", lambda p: F.struct(p["place"].alias("place"), p["n_words"].alias("n_words"), p["name"].alias("name"), beside(p).alias("valued")))
-    return placed.select(within, line, F.inline_outer(out))
+    known = stored(_known(names, name))
+    return _places(rows, within, line, known, longest, beside, known.count() <= SENT)
 
 
 def results_on_page(places: DataFrame, within: str) -> DataFrame:

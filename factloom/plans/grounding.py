@@ -66,8 +66,9 @@ select doc_id, name, count(*) as seen, count(*) filter (where valued) as valued,
 def results_on_page(spark, sf_dir):
     """Words that stand before a number anywhere are names; a name is a result in its document if every place of it has a value."""
     pages = _lines(spark, sf_dir)
-    tokens = pages.select(W.tokens(F.col("line")).alias("t"))
-    before = F.filter(F.transform("t", lambda w, i: F.when(w.rlike(f"^{_NAMED}$") & F.coalesce(F.get("t", i + 1), F.lit("")).rlike("^[<>]?[0-9]+([.][0-9]+)?%?$"), w)), lambda w: w.isNotNull())
+    # a line without a digit has no number
+    tokens = pages.where(F.col("line").rlike("[0-9]")).select(W.tokens(F.col("line")).alias("t"))
+    before = F.filter(F.transform("t", lambda w, i: F.when(F.coalesce(F.get("t", i + 1), F.lit("")).rlike("^[<>]?[0-9]+([.][0-9]+)?%?$") & w.rlike(f"^{_NAMED}$"), w)), lambda w: w.isNotNull())
     names = tokens.select(F.explode(before).alias("name")).distinct()
     return W.results_on_page(W.occurrences(pages, "doc_id", "pos", "line", names, "name", 1), "doc_id")
 

@@ -408,3 +408,43 @@ def test_masters_of_common_names_do_not_multiply(spark, monkeypatch):
         linked = None if why is not None or top[0][2] == -1 else top[0][2]
         want.append((key, linked, "unknown" if not top else "printed_name" if top[0][1] else "registration_no", -top[0][0] if top else None, len(top), why))
     assert got == sorted(map(str, want))
+
+
+def test_results_on_page_move_lines_once_as_written(spark, sf, monkeypatch):
+    import re
+    from collections import Counter
+    from random import Random
+
+    from factloom.operators import results as W
+    from factloom.plans.grounding import results_on_page
+
+    plan = plan_of(results_on_page(spark, sf))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    random = Random(6)
+    parts = ["tsh", "ldl", "oh", "vitamin", "d", "hiv", "12", "3.5", "<7%", "mg", "/", "dl", ":", "negative", "non", "reactive", "a.", ".5", "(", "-", "days", "x,y", "Σας.", "ñ;", " "]
+    text = lambda: random.choice([" ", "  ", "\t"]).join(random.choices(parts, k=random.randint(0, 12))) + random.choice(["", " ", "."])
+    lines = [(d, i, text()) for d in (1, 2, None) for i in range(40)] + [(3, 0, "ldl"), (3, 1, None), (3, 2, "ldl"), (3, 3, " " + " , " * 45 + "9"), (3, 4, ""), (4, 0, "/ a " * 19 + "tsh / "), (4, 1, "a / " * 30 + "12")]
+    names = ["TSH", "LDL", "HIV", "vitamin d", "oh vitamin d", "d", "", None]
+
+    def told(t):
+        return [w for w in re.split("[ \t\n\r]+", re.sub("[.](?![0-9])", " . ", re.sub("([/,&+:=();|-])", r" \1 ", t.lower()))) if w]
+
+    known = {" ".join(told(n)) for n in names if n}
+    for longest in (1, 3):
+        want = Counter()
+        for k, (d, i, t) in enumerate(lines):
+            own, after = told(t or ""), told(lines[k + 1][2] or "") if k + 1 < len(lines) and lines[k + 1][0] == d else []
+            reach = 0
+            for at in range(len(own)):
+                for n in range(longest, 0, -1):
+                    if at + n <= len(own) and at + n > reach and " ".join(own[at : at + n]) in known:
+                        behind = " ".join(own[at + n : at + n + W.REACH] + (after[: W.REACH] if at + n + W.REACH > len(own) else []))
+                        want[d, i, at, n, " ".join(own[at : at + n]), bool(re.search(W._VALUE, behind)) and not re.search(W._OTHER, behind)] += 1
+                        reach = at + n
+        assert sum(p[5] for p in want) > 10
+        for sent in (W.SENT, 0):
+            monkeypatch.setattr(W, "SENT", sent)
+            out = W.occurrences(spark.createDataFrame(lines, "d int, l int, t string"), "d", "l", "t", spark.createDataFrame([(n,) for n in names], "n string"), "n", longest)
+            assert out.columns == ["d", "l", "place", "n_words", "name", "valued"]
+            assert Counter(tuple(r) for r in out.collect()) == want
+        monkeypatch.undo()
