@@ -173,23 +173,31 @@ def name_join(left: DataFrame, right: DataFrame, a: str, b: str, floor: float) -
 
 
 def _best_masters(asked: DataFrame, alike: DataFrame, masters: DataFrame, mine: Column, n: int) -> DataFrame:
-    """(name, field, master, score) of the best ``n`` masters of each distinct (name, field), equal scores (``mine``) by master, and some more.
+    """(name, field, best) with the best ``n`` masters (master, score) of each distinct (name, field), equal scores (``mine``) by master.
 
-    Masters of one name and field score the same, so the first ``n`` of them will do. Of a written name's masters, the best ``n`` in each field serve those
-    who ask for that field. Others see the best by their lower score: ``n`` at most of the field asked for and twice each of less than ``n`` others may
-    stand before one that counts, so ``3 * n`` are enough.
+    A name that scores less than ``n`` masters do even where their fields differ is left out; for that, a name counts as one master if it has one that is
+    not known by other names. Masters of one name and field score the same, so the first ``n`` of them will do. Of a written name's masters, the best ``n`` in
+    each field serve those who ask for that field. Others see the best by their lower score: ``n`` at most of the field asked for and twice each of less
+    than ``n`` others may stand before one that counts, so ``3 * n`` are enough.
     """
     first = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    less = lambda c: F.round(F.col(c) * NO_SPECIALTY, 4)
+    one = masters.groupBy("master").agg((F.min("m_name") == F.max("m_name")).alias("_one"))
+    odd = masters.join(one, "master", "left").groupBy("m_name").agg(F.max(F.coalesce("_one", F.lit(False))).alias("_one")).where("not _one").select("m_name", F.lit(True).alias("_odd"))
+    near = alike.join(odd, "m_name", "left").withColumn("_k", first(["name"], F.asc_nulls_first("_odd"), F.desc("score")))
+    near = near.withColumn("_s", F.max(F.when((F.col("_k") == n) & F.col("_odd").isNull(), F.col("score"))).over(Window.partitionBy("name")))
+    near = near.where(F.col("_s").isNull() | (F.col("score") >= less("_s"))).select("name", "m_name", "score")
     some = masters.distinct().withColumn("_k", first(["m_name", "m_field"], "master")).where(F.col("_k") <= n).drop("_k")
-    rows = alike.join(some, "m_name").groupBy("name", "m_field", "master").agg(F.max("score").alias("score"))
-    rows = rows.withColumn("_less", F.round(F.col("score") * NO_SPECIALTY, 4))
+    # all that follows is done name by name, where the rows have moved to
+    rows = near.join(some, "m_name").select("name", "m_field", "master", "score").repartition("name")
+    rows = rows.groupBy("name", "m_field", "master").agg(F.max("score").alias("score")).withColumn("_less", less("score"))
     rows = rows.withColumns({"_k": first(["name", "m_field"], F.desc("score"), "master"), "_u": first(["name", "m_field"], F.desc("_less"), "master")})
-    own = rows.where((F.col("_k") <= n) & F.col("m_field").isNotNull()).withColumn("field", F.col("m_field"))
-    rest = rows.where(F.col("_u") <= n).withColumn("_k", first(["name", "master"], F.desc("score"), "m_field")).where("_k <= 2")
-    rest = rest.withColumn("_k", first(["name"], F.desc("_less"), "master", "m_field")).where(F.col("_k") <= 3 * n).select("name", "m_field", "master", "score")
-    found = asked.join(own.select("name", "field", "m_field", "master", "score"), ["name", "field"]).unionByName(asked.join(rest, "name"))
+    rows = rows.withColumn("_two", first(["name", "master"], F.col("_u") > n, F.desc("score"), "m_field")).withColumn("_two", (F.col("_u") <= n) & (F.col("_two") <= 2))
+    rows = rows.withColumn("_any", first(["name"], ~F.col("_two"), F.desc("_less"), "master", "m_field")).withColumn("_any", F.col("_two") & (F.col("_any") <= 3 * n))
+    found = asked.join(rows.where(F.col("_any") | (F.col("_k") <= n)), "name").where(F.col("_any") | ((F.col("_k") <= n) & (F.col("field") == F.col("m_field"))))
     found = found.groupBy("name", "field", "master").agg(F.max(mine).alias("score"))
-    return found.withColumn("_k", first(["name", "field"], F.desc("score"), "master")).where(F.col("_k") <= n).drop("_k")
+    found = found.withColumn("_k", first(["name", "field"], F.desc("score"), "master")).where(F.col("_k") <= n)
+    return found.groupBy("name", "field").agg(F.collect_list(F.struct("master", "score")).alias("best"))  # n at most
 
 
 def practitioner_matches(written: DataFrame, masters: DataFrame, floor: float = 0.9, top: int = 5) -> DataFrame:
@@ -218,8 +226,8 @@ def practitioner_matches(written: DataFrame, masters: DataFrame, floor: float =
     named = keyed.join(many, "key", "left_semi").join(alike, "name").join(m, "m_name").select("key", "master", mine.alias("score"))
     listed = _best_masters(keyed.select("name", "field").distinct(), alike, m.select("m_name", "m_field", "master"), mine, top + gaps)
     same = F.col("w.name").eqNullSafe(F.col("l.name")) & F.col("w.field").eqNullSafe(F.col("l.field"))
-    named = named.unionByName(keyed.alias("w").join(listed.alias("l"), same).select("key", "master", "l.score")).withColumn("by_number", F.lit(False))
-    found = numbered.unionByName(named).groupBy("key", "master").agg(F.max(F.struct("by_number", "score")).alias("b")).select("key", "master", F.round("b.score", 4).alias("score"), "b.by_number")
+    named = named.unionByName(keyed.alias("w").join(listed.alias("l"), same).select("key", F.inline("best"))).withColumn("by_number", F.lit(False))
+    found = numbered.unionByName(named).repartition("key").groupBy("key", "master").agg(F.max(F.struct("by_number", "score")).alias("b")).select("key", "master", F.round("b.score", 4).alias("score"), "b.by_number")
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("by_number"), "master")
     ranked = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
     best = ranked.groupBy("key").agg(F.max(F.when(F.col("rn") == 1, F.struct("score", "master", "by_number"))).alias("b"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"), F.count("*").alias("n"))
